@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language import op1_language
 from .mixing import op4_mixing
+from .pii import op5_pii
 from .packing import op9_packing
 from .quality import op7_quality
 from .toxicity import op8_toxicity
@@ -11,6 +12,7 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_language": op1_language,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
