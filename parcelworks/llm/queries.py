@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from .language import op1_language
+from .licenses import op6_licenses
 from .mixing import op4_mixing
-from .pii import op5_pii
+
+from .neighbours import op3_neighbours
 from .packing import op9_packing
+from .pii import op5_pii
 from .quality import op7_quality
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_language": op1_language,
+    "op3_neighbours": op3_neighbours,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
+    "op6_licenses": op6_licenses,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
