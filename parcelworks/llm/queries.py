@@ -10,6 +10,7 @@ from .neighbours import op3_neighbours
 from .packing import op9_packing
 from .pii import op5_pii
 from .quality import op7_quality
+from .substrings import op10_substrings
 from .toxicity import op8_toxicity
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE: dict[str, str] = {}
