@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op2_jaccard
 from .language import op1_language
 from .licenses import op6_licenses
 from .mixing import op4_mixing
@@ -15,6 +16,7 @@ from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_jaccard": op2_jaccard,
     "op3_neighbours": op3_neighbours,
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
