@@ -4,7 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelworks.llm import mixing, packing
+from parcelworks.llm import jaccard, mixing, packing, pii, toxicity
+
+
+def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the ordinal model finds toxic; it learns from ``labels``."""
+    return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates keep the document of the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts by its kind."""
+    return pii.redacted_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +33,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("mixing", mix),
-    ("packing", pack),
+    ("toxicity", detoxify),
+    ("n-gram Jaccard join", deduplicate),
+    ("PII", redact),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
 ]
 
 ORACLE_SQL = None
@@ -33,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
-            docs = materialise(docs, name)
+            docs = materialise(docs, name.replace(" ", "-"))
     return docs
