@@ -112,15 +112,17 @@ def repeated(dealt: DataFrame, fragments: int, tell_first: bool, chunk: int = 30
                     yield group(*got)
 
         for b in batches:
-            frags, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, value in enumerate(b.column(2)):
-                if frags[i] != frag:
+            frags, ids, values = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] // 8
+            flat = np.frombuffer(values.buffers()[2], np.uint64) if ends[-1] else np.zeros(0, np.uint64)
+            cuts = np.flatnonzero(np.concatenate([[True], frags[1:] != frags[:-1]])) if len(frags) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(frags)], strict=True):
+                if frags[lo] != frag:
                     yield from flush()
-                    seen, frag = Seen(), frags[i]
-                got = np.frombuffer(value.as_buffer(), np.uint64)
-                docs.append(np.full(len(got), ids[i]))
-                names.append(got)
-                held += len(got)
+                    seen, frag = Seen(), frags[lo]
+                docs.append(np.repeat(ids[lo:hi], np.diff(ends[lo : hi + 1])))
+                names.append(flat[ends[lo] : ends[hi]])
+                held += len(names[-1])
                 if held >= chunk:
                     yield from flush()
         yield from flush()

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, read, text_bytes, window_hashes, word_names
+from .common import mix64, read, text_bytes, window_hashes, word_names
 from .fragments import DEALT, deal, fragment_count, names_of, repeated
 
-WINDOW, ROUNDS = 13, 3
+WINDOW, ROUNDS = 13, 2
 #: Documents whose words are worked on together.
 SLICE = 128
 _A, _B, _RUN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     candidates = known.join(shared, "doc_id").select("doc_id", "text", "names")
     again = repeated(candidates.mapInArrow(second, DEALT), fragments, tell_first=False)
-    again = materialise(again.groupBy("doc_id").agg(F.collect_list("names").alias("names")), "repeats")
+    again = again.groupBy("doc_id").agg(F.collect_list("names").alias("names"))
 
     def last(batches):
         for part in slices(batches):
@@ -197,8 +197,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    every = rows.join(again, "doc_id", "left").select("doc_id", "text", "names")
-    return every.mapInArrow(last, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    # Both joins deal out the same texts by doc_id: one exchange serves them.
+    every = known.join(again, "doc_id", "left").select("doc_id", "text", "names")
+    rest = rows.where("doc_id IS NULL OR text IS NULL").withColumn("names", F.lit(None).cast("array<binary>"))
+    kept = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return every.mapInArrow(last, kept).unionByName(rest.mapInArrow(last, kept))
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:
