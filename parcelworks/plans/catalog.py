@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
-from ..operators import features, grid, kernels, records, scoring, soil
+from ..operators import features, grid, kernels, records, reports, scoring, soil
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -667,5 +667,49 @@ def site_plan(spark, sf):
     return scoring.score_patches(kept.join(named, grid.KEY), PX, PY)
 
 
+# --- report sections -------------------------------------------------------------------------
+
+@query("soil_sections", with_(V.COMPONENTS) + """SELECT mukey AS parcel_id, string_agg(line, chr(10) ORDER BY line) AS section FROM (
+  SELECT DISTINCT mukey, '- ' || compname || ': ' || comppct_r || '% of map unit, hydric: ' || trim(hydricrating) AS line FROM components) GROUP BY mukey""")
+def soil_sections(spark, sf):
+    return reports.soil_section(V.components(spark, sf).withColumnRenamed("mukey", "parcel_id"))
+
+
+@query("elevation_sections", with_(V.CELLS) + """SELECT parcel_id, 'Elevation range: ' || lo || 'ft to ' || hi || 'ft (total relief: ' || (hi - lo) || 'ft) across ' || n || ' sample points.' AS section FROM (
+  SELECT parcel_id, CAST(round(min(z) / 0.3048) AS BIGINT) AS lo, CAST(round(max(z) / 0.3048) AS BIGINT) AS hi, count(*) AS n FROM cells GROUP BY parcel_id)""")
+def elevation_sections(spark, sf):
+    return reports.elevation_section(V.cells(spark, sf))
+
+
+@query("water_sections", """SELECT CAST(l_suppkey AS VARCHAR) AS parcel_id, concat_ws(chr(10), 'Streams/waterways: ' || string_agg(DISTINCT n, ', ' ORDER BY n) FILTER (s), 'Ponds/lakes: ' || string_agg(DISTINCT n, ', ' ORDER BY n) FILTER (NOT s)) AS section
+  FROM (SELECT l_suppkey, 'name ' || l_partkey % 5 AS n, l_linenumber < 3 AS s FROM lineitem) GROUP BY l_suppkey""")
+def water_sections(spark, sf):
+    rows = V.table(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("parcel_id"), F.concat(F.lit("name "), (F.col("l_partkey") % 5).cast("string")).alias("name"), F.when(F.col("l_linenumber") < 3, "stream").otherwise("water_body").alias("kind"))
+    return reports.water_section(rows)
+
+
+@query("locative_words", with_(V.POINTS) + """, b AS (SELECT *, min(x) OVER w AS x0, max(x) OVER w AS x1, min(y) OVER w AS y0, max(y) OVER w AS y1 FROM points WINDOW w AS (PARTITION BY parcel_id)),
+  t AS (SELECT point_id, ['west', '', 'east'][least(2, CAST(floor((x - x0) / (x1 - x0) * 3) AS INT)) + 1] AS ew, ['south', '', 'north'][least(2, CAST(floor((y - y0) / (y1 - y0) * 3) AS INT)) + 1] AS ns FROM b)
+  SELECT point_id, CASE WHEN ns <> '' AND ew <> '' THEN ns || ew WHEN ns || ew <> '' THEN ns || ew || '-central' ELSE 'central' END AS place FROM t""")
+def locative_words(spark, sf):
+    w = Window.partitionBy("parcel_id")
+    box = [F.min("x").over(w), F.min("y").over(w), F.max("x").over(w), F.max("y").over(w)]
+    return V.points(spark, sf).select("point_id", reports.locative(F.col("x"), F.col("y"), *box).alias("place"))
+
+
+@query("site_reports")
+def site_reports(spark, sf):
+    """The report of every parcel: soil apart, all sections that these tables give."""
+    cells = V.cells(spark, sf)
+    acres = cells.where("in_parcel").groupBy("parcel_id").agg((F.count(F.lit(1)) * ACRE).alias("acres"))
+    plan = reports.production_narrative(site_plan(spark, sf), acres)
+    return reports.report(
+        {
+            "Elevation": reports.elevation_section(cells), "Climate": reports.climate_section(records.climate_summary(V.climate(spark, sf))),
+            "Production areas": reports.production_section(plan), "Roads": reports.road_section(road_network(spark, sf)),
+        }
+    )
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return production_scores(spark, sf_dir)
