@@ -10,8 +10,9 @@ fragments; a document sends each fragment the part of its set that falls there.
    that share a prefix gram, may reach the threshold by their sizes and by the
    places of that gram, become candidate pairs. A gram's list of few sets gives
    all pairs; of a longer one each set is paired with its next ``NEAR`` in order
-   of size and with the first of its size class, so a large group of near copies
-   gives a number of pairs in proportion to its size.
+   of size and with the ``CENTRAL`` sets of its size class that have the fewest
+   rarer grams, so a large group of near copies gives a number of pairs in
+   proportion to its size.
 3. Candidates' whole sets go to fragments; each counts the overlap of its part of
    every pair, and the counts are summed per pair: the exact intersection.
 4. Linked pairs give components. In long lists, pairs of sets that are now in one
@@ -44,7 +45,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Frequent grams that the order knows: at most 8 bytes each go to every task.
 HEAVY, HEAVY_DOCS = 400_000, 8
-NEAR = 12
+NEAR, CENTRAL = 8, 3
 _C1, _C2, _LEN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -162,10 +163,9 @@ def prefixes(rows: DataFrame, order: Order, fragments: int) -> DataFrame:
 
 
 def _may_link(na, pa_, nb, pb) -> np.ndarray:
-    """Sizes allow a link, and so do the places of the shared gram."""
-    need = least_overlap(na, nb)
-    small = np.minimum(na, nb)
-    return (need <= small) & (np.minimum(na - pa_, nb - pb) + np.minimum(pa_, pb) >= need)
+    """Sizes allow a link, and so do the places of a shared gram if it is the first
+    of the order that is shared: a linked pair passes at that one."""
+    return np.minimum(na - pa_, nb - pb) >= least_overlap(na, nb)
 
 
 def _lists(batch_docs, batch_n, batch_places, batch_names):
@@ -196,12 +196,23 @@ def near_pairs(names, n, docs, places, near: int = NEAR) -> tuple[np.ndarray, np
         if not len(i):
             break
         found.append((i, i + step))
-    # the first of each size class of a list, sizes within a factor of about 1.12
+    # The most central sets of each size class of a list (sizes within a factor of
+    # about 1.12): those with the fewest grams before this one, hence the likeliest
+    # to link with any other of the class, and of the next.
     level = (np.log(np.maximum(n, 1)) / math.log(1.12)).astype(np.int64)
-    head = start | np.concatenate([[True], level[1:] != level[:-1]])
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    i = np.flatnonzero(np.arange(len(names)) - lead > near)
-    found.append((lead[i], i))
+    by = np.lexsort((docs, places, level, names))
+    first = np.concatenate([[True], (names[by][1:] != names[by][:-1]) | (level[by][1:] != level[by][:-1])])
+    starts = np.flatnonzero(first)
+    of, ends = np.cumsum(first) - 1, np.append(starts[1:], len(by))
+    ahead = np.append((names[by][starts[1:]] == names[by][starts[:-1]]) & (level[by][starts[1:]] == level[by][starts[:-1]] + 1), False)
+    for k in range(CENTRAL):
+        lead = starts[of] + k
+        i = np.flatnonzero((lead < ends[of]) & (lead != np.arange(len(by))))
+        found.append((by[lead[i]], by[i]))
+        i = np.flatnonzero(ahead[of])
+        lead = starts[of[i] + 1] + k
+        ok = lead < ends[of[i] + 1]
+        found.append((by[lead[ok]], by[i[ok]]))
     pairs = []
     for i, j in found:
         ok = _may_link(n[i], places[i], n[j], places[j]) & (docs[i] != docs[j])
@@ -350,7 +361,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = large.where("u <> v").distinct()
+        edges = large.where("u <> v")
         low = edges.groupBy("u").agg(F.min("v").alias("m"))
         joined = edges.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
@@ -381,12 +392,13 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = materialise(candidates(prefix), "pairs")
     links = materialise(_linked(overlaps(known, pairs, order, _grams(pairs))), "links")
     label = components(links)
-    more = _second_turn(long_lists(prefix), label, pairs)
+    more = _second_turn(long_lists(prefix), label, pairs, fragments)
     more = materialise(more, "pairs")
     if more.limit(1).count():
         found = materialise(_linked(overlaps(known, more, order, _grams(more))), "links")
-        links = links.union(found)
-        label = components(links)
+        # What is already joined enters as stars about each component's smallest id.
+        stars = label.select(F.col("d").alias("a"), F.col("component").alias("b"))
+        label = components(stars.union(found))
 
     of = heads.join(same, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
     out = of.join(label, F.col("class_id") == F.col("d"), "left")
@@ -410,17 +422,17 @@ def _grams(pairs: DataFrame) -> int:
     return int(got[0] or 0)
 
 
-def _second_turn(lists: DataFrame, label: DataFrame, tested: DataFrame) -> DataFrame:
+def _second_turn(lists: DataFrame, label: DataFrame, tested: DataFrame, fragments: int) -> DataFrame:
     """Untested pairs of long lists whose sets are in different components. Lists
-    that hold one component end here, as counted by ``min`` and ``max``."""
+    that hold one component end here, as counted by ``min`` and ``max``. The lists
+    of a fragment are worked on together, so a pair leaves a fragment once."""
     member = lists.select("g", F.explode(F.arrays_zip("docs", "n", "places")).alias("m"))
     member = member.select("g", F.col("m.docs").alias("doc"), F.col("m.n").alias("n"), F.col("m.places").alias("place"))
     member = member.join(label, F.col("doc") == F.col("d"), "left").withColumn("c", F.coalesce("component", "doc"))
     member = materialise(member.select("g", "doc", "n", "place", "c"), "members")
     mixed = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, n, place, c = (table.column(k).to_numpy() for k in ("doc", "n", "place", "c"))
+    def pairs_of(doc, n, place, c) -> list[np.ndarray]:
         by = np.lexsort((doc, n))
         doc, n, place, c = doc[by], n[by], place[by], c[by]
         found = []
@@ -431,10 +443,22 @@ def _second_turn(lists: DataFrame, label: DataFrame, tested: DataFrame) -> DataF
             if ok.any():
                 j = np.flatnonzero(ok) + i + 1
                 found.append(np.stack([np.full(len(j), doc[i]), doc[j], np.full(len(j), n[i]), n[j]]))
-        got = _distinct(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 4
+        return found
+
+    def run(table: pa.Table) -> pa.Table:
+        g, doc, n, place, c = (table.column(k).to_numpy() for k in ("g", "doc", "n", "place", "c"))
+        by = np.argsort(g, kind="stable")
+        g, doc, n, place, c = g[by], doc[by], n[by], place[by], c[by]
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g))
+        got = (np.zeros(0, np.int64),) * 4
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            found = pairs_of(doc[lo:hi], n[lo:hi], place[lo:hi], c[lo:hi])
+            if found:
+                got = _distinct(np.concatenate([np.stack(got), *found], axis=1))
         return pa.table(dict(zip(("a", "b", "na", "nb"), got, strict=True)))
 
-    again = member.join(mixed, "g").groupBy("g").applyInArrow(run, PAIR)
+    mixed = member.join(mixed, "g").withColumn("frag", F.pmod("g", F.lit(fragments)))
+    again = mixed.groupBy("frag").applyInArrow(run, PAIR)
     again = again.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
     return again.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
