@@ -277,13 +277,44 @@ def long_lists(prefix: DataFrame, near: int = NEAR) -> DataFrame:
     return prefix.groupBy("frag").applyInArrow(run, LIST)
 
 
+#: Bits of the sieve of candidates' ids: 1 MB, whatever the corpus.
+SIEVE_BITS = 23
+
+
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A bit per hash of the ids in ``d``. It holds at most 2 ** (SIEVE_BITS - 6)
+    numbers; full, it lets all through, and the join after it decides anyway."""
+    h = F.pmod(F.xxhash64("d"), F.lit(1 << SIEVE_BITS))
+    bits = ids.select(h.alias("h")).selectExpr("CAST(h DIV 64 AS INT) AS w", "shiftleft(1L, CAST(h % 64 AS INT)) AS b")
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    got = bits.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def sifted(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows whose doc_id may be in the sieve, so that a join by doc_id doesn't
+    deal out the texts of all others."""
+    keyed = rows.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SIEVE_BITS)))
+
+    def run(batches):
+        for b in batches:
+            h = b.column(2).to_numpy()
+            keep = words[h // 64] >> (h % 64).astype(np.uint64) & np.uint64(1)
+            yield b.filter(pa.array(keep.astype(bool))).select(["doc_id", "text"])
+
+    return keyed.select("doc_id", "text", "_h").mapInArrow(run, "doc_id long, text string")
+
+
 def overlaps(rows: DataFrame, pairs: DataFrame, order: Order, grams: int) -> DataFrame:
     """``pairs`` with the exact intersection: partial counts of fragments, summed.
     ``grams``: about as many grams as the candidates' sets hold."""
     fragments = max(LEAST_FRAGMENTS // 2, math.ceil(grams / 2_000_000))
     of = pairs.groupBy(F.col("b").alias("d")).agg(F.collect_list("a").alias("with"))
     docs = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(of, "d", "left")
-    held = rows.join(docs, F.col("doc_id") == F.col("d")).select("doc_id", "text", "with")
+    docs = materialise(docs, "candidates")
+    near = sifted(rows, sieve(docs.select("d")))
+    held = near.join(docs, F.col("doc_id") == F.col("d")).select("doc_id", "text", "with")
 
     def cut(batches):
         for b in batches:
