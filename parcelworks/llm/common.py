@@ -70,7 +70,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 class _Names(dict):
     """Word to 64-bit name; emptied when full, so that memory stays bounded."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -250,7 +250,7 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def replaced(batches, known: dict | None):
-        for b in batches:
+        for b in (x.slice(lo, 256) for x in batches for lo in range(0, x.num_rows, 256)):
             at, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
             given = None if known is not None else b.column(b.schema.get_field_index("_spans")).to_pylist()
             texts = b.column(at).to_pylist()

@@ -211,7 +211,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def keep(batches):
-        for b in batches:
+        for b in (x.slice(lo, 256) for x in batches for lo in range(0, x.num_rows, 256)):
             at = b.schema.get_field_index("text")
             mask = []
             for text in b.column(at).to_pylist():
