@@ -646,7 +646,7 @@ def stream_exclusion(spark, sf):
 @query("smoothed_lines")
 def smoothed_lines(spark, sf):
     ring = F.transform(F.array_sort(F.collect_list(F.struct("point_id", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    got = V.points(spark, sf).where("point_id < 80").groupBy("parcel_id").agg(ring.alias("line"))
+    got = V.points(spark, sf).groupBy("parcel_id").agg(ring.alias("line"))
     return got.select("parcel_id", F.posexplode(X.chaikin(F.col("line"), 2)).alias("seq", "p")).select("parcel_id", "seq", "p.x", "p.y")
 
 

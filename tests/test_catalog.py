@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import random
 
 import duckdb
 import pytest
 
 from parcelworks.plans import catalog
+from parcelworks.plans import views as V
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -58,6 +60,30 @@ def test_runs(spark, con, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
 
 
+def chaikin(line, rounds):
+    for _ in range(rounds):
+        if len(line) < 3:
+            break
+        mid = [tuple((1 - w) * p + w * q for p, q in zip(a, b, strict=True)) for a, b in zip(line, line[1:], strict=False) for w in (0.25, 0.75)]
+        line = [line[0], *mid, line[-1]]
+    return line
+
+
+def test_smoothed_lines_are_whole(spark, tmp_path):
+    """Every point of a parcel is in its line, in order of its id."""
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in [*range(240), 1001, 5003, 5013]]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    lines = {}
+    for r in sorted(V.points(spark, str(tmp_path)).collect(), key=lambda r: r["point_id"]):
+        lines.setdefault(r["parcel_id"], []).append((r["x"], r["y"]))
+    want = {(k, i): p for k, line in lines.items() for i, p in enumerate(chaikin(line, 2))}
+    got = {(r["parcel_id"], r["seq"]): (r["x"], r["y"]) for r in catalog.QUERIES["smoothed_lines"](spark, str(tmp_path)).collect()}
+    assert len(want) == 4 * len(rows) and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
