@@ -132,6 +132,8 @@ def _inside(owner: np.ndarray, window: int) -> np.ndarray:
     """Windows that lie in one text, without its separator."""
     n = len(owner) - window
     ok = np.zeros(max(0, n + 1), bool)
+    if n <= 0:  # at most one window, and it would hold the last separator
+        return ok
     ok[:n] = owner[:n] == owner[window : window + n]
     return ok
 

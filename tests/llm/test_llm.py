@@ -442,6 +442,16 @@ def test_substrings_odd_tables(spark, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_substrings_of_one_short_text(spark):
+    for n in range(6, 14):
+        owner = substrings.joined([" ".join(map(str, range(n)))])[2]
+        # A window of n words fits only where the text has so many.
+        assert substrings._inside(owner, 13).tolist() == ([True, False] if n == 13 else [False] * max(0, n - 11))
+        rows = [(1, " ".join(map(str, range(n))), "en", "s", 1)]
+        got = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+        assert [(r["doc_id"], r["n_words"], r["n_removed"]) for r in got] == [(1, n, 0)]
+
+
 def test_equal_windows_have_equal_anchors():
     rng = np.random.default_rng(5)
     text = rng.integers(0, 6, 4000).astype(np.uint64)  # few symbols: many runs and repeats
