@@ -2,15 +2,21 @@
 
 Four kinds (email, ip, card, phone) have fixed patterns; their matches are the
 seeds. The method then looks at identifier-like strings (digits joined by
-separators, or holding ``@``) that no pattern took, each with the words around it.
-A lexical pattern is the kind of a seed with the word before and the word after
-it, in lower case, and the shape of the string. Spark scores the bipartite graph
-of patterns and instances in rounds: a pattern's confidence is the mean score of
-its instances, shrunk by ``PRIOR`` unseen failures; an instance's score is 1 for
-a seed of the kind, 0 for a seed of another, else the noisy-or of its patterns.
-Unseen instances of patterns with enough confidence and seeds become spans.
-
-Offsets are code points, end exclusive. Added spans never touch a base span.
+separators, blanks and brackets among them, or holding ``@``) that no pattern took,
+each with the words around it. A lexical pattern is the kind of a seed with a
+context, in lower case: the word before, the word after and the shape of the
+string; or the word before and after, the two words before, the word before, or the
+word after, each with the string's form only (what it is made of, and about how
+many digits it has). Spark scores the bipartite graph of patterns and instances in
+rounds: a pattern's confidence is the mean score of its instances, shrunk by
+``PRIOR`` unseen failures, ``PRIOR_ONE`` if its context is one word; an instance's
+score is 1 for a seed of the kind, 0 for a seed of another, else the noisy-or of
+its patterns. Patterns of a form, which are wide, count there only from
+``CONFIDENCE`` on, else they would lift each other. Unseen instances of patterns
+with enough confidence and seeds become spans.
+
+Offsets are code points, end exclusive. Added spans never touch a base span, and
+none lies in another.
 
 Defined results: null text counts as empty (no spans, the digest of the empty
 string); repeated rows get equal results; an empty table gives an empty result;
@@ -37,7 +43,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Rounds of scoring, unseen failures a pattern starts with, and what it needs.
 ROUNDS, PRIOR, CONFIDENCE, SEEDS = 3, 2.0, 0.8, 5
-#: Up to so many accepted patterns (under 100 bytes each) go to every task.
+#: Unseen failures of a pattern of one word, which says less than two.
+PRIOR_ONE = 4.0
+#: Up to so many patterns (under 200 bytes each) go to every task.
 BROADCAST_PATTERNS = 50_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -51,6 +59,12 @@ _DIGITS = re.compile(r"[0-9]{4}|[0-9][ .-][0-9]")
 # Begins only where such a string does, so that each is tried once.
 _PART = r"[^\s,;:<>\"'(){}\[\]|=#$&*!?]"
 _CANDIDATE = re.compile(rf"(?<!{_PART}){_PART}*?[0-9@]{_PART}*")
+# Digits joined by blanks, brackets and the like, as seeds hold them.
+_SPACED = re.compile(r"(?<![^\s,;:<>\"'{}\[\]|=#$&*!?])[+(]{0,2}[0-9]++(?:[\x20()./-]{1,3}+[0-9]++)+(?![^\W_])")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_EDGES = " .,;:!?\"'()[]{}<>*#&%$=-"
+# First signs of patterns: of exact shape, of two words, of one word.
+EXACT, TWO, ONE = "x", "2", "1"
 _BEFORE = re.compile(r"(\S+)\s*$")
 _AFTER = re.compile(r"\s*(\S+)")
 
@@ -116,45 +130,72 @@ def shape(s: str) -> str:
     return out[:24]
 
 
+def form(s: str) -> str:
+    """What a string is made of, and about how many digits it has."""
+    if "@" in s:
+        return "@"
+    if any(c.isalpha() for c in s):
+        return "a"
+    if _DOTTED.fullmatch(s):
+        return "9.9.9.9"
+    n = sum(c in "0123456789" for c in s)
+    return "few" if n < 7 else "some" if n < 16 else "many"
+
+
+def patterns_of(text: str, a: int, b: int) -> list[str]:
+    """The patterns of the string text[a:b]."""
+    m = _BEFORE.search(text[max(0, a - 40) : a])
+    n = _AFTER.match(text, b, min(len(text), b + 40))
+    before, after = (m[1][-24:].lower() if m else "^"), (n[1][:24].lower() if n else "$")
+    one, made = text[a:b], form(text[a:b])
+    left = [w.strip(_EDGES) or w for w in (before, *(w[-24:].lower() for w in text[max(0, a - 80) : a].split()[-2:-1]))]
+    right = after.strip(_EDGES) or after
+    rows = [
+        (EXACT, before, after, shape(one)), (TWO + "a", left[0], right, made), (TWO + "b", left[1] if len(left) > 1 else "^", left[0], made),
+        (ONE + "b", left[0], made), (ONE + "a", right, made),
+    ]
+    return ["\t".join(r) for r in rows]
+
+
 def contexts(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple]:
-    """(instance, before, after, shape, kind or '', start, end): seeds and other
-    identifier-like strings with the words around them."""
+    """(instance, patterns, kind or '', start, end): seeds and other
+    identifier-like strings with the patterns they are in."""
     taken = sorted((a, b, k) for k, spans in found.items() for a, b in spans)
     out = []
-    if not taken and not _DIGITS.search(text) and "@" not in text:
+    if not taken and not _DIGITS.search(text) and "@" not in text and not _SPACED.search(text):
         return out
 
     def add(a: int, b: int, kind: str) -> None:
-        m = _BEFORE.search(text[max(0, a - 40) : a])
-        n = _AFTER.match(text, b, min(len(text), b + 40))
-        before, after = (m[1][-24:].lower() if m else "^"), (n[1][:24].lower() if n else "$")
-        one = text[a:b]
-        key = hashlib.blake2b(one.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
-        out.append((key, before, after, shape(one), kind, a, b))
+        key = hashlib.blake2b(text[a:b].encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+        out.append((key, patterns_of(text, a, b), kind, a, b))
 
     for a, b, k in taken:
         add(a, b, k)
-    at = 0
     edges = [(a, b) for a, b, _ in taken] + [(len(text), len(text))]
-    i = 0
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span()
-        while i < len(edges) - 1 and edges[i][1] <= a:
-            i += 1
-        if b > edges[i][0] or a < at or b - a < 6 or b - a > 80:
-            continue
-        add(a, b, "")
-        at = b
+    seen = set()
+    for rule in (_CANDIDATE, _SPACED):
+        at = i = 0
+        for m in rule.finditer(text):
+            a, b = m.span()
+            while i < len(edges) - 1 and edges[i][1] <= a:
+                i += 1
+            if b > edges[i][0] or a < at or b - a < 6 or b - a > 80 or (a, b) in seen:
+                continue
+            if rule is _SPACED and not 7 <= sum(c in "0123456789" for c in m[0]) <= 19:
+                continue
+            add(a, b, "")
+            seen.add((a, b))
+            at = b
     return out
 
 
-EDGE = "array<struct<inst:string,before:string,after:string,shape:string,kind:string,start:long,end:long>>"
+EDGE = "array<struct<inst:string,pats:array<string>,kind:string,start:long,end:long>>"
 FOUND = f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, edges {EDGE}"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Base results of every row, and its contexts."""
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("inst", "before", "after", "shape", "kind")] + [("start", pa.int64()), ("end", pa.int64())]))
+    kind = pa.list_(pa.struct([("inst", pa.string()), ("pats", pa.list_(pa.string())), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "edges"]
 
     def run(batches):
@@ -166,7 +207,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     text = text or ""
                     found = base_spans(text)
                     base = digest([(k, x, y) for k, spans in found.items() for x, y in spans])
-                    edges = [dict(zip(("inst", "before", "after", "shape", "kind", "start", "end"), e, strict=True)) for e in contexts(text, found)]
+                    edges = [dict(zip(("inst", "pats", "kind", "start", "end"), e, strict=True)) for e in contexts(text, found)]
                     row = (*(len(found[k]) for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, edges)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
@@ -179,25 +220,32 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def learn(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Accepted patterns: kind, before, after, shape. ``edges``: inst, before,
-    after, shape, kind ('' where no pattern took it); a row a place."""
-    pattern = ["before", "after", "shape"]
+    """Accepted patterns: kind, pattern, confidence. ``edges``: inst, pats, kind
+    ('' where no fixed pattern took it); a row a place."""
     # A pattern and an instance meet once, whatever the number of copies.
-    pairs = edges.groupBy("inst", *pattern).agg(F.max("kind").alias("kind"))
-    seeds = pairs.where("kind <> ''").groupBy("kind", *pattern).agg(F.count(F.lit(1)).alias("_s")).where(F.col("_s") >= SEEDS)
+    pairs = edges.select("inst", "kind", F.explode("pats").alias("pattern")).groupBy("inst", "pattern").agg(F.max("kind").alias("kind"))
+    seeds = pairs.where("kind <> ''").groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("_s")).where(F.col("_s") >= SEEDS)
+    seeds = materialise(seeds, "pattern-seeds")
+    # A frequent word is in many pairs: they stay where they are, if possible.
+    near = F.broadcast if seeds.count() <= BROADCAST_PATTERNS else lambda x: x
     # Only patterns with enough seeds can be accepted; the graph is theirs.
-    graph = pairs.withColumnRenamed("kind", "own").join(seeds, pattern)
+    graph = pairs.withColumnRenamed("kind", "own").join(near(seeds), "pattern")
     graph = materialise(graph, "pattern-graph")
     score = F.when(F.col("own") == F.col("kind"), 1.0).when(F.col("own") != "", 0.0)
+    prior = F.when(F.col("pattern").startswith(ONE), PRIOR_ONE).otherwise(PRIOR)
+
+    def confidence(now: DataFrame, name: str) -> DataFrame:
+        sums = now.groupBy("kind", "pattern").agg(F.sum("_v").alias("_t"), F.count(F.lit(1)).alias("_n"))
+        return sums.select("kind", "pattern", (F.col("_t") / (F.col("_n") + prior)).alias(name))
+
     now = graph.withColumn("_v", F.coalesce(score, F.lit(0.0)))
     for _ in range(rounds):
-        conf = now.groupBy("kind", *pattern).agg((F.sum("_v") / (F.count(F.lit(1)) + F.lit(PRIOR))).alias("_c"))
-        held = graph.join(conf, ["kind", *pattern])
-        miss = F.sum(F.log1p(-F.least(F.col("_c"), F.lit(0.999))))
+        held = graph.join(near(confidence(now, "_c")), ["kind", "pattern"])
+        told = F.col("pattern").startswith(EXACT) | (F.col("_c") >= CONFIDENCE)
+        miss = F.sum(F.when(told, F.log1p(-F.least(F.col("_c"), F.lit(0.999)))).otherwise(0.0))
         inst = held.where("own = ''").groupBy("kind", "inst").agg((1 - F.exp(miss)).alias("_i"))
         now = held.join(inst, ["kind", "inst"], "left").withColumn("_v", F.coalesce(score, "_i", F.lit(0.0))).drop("_i", "_c")
-    conf = now.groupBy("kind", *pattern).agg((F.sum("_v") / (F.count(F.lit(1)) + F.lit(PRIOR))).alias("confidence"))
-    return conf.where(F.col("confidence") >= CONFIDENCE)
+    return confidence(now, "confidence").where(F.col("confidence") >= CONFIDENCE)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -205,8 +253,8 @@ def find(docs: DataFrame) -> DataFrame:
     the method's) for every row."""
     found = materialise(scan(docs).withColumn("_row", F.monotonically_increasing_id()), "pii")
     edges = found.select("_row", F.inline("edges"))
-    patterns = learn(edges.select("inst", "before", "after", "shape", "kind"))
-    fresh = edges.where("kind = ''").drop("kind").join(patterns, ["before", "after", "shape"])
+    patterns = learn(edges.select("inst", "pats", "kind"))
+    fresh = edges.where("kind = ''").select("_row", "start", "end", F.explode("pats").alias("pattern")).join(patterns, "pattern")
     best = fresh.groupBy("_row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     added = best.groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_new"))
     rank = F.lit(",".join(KINDS))
@@ -218,7 +266,8 @@ def find(docs: DataFrame) -> DataFrame:
         F.filter(F.split("base", ","), lambda x: x != ""),
         lambda x: keyed(F.split_part(x, F.lit(":"), F.lit(1)), F.split_part(x, F.lit(":"), F.lit(2)).cast("long"), F.split_part(x, F.lit(":"), F.lit(3)).cast("long")),
     )
-    new = F.transform("_new", lambda x: keyed(x["kind"], x["start"], x["end"]))
+    whole = F.filter("_new", lambda x: ~F.exists("_new", lambda y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])))
+    new = F.transform(whole, lambda x: keyed(x["kind"], x["start"], x["end"]))
     merged = F.array_sort(F.concat(parsed, new))
     text = F.array_join(F.transform(merged, lambda x: F.concat_ws(":", x["k"], x["a"].cast("string"), x["b"].cast("string"))), ",")
     out = found.drop("edges").join(added, "_row", "left")
@@ -245,7 +294,7 @@ def redact_text(text: str, spans: str) -> str:
 def redacted_documents(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced; n_chars follows the text."""
     found = materialise(scan(docs), "pii")
-    edges = found.select(F.inline("edges")).select("inst", "before", "after", "shape", "kind")
+    edges = found.select(F.inline("edges")).select("inst", "pats", "kind")
     patterns = materialise(learn(edges), "patterns")
     names, schema = docs.columns, docs.schema
 
@@ -266,23 +315,26 @@ def redacted_documents(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     if patterns.count() <= BROADCAST_PATTERNS:
-        known: dict[tuple, tuple] = {}
+        known: dict[str, tuple] = {}
         for r in sorted(patterns.collect(), key=lambda r: (r["confidence"], r["kind"])):
-            known[r["before"], r["after"], r["shape"]] = r["kind"]
+            known[r["pattern"]] = (r["confidence"], r["kind"])
         return docs.mapInArrow(lambda batches: replaced(batches, known), schema)
     spans = find(docs).groupBy("doc_id").agg(F.concat_ws(",", F.collect_set("spans")).alias("_spans"))
     joined = docs.join(spans.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left")
     return joined.select(*names, "_spans").mapInArrow(lambda batches: replaced(batches, None), schema)
 
 
-def all_spans(text: str, patterns: dict[tuple, str]) -> str:
+def all_spans(text: str, patterns: dict[str, tuple]) -> str:
     """Base spans and those of accepted patterns, as in ``find``."""
     found = base_spans(text)
     spans = [(k, a, b) for k, each in found.items() for a, b in each]
     if patterns:
-        for _, before, after, form, kind, a, b in contexts(text, found):
-            if not kind and (before, after, form) in patterns:
-                spans.append((patterns[before, after, form], a, b))
+        new = []
+        for _, pats, kind, a, b in contexts(text, found):
+            best = max((patterns[p] for p in pats if p in patterns), default=None) if not kind else None
+            if best:
+                new.append((best[1], a, b))
+        spans += [x for x in new if not any(y[1] <= x[1] and y[2] >= x[2] and y[2] - y[1] > x[2] - x[1] for y in new)]
     return digest(spans)
 
 

@@ -264,6 +264,22 @@ def test_pii(spark, empty):
     assert red[None]["n_chars"] == 7
 
 
+def test_pii_in_prose(spark):
+    """Contexts of one or two words, and strings with blanks and brackets in them."""
+    rng = random.Random(9)
+    w = [f"w{chr(97 + i)}x" for i in range(26)]
+    seeds = [f"{rng.choice(w)} my phone is +1 ({200 + i}) 555-0{100 + i} {w[i % 26]} {rng.choice(w)}" for i in range(20)]
+    seeds += [f"{w[i % 26]} {rng.choice(w)} +44 20 7946 0{100 + i} extension {rng.choice(w)}" for i in range(20)]
+    seeds += [f"{rng.choice(w)} {w[i % 26]} {'mailto' if i % 2 else 'MAILTO:'} u{i}@example.com {w[i * 7 % 26]}" for i in range(20)]
+    texts = [*seeds, "so her phone is (212) 555-0199 today", "reach us on 020 7946 0999 extension four", "write mailto: someone@localhost please", "a count of 300 400 500 600 then", "room 12 34 then"]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in pii.find(table).collect()}
+    assert [got[60 + i] for i in range(5)] == ["phone:16:30", "phone:12:25", "email:14:31", "", ""]
+    red = {r["doc_id"]: r["text"] for r in pii.redacted_documents(table).collect()}
+    assert red[60] == "so her phone is <PHONE> today" and red[61] == "reach us on <PHONE> extension four" and red[62] == "write mailto: <EMAIL> please" and red[63] == texts[63]
+    assert all(red[i] == pii.redact_text(t, got[i]) for i, t in enumerate(texts))
+
+
 def test_redaction_merges_spans_that_overlap():
     assert pii.redact_text("abcdef", "ip:1:3,card:2:5") == "a<IP>f"
 
