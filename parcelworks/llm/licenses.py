@@ -1,11 +1,12 @@
 """Licence scan: sparse TF-IDF cosine to templates, then nearest-ancestor
 directory inheritance (native).
 
-Every line of a text that holds a licence anchor word, and the whole text, is
-compared with short notices of known licences by TF-IDF cosine. Inverse document
-frequencies of the notices' words count all documents; other words weigh as if
-they were in one document each. The best line is a document's header; a document
-whose whole text is close to a notice is a licence file and rules its directory.
+Every line of a text that holds a licence anchor word, blocks of adjacent lines
+about it, and the whole text are compared with notices, headers and texts of known
+licences by TF-IDF cosine. Inverse document frequencies of these templates' words
+count all documents; other words weigh as if they were in one document each. The
+best line or block is a document's header; a document whose whole text is close to
+a template is a licence file and rules its directory.
 Documents without a licence of their own inherit that of the nearest ancestor
 directory with one, by a join over the ancestors of their paths.
 
@@ -17,6 +18,7 @@ results; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from importlib.resources import files
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,56 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
 }
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    """The header of the GNU licences: its first paragraph, and all of it."""
+    first = (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by "
+        f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+    )
+    rest = (
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        f"MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the "
+        f"{name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+    )
+    return [first, f"{first} {rest}"]
+
+
+HEADERS = {
+    "AGPL-3.0": _gnu("GNU Affero General Public License", "3"),
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+        'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
+        "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ],
+    "GPL-2.0": _gnu("GNU General Public License", "2"),
+    "GPL-3.0": _gnu("GNU General Public License", "3"),
+    "LGPL-3.0": _gnu("GNU Lesser General Public License", "3"),
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ],
+}
+#: Licences whose whole text is in ``licence_texts``.
+TEXTS = ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0")
+# The AGPL is the GPL 3 with another name and section 13.
+_REMOTE = (
+    "Remote Network Interaction. Notwithstanding any other provision of this License, if you modify the Program, your modified version must "
+    "prominently offer all users interacting with it remotely through a computer network an opportunity to receive the Corresponding Source."
+)
+
+
+def _templates() -> dict[str, list[str]]:
+    """The notices, headers and texts of each licence."""
+    texts = {n: (files(__package__) / "licence_texts" / f"{n}.txt").read_text(encoding="utf-8") for n in TEXTS}
+    texts["AGPL-3.0"] = re.sub(r"(?i)GNU\s+General\s+Public", "GNU Affero General Public", texts["GPL-3.0"]) + _REMOTE
+    return {n: [*notices, *HEADERS.get(n, []), *([texts[n]] if n in texts else [])] for n, notices in TEMPLATES.items()}
+
+
+#: Lines of the blocks that begin at a line with an anchor or at the one before.
+BLOCKS = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 ANCHOR = r"(?i)licen[cs]e|copyright|redistribution|permission is hereby"
 SPLIT = r"[^a-z0-9+-]+"
 #: Least cosine of a header line, and of a whole text to be a licence file.
@@ -52,7 +104,7 @@ def terms(text: str) -> list[str]:
 
 def _template_rows() -> list[tuple[str, int, str, int]]:
     rows = []
-    for name, notices in TEMPLATES.items():
+    for name, notices in _templates().items():
         for i, notice in enumerate(notices):
             words = terms(notice)
             rows += [(name, i, t, words.count(t)) for t in sorted(set(words))]
@@ -97,10 +149,18 @@ def scan(docs: DataFrame, spark: SparkSession) -> DataFrame:
         "license string, notice int, term string, w double, idf double",
     )
     known = spark.createDataFrame([(t, idf[t]) for t in vocabulary()], "term string, idf double")
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(ANCHOR))
-    units = base.where("_text IS NOT NULL").select(
-        "_row",
-        F.posexplode(F.concat(F.array(F.col("_text")), lines)).alias("unit", "_unit"),
+    n_lines = F.size("_lines")
+    anchored = F.filter(F.sequence(F.lit(1), n_lines), lambda i: F.element_at("_lines", i).rlike(ANCHOR))
+
+    def about(i):
+        at = lambda j, k: F.struct(j.alias("at"), F.least(F.lit(k), n_lines - j + 1).alias("n"))
+        return F.array(at(i, 1), *(at(F.greatest(F.lit(1), i - back), k) for back in (0, 1) for k in BLOCKS))
+
+    blocks = F.array_distinct(F.flatten(F.transform(anchored, about)))
+    units = base.where("_text IS NOT NULL").withColumn("_lines", F.split("_text", "\n")).select("_row", "_text", "_lines", F.posexplode(
+        F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))), blocks)
+    ).alias("unit", "_b")).select(
+        "_row", "unit", F.when(F.col("unit") == 0, F.col("_text")).otherwise(F.array_join(F.slice("_lines", F.greatest(F.lit(1), F.col("_b.at")), F.col("_b.n")), "\n")).alias("_unit")
     )
     words = units.select("_row", "unit", F.explode(_tokens("_unit")).alias("term")).groupBy("_row", "unit", "term").count()
     valued = words.join(F.broadcast(known), "term", "left")

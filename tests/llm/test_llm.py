@@ -301,6 +301,23 @@ def test_licenses(spark, empty):
     assert licenses.scan(table.limit(0), spark).count() == 0 and licenses.scan(table, spark).count() == len(rows)
 
 
+def test_license_texts_and_wrapped_headers(spark):
+    import textwrap
+    from importlib.resources import files
+
+    code = "\n".join(f"def f{i}(a{i}): return a{i} * {i} + b{i}" for i in range(30))
+    texts = {n: (files("parcelworks.llm") / "licence_texts" / f"{n}.txt").read_text() for n in licenses.TEXTS}
+    rows = [(n, f"{n}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + t) for n, t in texts.items()] + [("below", "MIT/src/x.py", code)]
+    rows += [(f"head {n}", f"src/{n}.py", "\n".join(f"# {x}" for x in textwrap.wrap(h[-1], 70)) + "\n" + code) for n, h in licenses.HEADERS.items()]
+    rows += [("head MIT", "src/m.c", "/*\n" + "\n".join(f" * {x}" for x in texts["MIT"].split("\n")) + "\n */\n" + code)]
+    table = spark.createDataFrame(rows, "doc_id string, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in licenses.scan(table, spark).collect()}
+    assert {n: got[n] for n in texts} == {n: (n, "file") for n in texts}
+    assert got["below"] == ("MIT", "inherited")
+    heads = [*licenses.HEADERS, "MIT"]
+    assert {n: got[f"head {n}"] for n in heads} == {n: (n, "header") for n in heads}
+
+
 # --- 7 --------------------------------------------------------------------------------------
 
 def brute_counts(t):
