@@ -60,6 +60,12 @@ def test_runs(spark, con, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
 
 
+def test_map_units_are_of_all_orders(spark, tmp_path):
+    rows = [(i, "1-URGENT", i * 3, "F") for i in (1, 4999, 5000, 123456)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {r["mukey"] for r in V.mapunits(spark, str(tmp_path)).collect()} == {"1", "4999", "5000", "123456"}
+
+
 def chaikin(line, rounds):
     for _ in range(rounds):
         if len(line) < 3:
