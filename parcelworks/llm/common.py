@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 #: Whitespace that separates words; ``bytes.split()`` splits at exactly these.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a row group of intermediates, which a writer holds in memory.
+ROW_GROUP = 16 << 20
+#: Rows and bytes of a batch between Spark and Python.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -52,11 +57,24 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     if not _written:
         atexit.register(_clean)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Remove what ``materialise`` wrote, once nothing reads it any more."""
+    for at in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        drop_table(table.sparkSession, at)
+
+
+def arrow_bounds(spark: SparkSession) -> None:
+    """Batches of texts that go to Python are kept small: texts may be long, and both
+    sides hold a batch whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -147,11 +165,6 @@ def map_rows(
     return df.mapInArrow(run, fields)
 
 
-def dealt(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """At least the cluster's parallelism in tasks, whatever the input's files."""
-    return df
-
-
 def word_count(text) -> F.Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")

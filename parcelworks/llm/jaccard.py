@@ -2,9 +2,11 @@
 
 A document is the set of its word 5-grams, as 64-bit names in one global order:
 grams that many documents hold last, the rest by name. The order is cut into
-fragments; a document sends each fragment the part of its set that falls there.
+fragments; a set sends each fragment the part of itself that falls there. A set has
+a 64-bit name of its own, and all work is on sets: equal texts are one.
 
-1. Documents with the same set are one class, led by the smallest doc_id.
+1. A survey names every set, counts grams, and signs each set with a parity bitmap
+   of its grams; two sets differ in at least as many grams as their bitmaps in bits.
 2. Two sets that link share a gram within their prefixes (the first grams of the
    order, as many as may differ). Prefixes go to fragments by gram; there, sets
    that share a prefix gram, may reach the threshold by their sizes and by the
@@ -12,15 +14,20 @@ fragments; a document sends each fragment the part of its set that falls there.
    all pairs; of a longer one each set is paired with its next ``NEAR`` in order
    of size and with the ``CENTRAL`` sets of its size class that have the fewest
    rarer grams, so a large group of near copies gives a number of pairs in
-   proportion to its size.
+   proportion to its size. Pairs whose bitmaps differ too much can't link and go.
 3. Candidates' whole sets go to fragments; each counts the overlap of its part of
-   every pair, and the counts are summed per pair: the exact intersection.
+   every pair, and the counts are summed per pair: the exact intersection. Fragments
+   are ``PARTS`` parts of the order times groups of pairs, so a pair is sent ``PARTS``
+   times, however large the corpus.
 4. Linked pairs give components. In long lists, pairs of sets that are now in one
-   component need no test; all others are candidates of a second turn, which makes
-   the components exact. Lists, links and components stay distributed.
+   component need no test; all others are compared by bitmap, in blocks of bounded
+   size, and what passes is counted in a second turn, which makes the components
+   exact. Lists, links and components stay distributed.
 
 The frequency part of the order comes from counts over all documents, of which the
 ``HEAVY`` most frequent grams are kept: the order decides speed only, not results.
+The ``COPIED`` sets of most copies are known to every task, which deals such a set
+once only; copies of any other set meet in its fragments.
 
 Defined results: a null, empty or wordless text has an empty set and is its own
 component; rows that share a doc_id are one document with the union of the links
@@ -34,18 +41,30 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, read, text_bytes, window_hashes, word_names
-from .fragments import FRAGMENT_BYTES, LEAST_FRAGMENTS, binary, fragment_count, names_of
+from .common import arrow_bounds, discard, materialise, mix64, read, text_bytes, window_hashes, word_names
+from .fragments import fragment_count
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 80
 #: Frequent grams that the order knows: at most 8 bytes each go to every task.
 HEAVY, HEAVY_DOCS = 400_000, 8
+#: Sets of most copies that every task knows, 16 bytes each.
+COPIED, COPIES = 4096, 4
 NEAR, CENTRAL = 8, 3
+#: Parts of the order in which overlaps are counted, and grams of a part of a group.
+PARTS, PART_GRAMS = 8, 1_000_000
+#: Sets of a block of a long list in the second turn.
+BLOCK = 1024
+#: Up to so many grams of many pairs (16 bytes each) are broadcast.
+BROADCAST_HOT = 20_000
+#: Grams that a task holds before it passes on its counts.
+HELD = 1_500_000
+LEAST_BITS = 7
 _C1, _C2, _LEN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -65,6 +84,53 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return h
 
 
+def set_name(grams: np.ndarray, doc_id: int) -> int:
+    """A name of the set; an empty one is its document's own."""
+    with np.errstate(over="ignore"):
+        if not len(grams):
+            return int(mix64(np.array([doc_id], np.int64).view(np.uint64) * _LEN + _C1)[0].view(np.int64))
+        got = mix64(grams + _C1).sum(dtype=np.uint64) ^ mix64(mix64(grams ^ _C2).sum(dtype=np.uint64)[None] + np.uint64(len(grams)) * _LEN)[0]
+    return int(got.view(np.int64))
+
+
+def signature(grams: np.ndarray) -> bytes:
+    """Parities of the grams' hashes, about a bit a gram: the bitmaps of two sets
+    differ in no more bits than the sets in grams."""
+    width = 1 << max(LEAST_BITS, int(max(1, len(grams)) - 1).bit_length())
+    odd = np.bincount((grams >> np.uint64(7) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def folded(sig: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) of fewer bytes; the halves' parities add up."""
+    while sig.shape[-1] > width:
+        half = sig.shape[-1] // 2
+        sig = sig[..., :half] ^ sig[..., half:]
+    return sig
+
+
+def near_signatures(sigs: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether the pairs (i, j) of the sets may link by their bitmaps."""
+    size = np.array([len(s) for s in sigs], np.int64)
+    ok = np.zeros(len(i), bool)
+    place = np.empty(len(sigs), np.int64)
+    table = {}
+    for w in np.unique(size):
+        of = np.flatnonzero(size == w)
+        place[of] = np.arange(len(of))
+        table[int(w)] = np.frombuffer(b"".join(sigs[k] for k in of), np.uint8).reshape(len(of), w)
+    pair = np.minimum(size[i], size[j]) * (1 << 32) + np.maximum(size[i], size[j])
+    for key in np.unique(pair):
+        at = np.flatnonzero(pair == key)
+        low, high = int(key >> 32), int(key & 0xFFFFFFFF)
+        for lo in range(0, len(at), 1 << 16):
+            k = at[lo : lo + (1 << 16)]
+            a, b = np.where(size[i[k]] <= size[j[k]], i[k], j[k]), np.where(size[i[k]] <= size[j[k]], j[k], i[k])
+            apart = np.bitwise_count(table[low][place[a]] ^ folded(table[high][place[b]], low)).sum(axis=1, dtype=np.int64)
+            ok[k] = (100 + percent) * apart <= (100 - percent) * (n[a] + n[b])
+    return ok
+
+
 def least_overlap(a, b, percent: int = PERCENT):
     """The smallest intersection of linked sets of sizes a and b."""
     return -(-percent * (a + b) // (100 + percent))
@@ -74,24 +140,52 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def heavy_grams(rows: DataFrame, most: int = HEAVY) -> np.ndarray:
-    """The most frequent grams, rarest first. A task counts over batches of whole
-    texts and passes on what a batch holds twice."""
+SURVEY = "doc_id long, n long, s long, sig binary, grams array<long>, counts array<long>"
 
-    def count(batches):
-        for b in batches:
-            sets = [shingles(t) for at in range(0, b.num_rows, 512) for t in b.slice(at, 512).column(0).to_pylist()]
-            if not sets:
-                continue
-            flat = np.concatenate(sets)
-            del sets
-            flat.sort()
-            start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-            n = np.diff(np.append(start, len(flat)))
-            twice = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(flat[start[twice]].view(np.int64)), pa.array(n[twice])], names=["g", "n"])
-
-    total = rows.select("text").mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+
+def survey(rows: DataFrame) -> DataFrame:
+    """A row per document (its set's size, name and bitmap), and counts of the grams
+    that a task met twice."""
+    whole = pa.list_(pa.int64())
+    names = [x.split()[0] for x in SURVEY.split(", ")]
+
+    def counted(held: list[np.ndarray]):
+        flat = np.concatenate(held)
+        flat.sort()
+        start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        n = np.diff(np.append(start, len(flat)))
+        twice = n > 1
+        g, n = flat[start[twice]].view(np.int64), n[twice]
+        for lo in range(0, len(g), 50_000):
+            none = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([g[lo : lo + 50_000]], whole), pa.array([n[lo : lo + 50_000]], whole)], names=names)
+
+    def run(batches):
+        held, size = [], 0
+        for part in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+            ids = part.column(0).to_numpy()
+            sets = [shingles(t) for t in part.column(1).to_pylist()]
+            m = len(sets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s, d) for s, d in zip(sets, ids, strict=True)], pa.int64()),
+                 pa.array([signature(s) for s in sets], pa.binary()), pa.nulls(m, whole), pa.nulls(m, whole)],
+                names=names,
+            )
+            held += [s for s in sets if len(s)]
+            size += sum(map(len, sets))
+            if size > HELD:
+                yield from counted(held)
+                held, size = [], 0
+        if held:
+            yield from counted(held)
+
+    return rows.mapInArrow(run, SURVEY)
+
+
+def heavy_grams(surveyed: DataFrame, most: int = HEAVY) -> np.ndarray:
+    """The most frequent grams, rarest first."""
+    one = surveyed.where("grams IS NOT NULL").select(F.explode(F.arrays_zip("grams", "counts")).alias("x"))
+    total = one.groupBy(F.col("x.grams").alias("g")).agg(F.sum("x.counts").alias("n"))
     kept = total.where(F.col("n") >= HEAVY_DOCS).orderBy(F.desc("n"), "g").limit(most)
     got = kept.select("g", "n").toArrow()  # at most ``most`` rows
     grams, n = got.column("g").to_numpy().view(np.uint64), got.column("n").to_numpy()
@@ -117,49 +211,69 @@ class Order:
         return np.concatenate([grams[~listed], last])
 
 
-PREFIX = "frag int, doc_id long, n long, k1 long, k2 long, places binary, names binary"
-
-
-def prefixes(rows: DataFrame, order: Order, fragments: int) -> DataFrame:
-    """Per document a row with frag -1 (its size and the two names of its set), and
-    one per fragment with prefix grams there and their places."""
+# A packed block holds parts of many sets: their number and that of their grams, then
+# names of the sets, sizes, grams of each, places of the grams, and the grams.
+
+def pack(sets: np.ndarray, n: np.ndarray, count: np.ndarray, places: np.ndarray, grams: np.ndarray) -> bytes:
+    head = np.array([len(sets), len(grams)], np.int64)
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (head, sets.astype(np.int64), n.astype(np.int64), count.astype(np.int64), grams.astype(np.uint64), places.astype(np.int32)))
+
+
+def unpack(blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of all blocks, of a set that comes twice the first only."""
+    got = [[], [], [], [], []]
+    for buf in blocks:
+        m, k = np.frombuffer(buf, np.int64, 2)
+        three = np.frombuffer(buf, np.int64, 3 * m, 16).reshape(3, m)
+        for out, v in zip(got, (*three, np.frombuffer(buf, np.int32, k, 16 + 24 * m + 8 * k), np.frombuffer(buf, np.uint64, k, 16 + 24 * m)), strict=True):
+            out.append(v)
+    kinds = (np.int64, np.int64, np.int64, np.int32, np.uint64)
+    sets, n, count, places, grams = (np.concatenate(v) if v else np.zeros(0, t) for v, t in zip(got, kinds, strict=True))
+    first = np.zeros(len(sets), bool)
+    first[np.unique(sets, return_index=True)[1]] = True
+    if not first.all():
+        keep = np.repeat(first, count)
+        sets, n, count, places, grams = sets[first], n[first], count[first], places[keep], grams[keep]
+    return sets, n, count, places, grams
+
+
+def split(key: np.ndarray, sets: np.ndarray, n: np.ndarray, owner: np.ndarray, places: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
+    """(key, block): the grams of each key with the sets that hold them."""
+    by = np.lexsort((owner, key))
+    key, owner, places, grams = key[by], owner[by], places[by], grams[by]
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    keys, out = [], []
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(key)), strict=True):
+        of = owner[lo:hi]
+        start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        who = of[start]
+        keys.append(int(key[lo]))
+        out.append(pack(sets[who], n[who], np.diff(np.append(start, hi - lo)), places[lo:hi], grams[lo:hi]))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["key", "block"])
+
+
+def prefixes(rows: DataFrame, order: Order, fragments: int, copied: dict[int, int]) -> DataFrame:
+    """(key, block): fragments of the prefixes. ``copied``: the smallest document of
+    sets of many copies."""
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids = part.column(0).to_numpy()
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
-                size = np.array([len(s) for s in sets], np.int64)
-                with np.errstate(over="ignore"):
-                    k1 = np.array([mix64(s + _C1).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                    k2 = np.array([mix64(s ^ _C2).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                m = len(ids)
-                none = binary(np.zeros(0, np.uint64), np.zeros(m + 1, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, -1, np.int32)), pa.array(ids), pa.array(size), pa.array(k1), pa.array(k2), none, none],
-                    names=[x.split()[0] for x in PREFIX.split(", ")],
-                )
-                heads = [order.arrange(s)[: prefix_length(len(s))] if len(s) else s for s in sets]
-                owner = np.repeat(np.arange(m), [len(h) for h in heads])
-                if not len(owner):
-                    continue
-                names = np.concatenate(heads)
-                places = np.concatenate([np.arange(len(h)) for h in heads])
-                frag = (names % np.uint64(fragments)).astype(np.int64)
-                key = owner * fragments + frag
-                by = np.argsort(key, kind="stable")
-                key, names, places = key[by], names[by], places[by]
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                ends = np.append(start, len(names))
-                who = key[start] // fragments
-                spots = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(places.astype(np.int32))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((key[start] % fragments).astype(np.int32)), pa.array(ids[who]), pa.array(size[who]), pa.array(k1[who]), pa.array(k2[who]), spots, binary(names, ends)],
-                    names=[x.split()[0] for x in PREFIX.split(", ")],
-                )
-
-    return rows.mapInArrow(run, PREFIX)
+        for part in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+            ids, heads, sets, size = part.column(0).to_pylist(), [], [], []
+            for d, t in zip(ids, part.column(1).to_pylist(), strict=True):
+                s = shingles(t)
+                name = set_name(s, d)
+                if len(s) and copied.get(name, d) == d:
+                    heads.append(order.arrange(s)[: prefix_length(len(s))])
+                    sets.append(name)
+                    size.append(len(s))
+            if not heads:
+                continue
+            count = [len(h) for h in heads]
+            grams = np.concatenate(heads)
+            places = np.concatenate([np.arange(c) for c in count])
+            yield split((grams % np.uint64(fragments)).astype(np.int64), np.array(sets, np.int64), np.array(size, np.int64), np.repeat(np.arange(len(heads)), count), places, grams)
+
+    return rows.mapInArrow(run, "key long, block binary")
 
 
 def _may_link(na, pa_, nb, pb) -> np.ndarray:
@@ -168,31 +282,28 @@ def _may_link(na, pa_, nb, pb) -> np.ndarray:
     return np.minimum(na - pa_, nb - pb) >= least_overlap(na, nb)
 
 
-def _lists(batch_docs, batch_n, batch_places, batch_names):
-    """Flat (name, n, doc, place) of grams that two sets hold, by name, n, doc."""
-    count = [len(x) for x in batch_names]
-    names = np.concatenate(batch_names) if batch_names else np.zeros(0, np.uint64)
-    places = np.concatenate(batch_places).astype(np.int64) if batch_places else np.zeros(0, np.int64)
-    rank = np.lexsort((batch_docs, batch_n))  # place of each set in order of size
+def _lists(sets, n, count, places, grams):
+    """Flat (gram, n, set, place) of grams that two sets hold, by gram, n, set."""
+    rank = np.lexsort((sets, n))  # place of each set in order of size
     order_of = np.empty(len(rank), np.int64)
     order_of[rank] = np.arange(len(rank))
     owner = np.repeat(order_of, count)
-    by = np.lexsort((owner, names))
-    names, owner, places = names[by], owner[by], places[by]
-    same = names[1:] == names[:-1] if len(names) else np.zeros(0, bool)
-    held = np.zeros(len(names), bool)
+    by = np.lexsort((owner, grams))
+    grams, owner, places = grams[by], owner[by], places[by].astype(np.int64)
+    same = grams[1:] == grams[:-1] if len(grams) else np.zeros(0, bool)
+    held = np.zeros(len(grams), bool)
     held[1:] |= same
     held[:-1] |= same
-    names, owner, places = names[held], owner[held], places[held]
-    return names, batch_n[rank][owner], batch_docs[rank][owner], places
+    grams, owner, places = grams[held], owner[held], places[held]
+    return grams, n[rank][owner], sets[rank][owner], places
 
 
-def near_pairs(names, n, docs, places, near: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates (a, b, size of a, size of b) of sorted lists."""
+def near_pairs(grams, n, sets, places, near: int = NEAR, central: int = CENTRAL) -> tuple[np.ndarray, ...]:
+    """Candidates (a, b, size of a, size of b, gram) of sorted lists."""
     found = []
-    start = np.concatenate([[True], names[1:] != names[:-1]])
+    start = np.concatenate([[True], grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, bool)
     for step in range(1, near + 1):
-        i = np.flatnonzero(names[step:] == names[:-step])
+        i = np.flatnonzero(grams[step:] == grams[:-step])
         if not len(i):
             break
         found.append((i, i + step))
@@ -200,12 +311,12 @@ def near_pairs(names, n, docs, places, near: int = NEAR) -> tuple[np.ndarray, np
     # about 1.12): those with the fewest grams before this one, hence the likeliest
     # to link with any other of the class, and of the next.
     level = (np.log(np.maximum(n, 1)) / math.log(1.12)).astype(np.int64)
-    by = np.lexsort((docs, places, level, names))
-    first = np.concatenate([[True], (names[by][1:] != names[by][:-1]) | (level[by][1:] != level[by][:-1])])
+    by = np.lexsort((sets, places, level, grams))
+    first = np.concatenate([[True], (grams[by][1:] != grams[by][:-1]) | (level[by][1:] != level[by][:-1])]) if len(by) else start
     starts = np.flatnonzero(first)
     of, ends = np.cumsum(first) - 1, np.append(starts[1:], len(by))
-    ahead = np.append((names[by][starts[1:]] == names[by][starts[:-1]]) & (level[by][starts[1:]] == level[by][starts[:-1]] + 1), False)
-    for k in range(CENTRAL):
+    ahead = np.append((grams[by][starts[1:]] == grams[by][starts[:-1]]) & (level[by][starts[1:]] == level[by][starts[:-1]] + 1), False) if len(by) else start
+    for k in range(central):
         lead = starts[of] + k
         i = np.flatnonzero((lead < ends[of]) & (lead != np.arange(len(by))))
         found.append((by[lead[i]], by[i]))
@@ -213,68 +324,66 @@ def near_pairs(names, n, docs, places, near: int = NEAR) -> tuple[np.ndarray, np
         lead = starts[of[i] + 1] + k
         ok = lead < ends[of[i] + 1]
         found.append((by[lead[ok]], by[i[ok]]))
-    pairs = []
+    pairs = [np.zeros((5, 0), np.int64)]
     for i, j in found:
-        ok = _may_link(n[i], places[i], n[j], places[j]) & (docs[i] != docs[j])
-        pairs.append(np.stack([docs[i[ok]], docs[j[ok]], n[i[ok]], n[j[ok]]]))
+        ok = _may_link(n[i], places[i], n[j], places[j]) & (sets[i] != sets[j])
+        pairs.append(np.stack([sets[i[ok]], sets[j[ok]], n[i[ok]], n[j[ok]], grams[i[ok]].view(np.int64)]))
     return _distinct(np.concatenate(pairs, axis=1))
 
 
 def _distinct(p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, smaller name first, with its smallest gram."""
     turn = p[0] > p[1]
     a, b = np.where(turn, p[1], p[0]), np.where(turn, p[0], p[1])
     na, nb = np.where(turn, p[3], p[2]), np.where(turn, p[2], p[3])
-    by = np.lexsort((b, a))
-    a, b, na, nb = a[by], b[by], na[by], nb[by]
+    by = np.lexsort((p[4], b, a))
+    a, b, na, nb, g = a[by], b[by], na[by], nb[by], p[4][by]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    return a[new], b[new], na[new], nb[new]
+    return a[new], b[new], na[new], nb[new], g[new]
 
 
-PAIR = "a long, b long, na long, nb long"
-LIST = "g long, docs array<long>, n array<long>, places array<long>"
+PAIR = "a long, b long, na long, nb long, g long"
+#: A pair, or (with ``b`` null) a set ``a`` of a long list and its place there.
+MET = PAIR + ", place long"
 
 
-def _fragment_arrays(table: pa.Table):
-    """One row a set: of rows with equal sets the one of the smallest doc_id."""
-    docs, n = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
-    k1, k2 = table.column("k1").to_numpy(), table.column("k2").to_numpy()
-    by = np.lexsort((docs, k2, k1, n))
-    new = np.concatenate([[True], (n[by][1:] != n[by][:-1]) | (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])])
-    keep = by[new]
-    names, places = table.column("names"), table.column("places")
-    return docs[keep], n[keep], [np.frombuffer(places[i].as_buffer(), np.int32) for i in keep], [np.frombuffer(names[i].as_buffer(), np.uint64) for i in keep]
+def meet(prefix: DataFrame, near: int = NEAR, central: int = CENTRAL) -> DataFrame:
+    """First-turn pairs of every fragment, and the members of its long lists: those
+    of more than ``near`` + 1 sets, whose pairs weren't all made."""
 
+    def run(table: pa.Table) -> pa.Table:
+        grams, n, sets, places = _lists(*unpack([v.as_buffer() for v in table.column("block")]))
+        pairs = near_pairs(grams, n, sets, places, near, central)
+        # Sets too far into their order at a gram to reach any other there are left
+        # out: a partner has at most as many grams after it.
+        start = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+        long = np.repeat(np.diff(np.append(start, len(grams))) > near + 1, np.diff(np.append(start, len(grams))))
+        at = np.flatnonzero(long & ((n - places) * 100 >= PERCENT * n))
+        k, m = len(pairs[0]), len(at)
+        a, na, g = (np.concatenate(x) for x in ((pairs[0], sets[at]), (pairs[2], n[at]), (pairs[4], grams[at].view(np.int64))))
+        b, nb, place = (pa.chunked_array(x, pa.int64()) for x in ([pa.array(pairs[1]), pa.nulls(m, pa.int64())], [pa.array(pairs[3]), pa.nulls(m, pa.int64())], [pa.nulls(k, pa.int64()), pa.array(places[at])]))
+        return pa.table({"a": a, "b": b, "na": na, "nb": nb, "g": g, "place": place})
 
-def candidates(prefix: DataFrame) -> DataFrame:
-    """First-turn pairs of every fragment."""
+    return prefix.groupBy("key").applyInArrow(run, MET)
 
-    def run(table: pa.Table) -> pa.Table:
-        got = near_pairs(*_lists(*_fragment_arrays(table)))
-        return pa.table(dict(zip(("a", "b", "na", "nb"), got, strict=True)))
 
-    return prefix.groupBy("frag").applyInArrow(run, PAIR).groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.min("g").alias("g"))
 
 
-def long_lists(prefix: DataFrame, near: int = NEAR) -> DataFrame:
-    """Lists of more than ``near`` + 1 sets: those whose pairs weren't all made."""
+def signed(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs that may link by their bitmaps. ``sigs``: s, sig."""
+    one = pairs.join(sigs.select(F.col("s").alias("a"), F.col("sig").alias("sa")), "a")
+    both = one.join(sigs.select(F.col("s").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "na", "nb", "g", "sa", "sb")
 
-    def run(table: pa.Table) -> pa.Table:
-        names, n, docs, places = _lists(*_fragment_arrays(table))
-        start = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(names)))
-        out = {"g": [], "docs": [], "n": [], "places": []}
-        for s, k in zip(start[size > near + 1], size[size > near + 1], strict=True):
-            # Sets too far into their order at this gram to reach any other here
-            # are left out: a partner has at most as many grams after it.
-            e = slice(s, s + k)
-            ok = (n[e] - places[e]) * 100 >= PERCENT * n[e]
-            if ok.sum() > 1:
-                for key, v in (("g", names[s].view(np.int64)), ("docs", docs[e][ok]), ("n", n[e][ok]), ("places", places[e][ok])):
-                    out[key].append(v)
-        whole = pa.list_(pa.int64())
-        return pa.table({"g": pa.array(out["g"], pa.int64()), **{k: pa.array(out[k], whole) for k in ("docs", "n", "places")}})
-
-    return prefix.groupBy("frag").applyInArrow(run, LIST)
+    def run(batches):
+        for b in batches:
+            m = b.num_rows
+            n = np.concatenate([b.column(2).to_numpy(), b.column(3).to_numpy()])
+            ok = near_signatures(b.column(5).to_pylist() + b.column(6).to_pylist(), n, np.arange(m), np.arange(m, 2 * m))
+            yield b.filter(pa.array(ok)).select(["a", "b", "na", "nb", "g"])
+
+    return both.mapInArrow(run, PAIR)
 
 
 #: Bits of the sieve of candidates' ids: 1 MB, whatever the corpus.
@@ -306,103 +415,114 @@ def sifted(rows: DataFrame, words: np.ndarray) -> DataFrame:
     return keyed.select("doc_id", "text", "_h").mapInArrow(run, "doc_id long, text string")
 
 
-def overlaps(rows: DataFrame, pairs: DataFrame, order: Order, grams: int) -> DataFrame:
-    """``pairs`` with the exact intersection: partial counts of fragments, summed.
-    ``grams``: about as many grams as the candidates' sets hold."""
-    fragments = max(LEAST_FRAGMENTS // 2, math.ceil(grams / 2_000_000))
-    of = pairs.groupBy(F.col("b").alias("d")).agg(F.collect_list("a").alias("with"))
-    docs = pairs.select(F.col("a").alias("d")).union(pairs.select("b")).distinct().join(of, "d", "left")
-    docs = materialise(docs, "candidates")
-    near = sifted(rows, sieve(docs.select("d")))
-    held = near.join(docs, F.col("doc_id") == F.col("d")).select("doc_id", "text", "with")
+def grouped(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the group each is counted in. Pairs
+    met at one gram, whose sets mostly are the same, are one group's; those of a
+    gram of many pairs are spread."""
+    sets = pairs.select(F.col("a").alias("s"), F.col("na").alias("n")).union(pairs.select("b", "nb")).groupBy("s").agg(F.max("n").alias("n"))
+    total = pairs.count()
+    groups = max(1, math.ceil((sets.agg(F.sum("n")).first()[0] or 0) / (PARTS * PART_GRAMS)))
+    limit = max(1000, total // (4 * groups))
+    # Fewer than 4 * groups grams can have more pairs than the limit.
+    hot = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / limit).alias("k")).where("k > 1")
+    hot = F.broadcast(hot) if 4 * groups <= BROADCAST_HOT else hot
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("k", F.lit(1)))
+    return pairs.join(hot, "g", "left").withColumn("h", F.pmod(F.xxhash64("g", salt), F.lit(groups))).drop("k")
+
+
+def overlaps(rows: DataFrame, pairs: DataFrame, leads: DataFrame) -> DataFrame:
+    """``pairs`` with the exact intersection ``common``: partial counts of fragments,
+    summed. ``leads``: s, doc_id, a document of each set."""
+    pairs = materialise(grouped(pairs), "candidates")
+    need = pairs.select(F.col("a").alias("s"), "h").union(pairs.select("b", "h")).groupBy("s").agg(F.collect_set("h").alias("hs"))
+    need = materialise(need.join(leads, "s").select(F.col("doc_id").alias("d"), "s", "hs"), "needed")
+    held = sifted(rows, sieve(need)).join(need, F.col("doc_id") == F.col("d")).select("doc_id", "text", "s", "hs")
 
     def cut(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids, partners = part.column(0).to_numpy(), part.column(2).to_pylist()
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(ids)), [len(s) for s in sets])
-                names = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                key = owner * fragments + (names % np.uint64(fragments)).astype(np.int64)
-                by = np.argsort(key, kind="stable")
-                key, names = key[by], names[by]
-                start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                who = key[start] // fragments
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((key[start] % fragments).astype(np.int32)), pa.array(ids[who]), binary(names, np.append(start, len(names))),
-                     pa.array([partners[i] or [] for i in who], pa.list_(pa.int64()))],
-                    names=["frag", "doc_id", "names", "with"],
-                )
+        for part in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+            sets, size, keys, owners, every = [], [], [], [], []
+            for d, t, s, hs in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                grams = shingles(t)
+                if set_name(grams, d) != s:
+                    continue  # another text of this document
+                v = (grams % np.uint64(PARTS)).astype(np.int64)
+                for h in hs:
+                    keys.append(v + h * PARTS)
+                    owners.append(np.full(len(grams), len(sets)))
+                    every.append(grams)
+                sets.append(s)
+                size.append(len(grams))
+            if sets:
+                grams = np.concatenate(every)
+                yield split(np.concatenate(keys), np.array(sets, np.int64), np.array(size, np.int64), np.concatenate(owners), np.zeros(len(grams), np.int32), grams)
 
     def count(table: pa.Table) -> pa.Table:
-        docs = table.column("doc_id").to_numpy()
-        first = np.unique(docs, return_index=True)
-        ids, at = first
-        names = [np.frombuffer(table.column("names")[int(i)].as_buffer(), np.uint64) for i in at]
-        salt = mix64(np.arange(1, len(ids) + 1, dtype=np.uint64) * _C1)
-        there = np.sort(np.concatenate([mix64(x ^ s) for x, s in zip(names, salt, strict=True)]))
-        lists = table.column("with")
-        out_a, out_b, out_n = [], [], []
-        ask, mark, held = [], [], 0
-
-        def flush():
-            nonlocal ask, mark, held
-            if not ask:
-                return
-            q = np.concatenate(ask)
-            i = np.minimum(np.searchsorted(there, q), len(there) - 1)
-            hit = np.concatenate([[0], np.cumsum(there[i] == q)])
-            ends = np.cumsum([len(x) for x in ask])
-            got = hit[ends] - hit[np.concatenate([[0], ends[:-1]])]
-            for (a, b), n in zip(mark, got, strict=True):
-                if n:
-                    out_a.append(a)
-                    out_b.append(b)
-                    out_n.append(int(n))
-            ask, mark, held = [], [], 0
-
-        for k, i in enumerate(at):
-            want = np.array(lists[int(i)].as_py(), np.int64)
-            if not len(want):
-                continue
-            spot = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
-            for a, s, ok in zip(want, salt[spot], ids[spot] == want, strict=True):
-                if ok:
-                    ask.append(mix64(names[k] ^ s))
-                    mark.append((a, ids[k]))
-                    held += len(names[k])
-            if held > 1_000_000:
-                flush()
-        flush()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "part": pa.array(out_n, pa.int64())})
-
-    dealt = held.mapInArrow(cut, "frag int, doc_id long, names binary, with array<long>")
-    parts = dealt.groupBy("frag").applyInArrow(count, "a long, b long, part long")
+        known = table.column("block").is_valid()
+        sets, _, size, _, grams = unpack([v.as_buffer() for v in table.column("block").filter(known)])
+        asked = table.filter(pc.invert(known))
+        a, b = asked.column("a").to_numpy(), asked.column("b").to_numpy()
+        by = np.argsort(sets)
+        starts = np.concatenate([[0], np.cumsum(size)])
+
+        def place(x):
+            at = np.minimum(np.searchsorted(sets[by], x), max(0, len(sets) - 1))
+            return (by[at], sets[by[at]] == x) if len(sets) else (at, np.zeros(len(x), bool))
+
+        (ia, oka), (ib, okb) = place(a), place(b)
+        ok = oka & okb
+        a, b, ia, ib = a[ok], b[ok], ia[ok], ib[ok]
+        salt = mix64(np.arange(1, len(sets) + 1, dtype=np.uint64) * _C1)
+        there = np.sort(mix64(grams ^ np.repeat(salt, size)))
+        swap = size[ia] > size[ib]
+        small, large = np.where(swap, ib, ia), np.where(swap, ia, ib)
+        part = np.zeros(len(a), np.int64)
+        ends = np.cumsum(size[small])
+        lo = 0
+        while lo < len(a):  # about HELD grams at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HELD)))
+            k = size[small[lo:hi]]
+            offset = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            ask = mix64(grams[np.repeat(starts[small[lo:hi]], k) + offset] ^ np.repeat(salt[large[lo:hi]], k))
+            hit = there[np.minimum(np.searchsorted(there, ask), len(there) - 1)] == ask
+            part[lo:hi] = np.add.reduceat(np.append(hit, False).astype(np.int64), np.cumsum(k) - k) * (k > 0)
+            lo = hi
+        keep = part > 0
+        return pa.table({"a": a[keep], "b": b[keep], "part": part[keep]})
+
+    dealt = held.mapInArrow(cut, "key long, block binary")
+    nothing = F.lit(None)
+    every = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("v")
+    asked = pairs.select("h", "a", "b", every).select((F.col("h") * PARTS + F.col("v")).alias("key"), nothing.cast("binary").alias("block"), "a", "b")
+    both = dealt.select("key", "block", nothing.cast("long").alias("a"), nothing.cast("long").alias("b")).union(asked)
+    parts = both.groupBy("key").applyInArrow(count, "a long, b long, part long")
     whole = parts.groupBy("a", "b").agg(F.sum("part").alias("common"))
-    return pairs.join(whole, ["a", "b"])
+    return pairs.join(whole, ["a", "b"]).select("a", "b", "na", "nb", "common")
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
-    """(d, component) of every document in a link: the smallest id reachable.
-    Large-star and small-star turns, until no edge changes."""
+def components(links: DataFrame, most: int = 100) -> DataFrame:
+    """(d, component) of every set in a link: the smallest name reachable.
+    Large-star and small-star turns, until no edge changes; the number of turns grows
+    with the logarithm of the longest path, and not to end in ``most`` is an error."""
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(most):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = large.where("u <> v")
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        joined = edges.join(low, "u")
+        star = large.where("u <> v")
+        low = star.groupBy("u").agg(F.min("v").alias("m"))
+        joined = star.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), "edges")
+        old, edges = edges, materialise(small.where("u <> v").distinct(), "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        discard(old)
         if now == before:
             break
         before = now
-    labels = edges.groupBy(F.col("u").alias("d")).agg(F.min("v").alias("component"))
-    return materialise(labels, "components")
+    else:
+        raise RuntimeError(f"components did not settle in {most} turns")
+    both = edges.union(edges.select(F.col("v").alias("u"), "v"))
+    return materialise(both.groupBy(F.col("u").alias("d")).agg(F.min("v").alias("component")), "components")
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
@@ -411,29 +531,36 @@ def _linked(pairs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row."""
+    arrow_bounds(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.where("doc_id IS NOT NULL")
-    order = Order(heavy_grams(known))
-    fragments = fragment_count(rows)
-    dealt = materialise(prefixes(known, order, fragments), "prefixes")
-    heads = dealt.where("frag = -1").select("doc_id", "n", "k1", "k2")
-    same = heads.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    prefix = dealt.where("frag >= 0")
-
-    pairs = materialise(candidates(prefix), "pairs")
-    links = materialise(_linked(overlaps(known, pairs, order, _grams(pairs))), "links")
+    seen = materialise(survey(known), "survey")
+    heads = seen.where("doc_id IS NOT NULL").select("doc_id", "n", "s")
+    sigs = seen.where("n > 0").groupBy("s").agg(F.any_value("sig").alias("sig"))
+    leads = materialise(heads.groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "sets")
+    copied = {r["s"]: r["doc_id"] for r in leads.where(F.col("copies") > COPIES).orderBy(F.desc("copies"), "s").limit(COPIED).collect()}
+    prefix = prefixes(known, Order(heavy_grams(seen)), fragment_count(rows), copied)
+    met = materialise(meet(prefix), "met")
+
+    tested = _once(met.where("b IS NOT NULL"))
+    pairs = materialise(signed(tested, sigs), "pairs")
+    links = materialise(_linked(overlaps(known, pairs, leads)), "links")
+    # Sets that share a document are linked too.
+    shared = heads.groupBy("doc_id").agg(F.min("s").alias("a"), F.max("s").alias("z")).where("a <> z")
+    links = links.union(heads.join(shared, "doc_id").where("s <> a").select("a", F.col("s").alias("b")))
     label = components(links)
-    more = _second_turn(long_lists(prefix), label, pairs, fragments)
-    more = materialise(more, "pairs")
+    more = materialise(_second_turn(met.where("b IS NULL"), label, tested, sigs), "pairs")
     if more.limit(1).count():
-        found = materialise(_linked(overlaps(known, more, order, _grams(more))), "links")
-        # What is already joined enters as stars about each component's smallest id.
+        found = materialise(_linked(overlaps(known, more, leads)), "links")
+        # What is already joined enters as stars about each component's smallest name.
         stars = label.select(F.col("d").alias("a"), F.col("component").alias("b"))
         label = components(stars.union(found))
 
-    of = heads.join(same, ["n", "k1", "k2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id"))
-    out = of.join(label, F.col("class_id") == F.col("d"), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    own = leads.select("s", F.col("doc_id").alias("class_id")).join(label, F.col("s") == F.col("d")).select("s", "class_id", "component")
+    least = own.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    whole = own.join(least, "component").select("s", F.col("component_id"))
+    out = heads.join(leads.select("s", F.col("doc_id").alias("class_id")), "s").join(whole, "s", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     unnamed = rows.where("doc_id IS NULL")
     nothing = F.lit(None).cast("long")
     return out.unionByName(_sized(unnamed).select(nothing.alias("doc_id"), "n_shingles", nothing.alias("class_id"), nothing.alias("component_id")))
@@ -447,55 +574,46 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "n_shingles long")
 
 
-def _grams(pairs: DataFrame) -> int:
-    """Grams of the candidates' sets, each at most once a document."""
-    got = pairs.select(F.col("a").alias("d"), F.col("na").alias("n")).union(pairs.select("b", "nb")).groupBy("d").agg(F.max("n").alias("n")).agg(F.sum("n")).first()
-    return int(got[0] or 0)
-
-
-def _second_turn(lists: DataFrame, label: DataFrame, tested: DataFrame, fragments: int) -> DataFrame:
-    """Untested pairs of long lists whose sets are in different components. Lists
-    that hold one component end here, as counted by ``min`` and ``max``. The lists
-    of a fragment are worked on together, so a pair leaves a fragment once."""
-    member = lists.select("g", F.explode(F.arrays_zip("docs", "n", "places")).alias("m"))
-    member = member.select("g", F.col("m.docs").alias("doc"), F.col("m.n").alias("n"), F.col("m.places").alias("place"))
-    member = member.join(label, F.col("doc") == F.col("d"), "left").withColumn("c", F.coalesce("component", "doc"))
-    member = materialise(member.select("g", "doc", "n", "place", "c"), "members")
-    mixed = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("g")
-
-    def pairs_of(doc, n, place, c) -> list[np.ndarray]:
-        by = np.lexsort((doc, n))
-        doc, n, place, c = doc[by], n[by], place[by], c[by]
-        found = []
-        last = np.searchsorted(n, n * 100 // PERCENT, side="right")
-        for i in range(len(doc)):
-            e = slice(i + 1, last[i])
-            ok = (c[e] != c[i]) & _may_link(n[i], place[i], n[e], place[e])
-            if ok.any():
-                j = np.flatnonzero(ok) + i + 1
-                found.append(np.stack([np.full(len(j), doc[i]), doc[j], np.full(len(j), n[i]), n[j]]))
-        return found
+def _second_turn(members: DataFrame, label: DataFrame, tested: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Untested pairs of long lists whose sets are in different components and that
+    may link. Lists that hold one component end here, as counted by ``min`` and
+    ``max``. A list is cut into blocks; each two blocks meet in a task of their own,
+    and only pairs that pass their bitmaps leave it."""
+    member = members.select("g", F.col("a").alias("s"), F.col("na").alias("n"), "place").join(label, F.col("s") == F.col("d"), "left")
+    member = materialise(member.select("g", "s", "n", "place", F.coalesce("component", "s").alias("c")), "members")
+    mixed = member.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    mixed = mixed.select("g", F.ceil(F.col("k") / BLOCK).cast("int").alias("k"))
+    every = member.join(mixed, "g").join(sigs, "s").withColumn("i", F.pmod(F.xxhash64("s"), F.col("k")).cast("int"))
+    every = every.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = every.select("g", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "s", "n", "place", "c", "sig")
 
     def run(table: pa.Table) -> pa.Table:
-        g, doc, n, place, c = (table.column(k).to_numpy() for k in ("g", "doc", "n", "place", "c"))
-        by = np.argsort(g, kind="stable")
-        g, doc, n, place, c = g[by], doc[by], n[by], place[by], c[by]
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])), len(g))
-        got = (np.zeros(0, np.int64),) * 4
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            found = pairs_of(doc[lo:hi], n[lo:hi], place[lo:hi], c[lo:hi])
-            if found:
-                got = _distinct(np.concatenate([np.stack(got), *found], axis=1))
-        return pa.table(dict(zip(("a", "b", "na", "nb"), got, strict=True)))
-
-    mixed = member.join(mixed, "g").withColumn("frag", F.pmod("g", F.lit(fragments)))
-    again = mixed.groupBy("frag").applyInArrow(run, PAIR)
-    again = again.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"))
+        s, n, place, c, i = (table.column(k).to_numpy() for k in ("s", "n", "place", "c", "i"))
+        x, y, g = (table.column(k)[0].as_py() for k in ("x", "y", "g"))
+        sig = table.column("sig").to_pylist()
+        left, right = np.flatnonzero(i == x), np.flatnonzero(i == y)
+        found = [np.zeros((5, 0), np.int64)]
+        for at in left:
+            to = right[s[right] > s[at]] if x == y else right
+            to = to[(c[to] != c[at]) & _may_link(n[at], place[at], n[to], place[to])]
+            if len(to):
+                to = to[_near_one(sig, n, at, to)]
+                found.append(np.stack([np.full(len(to), s[at]), s[to], np.full(len(to), n[at]), n[to], np.full(len(to), g)]))
+        return pa.table(dict(zip(("a", "b", "na", "nb", "g"), _distinct(np.concatenate(found, axis=1)), strict=True)))
+
+    again = _once(dealt.groupBy("g", "x", "y").applyInArrow(run, PAIR))
     return again.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _near_one(sig: list[bytes], n: np.ndarray, at: int, to: np.ndarray) -> np.ndarray:
+    """``near_signatures`` of one set with some others."""
+    some = [sig[at], *(sig[k] for k in to)]
+    return near_signatures(some, np.concatenate([n[[at]], n[to]]), np.zeros(len(to), np.int64), np.arange(1, len(to) + 1))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, of each component the one of the smallest doc_id."""
+    """The documents, of each component the one of the smallest doc_id. Rows of a
+    null doc_id stay; rows that share the kept doc_id are one document and stay."""
     found = classes(docs).where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
     kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))

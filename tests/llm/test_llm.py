@@ -132,8 +132,9 @@ def test_jaccard(spark, rows):
 
 
 def test_jaccard_second_turn_finds_what_near_pairs_leave(spark, monkeypatch):
-    monkeypatch.setattr(jaccard.near_pairs, "__defaults__", (0,))
-    monkeypatch.setattr(jaccard.long_lists, "__defaults__", (0,))
+    monkeypatch.setattr(jaccard.meet, "__defaults__", (0, 0))
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "PART_GRAMS", 40)
     rows = corpus(8, 40)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == brute_jaccard(rows)
@@ -148,10 +149,35 @@ def test_jaccard_odd_tables(spark, empty):
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and kept.where("doc_id < 1000").count() == 1
 
 
+def test_jaccard_texts_that_share_an_id_are_one_document(spark):
+    base = {k: [f"{k}{i}" for i in range(60)] for k in "xyz"}
+    rows = [(2, " ".join(base[k]), None, None, None) for k in "xyz"]
+    rows += [(10 + n, " ".join([*base[k][:-1], "edit"]), None, None, None) for n, k in enumerate("xyz")] + [(2, "", None, None, None), (9, "quite another", None, None, None)]
+    got = defaultdict(set)
+    for r in jaccard.classes(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert got == {2: {2}, 10: {2}, 11: {2}, 12: {2}, 9: {9}}
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2000, k).astype(np.uint64) * jaccard._C1) for k in (1, 5, 120, 128, 129, 300, 900, 1000, 1100)]
+    sets += [np.delete(s, slice(0, len(s) // 30)) for s in sets]
+    n = np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1)
+    ok = jaccard.near_signatures([jaccard.signature(s) for s in sets], n, i, j)
+    for a, b, fine in zip(i, j, ok, strict=True):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        assert fine or 100 * common < 80 * (n[a] + n[b] - common)
+    assert not ok.all()
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "a long, b long")
     got = {r["d"]: r["component"] for r in jaccard.components(links).collect()}
     assert all(got[i] == 0 for i in range(1, 41)) and got[100] == 99
+    with pytest.raises(RuntimeError):  # never a half-settled result
+        jaccard.components(links, most=1)
 
 
 # --- 3 --------------------------------------------------------------------------------------
