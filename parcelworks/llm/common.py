@@ -80,15 +80,26 @@ def partitions(spark: SparkSession) -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    arrow_bounds(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def packed_row(docs: DataFrame, name: str = "_doc") -> F.Column:
+    """All columns as one struct, so that no column of a table clashes with ours;
+    ``unpacked`` gives them back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias(name)
+
+
+def unpacked(df: DataFrame, columns: list[str], name: str = "_doc") -> DataFrame:
+    return df.select(*[F.col(f"{name}.`" + c.replace("`", "``") + "`").alias(c) for c in columns])
+
+
 # --- word hashes -----------------------------------------------------------
 
 class _Names(dict):
     """Word to 64-bit name; emptied when full, so that memory stays bounded."""
 
-    limit = 200_000
+    limit = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

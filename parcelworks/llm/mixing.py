@@ -13,8 +13,9 @@ The fixed point is a water level ``min(cap * size, level * weight)``, found with
 one window over the table of sources.
 
 Defined results: null text has size 0; null source is a source of its own, last
-in order; a document of size 0 takes 0 words and has no position; empty tables
-give empty results; repeated rows are separate documents; extra columns stay.
+in order; a null doc_id is a document like others; a document of size 0 takes 0
+words and has no position; empty tables give empty results; repeated rows are
+separate documents (only equal ones tie); extra columns of any name stay.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import materialise, packed_row, unpacked, word_count
 
-#: Buckets of the pseudo-random order of a source; each is summed on its own, so
-#: that a source with most of the rows is still spread over many tasks.
-BUCKETS = 1024
+#: Buckets of the pseudo-random order of a source (by its first bits); each is summed
+#: on its own, so that a source with most of the rows is still spread over many tasks.
+LEAST_BITS, BUCKET_ROWS = 10, 100_000
 #: Tables of sources up to this many rows (tens of bytes each) are broadcast.
 BROADCAST_SOURCES = 20_000
 TILTS = (-0.5, 0.0, 0.5)
@@ -70,22 +71,32 @@ def position(offset, target, tilt) -> F.Column:
     return F.when(tilt == 0, q).otherwise((root - (1 - tilt)) / F.when(tilt != 0, 2 * tilt))
 
 
+def _sized(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, source, size and the place ``_h`` in a source's order of every row, and
+    the row itself with ``carry``."""
+    mine = docs.select(packed_row(docs))
+    cols = [F.col("_doc.doc_id"), F.col("_doc.source"), word_count("_doc.text").alias("size"), F.xxhash64("_doc.doc_id", "_doc.text").alias("_h")]
+    return mine.select(*cols, *(["_doc"] if carry else []))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    sizes: DataFrame | None = None,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken,
     copies (whole copies nearest to ``taken``), stream_offset, position (of the
-    first copy; null if none), tilt. ``sizes`` may hold doc_id, source, size."""
-    if sizes is None:
-        sizes = materialise(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    first copy; null if none), tilt; with ``carry`` also the document as ``_doc``."""
+    sizes = materialise(_sized(docs), "sizes")
     targets = materialise(source_targets(sizes, weights, share, cap), "targets")
-    h = F.xxhash64("doc_id")
-    keyed = sizes.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(h, 54).cast("int"))
-    per = keyed.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
+    bits = max(LEAST_BITS, (sizes.count() // BUCKET_ROWS).bit_length())
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits))
+
+    per = bucketed(sizes).groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(
         F.col("source").alias("_s"), F.col("_b").alias("_pb"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead")
@@ -93,7 +104,7 @@ def mix(
     within = (
         Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = keyed.withColumn("_o", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = bucketed(_sized(docs, True) if carry else sizes).withColumn("_o", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(per, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_pb"))).withColumn(
         "stream_offset", F.col("_o") + F.col("_ahead")
     )
@@ -111,7 +122,7 @@ def mix(
         "doc_id", "source", "size", "source_size", "target", "taken", copies.cast("int").alias("copies"),
         "stream_offset",
         F.when(F.col("taken") > 0, position(first, F.col("target"), F.col("tilt"))).alias("position"),
-        "tilt",
+        "tilt", "_h", *(["_doc"] if carry else []),
     )
 
 
@@ -126,15 +137,10 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents in training order, each as often as the mix takes it whole
-    (a part of a document counts as a whole copy from half its words on)."""
-    mixed = mix(docs, **params).where("copies > 0")
-    spots = mixed.select(
-        F.col("doc_id").alias("_d"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_e"),
-        "size", "source_size", "target", "tilt", "stream_offset",
-    )
+    (a part of a document counts as a whole copy from half its words on). A row is
+    carried through as it is, so repeated rows and null ids are rows of their own."""
+    mixed = mix(docs, carry=True, **params).where("copies > 0")
+    spots = mixed.withColumn("_e", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     at = F.col("_e") * F.col("source_size") + F.col("stream_offset") + F.col("size") / 2
-    spots = spots.select("_d", position(at, F.col("target"), F.col("tilt")).alias("_p"))
-    cols = docs.columns
-    unique = docs.withColumn("_n", F.lit(1))
-    joined = unique.join(spots, F.col("doc_id").eqNullSafe(F.col("_d")))
-    return joined.orderBy("_p", "doc_id").select(*cols)
+    spots = spots.select("_doc", "_h", position(at, F.col("target"), F.col("tilt")).alias("_p"))
+    return unpacked(spots.orderBy("_p", "_h"), docs.columns)

@@ -6,16 +6,18 @@ lines; Viterbi decoding labels them, and the share of words in content lines
 decides whether a document stays. Plain counts (symbols, repeated lines, repeated
 words) are returned beside it and have their own limits.
 
-Training: the ``labels`` table has a quality of 0 or 1 for documents. Lines of
-documents of quality 1 are taught as content, those of quality 0 as boilerplate,
-weighted so that a document counts as one whatever its length, by gradient ascent
-on the chain's log-likelihood (forward-backward), over about ``SAMPLE``
-documents chosen by a hash of doc_id: the bound. Decoding covers all texts.
+Training: the ``labels`` table has a quality of 0 or 1 for documents, not lines, so
+the lines' states are hidden: those of documents of quality 1 are content, those of
+documents of quality 0 may be either, but one at least is boilerplate. The chain is
+fitted by gradient ascent on its log-likelihood (forward-backward) and the states
+are guessed from it, in turns, over about ``SAMPLE`` documents chosen by a hash of
+doc_id: the bound. Decoding covers all texts.
 
 Defined results: null, empty or wordless text has zero counts and fails the base
 rules; without labels of both kinds the chain keeps all that passes the base
-rules; repeated rows get equal results; extra columns are ignored; lines and
-texts may be of any length.
+rules; a null doc_id teaches nothing and its row is judged like others; repeated
+rows get equal results; of two states with equal scores a line has content; extra
+columns are ignored; lines and texts may be of any length.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import read, text_bytes, window_hashes, word_names
 
 SAMPLE = 3000
+#: Turns in which the hidden states of lines are guessed and the chain is taught anew.
+TURNS = 3
 WINDOW = 8
 #: A document stays if at least this share of its words is in content lines.
 CONTENT_SHARE = 0.5
@@ -156,47 +160,77 @@ class Chain:
             path[t - 1] = back[t, path[t]]
         return path
 
+    def chances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of stacked documents of one length: the state's odds at each line, the moves
+        expected in each document, and the log of the sum of all paths."""
+        n, m = x.shape[1], self.moves
+        s = x @ self.weights
+        up, down = np.zeros_like(s), np.zeros_like(s)
+        up[:, 0] = s[:, 0]
+        for t in range(1, n):
+            up[:, t] = s[:, t] + np.logaddexp(up[:, t - 1, 0, None] + m[0], up[:, t - 1, 1, None] + m[1])
+        for t in range(n - 2, -1, -1):
+            ahead = s[:, t + 1] + down[:, t + 1]
+            down[:, t] = np.logaddexp(ahead[:, 0, None] + m[:, 0], ahead[:, 1, None] + m[:, 1])
+        z = np.logaddexp(up[:, -1, 0], up[:, -1, 1])
+        p = np.exp(up + down - z[:, None, None])
+        pair = np.exp(up[:, :-1, :, None] + m + (s[:, 1:] + down[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum(axis=1)
+        return p, pair, z
+
     @classmethod
-    def fit(cls, docs: list[np.ndarray], labels: list[int], rounds: int = 60, rate: float = 0.5, l2: float = 1e-3) -> Chain:
-        """Gradient ascent; all lines of a document have its label, and the two
-        labels weigh the same in sum. Documents of equal line count go together."""
-        groups: dict[tuple[int, int], list[np.ndarray]] = {}
-        for x, y in zip(docs, labels, strict=True):
+    def fit(cls, docs: list[np.ndarray], labels: list[np.ndarray], rounds: int = 60, rate: float = 0.5, l2: float = 1e-3, start: Chain | None = None) -> Chain:
+        """Gradient ascent on the log-likelihood of the labels, a label a line; lines of
+        both labels weigh the same in sum, and documents of equal line count go
+        together."""
+        groups: dict[int, list[int]] = {}
+        for i, x in enumerate(docs):
             if len(x):
-                groups.setdefault((len(x), y), []).append(x)
-        stacked = [(n, y, np.stack(v).astype(np.float64)) for (n, y), v in sorted(groups.items())]
-        count = [max(1, sum(len(x) for _, y, x in stacked if y == k)) for k in (0, 1)]
-        w, m = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
+                groups.setdefault(len(x), []).append(i)
+        whole = {y: max(1e-9, sum(float((v == y).mean()) for v in labels if len(v))) for y in (0, 1)}
+        stacked = []
+        for n, at in sorted(groups.items()):
+            for lo in range(0, len(at), max(1, 200_000 // n)):  # bounded arrays, however many documents
+                some = at[lo : lo + max(1, 200_000 // n)]
+                y = np.stack([labels[i] for i in some])
+                share = (y == 1).mean(axis=1)
+                stacked.append((np.stack([docs[i] for i in some]).astype(np.float32), y, (0.5 * (1 - share) / whole[0] + 0.5 * share / whole[1]) / n))
+        w, m = (np.zeros((N_FEATURES, 2)), np.zeros((2, 2))) if start is None else (start.weights.copy(), start.moves.copy())
         gw2, gm2 = np.full_like(w, 1e-8), np.full_like(m, 1e-8)
         for _ in range(rounds):
             gw, gm = -l2 * w, -l2 * m
-            for n, y, x in stacked:
-                weight = 0.5 / count[y] / n
-                s = x @ w
-                up, down = np.zeros_like(s), np.zeros_like(s)
-                up[:, 0] = s[:, 0]
-                for t in range(1, n):
-                    up[:, t] = s[:, t] + np.logaddexp(up[:, t - 1, 0, None] + m[0], up[:, t - 1, 1, None] + m[1])
-                for t in range(n - 2, -1, -1):
-                    ahead = s[:, t + 1] + down[:, t + 1]
-                    down[:, t] = np.logaddexp(ahead[:, 0, None] + m[:, 0], ahead[:, 1, None] + m[:, 1])
-                z = np.logaddexp(up[:, -1, 0], up[:, -1, 1])
-                p = np.exp(up + down - z[:, None, None])
-                want = np.zeros(2)
-                want[y] = 1
-                gw += weight * np.einsum("dtf,dtk->fk", x, want - p)
-                if n > 1:
-                    pair = np.exp(
-                        up[:, :-1, :, None] + m + (s[:, 1:] + down[:, 1:])[:, :, None, :] - z[:, None, None, None]
-                    ).sum(axis=(0, 1))
-                    gm[y, y] += weight * len(x) * (n - 1)
-                    gm -= weight * pair
+            now = cls(w, m)
+            for x, y, weight in stacked:
+                p, pair, _ = now.chances(x)
+                real = np.stack([y == 0, y == 1], axis=2).astype(np.float64)
+                gap = (real - p) * weight[:, None, None]
+                gw += x.reshape(-1, N_FEATURES).T @ gap.reshape(-1, 2)
+                gm += np.einsum("d,dij->ij", weight, np.einsum("dti,dtj->dij", real[:, :-1], real[:, 1:]) - pair)
             gw2 += gw * gw
             gm2 += gm * gm
-            w += rate * gw / np.sqrt(gw2)
-            m += rate * gm / np.sqrt(gm2)
+            w, m = w + rate * gw / np.sqrt(gw2), m + rate * gm / np.sqrt(gm2)
         return cls(w, m)
 
+    @classmethod
+    def fit_documents(cls, docs: list[np.ndarray], labels: list[int], turns: int = TURNS) -> Chain:
+        """A chain from labels of documents, whose lines' states are hidden. At first
+        each line has its document's label. Then, in turns, a line of a boilerplate
+        document that looks like content by its own features and its neighbours is
+        taken for content, but for the one that looks it least (a boilerplate
+        document has at least one such line); lines of content documents stay content."""
+        lines = [np.full(len(x), y) for x, y in zip(docs, labels, strict=True)]
+        chain = cls.fit(docs, lines)
+        for _ in range(turns):
+            # Moves learned from documents of one label alone would hold any chain in
+            # one state; lines are judged with them halved.
+            free = cls(chain.weights, chain.moves / 2)
+            for i, (x, y) in enumerate(zip(docs, labels, strict=True)):
+                if y == 1 and len(x) > 1:
+                    p = free.chances(x[None].astype(np.float32))[0][0, :, 1]
+                    lines[i] = (p >= 0.5).astype(int)
+                    lines[i][np.argmax(p)] = 1
+            chain = cls.fit(docs, lines, rounds=30)
+        return chain
+
 
 def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
     """The chain taught by labelled documents, or None without both labels. Each
@@ -215,12 +249,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain
                 names=["y", "d", "x"],
             )
 
-    got = rows.select(F.col("_y").cast("int"), F.col("doc_id").cast("long"), "text").mapInArrow(features, "y int, d long, x binary").collect()
+    got = rows.select(F.col("_y").cast("int"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(features, "y int, d long, x binary").collect()
     got.sort(key=lambda r: (r["d"], bytes(r["x"])))
     wide = (N_FEATURES + 7) // 8
     xs = [np.unpackbits(np.frombuffer(bytes(r["x"]), np.uint8).reshape(-1, wide), axis=1)[:, :N_FEATURES] for r in got]
     ys = [1 - r["y"] for r in got]
-    return Chain.fit(xs, ys) if len(set(ys)) == 2 else None
+    return Chain.fit_documents(xs, ys) if len(set(ys)) == 2 else None
 
 
 def judge(docs: DataFrame, chain: Chain | None, share: float = CONTENT_SHARE) -> DataFrame:

@@ -239,6 +239,18 @@ def test_mixing(spark, docs, empty):
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in rows)
 
 
+def test_mixing_carries_rows_through(spark):
+    """Repeated rows, shared and null ids, columns of any name: each row is its own."""
+    rows = [(i % 4, f"w{i // 4 % 2} b c", "en", "s", 1) for i in range(8)] + [(None, "x y z", None, None, None)] * 2 + [(0, "w0 b c", "en", "s", 1)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in ("_p", "_d", "_h", "size", "_doc", "target", "a.b")})
+    counts = Counter()
+    for r in mixing.mix(table).collect():
+        counts[r["doc_id"]] += r["copies"]
+    out = mixing.mixed_documents(table)
+    got = Counter(r["doc_id"] for r in out.collect())
+    assert out.columns == table.columns and got == counts and set(got) == {None, 0, 1, 2, 3}
+
+
 def test_positions_invert_the_demand(spark):
     got = spark.range(0, 101).select((F.col("id") * 2.0).alias("c"), *[mixing.position(F.col("id") * 2.0, F.lit(200.0), F.lit(t)).alias(f"t{i}") for i, t in enumerate(mixing.TILTS)]).collect()
     for r in got:
@@ -306,6 +318,33 @@ def test_pii_in_prose(spark):
     assert all(red[i] == pii.redact_text(t, got[i]) for i, t in enumerate(texts))
 
 
+def test_redaction_is_a_rows_own(spark):
+    rows = [(None, "mail a.b@c.example.com", None, None, 1), (7, "some x1@y.org there", None, None, 1), (7, "some text with no such thing", None, None, 1), (8, None, None, None, None)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(c) for c in ("_row", "spans", "_doc", "edges", "_text", "kind")})
+    out = pii.redacted_documents(table)
+    assert out.columns == table.columns
+    assert sorted(str(r["text"]) for r in out.collect()) == ["None", "mail <EMAIL>", "some <EMAIL> there", "some text with no such thing"]
+
+
+def test_pii_finds_what_base_matches_run_over(spark):
+    """No retries: two numbers in a row are one failed match, and the method finds both.
+    Patterns learned without some seeds find those seeds."""
+    rng = random.Random(4)
+
+    def card():
+        d = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+    texts = [f"{word(rng)} {card()} {word(rng)}" for _ in range(40)] + [f"{word(rng)} +1 ({200 + i}) 555-0{100 + i} {word(rng)}" for i in range(40)]
+    one, two = card(), card()
+    texts += [f"pay {one} {two} now", "call +1 (212) 555-0199 10.1.2.3 now", "no 4000111122223333 here"]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in pii.find(table).collect()}
+    assert got[80] == "card:4:20,card:21:37" and got[81] == "ip:23:31,phone:5:22" and got[82] == ""
+    told = {r["kind"]: r for r in pii.hidden_recall(table).collect()}
+    assert all(r["found"] == r["hidden"] > 3 for r in told.values()) and set(told) == {"card", "phone"}
+
+
 def test_redaction_merges_spans_that_overlap():
     assert pii.redact_text("abcdef", "ip:1:3,card:2:5") == "a<IP>f"
 
@@ -379,6 +418,47 @@ def test_quality(spark, docs, empty):
     assert all(r["kept"] != r["base_failed"] for r in quality.judge(docs, None).collect())
 
 
+def test_lines_of_one_document_get_labels_of_their_own(spark):
+    """Documents are labelled, lines aren't; mixed documents hold both kinds."""
+    rng = random.Random(8)
+
+    def prose():
+        return " ".join(word(rng) for _ in range(25)) + "."
+
+    def junk():
+        return " ".join(word(rng).upper() + "!!" for _ in range(5))
+
+    rows, truth, labels = [], {}, []
+    for i in range(300):
+        kinds = [0] * 8 if i % 3 == 0 else [1] * 8 if i % 3 == 1 else [0] * (2 + i % 5) + [1] * (6 - i % 5)
+        rows.append((i, "\n".join(junk() if k else prose() for k in kinds), "en", "s", 1))
+        truth[i] = kinds
+        labels.append((i, int(i % 3 == 0), 0))
+    table = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, quality int, toxic int")
+    chain = quality.fit_chain(table, known)
+    held = [r for r in rows if r[0] % 2 == 0]
+    hits = [(chain.viterbi(quality.line_features(t.encode())[0]) == truth[i]).mean() for i, t, *_ in held]
+    assert np.mean(hits) > 0.95
+    share = {r["doc_id"]: r["content_share"] for r in quality.judge(table, chain).collect()}
+    mixed = [share[i] for i, *_ in held if i % 3 == 2]
+    assert np.mean([0 < s < 1 for s in mixed]) > 0.9
+
+
+def test_chances_are_sums_over_all_paths():
+    rng = np.random.default_rng(5)
+    chain = quality.Chain(rng.standard_normal((quality.N_FEATURES, 2)), rng.standard_normal((2, 2)))
+    x = (rng.random((2, 4, quality.N_FEATURES)) < 0.2).astype(np.float32)
+    p, pair, z = chain.chances(x)
+    paths = [[m >> t & 1 for t in range(4)] for m in range(16)]
+    for d in range(2):
+        s = x[d] @ chain.weights
+        value = np.array([np.exp(sum(s[t, k] for t, k in enumerate(q)) + sum(chain.moves[a, b] for a, b in zip(q, q[1:], strict=False))) for q in paths])
+        assert z[d] == pytest.approx(np.log(value.sum()))
+        assert p[d, 2, 1] == pytest.approx(sum(v for v, q in zip(value, paths, strict=True) if q[2]) / value.sum())
+        assert pair[d, 0, 1] == pytest.approx(sum(v * sum(a == 0 and b == 1 for a, b in zip(q, q[1:], strict=False)) for v, q in zip(value, paths, strict=True)) / value.sum())
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     chain = quality.Chain(rng.standard_normal((quality.N_FEATURES, 2)), rng.standard_normal((2, 2)))
@@ -419,6 +499,43 @@ def test_toxicity(spark, empty):
     assert toxicity.fit(table, known.limit(0)) is None and toxicity.score(empty, None).count() == 0
 
 
+def test_toxicity_drops_no_words():
+    n, owner, names, count = toxicity.counted(["Ok ok, x 42", "漢字" * 30, None, "w" * 45])
+    assert n.tolist() == [4, 1, 0, 1] and np.bincount(owner, minlength=4).tolist()[0] == 3 and count[owner == 0].tolist().count(2) == 1
+    assert (owner == 1).sum() >= 3 and (owner == 3).sum() == 2 and not (owner == 2).any()
+
+
+def test_ordinal_gradient_and_likelihood():
+    rng = np.random.default_rng(2)
+    dense = (rng.random((30, 6)) < 0.4) * rng.random((30, 6))
+    row, col = np.nonzero(dense)
+    x = toxicity.Sparse(row, col, dense[row, col], dense.shape)
+    y, theta, balance = rng.integers(0, 4, 30), rng.standard_normal(6 + 3) / 2, rng.random(30)
+    value, grad = toxicity.likelihood(x, y, theta, 3, balance, 1e-2)
+    cuts = theta[6] + np.concatenate([[0], np.cumsum(np.exp(theta[7:]))])
+    total = -1e-2 / 2 * (theta[:6] ** 2).sum()
+    for i in range(30):  # P(y >= k) by the definition
+        over = [1.0, *(1 / (1 + np.exp(c - dense[i] @ theta[:6])) for c in cuts), 0.0]
+        total += balance[i] * np.log(over[y[i]] - over[y[i] + 1])
+    assert value == pytest.approx(total)
+    for k in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        up, down = (toxicity.likelihood(x, y, theta + d, 3, balance, 1e-2)[0] for d in (step, -step))
+        assert grad[k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_severity_comes_from_other_documents():
+    toxic, half = np.array([1, 1, 1, 1, 0, 0, 0, 0]), np.array([0, 1, 0, 1, 0, 1, 0, 1])
+    row, col = np.repeat(np.arange(8), 2), np.array([0, 9, 0, 1, 0, 1, 0, 9, 2, 3, 2, 4, 2, 3, 2, 5])
+    got = toxicity.held_out_severity(row, col, toxic, half, 10)
+    seen = [(lambda s: {c: np.log((sum(toxic[r] for r, k in zip(row, col, strict=True) if k == c and half[r] != s) + 0.5) / 3)
+             - np.log((sum(1 - toxic[r] for r, k in zip(row, col, strict=True) if k == c and half[r] != s) + 0.5) / 3) for c in range(10)})(s) for s in (0, 1)]
+    for d in range(8):
+        want = sum(seen[half[d]][c] for r, c in zip(row, col, strict=True) if r == d and seen[half[d]][c] > 2 / np.sqrt(0.5))
+        assert got[d] == pytest.approx(want)
+
+
 # --- 9 --------------------------------------------------------------------------------------
 
 def test_packing(spark, docs, empty):
