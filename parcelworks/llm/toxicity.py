@@ -35,7 +35,7 @@ from .common import arrow_bounds, read, text_bytes
 
 SAMPLE = 12_000
 GRADES = 3
-LIMIT = 0.8
+LIMIT = 0.7
 #: Words of more characters than ``LONG`` also give their parts.
 LONG, PART = 24, 4
 SCHEMA = "doc_id long, n_words long, n_hits long, p_toxic double, severity double, grade int, toxic boolean"
@@ -146,7 +146,7 @@ def likelihood(x: Sparse, y: np.ndarray, theta: np.ndarray, grades: int, balance
     return float((balance * np.log(p)).sum() - l2 / 2 * (theta[:k] ** 2).sum()), grad
 
 
-def fit_ordinal(x: Sparse, y: np.ndarray, grades: int = GRADES, rounds: int = 250, rate: float = 0.1, l2: float = 2e-5):
+def fit_ordinal(x: Sparse, y: np.ndarray, grades: int = GRADES, rounds: int = 250, rate: float = 0.1, l2: float = 2e-6):
     """Weights and cuts by Adam; both labels weigh the same in sum."""
     theta = np.concatenate([np.zeros(x.shape[1]), [1.0], np.zeros(grades - 1)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
