@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Python workers live on between tasks: what a task frees should go back to the
+# system, not stay with an allocator. Arrow and glibc keep large pieces otherwise.
+pa.set_memory_pool(pa.system_memory_pool())
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: such pieces are unmapped when freed
+    _libc.mallopt(-1, 1 << 18)  # M_TRIM_THRESHOLD
+except OSError:  # another C library
+    pass
+
 #: Whitespace that separates words; ``bytes.split()`` splits at exactly these.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 

@@ -156,9 +156,9 @@ def survey(rows: DataFrame) -> DataFrame:
         n = np.diff(np.append(start, len(flat)))
         twice = n > 1
         g, n = flat[start[twice]].view(np.int64), n[twice]
-        for lo in range(0, len(g), 50_000):
+        for lo in range(0, len(g), 5_000):
             none = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([g[lo : lo + 50_000]], whole), pa.array([n[lo : lo + 50_000]], whole)], names=names)
+            yield pa.RecordBatch.from_arrays([*none, pa.array([g[lo : lo + 5_000]], whole), pa.array([n[lo : lo + 5_000]], whole)], names=names)
 
     def run(batches):
         held, size = [], 0

@@ -30,6 +30,8 @@ from .common import materialise, packed_row, unpacked, word_count
 LEAST_BITS, BUCKET_ROWS = 10, 100_000
 #: Tables of sources up to this many rows (tens of bytes each) are broadcast.
 BROADCAST_SOURCES = 20_000
+#: Tables of the sizes of buckets up to this many rows (about 30 bytes each) are too.
+BROADCAST_BUCKETS = 200_000
 TILTS = (-0.5, 0.0, 0.5)
 
 
@@ -101,6 +103,9 @@ def mix(
     per = per.select(
         F.col("source").alias("_s"), F.col("_b").alias("_pb"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead")
     )
+    per = materialise(per, "buckets")
+    if per.count() <= BROADCAST_BUCKETS:
+        per = F.broadcast(per)
     within = (
         Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -56,6 +56,9 @@ PRIOR_ONE = 4.0
 #: Up to so many patterns (under 200 bytes each) go to every task.
 BROADCAST_PATTERNS = 50_000
 
+#: And up to so many rows with added spans (about 50 bytes a span).
+BROADCAST_ROWS = 100_000
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 # A match can only begin where a run of digits does: a later digit of the run
@@ -316,6 +319,9 @@ def merged(found: DataFrame) -> DataFrame:
     new = F.transform(whole, lambda x: keyed(x["kind"], x["start"], x["end"]))
     every = F.array_sort(F.concat(parsed, new))
     text = F.array_join(F.transform(every, lambda x: F.concat_ws(":", x["k"], x["a"].cast("string"), x["b"].cast("string"))), ",")
+    added = materialise(added, "pii-added")
+    if added.count() <= BROADCAST_ROWS:  # else both sides are dealt by row
+        added = F.broadcast(added)
     out = found.drop("edges").join(added, "_row", "left")
     return out.withColumn("spans", F.when(F.col("_new").isNull(), F.col("base")).otherwise(text)).drop("_new")
 

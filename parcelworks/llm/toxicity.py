@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_bounds, read, text_bytes
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 GRADES = 3
 LIMIT = 0.7
 #: Words of more characters than ``LONG`` also give their parts.
@@ -100,27 +100,63 @@ class Ordinal:
     """Words' names (ascending) with their weights, the length's weight, and cuts."""
 
     def __init__(self, names: np.ndarray, weights: np.ndarray, length: float, cuts: np.ndarray) -> None:
-        self.names, self.weights, self.length, self.cuts = names, weights.astype(np.float32), length, cuts
+        self.names, self.length, self.cuts = names, length, cuts
+        self.weights = np.append(weights, 0).astype(np.float32)  # the last is any other word's
+        self.places = None
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words, known words, and the odds of each grade or more, of each text."""
-        n, owner, names, count = counted(texts)
-        known, weight = np.zeros(len(names), bool), np.zeros(len(names))
-        if len(self.names) and len(names):
-            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-            known = self.names[at] == names
-            weight = np.where(known, self.weights[at], 0.0)
-        line = np.bincount(owner, weight * np.log1p(count), len(texts)) + self.length * length_feature(n)
-        hits = np.bincount(owner, known * (np.abs(weight) > 0.5) * count, len(texts)).astype(np.int64)
+        """Words, words of weight, and the odds of each grade or more, of each text."""
+        if self.places is None:
+            self.places = _Places(self.names)
+        look, others, m = self.places.__getitem__, len(self.names), len(texts)
+        n, found = np.zeros(m, np.int64), []
+        for i, t in enumerate(texts):
+            words = text_bytes(t).split()
+            n[i] = len(words)
+            at = np.fromiter(map(look, words), np.int64, len(words))
+            if (at < 0).any():  # words of several features
+                more = [place for w in words if look(w) < 0 for place in self.places.several(w)]
+                at = np.concatenate([at[at >= 0], np.array(more, np.int64)])
+            found.append(at + i * (others + 1))
+        key, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+        owner, weight = key // (others + 1), self.weights[key % (others + 1)].astype(np.float64)
+        line = np.bincount(owner, weight * np.log1p(count), m) + self.length * length_feature(n)
+        hits = np.bincount(owner, (np.abs(weight) > 0.5) * count, m).astype(np.int64)
         p = 1 / (1 + np.exp(np.clip(self.cuts - line[:, None], -30, 30)))
         return n, hits, np.where(n[:, None] > 0, p, 0.0)
 
 
+class _Places(dict):
+    """Places of words in a model's names, the number of names for others, and -1 for
+    words of several features; emptied when full."""
+
+    limit = 60_000
+
+    def __init__(self, names: np.ndarray) -> None:
+        self.names = names
+
+    def several(self, word: bytes) -> list[int]:
+        got = np.array([xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) for f in word_features(word)], np.uint64)
+        if not len(self.names):
+            return [0] * len(got)
+        at = np.minimum(np.searchsorted(self.names, got), len(self.names) - 1)
+        return np.where(self.names[at] == got, at, len(self.names)).tolist()
+
+    def __missing__(self, word: bytes) -> int:
+        got = self.several(word)
+        place = got[0] if len(got) == 1 else -1
+        if len(word) <= 4 * LONG:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = place
+        return place
+
+
 class Sparse:
     """Rows of (column, value), with products for a fit."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> None:
-        self.row, self.col, self.value, self.shape = row, col, value, shape
+        self.row, self.col, self.value, self.shape = row.astype(np.int32), col.astype(np.int32), value.astype(np.float32), shape
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.col], self.shape[0])
@@ -203,14 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
     half, n = np.array([r["half"] for r in got]), np.array([r["n"] for r in got])
     each = [np.frombuffer(r["f"], np.uint64) for r in got]
     count = np.concatenate([np.frombuffer(r["c"], np.int32) for r in got])
-    names, col = np.unique(np.concatenate(each), return_inverse=True)
-    row = np.repeat(np.arange(len(got)), [len(f) for f in each])
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) for f in each])
+    m, every = len(got), np.concatenate(each)
+    del got, each
+    names, col = np.unique(every, return_inverse=True)
     # How far from chance, in standard deviations; words that say too little shrink.
     share = toxic.mean()
     expected = np.bincount(col, minlength=len(names)) * share
     z = (np.bincount(col[toxic[row] == 1], minlength=len(names)) - expected) / np.sqrt(expected * (1 - share) + 1)
     scale = z**4 / (z**4 + 4.0**4)
-    m = len(got)
     x = Sparse(
         np.concatenate([row, np.arange(m)]), np.concatenate([col, np.full(m, len(names))]),
         np.concatenate([np.log1p(count) * scale[col], length_feature(n)]), (m, len(names) + 1),

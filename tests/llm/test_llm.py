@@ -502,6 +502,10 @@ def test_toxicity(spark, empty):
 def test_toxicity_drops_no_words():
     n, owner, names, count = toxicity.counted(["Ok ok, x 42", "漢字" * 30, None, "w" * 45])
     assert n.tolist() == [4, 1, 0, 1] and np.bincount(owner, minlength=4).tolist()[0] == 3 and count[owner == 0].tolist().count(2) == 1
+    model = toxicity.Ordinal(np.unique(names), np.ones(len(np.unique(names))), 0.0, np.zeros(3))
+    n2, _, p = model.scores(["Ok ok, x 42", "漢字" * 30, None, "w" * 45, "unknown"])
+    line = np.bincount(owner, np.log1p(count), 4)
+    assert n2.tolist() == [4, 1, 0, 1, 1] and np.allclose(p[[0, 1, 3, 4], 0], 1 / (1 + np.exp(-np.append(line[[0, 1, 3]], 0)))) and p[2, 0] == 0
     assert (owner == 1).sum() >= 3 and (owner == 3).sum() == 2 and not (owner == 2).any()
 
 
@@ -511,6 +515,7 @@ def test_ordinal_gradient_and_likelihood():
     row, col = np.nonzero(dense)
     x = toxicity.Sparse(row, col, dense[row, col], dense.shape)
     y, theta, balance = rng.integers(0, 4, 30), rng.standard_normal(6 + 3) / 2, rng.random(30)
+    dense = dense.astype(np.float32)
     value, grad = toxicity.likelihood(x, y, theta, 3, balance, 1e-2)
     cuts = theta[6] + np.concatenate([[0], np.cumsum(np.exp(theta[7:]))])
     total = -1e-2 / 2 * (theta[:6] ** 2).sum()
