@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import arrow_bounds, read, text_bytes
 
 SAMPLE = 8_000
+LEAST_SCALE = 1e-3
 GRADES = 3
 LIMIT = 0.7
 #: Words of more characters than ``LONG`` also give their parts.
@@ -156,7 +157,7 @@ class Sparse:
     """Rows of (column, value), with products for a fit."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, shape: tuple[int, int]) -> None:
-        self.row, self.col, self.value, self.shape = row.astype(np.int32), col.astype(np.int32), value.astype(np.float32), shape
+        self.row, self.col, self.value, self.shape = row, col, value.astype(np.float32), shape
 
     def times(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.col], self.shape[0])
@@ -182,7 +183,7 @@ def likelihood(x: Sparse, y: np.ndarray, theta: np.ndarray, grades: int, balance
     return float((balance * np.log(p)).sum() - l2 / 2 * (theta[:k] ** 2).sum()), grad
 
 
-def fit_ordinal(x: Sparse, y: np.ndarray, grades: int = GRADES, rounds: int = 250, rate: float = 0.1, l2: float = 2e-6):
+def fit_ordinal(x: Sparse, y: np.ndarray, grades: int = GRADES, rounds: int = 200, rate: float = 0.1, l2: float = 2e-6):
     """Weights and cuts by Adam; both labels weigh the same in sum."""
     theta = np.concatenate([np.zeros(x.shape[1]), [1.0], np.zeros(grades - 1)])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -239,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
     half, n = np.array([r["half"] for r in got]), np.array([r["n"] for r in got])
     each = [np.frombuffer(r["f"], np.uint64) for r in got]
     count = np.concatenate([np.frombuffer(r["c"], np.int32) for r in got])
-    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(f) for f in each])
+    row = np.repeat(np.arange(len(got)), [len(f) for f in each])
     m, every = len(got), np.concatenate(each)
     del got, each
     names, col = np.unique(every, return_inverse=True)
@@ -248,16 +249,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
     expected = np.bincount(col, minlength=len(names)) * share
     z = (np.bincount(col[toxic[row] == 1], minlength=len(names)) - expected) / np.sqrt(expected * (1 - share) + 1)
     scale = z**4 / (z**4 + 4.0**4)
+    # Words scaled below ``LEAST_SCALE`` can't move a score: they keep weight 0.
+    used = np.flatnonzero(scale >= LEAST_SCALE)
+    place = np.full(len(names), -1)
+    place[used] = np.arange(len(used))
+    at = place[col] >= 0
     x = Sparse(
-        np.concatenate([row, np.arange(m)]), np.concatenate([col, np.full(m, len(names))]),
-        np.concatenate([np.log1p(count) * scale[col], length_feature(n)]), (m, len(names) + 1),
+        np.concatenate([row[at], np.arange(m)]), np.concatenate([place[col[at]], np.full(m, len(used))]),
+        np.concatenate([np.log1p(count[at]) * scale[col[at]], length_feature(n)]), (m, len(used) + 1),
     )
     severity = held_out_severity(row, col, toxic, half, len(names))
     y = toxic.copy()
     cuts = np.quantile(severity[toxic == 1], np.arange(1, GRADES) / GRADES)
     y[toxic == 1] = 1 + np.searchsorted(cuts, severity[toxic == 1], side="left")
     weights, cuts = fit_ordinal(x, y)
-    return Ordinal(names, weights[:-1] * scale, float(weights[-1]), cuts)
+    return Ordinal(names[used], weights[:-1] * scale[used], float(weights[-1]), cuts)
 
 
 def score(docs: DataFrame, model: Ordinal | None, limit: float = LIMIT) -> DataFrame:
