@@ -109,14 +109,14 @@ class Ordinal:
         """Words, words of weight, and the odds of each grade or more, of each text."""
         if self.places is None:
             self.places = _Places(self.names)
-        look, others, m = self.places.__getitem__, len(self.names), len(texts)
-        n, found = np.zeros(m, np.int64), []
-        for i, t in enumerate(texts):
-            words = text_bytes(t).split()
-            n[i] = len(words)
+        others, m = len(self.names), len(texts)
+        split = [text_bytes(t).split() for t in texts]
+        self.places.learn({w for words in split for w in words})
+        look, n, found = self.places.__getitem__, np.array([len(w) for w in split], np.int64), []
+        for i, words in enumerate(split):
             at = np.fromiter(map(look, words), np.int64, len(words))
             if (at < 0).any():  # words of several features
-                more = [place for w in words if look(w) < 0 for place in self.places.several(w)]
+                more = [place for w in words if look(w) < 0 for place in self.places.several[w]]
                 at = np.concatenate([at[at >= 0], np.array(more, np.int64)])
             found.append(at + i * (others + 1))
         key, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
@@ -129,28 +129,31 @@ class Ordinal:
 
 class _Places(dict):
     """Places of words in a model's names, the number of names for others, and -1 for
-    words of several features; emptied when full."""
+    words of several features, whose places are in ``several``."""
 
     limit = 60_000
 
     def __init__(self, names: np.ndarray) -> None:
-        self.names = names
-
-    def several(self, word: bytes) -> list[int]:
-        got = np.array([xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) for f in word_features(word)], np.uint64)
-        if not len(self.names):
-            return [0] * len(got)
-        at = np.minimum(np.searchsorted(self.names, got), len(self.names) - 1)
-        return np.where(self.names[at] == got, at, len(self.names)).tolist()
-
-    def __missing__(self, word: bytes) -> int:
-        got = self.several(word)
-        place = got[0] if len(got) == 1 else -1
-        if len(word) <= 4 * LONG:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = place
-        return place
+        self.names, self.several = names, {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Have all ``words``; if that is too many, forget others."""
+        if len(self) > self.limit:
+            self.clear()
+            self.several.clear()
+        new = [w for w in words if w not in self]
+        each = [[xxhash.xxh3_64_intdigest(f.encode("utf-8", "surrogatepass")) for f in word_features(w)] for w in new]
+        got = np.array([f for e in each for f in e], np.uint64)
+        places = np.full(len(got), len(self.names))
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, got), len(self.names) - 1)
+            places = np.where(self.names[at] == got, at, places)
+        lo = 0
+        for w, e, first in zip(new, each, places[np.cumsum([0, *map(len, each)])[:-1]].tolist() if new else [], strict=True):
+            self[w] = first if len(e) == 1 else -1
+            if len(e) > 1:
+                self.several[w] = places[lo : lo + len(e)].tolist()
+            lo += len(e)
 
 
 class Sparse:
