@@ -51,7 +51,7 @@ class Encoder:
     and merged by the same ranks in a second, faster library: a byte that no text
     has stands for the end of a word. All others go through the tokenizer."""
 
-    limit, longest = 600_000, 48
+    limit, longest = 150_000, 48
     end = b"\xff"
 
     def __init__(self, path: str) -> None:
