@@ -182,15 +182,26 @@ def _residual(x: np.ndarray, y: np.ndarray) -> float:
 
 def keypoint_split(distance: np.ndarray, height: np.ndarray, slope: np.ndarray, run: int = 6, drop: float = 3.0) -> tuple[int, float] | None:
     """The place where two straight lines fit a profile best, among those where
-    the mean slope over ``run`` cells falls by ``drop`` percent."""
-    best = None
-    for k in range(run, len(distance) - run):
-        fall = float(slope[k - run : k].mean() - slope[k : k + run].mean())
-        if fall >= drop:
-            sse = _residual(distance[: k + 1], height[: k + 1]) + _residual(distance[k:], height[k:])
-            if best is None or sse < best[0]:
-                best = sse, k, fall
-    return None if best is None else (best[1], best[2])
+    the mean slope over ``run`` cells falls by ``drop`` percent. Running sums give
+    the residuals of all splits at once."""
+    n = len(distance)
+    at = np.arange(run, n - run)
+    if not len(at):
+        return None
+    level = np.concatenate([[0.0], np.cumsum(slope)])
+    fall = (2 * level[at] - level[at - run] - level[at + run]) / run
+    x, y = distance - np.mean(distance), height - np.mean(height)
+    sums = np.concatenate([np.zeros((5, 1)), np.cumsum(np.stack([x, y, x * x, x * y, y * y]), axis=1)], axis=1)
+
+    def residual(part: np.ndarray, count: np.ndarray) -> np.ndarray:
+        sx, sy, xx, xy, yy = part
+        xx, xy, yy = xx - sx * sx / count, xy - sx * sy / count, yy - sy * sy / count
+        return np.maximum(yy - np.divide(xy * xy, xx, out=np.zeros_like(xx), where=xx > 1e-12), 0)
+
+    whole = residual(sums[:, at + 1], at + 1) + residual(sums[:, [n]] - sums[:, at], n - at)
+    whole = np.where(fall >= drop, whole, np.inf)
+    k = int(np.argmin(whole))
+    return (int(at[k]), float(fall[k])) if np.isfinite(whole[k]) else None
 
 
 def keypoints(z: np.ndarray, px: float, py: float, smooth: int = 5, run: int = 6, drop: float = 3.0, artefact: float = 0.15, **valley) -> list[dict]:
@@ -376,13 +387,16 @@ def road_network(
 ) -> dict:
     """Branches from the anchor, each the best of least cost per acre that it newly
     serves within ``radius``, until the next would need more than ``per_acre``
-    metres an acre; then one way to water if short enough."""
+    metres an acre; then one way to water if short enough. The first branch is the
+    trunk, others are spurs; each tells the branch that it joins."""
     from .grid import disc
 
     cost = cost.copy()
     element = disc(radius, px, py)
     acre = px * py / 4046.8564224
-    served, taken, out, stop = np.zeros(demand.shape, bool), {anchor}, [], "all_served"
+    served, taken, out = np.zeros(demand.shape, bool), {anchor}, []
+    stop = "all_demand_served" if demand.any() else "no_demand"
+    owner: dict[tuple[int, int], int] = {}
 
     def serves(cells) -> np.ndarray:
         hit = np.zeros(demand.shape, bool)
@@ -425,32 +439,38 @@ def road_network(
                         covered[n] -= 1
                         gain -= covered[n] == 0
         if best is None:
-            stop = "unreachable"
+            stop = "no_reachable_demand"
             break
         cells = route(before, best[2])
         fresh = serves(cells) & ~served
         meters = length(cells)
         if not fresh.any() or meters / (fresh.sum() * acre) > per_acre:
-            stop = "too_far_for_what_it_serves"
+            stop = "cost_per_acre_exceeded"
             break
-        _accept(cells, taken, out, cost, reuse, meters, float(fresh.sum() * acre), "production")
+        _accept(cells, taken, owner, out, cost, reuse, meters, float(fresh.sum() * acre), "spur" if out else "trunk", float(total[best[2]]))
         served |= fresh
     if water:
         total, before, reached = cost_field(cost, [anchor], px, py, set(water))
         if reached is not None and length(route(before, reached)) <= spur:
             cells = route(before, reached)
-            _accept(cells, taken, out, cost, reuse, length(cells), 0.0, "water")
-    return {"branches": out, "cells": taken, "unserved_acres": float((demand & ~served).sum() * acre), "stop_reason": stop}
+            _accept(cells, taken, owner, out, cost, reuse, length(cells), 0.0, "water_spur", float(total[reached]))
+    return {
+        "branches": out, "cells": taken, "total_length_meters": float(sum(b["meters"] for b in out)), "total_served_acres": float((demand & served).sum() * acre),
+        "unserved_acres": float((demand & ~served).sum() * acre), "stop_reason": stop,
+    }
 
 
-def _accept(cells, taken, out, cost, reuse, meters, acres, serves) -> None:
+def _accept(cells, taken, owner, out, cost, reuse, meters, acres, role, total) -> None:
     start = 0
     while start + 1 < len(cells) and cells[start + 1] in taken:
         start += 1
     taken.update(cells)
     for c in cells:
         cost[c] = reuse
-    out.append({"branch_id": len(out), "cells": cells[start:], "meters": meters, "served_acres": acres, "serves": serves})
+    joins = owner.get(cells[start])
+    for c in cells[start:]:
+        owner.setdefault(c, len(out))
+    out.append({"branch_id": len(out), "cells": cells[start:], "meters": meters, "served_acres": acres, "branch_role": role, "joins_branch_index": joins, "total_cost": total})
 
 
 # --- lines and polygons ---------------------------------------------------------------

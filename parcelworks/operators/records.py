@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import factors as X
 
 
-def climate_summary(daily: DataFrame, key: str = "parcel_id") -> DataFrame:
-    """One row a parcel of its daily series (gaps are null)."""
+def climate_summary(daily: DataFrame, key: str = "parcel_id", span: int | None = None) -> DataFrame:
+    """One row a parcel of its daily series (gaps are null). ``span``: the years that
+    were asked for; else from the first year to the last, years without rows too."""
     pair = F.col("wind_speed").isNotNull() & F.col("wind_dir").isNotNull()
-    years = F.count_distinct(F.year("date"))
+    years = (F.max(F.year("date")) - F.min(F.year("date")) + 1).cast("long") if span is None else F.max(F.lit(span)).cast("long")
     wind = X.circular_mean(F.when(pair, F.col("wind_dir")), F.when(pair, F.col("wind_speed")))
     return daily.groupBy(key).agg(
         wind.alias("wind_deg"), (F.sum("precip") / years).alias("annual_precip_mm"), F.max("precip").alias("max_precip_mm"),
@@ -63,7 +64,9 @@ def name_or(default: str, *columns: str) -> Column:
 def farm_roads(features: DataFrame, layers: tuple[int, ...] = (30, 31, 32)) -> DataFrame:
     """Roads of the layers, each geometry once (the first layer's), named."""
     w = Window.partitionBy("geometry").orderBy("layer", "name", "fullname")
-    once = features.where(F.col("layer").isin(*layers)).withColumn("_n", F.row_number().over(w)).where("_n = 1 AND geometry IS NOT NULL")
+    # Those without a geometry would all be one group.
+    real = features.where(F.col("layer").isin(*layers) & F.col("geometry").isNotNull())
+    once = real.withColumn("_n", F.row_number().over(w)).where("_n = 1")
     return once.select(name_or("Unnamed road", "name", "fullname").alias("name"), "layer", "geometry")
 
 

@@ -86,7 +86,7 @@ def production_section(narratives: DataFrame, key: str = "parcel_id") -> DataFra
 def road_section(branches: DataFrame, key: str = "parcel_id") -> DataFrame:
     """``branches``: branch_id, meters, served_acres, stop_reason, a row a cell; an
     unknown reason is an error."""
-    words = {"all_served": "all production is served", "unreachable": "the rest can't be reached", "too_far_for_what_it_serves": "the next branch would be too long for what it serves"}
+    words = {"no_demand": "there is no production to serve", "all_demand_served": "all production is served", "no_reachable_demand": "the rest can't be reached", "cost_per_acre_exceeded": "the next branch would be too long for what it serves"}
     why = None
     for k, v in words.items():
         why = F.when(F.col("stop_reason") == k, v) if why is None else why.when(F.col("stop_reason") == k, v)

@@ -143,16 +143,21 @@ def tree_patches(cells: DataFrame, px: float, py: float, least_acres: float = 0.
 
 def solar_candidates(points: DataFrame, cells: DataFrame, acres: float = 0.1, most_slope: float = 20.0, least: float = 0.4, top: int = 5) -> DataFrame:
     """Lattice points with the mean of the cells of a square about them. ``cells``
-    have x, y, slope_pct, aspect_deg, shading_score; ``points`` point_id, x, y and
-    production_distance. The square is met by bins of its side: an equi-join."""
+    have x, y, slope_pct, aspect_deg, shading_score and may have ``canopy``, which
+    rules out each square that it touches; ``points`` point_id, x, y and
+    production_distance. The aspect is the circular mean of the cells that have one, a
+    square without shading has 0.5. The square is met by bins of its side: an
+    equi-join."""
     from .records import within
 
     half = math.sqrt(acres * X.SQUARE_METERS_PER_ACRE) / 2
     near = within(points, cells, half * math.sqrt(2))
     near = near.where((F.abs(F.col("l_x") - F.col("r_x")) <= half) & (F.abs(F.col("l_y") - F.col("r_y")) <= half))
     got = near.groupBy("parcel_id", F.col("l_point_id").alias("point_id"), F.col("l_production_distance").alias("production_distance")).agg(
-        F.avg("r_slope_pct").alias("slope_pct"), F.avg(X.aspect_score(F.col("r_aspect_deg"))).alias("aspect_factor"), F.avg("r_shading_score").alias("shading_factor"), F.count(F.lit(1)).alias("n_cells")
-    )
+        F.avg("r_slope_pct").alias("slope_pct"), X.aspect_score(X.circular_mean(F.col("r_aspect_deg"))).alias("aspect_factor"),
+        F.coalesce(F.avg("r_shading_score"), F.lit(0.5)).alias("shading_factor"), F.count(F.lit(1)).alias("n_cells"),
+        F.max(F.coalesce(F.col("r_canopy"), F.lit(False)) if "r_canopy" in near.columns else F.lit(False)).alias("_canopy"),
+    ).where("NOT _canopy").drop("_canopy")
     score = 0.25 * (X.solar_slope_score(F.col("slope_pct"), most_slope) + F.col("aspect_factor") + F.col("shading_factor") + X.production_proximity(F.col("production_distance")))
     got = got.withColumn("score", score).where((F.col("slope_pct") <= most_slope) & (F.col("score") >= least))
     return ranked(got, "point_id").where(F.col("rank") <= top)

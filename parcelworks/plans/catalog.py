@@ -110,8 +110,8 @@ _WIND = "wind_dir IS NOT NULL AND wind_speed IS NOT NULL"
   {_LABELS}[CAST(round_even(wind_deg / 22.5, 0) AS INT) % 16 + 1] AS wind_label, round(annual_precip_mm, 8) AS annual_precip_mm, max_precip_mm,
   round(avg_high_c, 8) AS avg_high_c, round(avg_low_c, 8) AS avg_low_c, record_high_c, record_low_c, years_analyzed FROM (
   SELECT parcel_id, (degrees(atan2(sum(sin(radians(wind_dir)) * wind_speed) FILTER ({_WIND}), sum(cos(radians(wind_dir)) * wind_speed) FILTER ({_WIND}))) + 360) % 360 AS wind_deg,
-    sum(precip) / count(DISTINCT year(date)) AS annual_precip_mm, max(precip) AS max_precip_mm, avg(tmax) AS avg_high_c, avg(tmin) AS avg_low_c,
-    max(tmax) AS record_high_c, min(tmin) AS record_low_c, count(DISTINCT year(date)) AS years_analyzed FROM climate GROUP BY parcel_id)""")
+    sum(precip) / (max(year(date)) - min(year(date)) + 1) AS annual_precip_mm, max(precip) AS max_precip_mm, avg(tmax) AS avg_high_c, avg(tmin) AS avg_low_c,
+    max(tmax) AS record_high_c, min(tmin) AS record_low_c, CAST(max(year(date)) - min(year(date)) + 1 AS BIGINT) AS years_analyzed FROM climate GROUP BY parcel_id)""")
 def climate_summary(spark, sf):
     got = records.climate_summary(V.climate(spark, sf))
     return got.select("parcel_id", "wind_label", "max_precip_mm", "record_high_c", "record_low_c", "years_analyzed", *rounded("wind_deg", "annual_precip_mm", "avg_high_c", "avg_low_c"))
@@ -515,18 +515,37 @@ def cost_raster(spark, sf):
 
 
 def _network(pdf: pd.DataFrame) -> pd.DataFrame:
+    got = _routed(pdf)
+    rows = [
+        (b["branch_id"], s, r, c, b["meters"], b["served_acres"], b["branch_role"], b["joins_branch_index"], b["total_cost"], got["stop_reason"])
+        for b in got["branches"] for s, (r, c) in enumerate(b["cells"])
+    ]
+    out = pd.DataFrame(rows, columns=["branch_id", "seq", "r", "c", "meters", "served_acres", "branch_role", "joins_branch_index", "total_cost", "stop_reason"])
+    return out.astype({"joins_branch_index": "Int32"})
+
+
+def _routed(pdf: pd.DataFrame) -> dict:
     cost = kernels.to_grid(pdf, "cost")
     cost = np.where(np.isnan(cost), np.inf, cost)
     demand = kernels.to_grid(pdf, "eligible") > 0
     open_ = np.argwhere(np.isfinite(cost))
-    got = kernels.road_network(cost, tuple(map(int, open_[-1])), demand, PX, PY, radius=20.0, per_acre=2000.0)
-    rows = [(b["branch_id"], s, r, c, b["meters"], b["served_acres"], got["stop_reason"]) for b in got["branches"] for s, (r, c) in enumerate(b["cells"])]
-    return pd.DataFrame(rows, columns=["branch_id", "seq", "r", "c", "meters", "served_acres", "stop_reason"])
+    return kernels.road_network(cost, tuple(map(int, open_[-1])), demand, PX, PY, radius=20.0, per_acre=2000.0)
+
+
+def _road_totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    got = _routed(pdf)
+    return pd.DataFrame([(len(got["branches"]), got["total_length_meters"], got["total_served_acres"], got["unserved_acres"], got["stop_reason"])], columns=["n_branches", "total_length_meters", "total_served_acres", "unserved_acres", "stop_reason"])
 
 
 @query("road_network")
 def road_network(spark, sf):
-    return kernels.per_parcel(cost_cells(spark, sf).select(*grid.KEY, "cost", "eligible"), _network, "branch_id int, seq int, r int, c int, meters double, served_acres double, stop_reason string")
+    return kernels.per_parcel(cost_cells(spark, sf).select(*grid.KEY, "cost", "eligible"), _network, "branch_id int, seq int, r int, c int, meters double, served_acres double, branch_role string, joins_branch_index int, total_cost double, stop_reason string")
+
+
+@query("road_totals")
+def road_totals(spark, sf):
+    """A row per parcel, those without branches too."""
+    return kernels.per_parcel(cost_cells(spark, sf).select(*grid.KEY, "cost", "eligible"), _road_totals, "n_branches int, total_length_meters double, total_served_acres double, unserved_acres double, stop_reason string")
 
 
 def _field(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -90,7 +90,7 @@ MAPUNITS = """mapunits AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS mukey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'All areas are prime farmland'
     WHEN '2' THEN 'Prime farmland if drained' WHEN '3' THEN NULL ELSE 'Not prime farmland' END AS farmlndcl,
     CAST(o_custkey % 50 AS VARCHAR) AS parcel_id, 'POINT (' || o_custkey || ')' AS geometry, o_orderstatus
-  FROM orders WHERE o_orderkey < 5000)"""
+  FROM orders)"""
 
 
 def climate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,4 +161,4 @@ ZONES = """zones AS (
     l_discount * 8 AS coverage, CASE l_partkey % 4 WHEN 0 THEN '46006' WHEN 1 THEN '46003' WHEN 2 THEN '46007' ELSE NULL END AS fcode,
     CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_partkey % 400 AS DOUBLE) END AS stream_distance,
     CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE l_quantity * 0.7 END AS terrain_gradient, l_quantity / 4 AS acres
-  FROM lineitem WHERE l_orderkey < 400)"""
+  FROM lineitem)"""

@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from parcelworks.plans import catalog
 from parcelworks.plans import views as V
@@ -42,22 +43,32 @@ def test_same_as_duckdb(spark, con, name):
     assert rows == oracle
 
 
-@pytest.mark.parametrize("name", ["water_suitability", "selected_water_zone"])
-def test_water_zones_are_of_all_rows(spark, con, name):
-    """The registered SQL still holds only rows with l_orderkey < 400; without that
-    filter it gives what the query gives."""
-    cut = " WHERE l_orderkey < 400"
-    assert catalog.ORACLE[name].count(cut) == 1
-    got = catalog.QUERIES[name](spark, SF)
-    want = con.execute(catalog.ORACLE[name].replace(cut, ""))
-    names, cols = [d[0] for d in want.description], sorted(got.columns)
-    rows = sorted(str([plain(r[c]) for c in cols]) for r in got.collect())
-    assert rows == sorted(str([plain(dict(zip(names, r, strict=True))[c]) for c in cols]) for r in want.fetchall())
-
-
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_runs(spark, con, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_solar_takes_the_circular_mean_of_aspects(spark):
+    """East and west cancel out or lie about south; a missing aspect says nothing, and
+    canopy rules a square out."""
+    from parcelworks.operators import scoring
+
+    cells = [("p", 1.0, 1.0, 5.0, 100.0, 0.5, False), ("p", 2.0, 1.0, 5.0, 260.0, None, False), ("p", 3.0, 1.0, 5.0, None, None, False)]
+    cells += [("q", 1.0, 1.0, 5.0, 180.0, 1.0, True)]
+    table = spark.createDataFrame(cells, "parcel_id string, x double, y double, slope_pct double, aspect_deg double, shading_score double, canopy boolean")
+    points = spark.createDataFrame([("p", 1, 2.0, 1.0, 0.0), ("q", 1, 1.0, 1.0, 0.0)], "parcel_id string, point_id int, x double, y double, production_distance double")
+    got = scoring.solar_candidates(points, table).collect()
+    south = scoring.solar_candidates(points, table.where("parcel_id = 'p'").fillna({"aspect_deg": 180.0}).withColumn("aspect_deg", F.lit(180.0))).collect()
+    assert [r["parcel_id"] for r in got] == ["p"] and got[0]["aspect_factor"] == pytest.approx(south[0]["aspect_factor"]) and got[0]["shading_factor"] == 0.5
+
+
+def test_a_year_without_rows_counts(spark):
+    from parcelworks.operators import records
+
+    rows = [("p", f"{y}-05-01", 10.0, 5.0, 100.0, 3.0, 90.0) for y in (2020, 2022)]
+    table = spark.createDataFrame(rows, "parcel_id string, date string, tmax double, tmin double, precip double, wind_speed double, wind_dir double").withColumn("date", F.to_date("date"))
+    assert [(r["years_analyzed"], round(r["annual_precip_mm"], 6)) for r in records.climate_summary(table).collect()] == [(3, round(200 / 3, 6))]
+    assert records.climate_summary(table, span=10).first()["annual_precip_mm"] == 20.0
 
 
 def test_map_units_are_of_all_orders(spark, tmp_path):

@@ -86,14 +86,57 @@ def test_road_serves_a_block_with_one_trunk():
     demand = np.zeros((80, 80), bool)
     demand[35:45, 22:32] = True
     got = kernels.road_network(np.ones((80, 80)), (40, 0), demand, 5, 5, radius=50, per_acre=1000)
-    assert got["unserved_acres"] == 0 and got["stop_reason"] == "all_served"
+    assert got["unserved_acres"] == 0 and got["stop_reason"] == "all_demand_served"
+    assert got["branches"][0]["branch_role"] == "trunk" and got["branches"][0]["joins_branch_index"] is None
+    assert got["total_length_meters"] == pytest.approx(sum(b["meters"] for b in got["branches"])) and got["total_served_acres"] == pytest.approx(100 * 25 / 4046.8564224)
     assert kernels.road_network(np.ones((80, 80)), (40, 0), demand, 5, 5, radius=50, per_acre=1000) == got
 
 
+def test_why_a_road_network_stops():
+    flat, none = np.ones((40, 40)), np.zeros((40, 40), bool)
+    block = none.copy()
+    block[18:22, 30:34] = True
+    walled = flat.copy()
+    walled[:, 15] = np.inf
+
+    def stop(cost, demand, **kw):
+        return kernels.road_network(cost, (20, 0), demand, 5, 5, **{"radius": 20, "per_acre": 1e6} | kw)["stop_reason"]
+
+    assert stop(flat, none) == "no_demand" and stop(flat, block, radius=200) == "all_demand_served"
+    assert stop(walled, block) == "no_reachable_demand" and stop(flat, block, per_acre=1) == "cost_per_acre_exceeded"
+
+
+def test_branches_join_and_water_is_last():
+    demand = np.zeros((40, 60), bool)
+    demand[2:6, 50:54] = demand[34:38, 50:54] = True
+    got = kernels.road_network(np.ones((40, 60)), (20, 0), demand, 5, 5, radius=20, per_acre=1e6, water=[(20, 8)])
+    roles = [b["branch_role"] for b in got["branches"]]
+    assert roles[0] == "trunk" and set(roles[1:-1]) == {"spur"} and roles[-1] == "water_spur"
+    for b in got["branches"][1:]:
+        assert b["cells"][0] in got["branches"][b["joins_branch_index"]]["cells"]
+    assert got["branches"][-1]["served_acres"] == 0 and got["total_length_meters"] == pytest.approx(sum(b["meters"] for b in got["branches"]))
+
+
 def test_moving_average_shrinks_at_the_ends():
     assert kernels.moving_average(np.array([1.0, 2, 3, 4]), 3).tolist() == [1.5, 2, 3, 3.5]
 
 
+def test_keypoint_split_is_the_least_residual():
+    rng = np.random.default_rng(3)
+    for n in (12, 13, 30, 60):
+        d, slope = np.cumsum(rng.random(n) + 0.5), rng.random(n) * 20
+        z = np.cumsum(rng.standard_normal(n))
+        best = None
+        for k in range(6, n - 6):
+            fall = slope[k - 6 : k].mean() - slope[k : k + 6].mean()
+            if fall >= 0.1:
+                sse = sum(np.polyfit(a, b, 1, full=True)[1].sum() for a, b in ((d[: k + 1], z[: k + 1]), (d[k:], z[k:])))
+                if best is None or sse < best[0] - 1e-9:
+                    best = sse, k, fall
+        got = kernels.keypoint_split(d, z, slope, 6, 0.1)
+        assert (got is None) == (best is None) and (got is None or (got[0] == best[1] and got[1] == pytest.approx(best[2])))
+
+
 def test_keypoint_is_where_the_slope_breaks():
     d = np.arange(40.0)
     z = np.where(d < 20, 100 - d, 80 - 0.1 * (d - 20))
