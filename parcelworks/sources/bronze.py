@@ -75,7 +75,7 @@ def table_answer(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``{"Table": [[header], [row], ...]}`` answers; none without Table."""
     parsed = F.from_json("body", "Table array<array<string>>")["Table"]
     got = rows.select("request", parsed.alias("t")).where("t IS NOT NULL")
-    each = got.select("request", F.element_at("t", 1).alias("h"), F.explode(F.slice("t", 2, 1_000_000)).alias("r"))
+    each = got.select("request", F.element_at("t", 1).alias("h"), F.explode(F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0)))).alias("r"))
     picked = [F.try_element_at("r", F.nullif(F.array_position("h", F.lit(c)), F.lit(0)).cast("int")).alias(c) for c in columns]
     return each.where(F.size("h") > 0).select("request", *picked)
 
