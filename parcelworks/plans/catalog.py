@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
-from ..operators import features, grid, kernels, records, reports, scoring, soil
+from ..operators import features, grid, kernels, records, reports, scoring, sinks, soil
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,6 +669,47 @@ def smoothed_lines(spark, sf):
     return got.select("parcel_id", F.posexplode(X.chaikin(F.col("line"), 2)).alias("seq", "p")).select("parcel_id", "seq", "p.x", "p.y")
 
 
+@query("water_layer", """SELECT CAST(l_suppkey AS VARCHAR) AS parcel_id, 'nhd-' || CASE WHEN l_linenumber = 6 THEN 'streams' ELSE 'water_bodies' END || '-' || l_orderkey || '-' || l_linenumber AS id,
+  CASE WHEN l_linenumber = 6 THEN 'hydrology-streams' ELSE 'hydrology-water_bodies' END AS layer,
+  CASE WHEN l_returnflag <> 'N' THEN 'name ' || l_returnflag WHEN l_linenumber = 6 THEN 'Unnamed stream' ELSE 'Unnamed water body' END AS label,
+  'medium' AS confidence, CAST(46000 + l_partkey % 9 AS VARCHAR) AS feature_code FROM lineitem WHERE l_linenumber IN (6, 7)""")
+def water_layer(spark, sf):
+    raw = V.table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("parcel_id"), F.when(F.col("l_linenumber") == 6, 6).when(F.col("l_linenumber") == 7, 12).otherwise(1).alias("layer"), F.lit(None).cast("string").alias("permanent_identifier"),
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("objectid"), F.when(F.col("l_returnflag") == "N", "").otherwise(F.concat(F.lit("name "), "l_returnflag")).alias("gnis_name"),
+        F.lit(None).cast("string").alias("gnis_id"), (46000 + F.col("l_partkey") % 9).cast("string").alias("fcode"), F.lit(None).cast("string").alias("reachcode"),
+        F.lit("Point").alias("geometry_type"), F.array(F.col("l_quantity"), F.col("l_discount")).alias("coordinates"),
+    )
+    got = sinks.water_layer(raw)
+    return got.select("parcel_id", "feature.id", "feature.properties.layer", "feature.properties.label", "feature.properties.confidence", "feature.properties.feature_code")
+
+
+@query("valley_layer")
+def valley_layer(spark, sf):
+    return features.collection(sinks.valley_layer(valleys(spark, sf), PX, PY))
+
+
+_NEAR = "near AS (SELECT a.parcel_id, a.point_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM points a LEFT JOIN points b ON a.parcel_id = b.parcel_id AND b.kind = 2 AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 107 WHERE a.kind = 0 GROUP BY a.parcel_id, a.point_id)"
+
+
+@query("zone_relationships", with_(V.POINTS, _NEAR) + "SELECT point_id, CASE WHEN coalesce(d <= 40, false) THEN 'inside' WHEN coalesce(d <= 80, false) THEN 'adjacent' ELSE 'outside' END AS relationship FROM near")
+def zone_relationships(spark, sf):
+    """Footprints as discs of 40 m about points, zones as points of kind 2."""
+    every = V.points(spark, sf)
+    mine = every.where("kind = 0")
+    near = records.within(mine, every.where("kind = 2"), 107.0).groupBy(F.col("l_point_id").alias("_p")).agg(F.min("distance").alias("d"))
+    got = mine.join(near, F.col("point_id") == F.col("_p"), "left")
+    return got.select("point_id", sinks.zone_relationship(F.col("d") <= 40, F.col("d"), 80.0).alias("relationship"))
+
+
+@query("prime_farmland_flags", with_(V.MAPUNITS) + """SELECT CAST(c_custkey AS VARCHAR) AS parcel_id, coalesce(p, false) AS prime_farmland_conflict,
+  CASE WHEN coalesce(p, false) THEN 'Prime' ELSE 'No pr' END AS note FROM customer LEFT JOIN (SELECT parcel_id, bool_or(coalesce(farmlndcl ILIKE '%prime%' AND NOT farmlndcl ILIKE 'not prime%', false)) AS p FROM mapunits GROUP BY parcel_id) u ON CAST(c_custkey AS VARCHAR) = u.parcel_id""")
+def prime_farmland_flags(spark, sf):
+    zones = V.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("parcel_id"))
+    got = sinks.prime_farmland_flags(zones, V.mapunits(spark, sf), X.is_prime_farmland(F.col("farmlndcl")))
+    return got.select("parcel_id", "prime_farmland_conflict", F.substring("prime_farmland_note", 1, 5).alias("note"))
+
+
 # --- whole plans -----------------------------------------------------------------------------
 
 @query("site_plan")

@@ -67,3 +67,23 @@ def test_features_are_checked(spark):
     bad = features.make_feature(F.lit("a"), "soil", F.lit("x"), F.lit("low"), F.lit(" "), F.lit("Point"), F.array(F.lit(1.0)))
     with pytest.raises(Exception, match="confidence_notes"):
         spark.range(1).select(bad.alias("f")).collect()
+
+
+def test_road_layer_numbers_each_geometry_once(spark):
+    from parcelworks.operators import sinks
+
+    rows = [("p", 31, "", "Long Lane", "g1", [[0.0, 0.0], [1.0, 1.0]]), ("p", 30, None, None, "g2", [[0.0, 0.0], [2.0, 1.0]]), ("p", 32, "again", None, "g1", [[0.0, 0.0], [1.0, 1.0]]), ("p", 30, "x", None, None, None), ("p", 7, "other layer", None, "g3", [[0.0, 0.0]])]
+    table = spark.createDataFrame(rows, "parcel_id string, layer int, name string, fullname string, geometry string, coordinates array<array<double>>")
+    got = {r["id"]: r for r in sinks.road_layer(table).select("feature.id", "feature.properties.*", "feature.geometry.coordinates").collect()}
+    assert {k: (r["label"], r["layer"], r["confidence"]) for k, r in got.items()} == {"farm-road-0": ("Unnamed road", "farm_road", "medium"), "farm-road-1": ("Long Lane", "farm_road", "medium")}
+    assert got["farm-road-1"]["coordinates"] == [[0.0, 0.0], [1.0, 1.0]]
+
+
+def test_prime_farmland_flags_drop_nothing(spark):
+    from parcelworks.operators import sinks
+
+    zones = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3), (None, 4)], "parcel_id string, zone int")
+    units = spark.createDataFrame([("p", "Prime farmland if drained"), ("p", None), ("q", "Not prime farmland")], "parcel_id string, farmlndcl string")
+    got = {r["zone"]: r for r in sinks.prime_farmland_flags(zones, units, X.is_prime_farmland(F.col("farmlndcl"))).collect()}
+    assert {k: r["prime_farmland_conflict"] for k, r in got.items()} == {1: True, 2: False, 3: False, 4: False}
+    assert got[1]["prime_farmland_note"] == sinks.PRIME_FOUND and got[4]["prime_farmland_note"] == sinks.PRIME_NONE
