@@ -13,8 +13,9 @@ best ``k`` per query, and a last step ranks those. Every vector is encoded.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part; neither do null ids; a query never finds rows of its own
-id; equal scores go to the smaller id; repeated vectors are separate rows;
-vectors of different lengths aren't compared; an empty table gives an empty one.
+id; equal scores go to the smaller id; repeated rows count once, as queries and as
+neighbours; equal vectors of different ids are neighbours of their own; vectors of
+different lengths aren't compared; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -93,10 +94,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     def usable(df: DataFrame) -> DataFrame:
         e = F.col("embedding").cast("array<double>")
         ok = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-        return df.select(F.col("vec_id").cast("long"), e.alias("v")).where(ok & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
+        rows = df.select(F.col("vec_id").cast("long"), e.alias("v")).where(ok & F.col("vec_id").isNotNull())
+        return rows.dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v"))
 
     spark = vectors.sparkSession
-    every, asked = usable(vectors), usable(queries)
+    every, asked = materialise(usable(vectors), "vectors"), materialise(usable(queries), "queries")
     sizes = every.groupBy("dim").count().collect()
     n = max([1, *(r["count"] for r in sizes)])
     blocks = max(math.ceil(n / BLOCK), min(partitions(spark), math.ceil(n / LEAST)))
