@@ -595,3 +595,36 @@ def utm(lon: np.ndarray, lat: np.ndarray, zone: int) -> tuple[np.ndarray, np.nda
     x = eta + sum(k * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, k in enumerate(alpha, 1))
     y = xi + sum(k * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, k in enumerate(alpha, 1))
     return 500_000 + 0.9996 * radius * x, 0.9996 * radius * y + np.where(np.asarray(lat) < 0, 1e7, 0.0)
+
+
+def ring_overlap(ax, ay, bx, by) -> float:
+    """Area that two simple rings share. Between neighbouring heights of corners and
+    crossings no edges cross, so the common width is linear there: its value half way
+    times the height is exact."""
+    a, b = np.column_stack([ax, ay]).astype(float), np.column_stack([bx, by]).astype(float)
+    if len(a) < 3 or len(b) < 3:
+        return 0.0
+    da, db = np.roll(a, -1, 0) - a, np.roll(b, -1, 0) - b
+    det = da[:, None, 0] * db[None, :, 1] - da[:, None, 1] * db[None, :, 0]
+    gap = b[None] - a[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[..., 0] * db[None, :, 1] - gap[..., 1] * db[None, :, 0]) / det
+    inside = np.isfinite(t) & (t >= 0) & (t <= 1)
+    crossings = (a[:, None, 1] + np.where(inside, t, 0) * da[:, None, 1])[inside]
+    low, high = max(a[:, 1].min(), b[:, 1].min()), min(a[:, 1].max(), b[:, 1].max())
+    levels = np.unique(np.concatenate([a[:, 1], b[:, 1], crossings]))
+    levels = levels[(levels >= low) & (levels <= high)]
+
+    def widths(ring, step, y):
+        hit = (ring[:, 1] <= y) != (ring[:, 1] + step[:, 1] <= y)
+        return ring[hit, 0] + (y - ring[hit, 1]) / step[hit, 1] * step[hit, 0]
+
+    total = 0.0
+    for y0, y1 in zip(levels[:-1], levels[1:], strict=True):
+        of_a, of_b = (widths(ring, step, (y0 + y1) / 2) for ring, step in ((a, da), (b, db)))
+        x = np.concatenate([of_a, of_b])
+        order = np.argsort(x, kind="stable")
+        is_a = order < len(of_a)
+        both = (np.cumsum(is_a) % 2 == 1) & (np.cumsum(~is_a) % 2 == 1)
+        total += float((np.diff(x[order]) * both[:-1]).sum()) * (y1 - y0)
+    return total

@@ -162,3 +162,42 @@ def residual_sum(points: DataFrame, keys: list[str], x: str, y: str) -> DataFram
     syy, sxy, sxx = F.regr_syy(y, x), F.regr_sxy(y, x), F.regr_sxx(y, x)
     rest = F.when(F.count(F.lit(1)) < 2, 0.0).when(sxx == 0, syy).otherwise(syy - F.try_divide(sxy * sxy, sxx))
     return points.groupBy(*keys).agg(rest.alias("residual"))
+
+
+# --- access points -----------------------------------------------------------------
+
+def edge_distance(points: DataFrame, rings: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """Points (x, y) with ``edge_distance``: to the nearest edge of their parcel's ring
+    (``ring_x``, ``ring_y``: arrays of its corners, closed by itself), null where the
+    parcel has none or a ring of no corners."""
+    n = F.size("ring_x")
+
+    def to_edge(i):
+        ends = [F.element_at("ring_x", i + 1), F.element_at("ring_y", i + 1), F.element_at("ring_x", (i + 1) % n + 1), F.element_at("ring_y", (i + 1) % n + 1)]
+        x0, y0, dx, dy = ends[0], ends[1], ends[2] - ends[0], ends[3] - ends[1]
+        along = F.try_divide((F.col("x") - x0) * dx + (F.col("y") - y0) * dy, dx * dx + dy * dy)
+        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(along, F.lit(0.0))))
+        return F.sqrt(F.pow(F.col("x") - x0 - t * dx, 2) + F.pow(F.col("y") - y0 - t * dy, 2))
+
+    joined = points.join(rings.select(key, "ring_x", "ring_y"), key, "left")
+    nearest_edge = F.when(n > 0, F.array_min(F.transform(F.sequence(F.lit(0), n - 1), to_edge)))
+    return joined.withColumn("edge_distance", nearest_edge).drop("ring_x", "ring_y")
+
+
+def validate_access_points(points: DataFrame, rings: DataFrame, tolerance: float = 3.0, key: str = "parcel_id") -> DataFrame:
+    """``points`` as they are; reading one that is further than ``tolerance`` metres
+    from its parcel's edge, or has no edge to be at, raises."""
+    far = F.coalesce(F.col("edge_distance") > tolerance, F.lit(True))
+    said = F.format_string("access point is %.1f m from the boundary (tolerance %.1f m)", F.col("edge_distance"), F.lit(tolerance))
+    checked = edge_distance(points, rings, key).withColumn("x", F.when(far, F.raise_error(said).cast("double")).otherwise(F.col("x")))
+    return checked.select(*points.columns)
+
+
+def snap_to_cells(points: DataFrame, cells: DataFrame, id_: str, px: float, py: float, origin_x: float, origin_y: float, key: str = "parcel_id") -> DataFrame:
+    """For each point (x, y) the cell (r, c) of finite ``cost`` nearest to it, counted in
+    cells, the first by rows on ties; null where its parcel has none."""
+    open_cells = cells.where(F.abs("cost") < float("inf")).select(key, "r", "c")
+    row, col = (F.lit(origin_y) - F.col("y")) / py - 0.5, (F.col("x") - origin_x) / px - 0.5
+    apart = (F.col("r") - row) * (F.col("r") - row) + (F.col("c") - col) * (F.col("c") - col)
+    best = F.min(F.when(F.col("r").isNotNull(), F.struct(apart.alias("d"), "r", "c"))).alias("m")
+    return points.join(open_cells, key, "left").groupBy(key, id_).agg(best).select(key, id_, F.col("m.r").alias("r"), F.col("m.c").alias("c"))

@@ -771,5 +771,41 @@ def site_reports(spark, sf):
     )
 
 
+# --- access points and soil under zones -----------------------------------------------------
+
+_CORNERS = ((0.0, 0.0), (100.0, 0.0), (100.0, 60.0), (40.0, 60.0), (40.0, 100.0), (0.0, 100.0))
+_EDGES = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True))
+
+
+@query("access_points", with_(V.ANCHORS) + f"""SELECT anchor_id, round(min(d), 6) + 0.0 AS edge_distance, min(d) <= 3 AS on_boundary FROM (
+  SELECT anchor_id, sqrt(pow(x - greatest(least(x0, x1), least(greatest(x0, x1), x)), 2) + pow(y - greatest(least(y0, y1), least(greatest(y0, y1), y)), 2)) AS d
+  FROM anchors, (VALUES {_EDGES}) AS e(x0, y0, x1, y1)) GROUP BY anchor_id""")
+def access_points(spark, sf):
+    points = V.anchors(spark, sf)
+    corner = [F.array(*[F.lit(p[i]) for p in _CORNERS]).alias(name) for i, name in enumerate(("ring_x", "ring_y"))]
+    rings = points.select("parcel_id").distinct().select("parcel_id", *corner)
+    got = records.edge_distance(points, rings)
+    return got.select("anchor_id", (F.round("edge_distance", 6) + 0.0).alias("edge_distance"), (F.col("edge_distance") <= 3).alias("on_boundary"))
+
+
+@query("snapped_anchors", with_(V.CELLS, V.ANCHORS) + f"""SELECT anchor_id, r, c FROM (
+  SELECT anchor_id, l.r, l.c, row_number() OVER (PARTITION BY anchor_id ORDER BY pow(l.r - (({V.SIDE * V.PY} - y) / {V.PY} - 0.5), 2) + pow(l.c - (x / {V.PX} - 0.5), 2), l.r, l.c) AS n
+  FROM anchors a LEFT JOIN (SELECT * FROM cells WHERE in_parcel AND NOT hydric) l USING (parcel_id)) WHERE n = 1""")
+def snapped_anchors(spark, sf):
+    cost = F.when(F.col("in_parcel") & ~F.col("hydric"), 1.0).otherwise(float("inf"))
+    cells = V.cells(spark, sf).withColumn("cost", cost)
+    return records.snap_to_cells(V.anchors(spark, sf), cells, "anchor_id", PX, PY, 0.0, V.SIDE * PY).select("anchor_id", "r", "c")
+
+
+@query("zone_conductivity", with_(V.RINGS) + """SELECT z.zone_id, round(any_value(s.ka / s.a), 6) AS ksat_r, round(any_value(CASE WHEN s.a > 0 THEN least(1.0, s.a / (z.w * z.h)) END), 6) AS coverage
+  FROM zone_rings z LEFT JOIN (
+    SELECT zone_id, sum(ksat * a) AS ka, CAST(sum(a) AS DOUBLE) AS a FROM (
+      SELECT zone_id, ksat, greatest(0, least(z.x + z.w, u.x + u.w) - greatest(z.x, u.x)) * greatest(0, least(z.y + z.h, u.y + u.h) - greatest(z.y, u.y)) AS a
+      FROM zone_rings z JOIN mapunit_rings u USING (parcel_id)) WHERE a > 0 GROUP BY zone_id) s USING (zone_id) GROUP BY z.zone_id""")
+def zone_conductivity(spark, sf):
+    got = soil.area_weighted_ksat(V.zone_rings(spark, sf), V.mapunit_rings(spark, sf), V.mapunit_ksat(spark, sf))
+    return got.select("zone_id", F.round("ksat_r", 6).alias("ksat_r"), F.round("coverage", 6).alias("coverage"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return production_scores(spark, sf_dir)

@@ -162,3 +162,45 @@ ZONES = """zones AS (
     CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_partkey % 400 AS DOUBLE) END AS stream_distance,
     CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE l_quantity * 0.7 END AS terrain_gradient, l_quantity / 4 AS acres
   FROM lineitem)"""
+
+
+def rectangle(x: F.Column, y: F.Column, w: F.Column, h: F.Column) -> list:
+    x, y, w, h = (v.cast("double") for v in (x, y, w, h))
+    return [F.array(x, x + w, x + w, x).alias("ring_x"), F.array(y, y, y + h, y + h).alias("ring_y")]
+
+
+def zone_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.floor(k / 150).cast("string").alias("parcel_id"), k.alias("zone_id"), *rectangle(k * 37 % 1000, k * 91 % 1000, 40 + k % 120, 40 + k * 7 % 90))
+
+
+def mapunit_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        F.floor(k / 10).cast("string").alias("parcel_id"), k.cast("string").alias("mukey"), *rectangle(k * 613 % 900, k * 271 % 900, 200 + k % 5 * 50, 200 + k % 3 * 60))
+
+
+def mapunit_ksat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.cast("string").alias("mukey"), F.when(k % 6 == 1, "n/a").otherwise((k % 150).cast("string")).alias("ksat_r"))
+
+
+RINGS = """zone_rings AS (
+  SELECT CAST(CAST(floor(c_custkey / 150.0) AS BIGINT) AS VARCHAR) AS parcel_id, c_custkey AS zone_id, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 1000 AS y,
+    40 + c_custkey % 120 AS w, 40 + c_custkey * 7 % 90 AS h FROM customer),
+mapunit_rings AS (
+  SELECT CAST(CAST(floor(s_suppkey / 10.0) AS BIGINT) AS VARCHAR) AS parcel_id, s_suppkey * 613 % 900 AS x, s_suppkey * 271 % 900 AS y,
+    200 + s_suppkey % 5 * 50 AS w, 200 + s_suppkey % 3 * 60 AS h, CAST(s_suppkey % 150 AS DOUBLE) AS ksat FROM supplier WHERE s_suppkey % 6 <> 1)"""
+
+
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access points about a parcel of 100 by 100 metres."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.floor(k / 300).cast("string").alias("parcel_id"), k.alias("anchor_id"), (k * 37 % 1040 / 10.0 - 2).alias("x"), (k * 53 % 1040 / 10.0 - 2).alias("y"))
+
+
+ANCHORS = """anchors AS (
+  SELECT CAST(CAST(floor(c_custkey / 300.0) AS BIGINT) AS VARCHAR) AS parcel_id, c_custkey AS anchor_id, CAST(c_custkey * 37 % 1040 AS DOUBLE) / 10.0 - 2 AS x,
+    CAST(c_custkey * 53 % 1040 AS DOUBLE) / 10.0 - 2 AS y FROM customer)"""

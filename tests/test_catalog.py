@@ -106,3 +106,34 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_soil_under_zones_of_any_shape(spark):
+    from parcelworks.operators import soil
+
+    ring = "ring_x array<double>, ring_y array<double>"
+    zones = [("p", "far", [900.0, 910.0, 910.0], [0.0, 0.0, 10.0]), ("p", "ell", [0.0, 600.0, 600.0, 300.0, 300.0, 0.0], [0.0, 0.0, 300.0, 300.0, 600.0, 600.0]), ("q", "none", [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])]
+    units = [("p", "1", [0.0, 600.0, 600.0, 0.0], [0.0, 0.0, 300.0, 300.0]), ("p", "2", [0.0, 600.0, 600.0, 0.0], [300.0, 300.0, 450.0, 450.0]), ("p", "3", [0.0, 600.0, 600.0], [450.0, 450.0, 600.0])]
+    got = soil.area_weighted_ksat(
+        spark.createDataFrame(zones, f"parcel_id string, zone_id string, {ring}"), spark.createDataFrame(units, f"parcel_id string, mukey string, {ring}"),
+        spark.createDataFrame([("1", "10"), ("2", "40"), ("3", "n/a")], "mukey string, ksat_r string"), bin_m=100.0,
+    )
+    rows = {r["zone_id"]: (r["ksat_r"], r["coverage"]) for r in got.collect()}
+    assert rows["far"] == rows["none"] == (None, None)
+    assert rows["ell"] == (pytest.approx((10 * 180000 + 40 * 45000) / 225000), pytest.approx(225000 / 270000))
+
+
+def test_access_points_and_snapping(spark):
+    from parcelworks.operators import records
+
+    points = spark.createDataFrame([("p", 1, 5.0, 2.0), ("p", 2, 5.0, 5.0), ("q", 3, 0.0, 0.0)], "parcel_id string, anchor_id int, x double, y double")
+    rings = spark.createDataFrame([("p", [0.0, 10.0, 10.0, 0.0], [0.0, 0.0, 10.0, 10.0])], "parcel_id string, ring_x array<double>, ring_y array<double>")
+    assert {r["anchor_id"]: r["edge_distance"] for r in records.edge_distance(points, rings).collect()} == {1: 2.0, 2: 5.0, 3: None}
+    assert records.validate_access_points(points.where("anchor_id = 1"), rings).collect() == points.where("anchor_id = 1").collect()
+    for bad in (2, 3):
+        with pytest.raises(Exception, match="access point"):
+            records.validate_access_points(points.where(f"anchor_id = {bad}"), rings).collect()
+    nan, inf = float("nan"), float("inf")
+    cells = spark.createDataFrame([("p", 0, 0, inf), ("p", 0, 1, 1.0), ("p", 1, 0, 2.0), ("p", 1, 1, nan), ("p", 0, 2, None), ("q", 0, 0, inf)], "parcel_id string, r int, c int, cost double")
+    got = {r["anchor_id"]: (r["r"], r["c"]) for r in records.snap_to_cells(points, cells, "anchor_id", 5.0, 5.0, 0.0, 10.0).collect()}
+    assert got == {1: (1, 0), 2: (0, 1), 3: (None, None)}

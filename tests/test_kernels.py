@@ -180,3 +180,37 @@ def test_flow_direction_agrees_with_the_kernel(spark):
     for row in got:
         want = k[row["r"], row["c"]]
         assert (row["to_r"], row["to_c"]) == ((None, None) if want < 0 else (row["r"] + kernels.STEPS[want][0], row["c"] + kernels.STEPS[want][1]))
+
+
+def test_ring_overlap():
+    square = ([0, 10, 10, 0], [0, 0, 10, 10])
+    ell = ([5, 20, 20, 12, 12, 5], [5, 5, 8, 8, 20, 20])
+    turned = ([20, 12, 12, 5, 5, 20], [8, 8, 20, 20, 5, 5])
+    diamond = ([5, 10, 5, 0], [0, 5, 10, 5])
+    assert kernels.ring_overlap(*square, *square) == pytest.approx(100)
+    assert kernels.ring_overlap(*square, *ell) == pytest.approx(25) == kernels.ring_overlap(*turned, *square)
+    assert kernels.ring_overlap(*square, *diamond) == pytest.approx(50)
+    assert kernels.ring_overlap(*ell, *diamond) == pytest.approx(12.5)
+    assert kernels.ring_overlap(*square, [10, 20, 20], [0, 0, 10]) == 0 == kernels.ring_overlap(*square, [1, 2], [1, 2])
+
+
+def test_ring_overlap_against_points():
+    """Star-shaped rings against the share of a fine grid's points inside both."""
+    rng = np.random.default_rng(5)
+
+    def inside(ring, x, y):
+        odd = np.zeros(x.shape, bool)
+        for (x0, y0), (x1, y1) in zip(ring, np.roll(ring, -1, 0), strict=True):
+            odd ^= ((y0 <= y) != (y1 <= y)) & (x < x0 + (y - y0) / (y1 - y0) * (x1 - x0))
+        return odd
+
+    side = (np.arange(600) + 0.5) / 100
+    x, y = np.meshgrid(side, side)
+    for _ in range(5):
+        rings = []
+        for _ in range(2):
+            turn, out = np.sort(rng.uniform(0, 2 * np.pi, 9)), rng.uniform(0.8, 2.5, 9)
+            rings.append(np.column_stack([3 + out * np.cos(turn), 3 + out * np.sin(turn)]))
+        a, b = rings
+        want = (inside(a, x, y) & inside(b, x, y)).mean() * 36
+        assert kernels.ring_overlap(*a.T, *b.T) == pytest.approx(want, abs=0.05)
