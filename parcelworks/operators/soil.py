@@ -28,8 +28,8 @@ def shallowest_mineral(components: DataFrame, horizons: DataFrame, value: str) -
     """``value`` of the horizons that start where a component's first mineral one
     does (its name not ``O...``; nulls don't count), one row a map unit: the
     component of the largest share."""
-    first = horizons.where("hzname NOT LIKE 'O%'").groupBy("cokey").agg(F.min("hzdept_r").alias("hzdept_r"))
-    at = horizons.join(first, ["cokey", "hzdept_r"]).groupBy("cokey").agg(F.max(value).alias(value))
+    first = F.min(F.when(~F.col("hzname").like("O%"), F.col("hzdept_r"))).over(Window.partitionBy("cokey"))
+    at = horizons.withColumn("_first", first).where("hzdept_r = _first").groupBy("cokey").agg(F.max(value).alias(value))
     w = Window.partitionBy("mukey").orderBy(X.number(F.col("comppct_r")).desc_nulls_last(), "compname", "cokey")
     joined = components.join(at, "cokey")
     return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("mukey", "compname", "comppct_r", value)
