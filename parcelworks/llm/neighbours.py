@@ -32,7 +32,8 @@ from .common import materialise, partitions, read
 K, EPSILON = 20, 3.0
 #: Rows of a block of vectors at most, and of a block of queries.
 BLOCK, QUERIES, LEAST = 32_768, 4_096, 4_096
-FIRST = 64
+#: Best estimates ranked exactly first: the k-th score among them is what bounds must reach.
+FIRST = 256
 
 
 def rotation(dim: int, seed: int = 11) -> np.ndarray:
@@ -57,30 +58,35 @@ def search_block(qid, queries, vid, vectors, centre, k: int = K, epsilon: float
     codes, length, dot = encode(vectors, centre, turn)
     signs = np.unpackbits(codes, axis=1)[:, :dim].astype(np.float32) * 2 - 1
     scale = (length / np.maximum(dot, 1e-9) / math.sqrt(dim)).astype(np.float32)
-    spread = length * np.sqrt(np.maximum(1 - dot**2, 0)) / np.maximum(dot, 1e-9) * epsilon / math.sqrt(max(dim - 1, 1))
+    spread = (length * np.sqrt(np.maximum(1 - dot**2, 0)) / np.maximum(dot, 1e-9) * epsilon / math.sqrt(max(dim - 1, 1)) + 1e-4).astype(np.float32)
     out = []
     turned = (queries @ turn.T).astype(np.float32)
     base = queries @ centre
     reach = np.linalg.norm(queries, axis=1)
+    far = np.linalg.norm(vectors, axis=1).max(initial=0)
+    # One buffer for all gathers: a fresh one for each query costs more than the products.
+    room, upper = np.empty_like(vectors), np.empty(len(vid), np.float32)
+
+    def exactly(some: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return np.take(vectors, some, axis=0, out=room[: len(some)], mode="clip") @ query
+
     for at in range(0, len(queries), 128):
-        rough = (turned[at : at + 128] @ signs.T) * scale + base[at : at + 128, None]
+        rough = (turned[at : at + 128] @ signs.T) * scale + base[at : at + 128, None].astype(np.float32)
         for i, estimate in enumerate(rough, start=at):
             own = vid == qid[i]
-            estimate = np.where(own, -np.inf, estimate)
-            some = min(FIRST, len(vid))
-            first = np.argpartition(-estimate, some - 1)[:some]
-            first = first[~own[first]]
-            score = vectors[first] @ queries[i]
-            if len(first) >= k:
-                floor = np.partition(score, len(score) - k)[len(score) - k]
-                rest = np.flatnonzero(estimate + spread * reach[i] + 1e-4 * reach[i] >= floor)
-                chosen = rest[~own[rest]]
-            else:
-                chosen = np.flatnonzero(~own)
+            estimate[own] = -np.inf
+            np.multiply(spread, np.float32(reach[i]), out=upper)
+            upper += estimate
+            chosen = np.flatnonzero(~own)
+            first = max(FIRST, k)
+            if len(chosen) > first:
+                score = exactly(np.argpartition(estimate, len(vid) - first)[-first:], queries[i])
+                chosen = chosen[~(upper[chosen] < np.partition(score, first - k)[first - k])]  # what overflowed stays
+            exact = exactly(chosen, queries[i])
+            if len(chosen) > 4 * k:  # all that may tie with the k-th stay
+                chosen = chosen[exact >= np.partition(exact, len(exact) - k)[len(exact) - k] - 1e-9 * reach[i] * far]
+            # Equal vectors must score equally, which a product of matrices doesn't promise.
             exact = np.einsum("ij,j->i", vectors[chosen], queries[i])
-            if len(chosen) > 4 * k:  # all that tie with the k-th stay
-                keep = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
-                chosen, exact = chosen[keep], exact[keep]
             order = np.lexsort((vid[chosen], -exact))[:k]
             out.append((np.full(len(order), qid[i]), vid[chosen][order], exact[order]))
     if not out:

@@ -658,3 +658,18 @@ def test_pipeline(spark, docs, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     one_each = {c for _, c in brute_jaccard(corpus()).values()}
     assert {r["doc_id"] for r in rows} <= one_each and rows
+
+
+def test_search_block_ties_and_large_values():
+    """Equal vectors score equally wherever they lie; overflowing estimates lose nothing."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((700, 24))
+    base[rng.integers(0, 700, 200)] = base[3]
+    for factor in (1.0, 1e30):
+        vectors, ids = base * factor, rng.permutation(700)
+        exact = np.einsum("ij,j->i", vectors, vectors[3])
+        want = [i for i in np.lexsort((ids, -exact)) if ids[i] != ids[3]][:20]
+        with np.errstate(all="ignore"):
+            _, got, score = neighbours.search_block(ids[3:4], vectors[3:4], ids, vectors, vectors.mean(0))
+        assert got.tolist() == ids[want].tolist()
+        assert score.tolist() == exact[want].tolist()
