@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from . import centroids, codes
+from .bytepair import op12_bytepair
+from .centroids import op11_centroids
+from .codes import op13_codes
 from .jaccard import op2_jaccard
 from .language import op1_language
 from .licenses import op6_licenses
 from .mixing import op4_mixing
-
 from .neighbours import op3_neighbours
 from .packing import op9_packing
 from .pii import op5_pii
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
+    "op11_centroids": op11_centroids,
+    "op12_bytepair": op12_bytepair,
+    "op13_codes": op13_codes,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_centroids": centroids.SQL, "op13_codes": codes.SQL}
