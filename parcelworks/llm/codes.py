@@ -31,8 +31,10 @@ from .centroids import digest, exact_type, finite, integers, largest
 from .common import discard, materialise, read
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
-#: Dimensions taken for all entries before the first mask; rows of a slice.
-DENSE, ROWS = 3, 4096
+#: Dimensions before the first mask; one entry in so many left ends whole rows of sums.
+PROBE, FEW = 3, 16
+#: Rows of a slice, of a batch.
+ROWS, BATCH = 128, 4096
 
 
 def cuts(dim: int, parts: int) -> list[int]:
@@ -42,32 +44,49 @@ def cuts(dim: int, parts: int) -> list[int]:
 def partial_distance(points: np.ndarray, book: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Nearest entry of each point, its squared distance, and the number of terms
     (squared differences) that were taken. ``last``: an entry to start from."""
-    n, dim = points.shape
     order = np.argsort(-book.astype(np.float64).var(axis=0), kind="stable")
     x, y = np.ascontiguousarray(points[:, order]), np.ascontiguousarray(book[:, order])
-    dense = min(DENSE, dim)
+    out = [_slice(x[at : at + ROWS], y, last[at : at + ROWS]) for at in range(0, len(x), ROWS)]
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    entry, far, taken = zip(*out, strict=True)
+    return np.concatenate(entry), np.concatenate(far), sum(taken)
+
+
+def _slice(x: np.ndarray, y: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Few enough rows that the table of sums stays in a core's cache. A whole row of
+    sums is added to at memory speed; a list of what the mask leaves costs far more an
+    entry, so the list is made once few entries are left."""
+    (n, dim), m = x.shape, len(y)
 
     def whole(entry: np.ndarray) -> np.ndarray:
         return ((x - y[entry]) ** 2).sum(1)
 
-    taken = n * (dim + dense * len(book))
-    best = whole(last)
-    sums = np.zeros((n, len(book)), x.dtype)
-    for j in range(dense):
-        step = x[:, j, None] - y[None, :, j]
-        sums += step * step
-    best = np.minimum(best, whole(sums.argmin(1)))
-    row, entry = np.nonzero(sums <= best[:, None])
+    best, taken = whole(last), n * dim
+    sums, step = np.zeros((n, m), x.dtype), np.empty((n, m), x.dtype)
+    for done in range(1, dim + 1):
+        np.subtract(x[:, done - 1, None], y[None, :, done - 1], out=step)
+        step *= step
+        sums += step
+        taken += n * m
+        if done == min(PROBE, dim) or done > PROBE and done % 2 == 0:
+            best = np.minimum(best, whole(sums.argmin(1)))
+            taken += n * dim
+            alive = sums <= best[:, None]
+            if np.count_nonzero(alive) * FEW < alive.size:
+                break
+    else:
+        alive = sums <= best[:, None]
+    row, entry = np.nonzero(alive)
     total = sums[row, entry]
-    for j in range(dense, dim):
-        step = x[row, j] - y[entry, j]
-        total += step * step
+    for j in range(done, dim):
+        term = x[row, j] - y[entry, j]
+        total += term * term
         taken += len(row)
         stays = total <= best[row]
         row, entry, total = row[stays], entry[stays], total[stays]
     # Rows come in order, entries within a row too: the first of the least wins.
-    starts = np.searchsorted(row, np.arange(n))
-    least = np.minimum.reduceat(total, starts) if n else total
+    least = np.minimum.reduceat(total, np.searchsorted(row, np.arange(n)))
     at = np.flatnonzero(total == least[row])
     at = at[np.searchsorted(row[at], np.arange(n))]
     return entry[at], least.astype(np.int64), taken
@@ -80,8 +99,8 @@ def assign(table: DataFrame, books: list[np.ndarray], kind: type) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
+            for at in range(0, batch.num_rows, BATCH):
+                b = batch.slice(at, BATCH)
                 v = b.column("v")
                 x = v.flatten().to_numpy().reshape(len(v), -1).astype(kind)
                 last = b.column("code").flatten().to_numpy().reshape(len(v), -1)
