@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     at = "file://" + tempfile.mkdtemp(prefix="parcelworks-checkpoint-")
     spark.sparkContext.setCheckpointDir(at)
     spark.conf.set("spark.checkpoint.dir", at)

@@ -614,8 +614,8 @@ def _near_one(sig: list[bytes], n: np.ndarray, at: int, to: np.ndarray) -> np.nd
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, of each component the one of the smallest doc_id. Rows of a
     null doc_id stay; rows that share the kept doc_id are one document and stay."""
-    found = classes(docs).where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    found = classes(docs).where("doc_id IS NOT NULL AND doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_semi").select(*["`" + c.replace("`", "``") + "`" for c in docs.columns])
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -238,8 +238,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_y"))
     rates = known.groupBy("_y").count().select("_y", F.least(F.lit(1.0), sample / 2 / F.col("count")).alias("_rate"))
     spot = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.join(F.broadcast(rates), "_y").where(spot < F.col("_rate")).select(F.col("doc_id").alias("_d"), "_y")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).select("_y", "doc_id", "text")
+    chosen = known.join(F.broadcast(rates), "_y").where(spot < F.col("_rate")).select("doc_id", "_y")
+    # Only what is read, so that no other column clashes; one text an id, so that the
+    # sample bounds rows too.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("_y").alias("_y"), F.min("text").alias("text"))
 
     def features(batches):
         for b in batches:

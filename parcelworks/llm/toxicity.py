@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bounds, read, text_bytes
+from .common import arrow_bounds, packed_row, read, text_bytes
 
 SAMPLE = 8_000
 LEAST_SCALE = 1e-3
@@ -219,8 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal | N
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_y"))
     rates = known.groupBy("_y").count().select("_y", F.least(F.lit(1.0), sample / 2 / F.col("count")).alias("_rate"))
     spot = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / (1 << 20)
-    chosen = known.join(F.broadcast(rates), "_y").where(spot < F.col("_rate")).select(F.col("doc_id").alias("_d"), "_y")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_d")).select(
+    chosen = known.join(F.broadcast(rates), "_y").where(spot < F.col("_rate")).select("doc_id", "_y")
+    # Only what is read, so that no other column clashes; one text an id, so that the
+    # sample bounds rows too.
+    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("_y").alias("_y"), F.min("text").alias("text"))
+    rows = one.select(
         F.col("_y").cast("int"), F.col("doc_id").cast("long"), F.col("text").cast("string"), F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int")
     )
 
@@ -292,13 +295,14 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     if model is None:
         return docs
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def keep(batches):
-        for part in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+        for b in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+            part = pa.RecordBatch.from_arrays(b.column(0).flatten(), names=names)
             yield part.filter(pa.array(model.scores(part.column(at).to_pylist())[2][:, 0] < LIMIT))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.select(packed_row(docs)).mapInArrow(keep, docs.schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

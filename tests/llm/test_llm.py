@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelworks.llm import jaccard, language, licenses, mixing, neighbours, packing, pii, quality, substrings, toxicity
+from parcelworks.llm.common import materialise
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = "the of ion ther en ou ab ti re wh ed ing mo ka".split()
@@ -410,7 +411,7 @@ def test_quality(spark, docs, empty):
     good = [" ".join(word(rng) for _ in range(30)) + "." for _ in range(60)]
     bad = [" ".join(word(rng).upper() + "!!" for _ in range(30)) for _ in range(60)]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(good + bad)] + [(500, None, None, None, None), (501, "", "en", "s", 0)]
-    table = spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("clash"))
+    table = spark.createDataFrame(rows + rows[:9], SCHEMA).withColumns({c: F.lit("clash") for c in ("kept", "_d", "_y", "_rate", "quality")})
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 120, 2)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.judge(table, quality.fit_chain(table, labels)).collect()}
     assert sum(got[i]["kept"] == (i < 60) for i in range(1, 120, 2)) >= 56
@@ -486,7 +487,7 @@ def test_toxicity(spark, empty):
         rows.append((i, " ".join(w), "en", "s", 1))
         labels.append((i, 1, i % 2))
     rows += [(900, None, None, None, None), (901, "", "en", "s", 0)]
-    table = spark.createDataFrame(rows, SCHEMA).withColumn("toxic", F.lit("clash"))
+    table = spark.createDataFrame(rows + rows[:9], SCHEMA).withColumns({c: F.lit("clash") for c in ("toxic", "_d", "_y", "_rate", "half")})
     known = spark.createDataFrame([x for x in labels if x[0] % 5] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(table, known)
     got = {r["doc_id"]: r for r in toxicity.score(table, model).collect()}
@@ -660,6 +661,23 @@ def test_pipeline(spark, docs, tmp_path):
     assert {r["doc_id"] for r in rows} <= one_each and rows
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, docs, tmp_path):
+    """Clashing columns, null ids and repeated rows through every stage."""
+    import corpus_pipeline
+
+    odd = docs.unionByName(docs.limit(5)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumns({c: F.lit(c) for c in ("_d", "_y", "_s", "_row", "s", "n", "a.b", "component_id", "size")})
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, i % 2) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == odd.columns, name
+        now = materialise(now)
+    assert now.where("doc_id IS NULL").count() >= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() > 0
+
+
 def test_search_block_ties_and_large_values():
     """Equal vectors score equally wherever they lie; overflowing estimates lose nothing."""
     rng = np.random.default_rng(5)
