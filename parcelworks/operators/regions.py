@@ -11,13 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import polygons as P
 
 RINGS = "array<array<array<double>>>"
+#: Shapes of one key that are held before they are united.
+HELD = 64
 
 # Metres of clearance of the reference's layers.
 FLOODPLAIN, CONTEXT, RELEVANCE = 30.0, 200.0, 75.0
@@ -27,22 +30,46 @@ PRODUCTION_SETBACK = 3.048
 
 
 def region(value) -> P.Region:
-    return [] if value is None else [np.stack([np.asarray(p, float) for p in r]) for r in value if len(r)]
-
-
-def rows(value: P.Region) -> list | None:
-    """As a column's value; null for no ground."""
-    return [r.tolist() for r in value] or None
+    return [] if value is None else [np.array(r, float) for r in value if len(r)]
+
+
+def decoded(column: pa.Array) -> list[P.Region]:
+    """Regions of a column, by its offsets: no corner becomes an object."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    rings = column.values
+    corners = rings.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    of_row, of_ring = column.offsets.to_numpy(), rings.offsets.to_numpy() - rings.offsets[0].as_py() if len(rings) else np.zeros(1, np.int64)
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    return [
+        [corners[of_ring[k] : of_ring[k + 1]] for k in range(a, b) if of_ring[k] < of_ring[k + 1]] if ok else []
+        for a, b, ok in zip(of_row[:-1].tolist(), of_row[1:].tolist(), known.tolist(), strict=True)
+    ]
+
+
+def encoded(values: list[P.Region]) -> pa.Array:
+    """A column of regions; no ground is null."""
+    rings = [r for v in values for r in v]
+    flat = np.concatenate(rings).ravel() if rings else np.zeros(0)
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rings])]).astype(np.int32)
+    rows = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    corners = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, 2, dtype=np.int32), flat)
+    none = pa.array([not v for v in values], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(rows), pa.ListArray.from_arrays(at, corners), mask=none)
 
 
 def with_region(df: DataFrame, name: str, fn: Callable[..., P.Region], *columns: str) -> DataFrame:
     """``fn`` of the regions in ``columns``, a row at a time."""
 
-    @F.pandas_udf(RINGS)
-    def apply(*values: pd.Series) -> pd.Series:
-        return pd.Series([rows(fn(*map(region, row))) for row in zip(*values, strict=True)], dtype=object)
+    def apply(*values: pa.Array) -> pa.Array:
+        return encoded([fn(*row) for row in zip(*map(decoded, values), strict=True)])
+
+    return df.withColumn(name, _once(apply, RINGS)(*columns))
 
-    return df.withColumn(name, apply(*columns))
+
+def _once(fn: Callable, kind: str):
+    """As an Arrow UDF that a filter above doesn't make run again."""
+    return F.arrow_udf(fn, kind, F.ArrowUDFType.SCALAR).asNondeterministic()
 
 
 def from_ring(x, y) -> Column:
@@ -77,46 +104,73 @@ def perimeter(rings) -> Column:
     return _over_rings(rings, lambda p, q, o: F.sqrt(F.pow(q[0] - p[0], 2) + F.pow(q[1] - p[1], 2)))
 
 
-def _fold(df: DataFrame, keys: list[str]) -> DataFrame:
+def _fold(df: DataFrame, keys: list[str], clean: bool) -> DataFrame:
     """Shapes of equal keys united: within batches before they are dealt by key, so
-    that a hot key sends outlines, and then per key."""
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + f", rings {RINGS}"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, part in pdf.groupby(keys, dropna=False, sort=False):
-            shapes = [region(v) for v in part["rings"]]
-            found.append((*part[keys].iloc[0], rows(P.union(shapes) if len(shapes) > 1 else shapes[0])))
-        return pd.DataFrame(found, columns=[*keys, "rings"]).astype(dict(pdf.dtypes))
-
-    def early(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield fold(pdf)
-
-    return df.select(*keys, "rings").mapInPandas(early, schema).groupBy(*keys).applyInPandas(_cleaned(fold), schema)
-
+    that a hot key sends outlines, and then key after key down sorted partitions,
+    ``HELD`` shapes at a time, so that no key is ever held whole. Shapes that come
+    ``clean`` (no ring crosses) stay as they are where they are alone."""
+    schema = StructType([*(df.schema[k] for k in keys), StructField("rings", df.schema["rings"].dataType)])
 
-def _cleaned(fold):
-    """A lone shape may cross itself too: the last step unites whatever comes."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fold(pdf)
-        out["rings"] = [rows(P.union([region(v)])) for v in out["rings"]]
-        return out
+    def out(found: list, like: pa.RecordBatch) -> pa.RecordBatch:
+        names = [pa.array([k[i] for k, _ in found], like.schema.field(n).type) for i, n in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*names, encoded([v for _, v in found])], names=[*keys, "rings"])
 
-    return run
+    def shapes(batch: pa.RecordBatch):
+        return zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), decoded(batch.column("rings")), strict=True)
 
-
-def union_by(shapes: DataFrame, keys: list[str], bin_meters: float = 400.0) -> DataFrame:
+    def early(batches):
+        for b in batches:
+            met: dict = {}
+            for key, shape in shapes(b):
+                met.setdefault(key, []).append(shape)
+            if met:
+                yield out([(k, P.union(v) if len(v) > 1 else v[0]) for k, v in met.items()], b)
+
+    def whole(held: list) -> P.Region:
+        return held[0] if clean and len(held) == 1 else P.union(held)
+
+    def late(batches):
+        now, held, b = None, [], None
+        for b in batches:
+            done = []
+            for key, shape in shapes(b):
+                if held and key != now:
+                    done.append((now, whole(held)))
+                    held = []
+                now = key
+                held.append(shape)
+                if len(held) >= HELD:
+                    held = [P.union(held)]
+            if done:
+                yield out(done, b)
+        if held:
+            yield out([(now, whole(held))], b)
+
+    few = df.select(*keys, "rings").mapInArrow(early, schema)
+    return _dealt(few, keys).sortWithinPartitions(*keys).mapInArrow(late, schema)
+
+
+def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """By key over all shuffle partitions: work here is per corner, so partitions aren't
+    to be merged because their bytes are few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def union_by(shapes: DataFrame, keys: list[str], bin_meters: float = 400.0, clean: bool = False) -> DataFrame:
     """One region a key: the union of its shapes. Keys without ground have no row."""
     corner = F.col("rings")[0][0]
     held = shapes.where(F.size("rings") > 0).withColumns({f"_b{k}": F.floor(corner[i] / bin_meters) for i, k in enumerate("xy")})
-    near = _fold(held, [*keys, "_bx", "_by"]).where("rings IS NOT NULL")
-    return _fold(near.select(*keys, "rings"), keys).where("rings IS NOT NULL")
+    near = _fold(held, [*keys, "_bx", "_by"], clean).where("rings IS NOT NULL")
+    return _fold(near.select(*keys, "rings"), keys, True).where("rings IS NOT NULL")
+
 
+def buffered(df: DataFrame, meters: float | Column, column: str = "rings") -> DataFrame:
+    """Each row's region grown by ``meters``, one number or one a row."""
+    def grown(values: pa.Array, wide: pa.Array) -> pa.Array:
+        return encoded([P.buffer(v, m) for v, m in zip(decoded(values), wide.to_pylist(), strict=True)])
 
-def buffered(df: DataFrame, meters: float, column: str = "rings") -> DataFrame:
-    return with_region(df, column, lambda r: P.buffer(r, meters), column)
+    wide = F.lit(meters).cast("double") if isinstance(meters, (int, float)) else meters
+    return df.withColumn(column, _once(grown, RINGS)(F.col(column), wide))
 
 
 def line_buffers(df: DataFrame, meters: float, column: str = "lines") -> DataFrame:
@@ -126,7 +180,7 @@ def line_buffers(df: DataFrame, meters: float, column: str = "lines") -> DataFra
 
 def road_exclusion(roads: DataFrame, meters: float = 0.0, key: str = "parcel_id") -> DataFrame:
     """The ground within ``meters`` of a parcel's roads; parcels without have no row."""
-    return union_by(line_buffers(roads, meters).select(key, "rings"), [key])
+    return union_by(line_buffers(roads, meters).select(key, "rings"), [key], clean=True)
 
 
 def unit_union(units: DataFrame, wanted: Column, key: str = "parcel_id") -> DataFrame:
@@ -153,7 +207,7 @@ def floodplain(parcels: DataFrame, lines: DataFrame, bodies: DataFrame, hydric:
     water = with_region(bodies.join(about, key), "rings", lambda x, home: grown(x, home, False), "rings", "_home").select(key, "rings")
     real = union_by(streams.unionByName(water).unionByName(hydric.select(key, "rings")), [key]).withColumn("is_fallback", F.lit(False))
     rest = parcels.select(key).join(real, key, "left_anti")
-    proxy = union_by(line_buffers(valleys.join(rest, key, "left_semi"), FLOODPLAIN).select(key, "rings"), [key])
+    proxy = union_by(line_buffers(valleys.join(rest, key, "left_semi"), FLOODPLAIN).select(key, "rings"), [key], clean=True)
     return real.unionByName(rest.join(proxy, key, "left").withColumn("is_fallback", F.lit(True)))
 
 
@@ -165,12 +219,9 @@ def tree_search_space(
     (production, water, road), rings; the first two are united, then grown; roads come
     grown. Land left is the parcel set back, without what is claimed."""
     each = union_by(claims.where("kind IN ('production', 'water', 'road')"), [key, "kind"])
-    wide = {"production": production, "water": water, "road": 0.0}
-    sized = None
-    for kind, meters in wide.items():
-        one = buffered(each.where(F.col("kind") == kind), meters)
-        sized = one if sized is None else sized.unionByName(one)
-    claimed = union_by(sized.select(key, "rings"), [key]).withColumnRenamed("rings", "claimed")
+    wide = F.when(F.col("kind") == "production", production).when(F.col("kind") == "water", water).otherwise(0.0).cast("double")
+    sized = buffered(each, wide)
+    claimed = union_by(sized.select(key, "rings"), [key], clean=True).withColumnRenamed("rings", "claimed")
     got = parcels.select(key, "rings").join(claimed, key, "left")
     got = with_region(got, "rings", lambda home, taken: P.difference(P.buffer(home, -setback), taken), "rings", "claimed")
     status = F.when(F.col("rings").isNull(), "nothing_left").when(F.col("claimed").isNull(), "nothing_claimed").otherwise("searchable")
@@ -195,7 +246,7 @@ def boundary_fences(parcels: DataFrame, developed: DataFrame, zones: DataFrame,
     """key, fence_number (from 1, the largest first), ring. ``developed``: production
     zones, structure site and road footprint; ``zones``: water and tree zones."""
     built = union_by(developed.select(key, "rings"), [key]).withColumnRenamed("rings", "_built")
-    held = union_by(buffered(zones.select(key, "rings"), zone), [key]).withColumnRenamed("rings", "_held")
+    held = union_by(buffered(zones.select(key, "rings"), zone), [key], clean=True).withColumnRenamed("rings", "_held")
     both = parcels.select(key, "rings").join(built, key, "left").join(held, key, "left")
     got = with_region(both, "_fence", lambda home, a, b: P.boundary_fence(home, a, b, margin, LEAST_FENCE_ACRES * 4046.8564224), "rings", "_built", "_held")
     return got.where("_fence IS NOT NULL").select(key, F.posexplode("_fence").alias("n", "ring")).select(key, (F.col("n") + 1).alias("fence_number"), "ring")
@@ -207,29 +258,29 @@ def footprints(cells: DataFrame, keys: list[str], px: float, py: float, origin_x
     """One region a key: the squares of its cells (r, c) united."""
     kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["r"].to_numpy(), pdf["c"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        r, c = (table.column(x).to_numpy() for x in ("r", "c"))
         mask = np.zeros((r.max() - r.min() + 1, c.max() - c.min() + 1), bool)
         mask[r - r.min(), c - c.min()] = True
         # Grid lines keep their own numbers, so that neighbours' corners are equal.
         lines = P.outline(mask, 1, 1)
         moved = [np.stack([origin_x + (x[:, 0] + c.min()) * px, origin_y + (x[:, 1] - r.min()) * py], axis=1) for x in lines]
-        out = pdf[keys].iloc[:1].copy()
-        out["rings"] = [rows(moved)]
-        return out
+        return pa.table({**{k: table.column(k)[:1] for k in keys}, "rings": encoded([moved])})
 
-    return cells.select(*keys, "r", "c").groupBy(*keys).applyInPandas(run, f"{kinds}, rings {RINGS}")
+    return _dealt(cells.select(*keys, "r", "c"), keys).groupBy(*keys).applyInArrow(run, f"{kinds}, rings {RINGS}")
 
 
 def covered_cells(shapes: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0, key: str = "parcel_id") -> DataFrame:
     """key, r, c: the cells whose centres lie in a shape of their parcel, each once. A
     shape becomes spans of rows, a span its cells: no point meets a polygon."""
 
-    @F.pandas_udf("array<struct<r:int,first:int,last:int>>")
-    def spans(values: pd.Series) -> pd.Series:
-        return pd.Series([[tuple(map(int, s)) for s in P.row_spans(region(v), px, py, origin_x, origin_y)] for v in values], dtype=object)
+    def spans(values: pa.Array) -> pa.Array:
+        found = [P.row_spans(v, px, py, origin_x, origin_y).astype(np.int32) for v in decoded(values)]
+        flat = np.concatenate([np.zeros((0, 3), np.int32), *found])
+        each = pa.StructArray.from_arrays([pa.array(x) for x in flat.T], names=["r", "first", "last"])
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), each)
 
-    each = shapes.select(key, F.inline(spans("rings")))
+    each = shapes.select(key, F.inline(_once(spans, "array<struct<r:int,first:int,last:int>>")("rings")))
     return each.select(key, "r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
 
 

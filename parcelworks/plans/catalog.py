@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
-from ..operators import features, grid, kernels, records, reports, scoring, sinks, soil
+from ..operators import features, grid, kernels, records, regions, reports, scoring, sinks, soil
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -501,15 +501,27 @@ def solar_candidates(spark, sf):
     return scoring.solar_candidates(lattice, placed)
 
 
-_COST = """cost AS (SELECT *, CASE WHEN road OR slope_pct > 35 THEN NULL ELSE (1.0 - 0.5 * (exp(2 * tpi / 3) - 1) / (exp(2 * tpi / 3) + 1) + 0.0133 * slope_pct * slope_pct + 5 * hydric::INT + 5 * tree_root::INT) * CASE WHEN c > 12 THEN 3.0 ELSE 1.0 END END AS cost FROM (SELECT *, z - 6.0 AS tpi FROM step1))"""
+def masked_cells(spark, sf, cells):
+    """``cells`` with ``excluded`` and ``on_production`` by the shapes of their parcel."""
+    home, every = V.grid_parcels(spark, sf), V.shapes(spark, sf)
+    out = regions.exclusion_cells(cells, every.where("kind = 'excluded'"), home, PX, PY)
+    return regions.production_cells(out, every.where("kind = 'production'"), home, PX, PY)
+
+
+_COST = """cost AS (SELECT *, CASE WHEN road OR outside OR slope_pct > 35 THEN NULL ELSE (1.0 - 0.5 * (exp(2 * tpi / 3) - 1) / (exp(2 * tpi / 3) + 1) + 0.0133 * slope_pct * slope_pct + 5 * hydric::INT + 5 * tree_root::INT) * CASE WHEN on_production THEN 3.0 ELSE 1.0 END END AS cost
+  FROM step1 JOIN (SELECT parcel_id, r, c, outside, on_production FROM masked) USING (parcel_id, r, c) JOIN lean USING (parcel_id, r, c))"""
+_LEAN = """lean AS (SELECT a.parcel_id, a.r, a.c, coalesce(CASE WHEN count(*) >= 5 THEN any_value(a.z) - avg(b.z) END, 0.0) AS tpi FROM cells a JOIN cells b
+  ON a.parcel_id = b.parcel_id AND sqrt(((b.c - a.c) * 5.0) ** 2 + ((b.r - a.r) * 5.0) ** 2) <= 25 GROUP BY ALL)"""
 
 
 def cost_cells(spark, sf):
-    cells = step1(spark, sf).withColumn("tpi", F.col("z") - 6.0).withColumn("excluded", F.col("road")).withColumn("flood", F.col("hydric")).withColumn("canopy", F.col("tree_root")).withColumn("on_production", F.col("c") > 12)
-    return scoring.cost_raster(cells)
+    """Costs from what stands about a cell, and from the polygons it lies in."""
+    lean = grid.tpi(V.cells(spark, sf), PX, PY, 25.0).select(*grid.KEY, "tpi")
+    cells = masked_cells(spark, sf, step1(spark, sf)).join(lean, grid.KEY)
+    return scoring.cost_raster(cells.withColumns({"excluded": F.col("excluded") | F.col("road"), "flood": F.col("hydric"), "canopy": F.col("tree_root")}))
 
 
-@query("cost_raster", with_(*_BASE, _COST) + "SELECT parcel_id, r, c, round(cost, 8) AS cost FROM cost")
+@query("cost_raster", with_(*_BASE, V.SHAPES, _LEAN, _COST) + "SELECT parcel_id, r, c, round(cost, 8) AS cost FROM cost")
 def cost_raster(spark, sf):
     return cost_cells(spark, sf).select(*grid.KEY, *rounded("cost"))
 
@@ -641,20 +653,6 @@ def counted_summaries(spark, sf):
     return features.counted_summary(rows, "kind", "roads")
 
 
-def _fence(pdf: pd.DataFrame) -> pd.DataFrame:
-    side = V.SIDE * PX
-    parcel = np.array([(0, 0), (side, 0), (side, side), (0, side)], float)
-    hit = pdf[pdf["eligible"]]
-    centre = np.stack([(hit["c"] + 0.5) * PX, side - (hit["r"] + 0.5) * PY], axis=1)
-    ring = kernels.fence_ring(centre, 5.0, parcel)
-    return pd.DataFrame({"seq": range(len(ring)), "x": ring[:, 0], "y": ring[:, 1], "acres": kernels.ring_area(ring) / grid.SQUARE_METERS_PER_ACRE})
-
-
-@query("boundary_fencing")
-def boundary_fencing(spark, sf):
-    return kernels.per_parcel(step1(spark, sf).select(*grid.KEY, "eligible"), _fence, "seq int, x double, y double, acres double")
-
-
 @query("stream_exclusion", with_(V.POINTS) + "SELECT point_id, count(*) > 0 AS excluded, round(min(d), 8) + 0.0 AS distance FROM (SELECT a.point_id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM points a JOIN points b ON a.parcel_id = b.parcel_id WHERE a.kind = 0 AND b.kind = 2) WHERE d <= 107 GROUP BY point_id")
 def stream_exclusion(spark, sf):
     every = V.points(spark, sf)

@@ -204,3 +204,30 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANCHORS = """anchors AS (
   SELECT CAST(CAST(floor(c_custkey / 300.0) AS BIGINT) AS VARCHAR) AS parcel_id, c_custkey AS anchor_id, CAST(c_custkey * 37 % 1040 AS DOUBLE) / 10.0 - 2 AS x,
     CAST(c_custkey * 53 % 1040 AS DOUBLE) / 10.0 - 2 AS y FROM customer)"""
+
+
+def box(x0, y0, x1, y1) -> F.Column:
+    x0, y0, x1, y1 = (F.lit(v).cast("double") if isinstance(v, (int, float)) else v.cast("double") for v in (x0, y0, x1, y1))
+    return F.array(F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1)))
+
+
+def shapes(spark, sf):
+    """Rectangles on the cell grids of ``part``, about twenty a parcel: every third is
+    excluded ground, the others production."""
+    k = F.col("s_suppkey")
+    x, top = k * 13 % 60 + 0.3, -(k * 29 % 55) - 0.3
+    return table(spark, sf, "supplier").select(
+        F.floor(k / 20).cast("string").alias("parcel_id"), F.when(k % 3 == 0, "excluded").otherwise("production").alias("kind"), box(x, top - (9 + k % 20), x + 12 + k % 25, top).alias("rings"))
+
+
+def grid_parcels(spark, sf):
+    """The drawn boundary of each grid: one cell in from its edge."""
+    return cells(spark, sf).select("parcel_id").distinct().withColumn("rings", box(5, -95, 95, -5))
+
+
+SHAPES = """shapes AS (SELECT CAST(CAST(floor(s_suppkey / 20.0) AS BIGINT) AS VARCHAR) AS parcel_id, CASE WHEN s_suppkey % 3 = 0 THEN 'excluded' ELSE 'production' END AS kind,
+    s_suppkey * 13 % 60 + 0.3 AS x, s_suppkey * 29 % 55 + 0.3 AS top, 12 + s_suppkey % 25 AS w, 9 + s_suppkey % 20 AS h FROM supplier),
+  hits AS (SELECT DISTINCT parcel_id, kind, r, c FROM shapes, (SELECT unnest(range(20)) AS r), (SELECT unnest(range(20)) AS c)
+    WHERE c * 5 + 2.5 > x AND c * 5 + 2.5 < x + w AND r * 5 + 2.5 > top AND r * 5 + 2.5 < top + h),
+  masked AS (SELECT cells.*, NOT in_parcel OR EXISTS (FROM hits WHERE kind = 'excluded' AND hits.parcel_id = cells.parcel_id AND hits.r = cells.r AND hits.c = cells.c) AS outside,
+    in_parcel AND EXISTS (FROM hits WHERE kind = 'production' AND hits.parcel_id = cells.parcel_id AND hits.r = cells.r AND hits.c = cells.c) AS on_production FROM cells)"""

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from parcelworks.plans import catalog
+from parcelworks.plans import catalog, land  # noqa: F401 - land adds its queries
 from parcelworks.plans import views as V
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
