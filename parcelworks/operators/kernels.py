@@ -341,32 +341,36 @@ def grow(start: np.ndarray, total: np.ndarray, target: int) -> list[tuple[int, i
 def cost_field(cost: np.ndarray, sources: list[tuple[int, int]], px: float, py: float, goals: set | None = None):
     """Least cost to each cell (a step costs its length times the cost of the cell
     it enters), the cell before it, and the first goal reached."""
-    total = np.full(cost.shape, np.inf)
+    rows, cols = cost.shape
+    # Plain lists: a cell is looked at eight times, and numbers of arrays are slow alone.
+    price, least = cost.tolist(), [[math.inf] * cols for _ in range(rows)]
+    steps = [(dr, dc, math.hypot(dc * px, dr * py)) for dr, dc in STEPS]
     before: dict[tuple[int, int], tuple[int, int] | None] = {}
-    heap, n = [], 0
+    heap, n, inf = [], 0, math.inf
     for s in sources:
         if np.isfinite(cost[s]):
-            total[s], before[s] = 0.0, None
+            least[s[0]][s[1]], before[s] = 0.0, None
             heap.append((0.0, n, s))
             n += 1
     heapq.heapify(heap)
-    closed = np.zeros(cost.shape, bool)
+    closed = [[False] * cols for _ in range(rows)]
     while heap:
         spent, _, at = heapq.heappop(heap)
-        if closed[at]:
+        r, c = at
+        if closed[r][c]:
             continue
-        closed[at] = True
+        closed[r][c] = True
         if goals and at in goals:
-            return total, before, at
-        for dr, dc in STEPS:
-            to = at[0] + dr, at[1] + dc
-            if inside(to, cost.shape) and not closed[to] and np.isfinite(cost[to]):
-                new = spent + math.hypot(dc * px, dr * py) * cost[to]
-                if new < total[to]:
-                    total[to], before[to] = new, at
+            return np.array(least), before, at
+        for dr, dc, length in steps:
+            y, x = r + dr, c + dc
+            if 0 <= y < rows and 0 <= x < cols and not closed[y][x] and -inf < price[y][x] < inf:
+                new = spent + length * price[y][x]
+                if new < least[y][x]:
+                    least[y][x], before[y, x] = new, at
                     n += 1
-                    heapq.heappush(heap, (new, n, to))
-    return total, before, None
+                    heapq.heappush(heap, (new, n, (y, x)))
+    return np.array(least), before, None
 
 
 def route(before: dict, cell: tuple[int, int]) -> list[tuple[int, int]]:
@@ -407,6 +411,10 @@ def road_network(
     def length(cells) -> float:
         return sum(math.hypot((b[1] - a[1]) * px, (b[0] - a[0]) * py) for a, b in zip(cells, cells[1:], strict=False) if b not in taken)
 
+    rim = max((max(abs(dr), abs(dc)) for dr, dc in element), default=0)
+    wide = demand.shape[1] + 2 * rim
+    disc_ = np.array([dr * wide + dc for dr, dc in element])
+    wanted, reached = np.pad(demand, rim).ravel(), dilate(demand, element)
     served |= serves([anchor])
     while (demand & ~served).any():
         total, before, _ = cost_field(cost, [anchor], px, py)
@@ -414,30 +422,31 @@ def road_network(
         for cell, parent in before.items():
             if parent is not None:
                 children.setdefault(parent, []).append(cell)
-        # Depth first with a count per cell of the discs that cover it, undone on
-        # the way back: what each route serves costs one disc a cell.
-        covered = served.astype(int)
+        # Depth first with a count per cell of the discs that cover it, undone on the way
+        # back: what each route serves costs one disc a cell. Arrays have a rim of the
+        # disc's size, so that a disc is one list of places from its middle's.
+        covered = np.pad(served.astype(np.int32), rim).ravel()
         best, stack, gain = None, [(anchor, 0)], 0
         while stack:
             cell, state = stack.pop()
+            near = reached[cell]
+            if near:
+                place = (cell[0] + rim) * wide + cell[1] + rim + disc_
             if state == 0:
-                for dr, dc in element:
-                    n = cell[0] + dr, cell[1] + dc
-                    if inside(n, demand.shape) and demand[n]:
-                        gain += covered[n] == 0
-                        covered[n] += 1
+                if near:
+                    count = covered[place]
+                    gain += np.count_nonzero(wanted[place] & (count == 0))
+                    covered[place] = count + 1
                 stack.append((cell, 1))
                 if gain:
                     key = total[cell] / (gain * acre), total[cell], cell
                     if best is None or key < best:
                         best = key
                 stack += [(c, 0) for c in children.get(cell, [])]
-            else:
-                for dr, dc in element:
-                    n = cell[0] + dr, cell[1] + dc
-                    if inside(n, demand.shape) and demand[n]:
-                        covered[n] -= 1
-                        gain -= covered[n] == 0
+            elif near:
+                count = covered[place] - 1
+                covered[place] = count
+                gain -= np.count_nonzero(wanted[place] & (count == 0))
         if best is None:
             stop = "no_reachable_demand"
             break
@@ -564,16 +573,6 @@ def clip_convex(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     return np.array(out).reshape(-1, 2)
 
 
-def fence_ring(points: np.ndarray, margin: float, parcel: np.ndarray) -> np.ndarray:
-    """The hull of points widened by ``margin`` (an octagon round each), within a
-    convex parcel; the whole parcel if there are none."""
-    if not len(points):
-        return parcel
-    angle = np.arange(8) * math.pi / 4
-    round_ = np.stack([np.cos(angle), np.sin(angle)], axis=1) * margin
-    return clip_convex(hull((points[:, None, :] + round_[None]).reshape(-1, 2)), parcel)
-
-
 def footprint_edges(mask: np.ndarray) -> int:
     """Cell sides between the mask and what isn't of it."""
     return int(sum((mask & ~shifted(mask, dr, dc)).sum() for dr, dc in CROSS))

@@ -151,7 +151,6 @@ def test_rings():
     assert kernels.distance_to_ring(square, np.array([2.0]), np.array([1.0])).tolist() == [1]
     assert kernels.ring_area(kernels.clip_convex(square + 2, square)) == 4
     assert kernels.ring_area(kernels.hull(np.vstack([square, [[1, 1], [2, 3]]]))) == 16
-    assert kernels.ring_area(kernels.fence_ring(np.zeros((0, 2)), 1, square)) == 16
 
 
 def test_utm_of_the_central_meridian_and_symmetry():
