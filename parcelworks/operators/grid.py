@@ -173,8 +173,10 @@ def components(cells: DataFrame, connectivity: int = 8, mask: str = "hit", most:
         jump = new.select("parcel_id", F.col("id").alias("m"), F.col("m").alias("j"))
         new = new.join(jump, ["parcel_id", "m"]).select("parcel_id", "id", F.col("label").alias("old"), F.col("j").alias("label")).checkpoint()
         labels = new.drop("old")
-        if not new.where("old <> label").limit(1).count():
+        if new.where("old <> label").isEmpty():
             break
+    else:
+        raise RuntimeError(f"components did not settle in {most} turns")
     ranked = labels.withColumn("component", F.dense_rank().over(_parcel().orderBy("label")) - 1)
     named = hits.join(ranked.select("parcel_id", "id", "component"), ["parcel_id", "id"]).select(*KEY, "component")
     return cells.join(named, KEY, "left")

@@ -62,12 +62,12 @@ def name_or(default: str, *columns: str) -> Column:
 
 
 def farm_roads(features: DataFrame, layers: tuple[int, ...] = (30, 31, 32)) -> DataFrame:
-    """Roads of the layers, each geometry once (the first layer's), named."""
-    w = Window.partitionBy("geometry").orderBy("layer", "name", "fullname")
+    """Roads of the layers, each geometry once a parcel (the first layer's), named."""
+    w = Window.partitionBy("parcel_id", "geometry").orderBy("layer", "name", "fullname")
     # Those without a geometry would all be one group.
     real = features.where(F.col("layer").isin(*layers) & F.col("geometry").isNotNull())
     once = real.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return once.select(name_or("Unnamed road", "name", "fullname").alias("name"), "layer", "geometry")
+    return once.select("parcel_id", name_or("Unnamed road", "name", "fullname").alias("name"), "layer", "geometry")
 
 
 def water_features(features: DataFrame) -> DataFrame:
@@ -111,17 +111,6 @@ def within(left: DataFrame, right: DataFrame, radius: float, key: str = "parcel_
     return joined.withColumn("distance", distance).where(F.col("distance") <= radius).drop("_bx", "_by").withColumnRenamed(f"l_{key}", key)
 
 
-def nearest(left: DataFrame, right: DataFrame, id_left: str, id_right: str, key: str = "parcel_id") -> DataFrame:
-    """For each left point the nearest right one of its parcel (the smallest id on
-    ties), null where the parcel has none. Parcels hold few features, so the join
-    is an equi-join on the parcel with a minimum that combines map-side."""
-    rx = right.select(key, F.col(id_right), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    distance = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
-    pairs = left.join(rx, key, "left")
-    best = pairs.groupBy(key, id_left).agg(F.min(F.when(F.col("_x").isNotNull(), F.struct(distance.alias("d"), F.col(id_right).alias("i")))).alias("m"))
-    return best.select(key, id_left, F.col("m.i").alias(id_right), F.col("m.d").alias("distance"), F.when(F.col("m.d").isNull(), "no_feature").otherwise("computed").alias("status"))
-
-
 def service_relationships(zones: DataFrame, patches: DataFrame, radius: float = 800.0) -> DataFrame:
     """Zone and patch pairs in reach: differential, gradient, gravity factor."""
     pairs = within(zones, patches, radius)

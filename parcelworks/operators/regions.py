@@ -77,6 +77,10 @@ def from_ring(x, y) -> Column:
     return F.array(F.zip_with(x, y, lambda a, b: F.array(a, b)))
 
 
+def from_point(x, y) -> Column:
+    return F.array(F.array(F.array(x, y)))
+
+
 def _edges(ring: Column) -> Column:
     n = F.size(ring)
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(ring, i).alias("p"), F.get(ring, (i + 1) % n).alias("q")))
@@ -270,8 +274,15 @@ def footprints(cells: DataFrame, keys: list[str], px: float, py: float, origin_x
     return _dealt(cells.select(*keys, "r", "c"), keys).groupBy(*keys).applyInArrow(run, f"{kinds}, rings {RINGS}")
 
 
-def covered_cells(shapes: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0, key: str = "parcel_id") -> DataFrame:
-    """key, r, c: the cells whose centres lie in a shape of their parcel, each once. A
+def road_footprints(cells: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0, grow: int = TREE_ROAD_CELLS, key: str = "parcel_id") -> DataFrame:
+    """The ground of a road's cells (r, c), each with ``grow`` cells about it on all
+    sides, so that nothing else touches it at a corner."""
+    near = F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in range(-grow, grow + 1) for j in range(-grow, grow + 1)])
+    return footprints(cells.select(key, F.inline(near)).distinct(), [key], px, py, origin_x, origin_y)
+
+
+def covered_cells(shapes: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0, keys: tuple[str, ...] = ("parcel_id",)) -> DataFrame:
+    """keys, r, c: the cells whose centres lie in a shape of the keys, each once. A
     shape becomes spans of rows, a span its cells: no point meets a polygon."""
 
     def spans(values: pa.Array) -> pa.Array:
@@ -280,8 +291,8 @@ def covered_cells(shapes: DataFrame, px: float, py: float, origin_x: float = 0.0
         each = pa.StructArray.from_arrays([pa.array(x) for x in flat.T], names=["r", "first", "last"])
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), each)
 
-    each = shapes.select(key, F.inline(_once(spans, "array<struct<r:int,first:int,last:int>>")("rings")))
-    return each.select(key, "r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
+    each = shapes.select(*keys, F.inline(_once(spans, "array<struct<r:int,first:int,last:int>>")("rings")))
+    return each.select(*keys, "r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
 
 
 def exclusion_cells(cells: DataFrame, shapes: DataFrame, parcels: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0) -> DataFrame:

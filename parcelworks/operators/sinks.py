@@ -54,8 +54,8 @@ def water_layer(raw: DataFrame) -> DataFrame:
 def road_layer(raw: DataFrame) -> DataFrame:
     """Roads, each geometry once, numbered from 0 in order of geometry in a parcel."""
     place = F.row_number().over(Window.partitionBy("parcel_id").orderBy("layer", "geometry")) - 1
-    rows = raw.select("parcel_id", "geometry", "coordinates").where("geometry IS NOT NULL").groupBy("geometry").agg(F.min("parcel_id").alias("parcel_id"), F.any_value("coordinates").alias("coordinates"))
-    named = farm_roads(raw).join(rows, "geometry").withColumn("_n", place)
+    rows = raw.select("parcel_id", "geometry", "coordinates").where("geometry IS NOT NULL").groupBy("parcel_id", "geometry").agg(F.any_value("coordinates").alias("coordinates"))
+    named = farm_roads(raw).join(rows, ["parcel_id", "geometry"]).withColumn("_n", place)
     feature = features.make_feature(F.concat(F.lit("farm-road-"), F.col("_n").cast("string")), "farm_road", F.col("name"), F.lit("medium"), F.lit(ROAD_NOTES), F.lit("LineString"), F.col("coordinates"))
     return named.select("parcel_id", feature.alias("feature"))
 

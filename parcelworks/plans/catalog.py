@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
-from ..operators import features, grid, kernels, records, regions, reports, scoring, sinks, soil
+from ..operators import features, grid, kernels, lines, records, regions, reports, scoring, sinks, soil
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,16 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+def _checkpoints(spark: SparkSession) -> None:
+    """A checkpoint folder where the session has none (single-machine runs)."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="parcelworks-"))
+
+
 # --- soil --------------------------------------------------------------------------------
 
 _PCT = "coalesce(TRY_CAST(comppct_r AS DOUBLE), 0.0)"
@@ -139,8 +149,8 @@ def newest_scene(spark, sf):
     return got.select("parcel_id", "scene_id", F.col("scene_date").cast("string").alias("scene_date"), F.col("age_days").cast("long").alias("age_days"))
 
 
-@query("farm_roads", with_(V.ROADS) + """SELECT layer, geometry, coalesce(nullif(trim(name), ''), nullif(trim(fullname), ''), 'Unnamed road') AS name FROM (
-  SELECT *, row_number() OVER (PARTITION BY geometry ORDER BY layer, name NULLS FIRST, fullname NULLS FIRST) AS n FROM roads WHERE layer IN (30, 31, 32)) WHERE n = 1 AND geometry IS NOT NULL""")
+@query("farm_roads", with_(V.ROADS) + """SELECT parcel_id, layer, geometry, coalesce(nullif(trim(name), ''), nullif(trim(fullname), ''), 'Unnamed road') AS name FROM (
+  SELECT *, row_number() OVER (PARTITION BY parcel_id, geometry ORDER BY layer, name NULLS FIRST, fullname NULLS FIRST) AS n FROM roads WHERE layer IN (30, 31, 32)) WHERE n = 1 AND geometry IS NOT NULL""")
 def farm_roads(spark, sf):
     return records.farm_roads(V.roads(spark, sf))
 
@@ -187,7 +197,9 @@ def _kinds(spark, sf):
 @query("nearest_patch", with_(V.POINTS, _NEED) + "SELECT parcel_id, zone_id, arg_min(patch_id, (distance, patch_id)) AS patch_id, round(min(distance), 8) AS distance, 'computed' AS status FROM pairs GROUP BY parcel_id, zone_id")
 def nearest_patch(spark, sf):
     a, b = _kinds(spark, sf)
-    got = records.nearest(a.withColumnRenamed("point_id", "zone_id"), b.withColumnRenamed("point_id", "patch_id"), "zone_id", "patch_id")
+    _checkpoints(spark)
+    zones, patches_ = (t.select("parcel_id", F.col("point_id").alias(n), regions.from_point("x", "y").alias("rings")) for t, n in ((a, "zone_id"), (b, "patch_id")))
+    got = lines.nearest_shape(zones, patches_, "zone_id", "patch_id", "line", "line")
     return got.select("parcel_id", "zone_id", "patch_id", "status", *rounded("distance"))
 
 
@@ -278,13 +290,20 @@ def keypoints(spark, sf):
     return kernels.per_parcel(V.cells(spark, sf), _keypoints, "keypoint_id int, valley_id int, r int, c int, drop_pct double")
 
 
-def _contours(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(kernels.contours(kernels.to_grid(pdf)), columns=["elevation_m", "r1", "c1", "r2", "c2"])
-
-
 @query("contour_lines")
 def contour_lines(spark, sf):
-    return kernels.per_parcel(V.cells(spark, sf), _contours, "elevation_m double, r1 double, c1 double, r2 double, c2 double")
+    return lines.contour_lines(V.cells(spark, sf)).select("parcel_id", F.round("elevation_m", 3).alias("elevation_m"), "line_id", "closed", "n_points", "rows", "cols")
+
+
+@query("contour_levels", with_(V.CELLS, """sides AS (SELECT a.parcel_id, a.z AS z0, b.z AS z1, c.z AS z2, d.z AS z3 FROM cells a JOIN cells b ON a.parcel_id = b.parcel_id AND b.r = a.r AND b.c = a.c + 1
+    JOIN cells c ON a.parcel_id = c.parcel_id AND c.r = a.r + 1 AND c.c = a.c + 1 JOIN cells d ON a.parcel_id = d.parcel_id AND d.r = a.r + 1 AND d.c = a.c)""",
+    """levels AS (SELECT parcel_id, lo + 0.6 * unnest(range(1000)) AS level, hi FROM (SELECT parcel_id, ceil(min(z) / 0.6) * 0.6 AS lo, max(z) AS hi FROM cells GROUP BY parcel_id))""")
+    + """SELECT parcel_id, round(level, 3) AS elevation_m, CAST(sum(((z0 >= level) <> (z1 >= level))::INT + ((z1 >= level) <> (z2 >= level))::INT + ((z2 >= level) <> (z3 >= level))::INT + ((z3 >= level) <> (z0 >= level))::INT) // 2 AS BIGINT) AS n_pieces
+  FROM levels JOIN sides USING (parcel_id) WHERE level < hi GROUP BY parcel_id, level HAVING n_pieces > 0""")
+def contour_levels(spark, sf):
+    """Every piece of a level is in one of its lines, once."""
+    got = lines.contour_lines(V.cells(spark, sf))
+    return got.groupBy("parcel_id", F.round("elevation_m", 3).alias("elevation_m")).agg(F.sum(F.col("n_points") - 1).alias("n_pieces"))
 
 
 # --- masks -------------------------------------------------------------------------------
@@ -335,14 +354,6 @@ def _labelled(spark, sf, connectivity):
     return got.select("parcel_id", (F.col("r") * 20 + F.col("c")).alias("id"), F.col("component").cast("long").alias("component"))
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder where the session has none (single-machine runs)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="parcelworks-"))
-
-
 @query("components_4", _reach_sql("abs(s.r - b.r) + abs(s.c - b.c) = 1"))
 def components_4(spark, sf):
     return _labelled(spark, sf, 4)

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
-from ..operators import grid, regions, soil
+from ..operators import grid, lines, regions, soil
 from . import views as V
-from .catalog import _HYDRIC, _PCT, PX, PY, masked_cells, query, step1, with_
+from .catalog import _HYDRIC, _PCT, PX, PY, _checkpoints, masked_cells, query, rounded, step1, with_
 
 # Of a circle of 64 segments: a segment's chord for radius 1, a quarter's area.
 _CHORD, _SECTOR = "(2 * sin(pi() / 64))", "(8 * sin(pi() / 32))"
@@ -61,7 +61,7 @@ def cell_masks(spark, sf):
     return masked_cells(spark, sf, V.cells(spark, sf)).select(*grid.KEY, "excluded", "on_production")
 
 
-@query("cell_footprints", with_(V.CELLS) + f"""SELECT a.parcel_id, count(*) FILTER (side = 0) * {PX * PY} AS area, count(*) FILTER (side > 0 AND b.z IS NULL) * {PX} AS perimeter
+@query("cell_footprints", with_(V.CELLS) + f"""SELECT a.parcel_id, CAST(count(*) FILTER (side = 0) * {PX * PY} AS DOUBLE) AS area, CAST(count(*) FILTER (side > 0 AND b.z IS NULL) * {PX} AS DOUBLE) AS perimeter
   FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS side FROM cells WHERE z < 6.0) a LEFT JOIN (SELECT * FROM cells WHERE z < 6.0) b
   ON side > 0 AND a.parcel_id = b.parcel_id AND b.r = a.r + [0, 0, 0, 1, -1][side + 1] AND b.c = a.c + [0, 1, -1, 0, 0][side + 1] GROUP BY a.parcel_id""")
 def cell_footprints(spark, sf):
@@ -158,3 +158,50 @@ def boundary_fencing(spark, sf):
     got = regions.boundary_fences(home, built, wet)
     one = F.array("ring")
     return got.select("parcel_id", "fence_number", F.size("ring").alias("n_corners"), (regions.area(one) / grid.SQUARE_METERS_PER_ACRE).alias("acres"), regions.perimeter(one).alias("fence_meters"))
+
+
+# --- lines and zones -----------------------------------------------------------------------
+
+@query("valley_inputs", with_(V.CELLS, V.SHAPES) + f"""SELECT parcel_id, zone_id, round(sum(grade * n) / sum(n), 8) AS terrain_gradient, CAST(max(acres) AS DOUBLE) AS contributing_acres
+  FROM (SELECT CAST(CAST(floor(s_suppkey / 20.0) AS BIGINT) AS VARCHAR) AS parcel_id, s_suppkey AS zone_id FROM supplier) LEFT JOIN (
+    SELECT parcel_id, zone_id, c, count(*) AS n, 2 + c // 5 * 1.5 AS acres, abs(arg_min(z, r) - arg_max(z, r)) / ((max(r) - min(r)) * {PY}) * 100 AS grade
+    FROM cells JOIN shapes USING (parcel_id)
+    WHERE c * 5 + 2.5 > x AND c * 5 + 2.5 < x + w AND r * 5 + 2.5 > top AND r * 5 + 2.5 < top + h GROUP BY parcel_id, zone_id, c HAVING count(*) >= 2) USING (parcel_id, zone_id) GROUP BY parcel_id, zone_id""")
+def valley_inputs(spark, sf):
+    """Zones of the grids, crossed by a branch down each column of cells."""
+    c = F.col("c")
+    down = V.cells(spark, sf).select(
+        "parcel_id", F.floor(c / 5).alias("valley_id"), (2 + F.floor(c / 5) * 1.5).alias("max_acres"), c.alias("branch_id"), F.col("r").alias("seq"), "r", "c",
+        ((c + 0.5) * PX).alias("x"), (-(F.col("r") + 0.5) * PY).alias("y"), "z")
+    got = lines.valley_inputs(V.shapes(spark, sf), down, PX, PY)
+    return got.select("parcel_id", "zone_id", *rounded("terrain_gradient"), "contributing_acres")
+
+
+def stream_lines(spark, sf):
+    k = F.col("s_suppkey")
+    x, y = (k * 613 % 900).cast("double"), (k * 271 % 900).cast("double")
+    return V.table(spark, sf, "supplier").select(F.floor(k / 10).cast("string").alias("parcel_id"), k.alias("stream_id"), F.array(F.array(F.array(x, y), F.array(x + 100 + k % 5 * 40, y))).alias("rings"))
+
+
+@query("nearest_stream", with_(V.RINGS) + """SELECT parcel_id, zone_id, arg_min(stream_id, (d, stream_id)) AS stream_id, round(min(d), 8) + 0.0 AS distance, CASE WHEN min(d) IS NULL THEN 'no_feature' ELSE 'computed' END AS status FROM (
+  SELECT z.parcel_id, z.zone_id, s.stream_id, sqrt(greatest(s.x0 - (z.x + z.w), z.x - s.x1, 0) ** 2 + greatest(s.y0 - (z.y + z.h), z.y - s.y0, 0) ** 2) AS d
+  FROM zone_rings z LEFT JOIN (SELECT CAST(CAST(floor(s_suppkey / 10.0) AS BIGINT) AS VARCHAR) AS parcel_id, s_suppkey AS stream_id, s_suppkey * 613 % 900 AS x0, s_suppkey * 613 % 900 + 100 + s_suppkey % 5 * 40 AS x1, s_suppkey * 271 % 900 AS y0 FROM supplier) s
+  ON s.parcel_id = z.parcel_id) GROUP BY parcel_id, zone_id""")
+def nearest_stream(spark, sf):
+    _checkpoints(spark)
+    zones = V.zone_rings(spark, sf).select("parcel_id", "zone_id", regions.from_ring("ring_x", "ring_y").alias("rings"))
+    got = lines.nearest_shape(zones, stream_lines(spark, sf), "zone_id", "stream_id", "area", "line")
+    return got.select("parcel_id", "zone_id", "stream_id", "status", *rounded("distance"))
+
+
+@query("keypoint_relationships", with_(V.POINTS, V.RINGS) + """SELECT parcel_id, point_id, arg_min(zone_id, (d, zone_id)) AS zone_id, CASE WHEN min(d) IS NULL THEN 'no_feature' ELSE 'computed' END AS status,
+  round(min(d), 2) + 0.0 AS distance_m, round(any_value(z) - arg_min(zone_id, (d, zone_id)) % 40, 2) + 0.0 AS elevation_differential_m FROM (
+  SELECT p.parcel_id, p.point_id, p.z, z.zone_id, sqrt(greatest(z.x - p.x, p.x - (z.x + z.w), 0.0) ** 2 + greatest(z.y - p.y, p.y - (z.y + z.h), 0.0) ** 2) AS d
+  FROM points p LEFT JOIN zone_rings z ON z.parcel_id = p.parcel_id) GROUP BY parcel_id, point_id""")
+def keypoint_relationships(spark, sf):
+    _checkpoints(spark)
+    points = V.points(spark, sf).select("parcel_id", "point_id", regions.from_point("x", "y").alias("rings"), F.col("z").alias("elevation_m"))
+    k = F.col("zone_id")
+    zones = V.zone_rings(spark, sf).select("parcel_id", "zone_id", regions.from_ring("ring_x", "ring_y").alias("rings"), (k % 40).cast("double").alias("representative_elevation_m"))
+    got = lines.feature_relationships(points, zones, "point_id", "zone_id")
+    return got.select("parcel_id", "point_id", "zone_id", "status", (F.col("distance_m") + 0.0).alias("distance_m"), (F.col("elevation_differential_m") + 0.0).alias("elevation_differential_m"))

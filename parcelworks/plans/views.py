@@ -128,14 +128,14 @@ POINTS = """points AS (
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
-        (30 + k % 4).cast("int").alias("layer"), F.when(k % 3 == 0, "").when(k % 3 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("road "), (k % 97).cast("string"))).alias("name"),
+        (F.col("o_custkey") % 7 + F.col("o_orderkey") % 3).cast("string").alias("parcel_id"), (30 + k % 4).cast("int").alias("layer"), F.when(k % 3 == 0, "").when(k % 3 == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("road "), (k % 97).cast("string"))).alias("name"),
         F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("full "), (k % 89).cast("string"))).alias("fullname"),
         F.when(k % 41 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("line "), (F.col("o_custkey") % 700).cast("string"))).alias("geometry"),
     )
 
 
 ROADS = """roads AS (
-  SELECT CAST(30 + o_orderkey % 4 AS INT) AS layer, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'road ' || o_orderkey % 97 END AS name,
+  SELECT CAST(o_custkey % 7 + o_orderkey % 3 AS VARCHAR) AS parcel_id, CAST(30 + o_orderkey % 4 AS INT) AS layer, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'road ' || o_orderkey % 97 END AS name,
     CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'full ' || o_orderkey % 89 END AS fullname,
     CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE 'line ' || o_custkey % 700 END AS geometry FROM orders)"""
 
@@ -217,7 +217,7 @@ def shapes(spark, sf):
     k = F.col("s_suppkey")
     x, top = k * 13 % 60 + 0.3, -(k * 29 % 55) - 0.3
     return table(spark, sf, "supplier").select(
-        F.floor(k / 20).cast("string").alias("parcel_id"), F.when(k % 3 == 0, "excluded").otherwise("production").alias("kind"), box(x, top - (9 + k % 20), x + 12 + k % 25, top).alias("rings"))
+        F.floor(k / 20).cast("string").alias("parcel_id"), k.alias("zone_id"), F.when(k % 3 == 0, "excluded").otherwise("production").alias("kind"), box(x, top - (9 + k % 20), x + 12 + k % 25, top).alias("rings"))
 
 
 def grid_parcels(spark, sf):
@@ -225,7 +225,7 @@ def grid_parcels(spark, sf):
     return cells(spark, sf).select("parcel_id").distinct().withColumn("rings", box(5, -95, 95, -5))
 
 
-SHAPES = """shapes AS (SELECT CAST(CAST(floor(s_suppkey / 20.0) AS BIGINT) AS VARCHAR) AS parcel_id, CASE WHEN s_suppkey % 3 = 0 THEN 'excluded' ELSE 'production' END AS kind,
+SHAPES = """shapes AS (SELECT CAST(CAST(floor(s_suppkey / 20.0) AS BIGINT) AS VARCHAR) AS parcel_id, s_suppkey AS zone_id, CASE WHEN s_suppkey % 3 = 0 THEN 'excluded' ELSE 'production' END AS kind,
     s_suppkey * 13 % 60 + 0.3 AS x, s_suppkey * 29 % 55 + 0.3 AS top, 12 + s_suppkey % 25 AS w, 9 + s_suppkey % 20 AS h FROM supplier),
   hits AS (SELECT DISTINCT parcel_id, kind, r, c FROM shapes, (SELECT unnest(range(20)) AS r), (SELECT unnest(range(20)) AS c)
     WHERE c * 5 + 2.5 > x AND c * 5 + 2.5 < x + w AND r * 5 + 2.5 > top AND r * 5 + 2.5 < top + h),

@@ -159,12 +159,6 @@ def test_utm_of_the_central_meridian_and_symmetry():
     assert x[1] - 500000 == pytest.approx(500000 - x[2]) and y[1] == pytest.approx(y[2])
 
 
-def test_contours_leave_out_the_highest_level():
-    z = np.tile(np.arange(4.0), (3, 1))
-    levels = {s[0] for s in kernels.contours(z, 1.0)}
-    assert {1.0, 2.0} <= levels and 3.0 not in levels
-
-
 def test_tpi_fixture_of_a_disc(spark):
     rows = [("p", r, c, 7.0 if (r, c) == (3, 3) else 66 / 9 - (7 - 66 / 9) / 8) for r in range(7) for c in range(7)]
     got = grid.tpi(spark.createDataFrame(rows, "parcel_id string, r int, c int, z double"), 5, 5, 8.0).where("r = 3 AND c = 3").first()
