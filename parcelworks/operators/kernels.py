@@ -253,16 +253,18 @@ def dilate(mask: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
     return np.logical_or.reduce([shifted(mask, -dr, -dc) for dr, dc in offsets]) if offsets else mask.copy()
 
 
-def waist_split(mask: np.ndarray, px: float, py: float, least_acres: float = 0.5, waist: float = 24.0) -> list[np.ndarray]:
+def waist_split(mask: np.ndarray, px: float, py: float, least_acres: float = 0.5, waist: float = 24.0) -> list[tuple[np.ndarray, np.ndarray]]:
     """A cluster cut at its waists if every part stays large enough: cores are what
-    erosion leaves; other cells join the core that reaches them first."""
+    erosion leaves; other cells join the core that reaches them first. Each part comes
+    with its core, which is to be drawn: between cores the gap of the waist is seen. An
+    uncut cluster is its own core."""
     radius = max(1, math.ceil(waist / ((px + py) / 2) / 2))
     core = mask
     for _ in range(radius):
         core = erode(core, [(0, 0), *STEPS])
     seeds, n = label(core)
     if n < 2:
-        return [mask]
+        return [(mask, mask)]
     owner = seeds.copy()
     queue = deque(tuple(map(int, x)) for x in zip(*np.nonzero(seeds >= 0), strict=True))
     while queue:
@@ -274,9 +276,9 @@ def waist_split(mask: np.ndarray, px: float, py: float, least_acres: float = 0.5
                 queue.append(cell)
     if (mask & (owner < 0)).any():
         raise RuntimeError("a cell of the cluster reached no core")
-    parts = [owner == k for k in range(n)]
+    parts = [(owner == k, seeds == k) for k in range(n)]
     acre = px * py / 4046.8564224
-    return parts if all(p.sum() * acre >= least_acres for p in parts) else [mask]
+    return parts if all(p.sum() * acre >= least_acres for p, _ in parts) else [(mask, mask)]
 
 
 def holes(mask: np.ndarray) -> list[np.ndarray]:
@@ -303,13 +305,13 @@ def production_clusters(eligible: np.ndarray, z: np.ndarray, px: float, py: floa
     acre, out = px * py / 4046.8564224, []
     element, more = disc(opening, px, py), disc(opening + lead * (px + py) / 2, px, py)
     for k in range(n):
-        for piece in waist_split(parts == k, px, py, least_acres):
+        for piece, core in waist_split(parts == k, px, py, least_acres):
             if piece.sum() * acre < least_acres:
                 continue
             opened = dilate(erode(piece, more), element) & piece
             out.append(
                 {
-                    "patch_id": len(out), "cells": piece, "fill": opened if opened.any() else piece, "acres": float(piece.sum() * acre),
+                    "patch_id": len(out), "cells": piece, "render_cells": core, "fill": opened if opened.any() else piece, "acres": float(piece.sum() * acre),
                     "n_holes": len(holes(piece)), "median_z": float(np.nanmedian(z[piece])), "source": k,
                 }
             )

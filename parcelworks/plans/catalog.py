@@ -433,12 +433,14 @@ def waist_split_flags(spark, sf):
 def _clusters(pdf: pd.DataFrame) -> pd.DataFrame:
     z, eligible = kernels.to_grid(pdf), kernels.to_grid(pdf, "eligible") > 0
     found = kernels.production_clusters(eligible, z, PX, PY, least_acres=0.05)
-    return pd.DataFrame([(p["patch_id"], p["acres"], int(p["fill"].sum()), p["n_holes"], p["median_z"], p["source"]) for p in found], columns=["patch_id", "acres", "fill_cells", "n_holes", "median_z", "source"])
+    return pd.DataFrame(
+        [(p["patch_id"], p["acres"], int(p["fill"].sum()), int(p["render_cells"].sum()), p["n_holes"], p["median_z"], p["source"]) for p in found],
+        columns=["patch_id", "acres", "fill_cells", "render_cells", "n_holes", "median_z", "source"])
 
 
 @query("production_clusters")
 def production_clusters(spark, sf):
-    return kernels.per_parcel(step1(spark, sf).select(*grid.KEY, "z", "eligible"), _clusters, "patch_id int, acres double, fill_cells int, n_holes int, median_z double, source int")
+    return kernels.per_parcel(step1(spark, sf).select(*grid.KEY, "z", "eligible"), _clusters, "patch_id int, acres double, fill_cells int, render_cells int, n_holes int, median_z double, source int")
 
 
 # --- water, trees, solar, roads -----------------------------------------------------------

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
-from ..operators import grid, lines, regions, soil
+from ..operators import grid, lines, regions, resample, sites, soil
+from ..streaming import ledger
 from . import views as V
 from .catalog import _HYDRIC, _PCT, PX, PY, _checkpoints, masked_cells, query, rounded, step1, with_
 
@@ -205,3 +206,57 @@ def keypoint_relationships(spark, sf):
     zones = V.zone_rings(spark, sf).select("parcel_id", "zone_id", regions.from_ring("ring_x", "ring_y").alias("rings"), (k % 40).cast("double").alias("representative_elevation_m"))
     got = lines.feature_relationships(points, zones, "point_id", "zone_id")
     return got.select("parcel_id", "point_id", "zone_id", "status", (F.col("distance_m") + 0.0).alias("distance_m"), (F.col("elevation_differential_m") + 0.0).alias("elevation_differential_m"))
+
+
+# --- sites, rasters, arrivals ---------------------------------------------------------------
+
+@query("solar_sites")
+def solar_sites(spark, sf):
+    """Sites on the grids: along the road's own ground where a parcel's number is even,
+    by a mapped road for others, every seventh parcel unasked."""
+    _checkpoints(spark)
+    cells, number = V.cells(spark, sf), F.col("parcel_id").cast("int")
+    trees = grid.tree_root_zone(cells, PX, PY).select(*grid.KEY, F.col("tree_root").alias("canopy"))
+    terrain = grid.horn(cells, PX, PY).select(*grid.KEY, "slope_pct", "aspect_deg").join(grid.shading(cells, PX, PY).select(*grid.KEY, "shading_score"), grid.KEY).join(trees, grid.KEY)
+    shapes = regions.union_by(V.shapes(spark, sf).where("kind = 'production'").select("parcel_id", "rings"), ["parcel_id"]).withColumnRenamed("rings", "production")
+    nothing = F.lit(None).cast(regions.RINGS)
+    home = V.grid_parcels(spark, sf).join(shapes, "parcel_id", "left").withColumns({"water": V.box(60, -40, 70, -30), "trees": nothing})
+    corridors = regions.road_footprints(cells.where("road").where(number % 2 == 0), PX, PY, grow=0)
+    roads = V.grid_parcels(spark, sf).where(number % 7 != 0).select("parcel_id", F.when(number % 5 != 0, F.array(F.array(F.array(F.lit(17.5), F.lit(-100.0)), F.array(F.lit(17.5), F.lit(0.0))))).alias("rings"))
+    return sites.solar_sites(home, terrain, corridors, roads, PX, PY, spacing=10.0).drop("area")
+
+
+_SHIFTED = """asked AS (SELECT a.parcel_id, a.r, a.c, b.hag, CASE WHEN b.c = a.c THEN 0.7 ELSE 0.3 END * CASE WHEN b.r = a.r THEN 0.6 ELSE 0.4 END AS w
+    FROM cells a LEFT JOIN cells b ON a.parcel_id = b.parcel_id AND b.r - a.r IN (0, 1) AND b.c - a.c IN (0, 1) AND b.hag IS NOT NULL),
+  warped AS (SELECT parcel_id, r, c, sum(w * hag) / sum(w) AS value FROM asked GROUP BY parcel_id, r, c)"""
+
+
+def shifted_canopy(spark, sf):
+    """Each grid's canopy on a grid 0.3 cells east and 0.4 cells south of it."""
+    cells = V.cells(spark, sf)
+    pixels = cells.select(F.col("parcel_id").alias("tile_id"), F.col("r").alias("row"), F.col("c").alias("col"), F.col("hag").alias("value"))
+    tiles = cells.select("parcel_id").distinct().select("parcel_id", F.col("parcel_id").alias("tile_id"), *[F.lit(v).alias(k) for k, v in (("origin_x", 0.0), ("origin_y", 0.0), ("px", PX), ("py", PY))])
+    wanted = cells.select(*grid.KEY, "in_parcel", ((F.col("c") + 0.8) * PX).alias("x"), (-(F.col("r") + 0.9) * PY).alias("y"))
+    return resample.resampled(wanted, tiles, pixels)
+
+
+@query("canopy_resampled", with_(V.CELLS, _SHIFTED) + "SELECT parcel_id, r, c, round(value, 8) + 0.0 AS value FROM warped")
+def canopy_resampled(spark, sf):
+    return shifted_canopy(spark, sf).select(*grid.KEY, *rounded("value"))
+
+
+@query("canopy_coverage", with_(V.CELLS, _SHIFTED) + """SELECT parcel_id, n_cells, round(100.0 * gaps / n_cells, 8) AS nodata_pct, CASE WHEN held = 0 THEN 'none' WHEN 100.0 * gaps / n_cells > 10 THEN 'incomplete' ELSE 'complete' END AS status FROM (
+  SELECT parcel_id, count(*) FILTER (in_parcel) AS n_cells, count(*) FILTER (in_parcel AND value IS NULL) AS gaps, count(value) AS held FROM warped JOIN (SELECT parcel_id, r, c, in_parcel FROM cells) USING (parcel_id, r, c) GROUP BY parcel_id)""")
+def canopy_coverage(spark, sf):
+    return resample.coverage(shifted_canopy(spark, sf)).select("parcel_id", "n_cells", "status", *rounded("nodata_pct"))
+
+
+@query("parcel_ledger", """SELECT parcel_id, count(*) FILTER (n = 1 AND event_id % 9 <> 0 AND source <> 'error') = 4 AS released,
+  4 - count(*) FILTER (n = 1 AND event_id % 9 <> 0 AND source <> 'error') AS n_missing, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_arrival
+  FROM (SELECT user_id // 3 AS parcel_id, event_type AS source, event_id, ts, row_number() OVER (PARTITION BY user_id // 3, event_type ORDER BY ts DESC, event_id % 9 <> 0 DESC, CAST(event_id AS VARCHAR) DESC) AS n FROM events) GROUP BY parcel_id""")
+def parcel_ledger(spark, sf):
+    """Events as arrivals: four kinds are required, one is optional."""
+    events = V.table(spark, sf, "events")
+    came = events.select(F.floor(F.col("user_id") / 3).alias("parcel_id"), F.col("event_type").alias("source"), F.col("ts").alias("arrived_at"), F.when(F.col("event_id") % 9 != 0, F.col("event_id").cast("string")).alias("payload"))
+    got = ledger.status(came.select("parcel_id"), came, ("click", "purchase", "signup", "view"), ("error",))
+    return got.select("parcel_id", "released", F.size("missing").cast("long").alias("n_missing"), F.date_format("last_arrival", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_arrival"))

@@ -57,7 +57,9 @@ def test_dumbbell_splits_at_its_waist():
     mask[1:11, 1:11] = mask[1:11, 19:29] = True
     mask[5:7, 11:19] = True
     parts = kernels.waist_split(mask, 5, 5, 0.1)
-    assert len(parts) == 2 and sum(p.sum() for p in parts) == mask.sum()
+    assert len(parts) == 2 and sum(p.sum() for p, _ in parts) == mask.sum()
+    # What is drawn leaves the waist open, and comes back to the parts by reclaiming.
+    assert all(core.any() and not (core & ~part).any() for part, core in parts) and not np.logical_or(parts[0][1], parts[1][1])[:, 11:19].any()
     assert len(kernels.waist_split(mask, 5, 5, 2.0)) == 1
 
 
