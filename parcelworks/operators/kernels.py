@@ -574,6 +574,21 @@ def utm(lon: np.ndarray, lat: np.ndarray, zone: int) -> tuple[np.ndarray, np.nda
     return 500_000 + 0.9996 * radius * x, 0.9996 * radius * y + np.where(np.asarray(lat) < 0, 1e7, 0.0)
 
 
+def lonlat(x: np.ndarray, y: np.ndarray, zone: int, south: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The inverse of ``utm``, by the inverse series to the same order."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = (np.asarray(y) - (1e7 if south else 0.0)) / (0.9996 * radius), (np.asarray(x) - 500_000) / (0.9996 * radius)
+    u = xi - sum(k * np.sin(2 * j * xi) * np.cosh(2 * j * eta) for j, k in enumerate(beta, 1))
+    v = eta - sum(k * np.cos(2 * j * xi) * np.sinh(2 * j * eta) for j, k in enumerate(beta, 1))
+    chi = np.arcsin(np.sin(u) / np.cosh(v))
+    phi = chi + sum(k * np.sin(2 * j * chi) for j, k in enumerate(delta, 1))
+    return 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(v), np.cos(u))), np.degrees(phi)
+
+
 def ring_overlap(ax, ay, bx, by) -> float:
     """Area that two simple rings share. Between neighbouring heights of corners and
     crossings no edges cross, so the common width is linear there: its value half way

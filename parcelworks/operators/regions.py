@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import polygons as P
+from .kernels import lonlat
 
 RINGS = "array<array<array<double>>>"
 #: Shapes of one key that are held before they are united.
@@ -256,6 +257,31 @@ def boundary_fences(parcels: DataFrame, developed: DataFrame, zones: DataFrame,
     return got.where("_fence IS NOT NULL").select(key, F.posexplode("_fence").alias("n", "ring")).select(key, (F.col("n") + 1).alias("fence_number"), "ring")
 
 
+def closed(rings) -> Column:
+    """Each ring with its first corner again at its end, as files want it."""
+    return F.transform(rings, lambda r: F.concat(r, F.slice(r, 1, 1)))
+
+
+def in_degrees(df: DataFrame, zone: int, south: bool = False, column: str = "rings") -> DataFrame:
+    """Corners of a UTM zone in longitude and latitude."""
+    def turned(r: P.Region) -> P.Region:
+        return [np.stack(lonlat(x[:, 0], x[:, 1], zone, south), axis=1) for x in r]
+
+    return with_region(df, column, turned, column)
+
+
+def polygons_of(df: DataFrame, column: str = "rings") -> DataFrame:
+    """``coordinates`` of a MultiPolygon: each shell with its holes, all closed."""
+    def split(values: pa.Array) -> pa.Array:
+        found = [[encoded([part]) for part in P.parts(v)] for v in decoded(values)]
+        flat = [x for f in found for x in f]
+        at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(at, pa.concat_arrays(flat) if flat else encoded([]))
+
+    parts = df.withColumn("coordinates", _once(split, f"array<{RINGS}>")(column))
+    return parts.withColumn("coordinates", F.transform("coordinates", closed))
+
+
 # --- cells -----------------------------------------------------------------------------
 
 def footprints(cells: DataFrame, keys: list[str], px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0) -> DataFrame:

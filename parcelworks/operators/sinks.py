@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import features
 from .records import farm_roads, name_or
+from .regions import closed
 
 # The notes that each layer carries.
 WATER_NOTES = (
@@ -36,6 +37,102 @@ PRIME_FOUND = (
 PRIME_NONE = "No prime farmland classification found in this area per SSURGO."
 
 
+STREAM_FENCE_NOTES = (
+    "This is a SUGGESTED livestock-exclusion boundary, not a surveyed fence line: it's generated by buffering the mapped USGS NHD stream "
+    "centerline by a fixed {meters}m ({feet}ft) distance and outputting the outline of that buffer. It inherits NHD's own scale/currency "
+    "limitations (see hydrology_data.py's confidence_notes) -- actual streambank position, channel meander, and small/seasonal drainages not "
+    "captured in NHD may not match what's on the ground. Walk this line and adjust before building fence on it."
+)
+BOUNDARY_FENCE_NOTES = (
+    "This fence line encloses the property's DEVELOPED FOOTPRINT (production zones, structure site, and road corridor path), pushed out by a "
+    "working margin, unioned with any water/tree exclusion-zone fences at the developed edge, simplified to its convex hull, and clipped to the "
+    "drawn property boundary -- so fencing follows the land the farm actually develops rather than the full drawn parcel edge. It deliberately "
+    "does NOT route around tree canopy (a fence through wooded ground is fine in practice).{split} It carries no fence type, height, or material "
+    "specification (out of scope), and no legal parcel/ownership-boundary or survey data backs it -- confirm the exact line against a real "
+    "survey before building on it."
+)
+BOUNDARY_SPLIT_NOTE = (
+    " The drawn property boundary clipped the developed footprint's convex hull into {n} separate fence loops requiring {n} separate physical "
+    "fence runs, not one continuous loop."
+)
+ZONE_FENCE_NOTES = {
+    "water": (
+        "This fence line fully encloses the selected water system candidate zone's own real, already-computed render footprint, buffered "
+        "{meters}m ({feet}ft) outward so the line sits clear of the zone's own edge rather than flush against it. It inherits the water zone's "
+        "own siting confidence and limitations already documented at that layer (water_suitability.py/water_candidate_zones.py) -- this fence "
+        "line is exactly as reliable as the zone geometry it encloses, no more, no less. It is INDEPENDENT of every other fence type here -- "
+        "not spliced or gated into the boundary fence or any other fence loop, and may visually overlap them near the zone's own edge; that "
+        "overlap is expected, not a bug."
+    ),
+    "tree": (
+        "This fence line fully encloses one tree zone candidate's own real, already-computed render footprint, buffered {meters}m ({feet}ft) "
+        "outward so the line sits clear of the candidate's own edge rather than flush against it. Unlike production/water/road zones, there is "
+        "NO selection step for tree zone candidates -- EVERY ranked candidate on this property gets its own separate fence loop here, so a "
+        "property with multiple tree zone candidates will show multiple separate tree zone fence loops, not just one. It inherits that "
+        "candidate's own siting confidence and limitations already documented at that layer (tree_zone_candidates.py) -- this fence line is "
+        "exactly as reliable as the candidate geometry it encloses, no more, no less. It is INDEPENDENT of every other fence type here -- not "
+        "spliced or gated into the boundary fence or any other fence loop, and may visually overlap them (including other tree zone candidates' "
+        "own fence loops, where two candidates sit close together); that overlap is expected, not a bug."
+    ),
+}
+SEARCH_SPACE_NOTES = (
+    "Diagnostic layer only, not a deliverable candidate zone: the full property boundary, first shrunk inward by a 5.0m boundary setback, minus "
+    "every current OPTIMIZED (ceiling-trimmed) production-zone candidate, each buffered by a 5.0m clearance, plus the single SELECTED "
+    "water-system zone, buffered by a 5.0m clearance, and single SELECTED road corridor's own geometry (see tree_zone_candidates.py's module "
+    "docstring, Step 1). Useful for checking the search space independently of the suitability scoring/thresholding built on top of it (Steps 2-3)."
+)
+
+
+def _feet(meters: float) -> float:
+    return round(meters / 0.3048, 1)
+
+
+def stream_fence_layer(fences: DataFrame, meters: float) -> DataFrame:
+    """Fences (``fence``: rings in degrees) of streams with source_id and label."""
+    label = name_or("Unnamed stream", "label")
+    feature = features.make_feature(
+        F.concat(F.lit("exclusion-fencing-stream-"), F.col("source_id").cast("string")), "exclusion_fencing", F.concat(F.lit("Stream exclusion fencing ("), label, F.lit(")")), F.lit("medium"),
+        F.lit(STREAM_FENCE_NOTES.format(meters=meters, feet=_feet(meters))), F.lit("MultiLineString"), closed(F.col("fence")), source_feature_id=F.col("source_id").cast("string"), exclusion_buffer_meters=F.lit(meters),
+    )
+    return fences.select("parcel_id", feature.alias("feature"))
+
+
+def boundary_fence_layer(fences: DataFrame) -> DataFrame:
+    """Fence rings (fence_number, ``ring`` in degrees); more than one are numbered."""
+    many = F.col("_n") > 1
+    before, after = BOUNDARY_FENCE_NOTES.split("{split}")
+    split = F.when(many, F.replace(F.lit(BOUNDARY_SPLIT_NOTE), F.lit("{n}"), F.col("_n").cast("string"))).otherwise("")
+    number = F.col("fence_number").cast("string")
+    feature = features.make_feature(
+        F.concat(F.lit("perimeter-fencing-boundary-"), number), "perimeter_fencing", F.when(many, F.concat(F.lit("Boundary fencing "), number)).otherwise("Boundary fencing"), F.lit("high"),
+        F.concat(F.lit(before), split, F.lit(after)), F.lit("MultiLineString"), closed(F.array("ring")), fence_type=F.lit("boundary"), segment_index=F.when(many, F.col("fence_number")),
+    )
+    counted = fences.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("parcel_id")))
+    return counted.select("parcel_id", feature.alias("feature"))
+
+
+def zone_fence_layer(fences: DataFrame, kind: str, meters: float) -> DataFrame:
+    """Fences (``fence``: rings in degrees) of the selected water zone, or of all tree
+    zones with their ``rank``."""
+    tree = kind == "tree"
+    place = F.col("rank").cast("string") if tree else F.lit("")
+    more = {"candidate_rank": F.col("rank")} if tree else {}
+    id_, label = ("perimeter-fencing-tree-zone-", "Tree zone fencing ") if tree else ("perimeter-fencing-water-zone", "Water zone fencing")
+    feature = features.make_feature(
+        F.concat(F.lit(id_), place), "perimeter_fencing", F.concat(F.lit(label), place), F.lit("high"), F.lit(ZONE_FENCE_NOTES[kind].format(meters=meters, feet=_feet(meters))),
+        F.lit("MultiLineString"), closed(F.col("fence")), fence_type=F.lit(f"{kind}_zone_exclusion"), **more, buffer_meters=F.lit(meters),
+    )
+    return fences.select("parcel_id", feature.alias("feature"))
+
+
+def search_space_layer(spaces: DataFrame) -> DataFrame:
+    """Tree search spaces (``coordinates`` of a MultiPolygon in degrees); a parcel
+    without land left has no feature."""
+    feature = features.make_feature(
+        F.lit("tree-search-space"), "tree_search_space_diagnostic", F.lit("Tree suitability search space (leftover, non-claimed land)"), F.lit("low"), F.lit(SEARCH_SPACE_NOTES), F.lit("MultiPolygon"), F.col("coordinates"))
+    return spaces.where(F.size("coordinates") > 0).select("parcel_id", feature.alias("feature"))
+
+
 def water_layer(raw: DataFrame) -> DataFrame:
     """Hydrology features of layers 6 (streams) and 12 (water bodies)."""
     stream = F.col("layer") == 6

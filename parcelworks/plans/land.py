@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
-from ..operators import grid, lines, regions, resample, sites, soil
+from ..operators import grid, lines, regions, resample, sinks, sites, soil
 from ..streaming import ledger
 from . import views as V
 from .catalog import _HYDRIC, _PCT, PX, PY, _checkpoints, masked_cells, query, rounded, step1, with_
@@ -260,3 +260,38 @@ def parcel_ledger(spark, sf):
     came = events.select(F.floor(F.col("user_id") / 3).alias("parcel_id"), F.col("event_type").alias("source"), F.col("ts").alias("arrived_at"), F.when(F.col("event_id") % 9 != 0, F.col("event_id").cast("string")).alias("payload"))
     got = ledger.status(came.select("parcel_id"), came, ("click", "purchase", "signup", "view"), ("error",))
     return got.select("parcel_id", "released", F.size("missing").cast("long").alias("n_missing"), F.date_format("last_arrival", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_arrival"))
+
+
+# --- layers for exchange ------------------------------------------------------------------------
+
+@query("fence_layers", """SELECT CAST(c_custkey AS VARCHAR) AS parcel_id, 'exclusion-fencing-stream-' || c_custkey AS id, 'exclusion_fencing' AS layer, 'Stream exclusion fencing (' || c_name || ')' AS label, 'medium' AS confidence, NULL AS fence_type, 1 AS n_lines FROM customer
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'perimeter-fencing-water-zone', 'perimeter_fencing', 'Water zone fencing', 'high', 'water_zone_exclusion', 1 FROM customer WHERE c_custkey % 10 > 1
+  UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'perimeter-fencing-tree-zone-' || n, 'perimeter_fencing', 'Tree zone fencing ' || n, 'high', 'tree_zone_exclusion', 1 FROM customer, (SELECT unnest([1, 2]) AS n) WHERE c_custkey % 10 = 2""")
+def fence_layers(spark, sf):
+    """Fences of streams, of ponds and of two tree zones a parcel, in degrees."""
+    k = F.col("c_custkey")
+    named = V.table(spark, sf, "customer").select(k.cast("string").alias("parcel_id"), k.alias("source_id"), F.col("c_name").alias("label"))
+    streams = regions.stream_fences(bent_lines(spark, sf)).join(named, "parcel_id")
+    ponds = regions.zone_fences(claims(spark, sf).where("kind = 'water'").join(homes(spark, sf).where("k % 10 > 1").select("parcel_id"), "parcel_id"))
+    trees = homes(spark, sf).where("k % 10 = 2").select("parcel_id", F.inline(F.array(
+        F.struct(F.lit(1).alias("rank"), V.box(20, 20, 60, 50).alias("rings")), F.struct(F.lit(2).alias("rank"), V.box(40, 30, 80, 60).alias("rings")))))
+
+    def there(df):  # metres from a place in zone 17
+        moved = F.transform("fence", lambda r: F.transform(r, lambda p: F.array(p[0] + 583_000, p[1] + 4_498_000)))
+        return regions.in_degrees(df.withColumn("fence", moved), 17, column="fence")
+
+    def listed(layer, kind):
+        at = "feature.properties."
+        return layer.select("parcel_id", "feature.id", at + "layer", at + "label", at + "confidence", kind.alias("fence_type"), F.size("feature.geometry.coordinates").alias("n_lines"))
+
+    fence_type = F.col("feature.properties.fence_type")
+    out = listed(sinks.stream_fence_layer(there(streams), regions.STREAM_FENCE), F.lit(None).cast("string"))
+    out = out.unionByName(listed(sinks.zone_fence_layer(there(ponds), "water", regions.ZONE_FENCE), fence_type))
+    return out.unionByName(listed(sinks.zone_fence_layer(there(regions.zone_fences(trees)), "tree", regions.ZONE_FENCE), fence_type))
+
+
+@query("search_space_layer", with_(_CLAIMED) + """SELECT parcel_id, 'tree-search-space' AS id, 'tree_search_space_diagnostic' AS layer, 'low' AS confidence, 1 AS n_polygons, CASE kind WHEN 0 THEN 0 ELSE 3 END AS n_holes FROM made WHERE kind <> 1""")
+def search_space_layer(spark, sf):
+    left = regions.tree_search_space(homes(spark, sf), claims(spark, sf)).select("parcel_id", "rings")
+    got = sinks.search_space_layer(regions.polygons_of(left)).select("parcel_id", "feature.id", "feature.properties.layer", "feature.properties.confidence", F.col("feature.geometry.coordinates").alias("p"))
+    return got.select("parcel_id", "id", "layer", "confidence", F.size("p").alias("n_polygons"), (F.size(F.flatten("p")) - F.size("p")).alias("n_holes"))
