@@ -41,7 +41,7 @@ def _boxed(df: DataFrame, prefix: str, size: float, reach: float) -> DataFrame:
     return df
 
 
-def nearest_shape(left: DataFrame, right: DataFrame, id_left: str, id_right: str, left_kind: str = "area", right_kind: str = "area", start: float = 50.0, key: str = "parcel_id") -> DataFrame:
+def nearest_shape(left: DataFrame, right: DataFrame, id_left: str, id_right: str, left_kind: str = "area", right_kind: str = "area", start: float = 200.0, key: str = "parcel_id") -> DataFrame:
     """key, id_left, id_right, distance, status: for each shape of ``left`` the nearest of
     its parcel in ``right`` (the smaller id on ties), 0 where they meet; ``no_feature``
     where the parcel has none. Both have ``rings``; kinds as in ``polygons.distance``.

@@ -185,7 +185,7 @@ def stream_lines(spark, sf):
 
 
 @query("nearest_stream", with_(V.RINGS) + """SELECT parcel_id, zone_id, arg_min(stream_id, (d, stream_id)) AS stream_id, round(min(d), 8) + 0.0 AS distance, CASE WHEN min(d) IS NULL THEN 'no_feature' ELSE 'computed' END AS status FROM (
-  SELECT z.parcel_id, z.zone_id, s.stream_id, sqrt(greatest(s.x0 - (z.x + z.w), z.x - s.x1, 0) ** 2 + greatest(s.y0 - (z.y + z.h), z.y - s.y0, 0) ** 2) AS d
+  SELECT z.parcel_id, z.zone_id, s.stream_id, CASE WHEN s.stream_id IS NOT NULL THEN sqrt(greatest(s.x0 - (z.x + z.w), z.x - s.x1, 0) ** 2 + greatest(s.y0 - (z.y + z.h), z.y - s.y0, 0) ** 2) END AS d
   FROM zone_rings z LEFT JOIN (SELECT CAST(CAST(floor(s_suppkey / 10.0) AS BIGINT) AS VARCHAR) AS parcel_id, s_suppkey AS stream_id, s_suppkey * 613 % 900 AS x0, s_suppkey * 613 % 900 + 100 + s_suppkey % 5 * 40 AS x1, s_suppkey * 271 % 900 AS y0 FROM supplier) s
   ON s.parcel_id = z.parcel_id) GROUP BY parcel_id, zone_id""")
 def nearest_stream(spark, sf):
@@ -197,7 +197,7 @@ def nearest_stream(spark, sf):
 
 @query("keypoint_relationships", with_(V.POINTS, V.RINGS) + """SELECT parcel_id, point_id, arg_min(zone_id, (d, zone_id)) AS zone_id, CASE WHEN min(d) IS NULL THEN 'no_feature' ELSE 'computed' END AS status,
   round(min(d), 2) + 0.0 AS distance_m, round(any_value(z) - arg_min(zone_id, (d, zone_id)) % 40, 2) + 0.0 AS elevation_differential_m FROM (
-  SELECT p.parcel_id, p.point_id, p.z, z.zone_id, sqrt(greatest(z.x - p.x, p.x - (z.x + z.w), 0.0) ** 2 + greatest(z.y - p.y, p.y - (z.y + z.h), 0.0) ** 2) AS d
+  SELECT p.parcel_id, p.point_id, p.z, z.zone_id, CASE WHEN z.zone_id IS NOT NULL THEN sqrt(greatest(z.x - p.x, p.x - (z.x + z.w), 0.0) ** 2 + greatest(z.y - p.y, p.y - (z.y + z.h), 0.0) ** 2) END AS d
   FROM points p LEFT JOIN zone_rings z ON z.parcel_id = p.parcel_id) GROUP BY parcel_id, point_id""")
 def keypoint_relationships(spark, sf):
     _checkpoints(spark)
@@ -216,14 +216,14 @@ def solar_sites(spark, sf):
     by a mapped road for others, every seventh parcel unasked."""
     _checkpoints(spark)
     cells, number = V.cells(spark, sf), F.col("parcel_id").cast("int")
-    trees = grid.tree_root_zone(cells, PX, PY).select(*grid.KEY, F.col("tree_root").alias("canopy"))
+    trees = cells.select(*grid.KEY, F.coalesce(F.col("hag") >= 4.5, F.lit(False)).alias("canopy"))
     terrain = grid.horn(cells, PX, PY).select(*grid.KEY, "slope_pct", "aspect_deg").join(grid.shading(cells, PX, PY).select(*grid.KEY, "shading_score"), grid.KEY).join(trees, grid.KEY)
     shapes = regions.union_by(V.shapes(spark, sf).where("kind = 'production'").select("parcel_id", "rings"), ["parcel_id"]).withColumnRenamed("rings", "production")
     nothing = F.lit(None).cast(regions.RINGS)
     home = V.grid_parcels(spark, sf).join(shapes, "parcel_id", "left").withColumns({"water": V.box(60, -40, 70, -30), "trees": nothing})
     corridors = regions.road_footprints(cells.where("road").where(number % 2 == 0), PX, PY, grow=0)
     roads = V.grid_parcels(spark, sf).where(number % 7 != 0).select("parcel_id", F.when(number % 5 != 0, F.array(F.array(F.array(F.lit(17.5), F.lit(-100.0)), F.array(F.lit(17.5), F.lit(0.0))))).alias("rings"))
-    return sites.solar_sites(home, terrain, corridors, roads, PX, PY, spacing=10.0).drop("area")
+    return sites.solar_sites(home, terrain, corridors, roads, PX, PY, spacing=5.0).drop("area")
 
 
 _SHIFTED = """asked AS (SELECT a.parcel_id, a.r, a.c, b.hag, CASE WHEN b.c = a.c THEN 0.7 ELSE 0.3 END * CASE WHEN b.r = a.r THEN 0.6 ELSE 0.4 END AS w
