@@ -84,6 +84,11 @@ def ranked(rows: DataFrame, tie: str, key: str = "parcel_id", score: str = "scor
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), tie)))
 
 
+def placed(rows: DataFrame, keys: list[str], *order) -> DataFrame:
+    """``place``: from 1 within the keys, in that order."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def selected(rows: DataFrame, tie: str, key: str = "parcel_id", score: str = "score") -> DataFrame:
     """The best row of each parcel."""
     return ranked(rows, tie, key, score).where("rank = 1").drop("rank")

@@ -185,3 +185,81 @@ def prime_farmland_flags(candidates: DataFrame, units: DataFrame, prime, key: st
     got = candidates.join(known, F.col(key) == F.col("_k"), "left").withColumn("prime_farmland_conflict", F.coalesce("_prime", F.lit(False)))
     note = F.when(F.col("prime_farmland_conflict"), PRIME_FOUND).otherwise(PRIME_NONE)
     return got.withColumn("prime_farmland_note", note).drop("_k", "_prime")
+
+
+# Fixed texts of the candidate layers.
+WATER_ZONE_NOTES = (
+    "This identifies a general candidate zone for water-system infrastructure (keyline plowing patterns, pond/dam potential, ram pump routing) — "
+    "a connected cluster of DEM cells, each individually on a genuine drainage feature and within plausible service distance of a candidate "
+    "production area, outside the boundary setback. Elevation relative to that production area is NOT a generation-time filter here: a candidate "
+    "sitting BELOW its nearest production area (which would need a pump to deliver water uphill) is still reported, same as one sitting comfortably "
+    "above it (which could gravity-feed) — see properties.production_area_relationships for the real elevation differential/gradient this "
+    "candidate was measured against, and water_suitability.py for how that's turned into a real, weighted preference score rather than a pass/fail "
+    "gate. This is NOT a specific pond or dam site: actual siting requires separate, more detailed analysis (storage volume, dam wall geometry, "
+    "spillway design) not covered here. It also inherits the limitations of the layers it's built on — DEM-derived flow accumulation and a "
+    "slope-only production-area heuristic — so treat this as a starting area to walk and ground-truth, not a final answer."
+)
+CORRIDOR_NOTES = (
+    "This is a TOPOGRAPHIC SUGGESTION only, not a surveyed road alignment — generated by growing a road network outward from the given real "
+    "anchor point (road_network_router.route_road_network(), see road_corridors.py and road_network_router.py), one branch at a time, over a "
+    "least-cost terrain surface (road_cost_path.build_cost_raster()) -- not a civil engineering design. The parcel boundary and a buffered "
+    "pond/water-system zone are HARD exclusions no branch can ever cross; grade above 35.0% is now HARD-excluded too, not just penalized. "
+    "Production land is a SOFT, proportionally-costlier traversal term a branch may still cross when the alternative costs more (see "
+    "properties.crosses_production_zone) -- it's also what this network exists to SERVE, not merely avoid. Floodplain/hydric ground is a SOFT flat "
+    "cost penalty for the same reason (see properties.crosses_floodplain). "
+)
+FLOOD_CROSSING = (
+    "This specific branch DOES cross floodplain/hydric ground — that's intentional/expected under this model, not a caveat to apologize for; "
+    "routing found crossing it was still cheaper overall than detouring around it. "
+)
+PRODUCTION_CROSSING = (
+    "This specific branch DOES cross a production zone — that's intentional/expected under this model, not a caveat to apologize for; "
+    "production crossing is a soft, proportionally-costlier traversal term, not a hard exclusion, so a branch can still cross production land when "
+    "the alternative route costs more. "
+)
+STEEP_BRANCH = (
+    "This branch's average grade (", "%) is steep enough for an unpaved farm road that real engineering consideration — surface material, "
+    "drainage/culverts, water bars — is needed before construction, not just routine grading: erosion, traction, and washout risk all increase "
+    "meaningfully above 10%, especially under heavy rainfall or freeze-thaw conditions. "
+)
+FLOOD_FALLBACK = (
+    "Floodplain/wet-ground cost scoring used a DEM-only fallback (buffered delineated valley lines), not real NHD/SSURGO data, because that data "
+    "wasn't available for this run. "
+)
+CORRIDOR_END = "Treat this as a starting point for a site visit and real survey, not a construction-ready alignment."
+
+
+def water_zone_layer(zones: DataFrame, served: DataFrame) -> DataFrame:
+    """Water zones (``coordinates`` of their ground in degrees, ``fill`` likewise) with
+    their relationships, the most favourable first. At most as many as a parcel has
+    patches are listed in a feature. Zones that serve nothing have no feature."""
+    fields = ("production_area_id", "elevation_differential_m", "distance_m", "gradient_pct", "above_production_area")
+    each = F.sort_array(F.collect_list(F.struct("place", F.struct(*fields).alias("of"))))
+    every = served.groupBy("parcel_id", "zone_id").agg(F.transform(each, lambda x: x["of"]).alias("_all"))
+    number = F.col("zone_id").cast("string")
+    feature = features.make_feature(
+        F.concat(F.lit("water-system-candidate-"), number), "water_system_candidate", F.concat(F.lit("Water system candidate zone "), number), F.lit("low"), F.lit(WATER_ZONE_NOTES),
+        F.lit("MultiPolygon"), F.col("coordinates"), served_production_area_ids=F.sort_array(F.transform("_all", lambda x: x["production_area_id"])), production_area_relationships=F.col("_all"),
+        primary_production_area_relationship=F.col("_all")[0], contributing_area_cells=F.round("contributing_area_cells", 2), slope_pct=F.round("slope_pct", 2),
+        render_fill_geometry_wgs84=F.struct(F.lit("MultiPolygon").alias("type"), F.col("fill").alias("coordinates")),
+    )
+    return zones.join(every, ["parcel_id", "zone_id"]).select("parcel_id", feature.alias("feature"))
+
+
+def corridor_layer(branches: DataFrame) -> DataFrame:
+    """Branches of ``corridors`` (``line`` in degrees, ``is_fallback``: wet ground was
+    guessed from valleys) as lines, each with the notes that fit it."""
+    steep = F.when(F.col("avg_grade_pct") > 10, F.concat(F.lit(STEEP_BRANCH[0]), F.format_string("%.1f", F.round("avg_grade_pct", 1)), F.lit(STEEP_BRANCH[1]))).otherwise("")
+    notes = F.concat(
+        F.lit(CORRIDOR_NOTES), F.when(F.col("crosses_floodplain"), FLOOD_CROSSING).otherwise(""), F.when(F.col("crosses_production_zone"), PRODUCTION_CROSSING).otherwise(""),
+        steep, F.when(F.coalesce("is_fallback", F.lit(False)), FLOOD_FALLBACK).otherwise(""), F.lit(CORRIDOR_END),
+    )
+    feet = {n: F.round(F.col(m) / 0.3048, 1) for n, m in (("length_ft", "length_meters"), ("steep_ft", "steep_meters"), ("total_length_ft", "total_length_meters"))}
+    feature = features.make_feature(
+        F.concat(F.lit("road-corridor-"), (F.col("branch_index") + 1).cast("string")), "suggested_road_corridor", F.lit("Suggested road corridor"), F.lit("low"), notes, F.lit("LineString"), F.col("line"),
+        branch_index=F.col("branch_index"), branch_role=F.col("branch_role"), joins_branch_index=F.col("joins_branch_index"), **feet,
+        avg_grade_pct=F.round("avg_grade_pct", 1), max_grade_pct=F.round("max_grade_pct", 1), newly_served_acres=F.round("newly_served_acres", 3), crosses_floodplain=F.col("crosses_floodplain"),
+        crosses_production_zone=F.col("crosses_production_zone"), total_served_acres=F.round("total_served_acres", 3), stop_reason=F.col("stop_reason"),
+        constraints_satisfied=F.array(F.lit("outside_pond_zone"), F.lit("grade_within_max")),
+    )
+    return branches.select("parcel_id", feature.alias("feature"))
