@@ -33,15 +33,21 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
     ],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."],
+    "BSD-2-Clause": [],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
+    "ISC": ["Licensed under the ISC License."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain under the Unlicense."],
 }
+#: The line by which a file names its licence.
+SPDX = "SPDX-License-Identifier: "
 
 
 def _gnu(name: str, version: str) -> list[str]:
@@ -66,6 +72,10 @@ HEADERS = {
         'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY '
         "KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
     ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is "
+        "available at https://www.eclipse.org/legal/epl-2.0/"
+    ],
     "GPL-2.0": _gnu("GNU General Public License", "2"),
     "GPL-3.0": _gnu("GNU General Public License", "3"),
     "LGPL-3.0": _gnu("GNU Lesser General Public License", "3"),
@@ -75,7 +85,7 @@ HEADERS = {
     ],
 }
 #: Licences whose whole text is in ``licence_texts``.
-TEXTS = ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0")
+TEXTS = ("Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
 # The AGPL is the GPL 3 with another name and section 13.
 _REMOTE = (
     "Remote Network Interaction. Notwithstanding any other provision of this License, if you modify the Program, your modified version must "
@@ -84,10 +94,14 @@ _REMOTE = (
 
 
 def _templates() -> dict[str, list[str]]:
-    """The notices, headers and texts of each licence."""
+    """The notices, headers, identifier line and texts of each licence. The BSD licences
+    are also held with their holder unnamed, the one of two clauses without the third."""
     texts = {n: (files(__package__) / "licence_texts" / f"{n}.txt").read_text(encoding="utf-8") for n in TEXTS}
     texts["AGPL-3.0"] = re.sub(r"(?i)GNU\s+General\s+Public", "GNU Affero General Public", texts["GPL-3.0"]) + _REMOTE
-    return {n: [*notices, *HEADERS.get(n, []), *([texts[n]] if n in texts else [])] for n, notices in TEMPLATES.items()}
+    three = texts["BSD-3-Clause"].replace("REGENTS", "COPYRIGHT HOLDERS").replace("the University", "the copyright holder").split("\n\n", 1)[1]
+    texts["BSD-2-Clause"] = re.sub(r"(?s)3\. Neither.*?permission\.\n", "", three)
+    more = {"BSD-3-Clause": [three]}
+    return {n: [*notices, SPDX + n, *HEADERS.get(n, []), *([texts[n]] if n in texts else []), *more.get(n, [])] for n, notices in TEMPLATES.items()}
 
 
 #: Lines of the blocks that begin at a line with an anchor or at the one before.

@@ -368,6 +368,25 @@ def test_licenses(spark, empty):
     assert licenses.scan(table.limit(0), spark).count() == 0 and licenses.scan(table, spark).count() == len(rows)
 
 
+def test_sibling_licenses_and_identifier_lines(spark):
+    """Two clauses or three, with the holder named or not; an identifier line in code; an
+    identifier of a licence that isn't held is none."""
+    from importlib.resources import files
+
+    text = (files("parcelworks.llm") / "licence_texts" / "BSD-3-Clause.txt").read_text()
+    two = text[: text.index("3. Neither")] + text[text.index("THIS SOFTWARE") :]
+    held = "Copyright (c) 2019, Jo Example\nAll rights reserved.\n\n" + two[two.index("Redistribution") :].replace("REGENTS", "COPYRIGHT HOLDERS")
+    code = "\n".join(f"value_{i} = compute({i}) + offset" for i in range(40))
+    rows = [("two", two), ("held", held), ("three", text), ("isc", "Copyright (c) 2020 Jo Example\n\n" + (files("parcelworks.llm") / "licence_texts" / "ISC.txt").read_text())]
+    rows += [(f"id {n}", f"# {licenses.SPDX}{n}\n{code}") for n in licenses.TEMPLATES]
+    rows += [("other", f"# {licenses.SPDX}Zlib\n{code}")] + [(f"filler {i}", f"words of file {i}") for i in range(200)]
+    table = spark.createDataFrame([(k, f"d{i}/f", t) for i, (k, t) in enumerate(rows)], "doc_id string, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in licenses.scan(table, spark).collect()}
+    assert got["two"] == got["held"] == ("BSD-2-Clause", "file") and got["three"] == ("BSD-3-Clause", "file") and got["isc"] == ("ISC", "file")
+    assert {n: got[f"id {n}"] for n in licenses.TEMPLATES} == {n: (n, "header") for n in licenses.TEMPLATES}
+    assert got["other"] == (None, "none")
+
+
 def test_license_texts_and_wrapped_headers(spark):
     import textwrap
     from importlib.resources import files
