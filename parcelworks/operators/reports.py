@@ -97,6 +97,48 @@ def road_section(branches: DataFrame, key: str = "parcel_id") -> DataFrame:
     return got.select(key, text.alias("section"))
 
 
+def _lined(parcels: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Parcels with ``_lines``: their rows' lines in order of ``_at``, null without any;
+    a parcel has no more rows than its grid has patches or branches."""
+    held = F.sort_array(F.collect_list(F.struct("_at", "_line")))
+    got = rows.groupBy(key).agg(F.transform(held, lambda x: x["_line"]).alias("_lines"))
+    return parcels.join(got, key, "left")
+
+
+def production_summary(parcels: DataFrame, patches: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """A text a parcel: its patches (patch_id, acres, median_z), the largest first."""
+    acres = F.round("acres", 2)
+    line = F.concat(F.lit("  - Patch "), F.col("patch_id").cast("string"), F.lit(": "), acres.cast("string"), F.format_string(" acres, representative elevation %.1fm", F.col("median_z").cast("double")))
+    got = _lined(parcels.select(key), patches.select(key, F.struct((-acres).alias("a"), "patch_id").alias("_at"), line.alias("_line")), key)
+    first = F.format_string("Production-area candidates found: %d", F.size("_lines"))
+    text = F.when(F.col("_lines").isNull(), "No production-area candidates identified on this property.").otherwise(F.array_join(F.concat(F.array(first), F.col("_lines")), "\n"))
+    return got.select(key, text.alias("summary"))
+
+
+def water_zone_summary(counts: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """A text a parcel of its counts (n_zones, n_valleys, n_patches)."""
+    none = F.format_string(
+        "%d primary valley(s) and %d production-area candidate(s) found, but no drainage cell falls within the service-distance/boundary-setback thresholds — no "
+        "water system candidate zones identified.", "n_valleys", "n_patches")
+    some = F.format_string("Water system candidate zones: %d (from %d primary valley(s) and %d production-area candidate(s))", "n_zones", "n_valleys", "n_patches")
+    return counts.select(key, F.when(F.col("n_zones") == 0, none).otherwise(some).alias("summary"))
+
+
+def corridor_summary(networks: DataFrame, branches: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """A text a network: its totals, then its branches in order, with what they join and
+    cross."""
+    joins = F.when(F.col("joins_branch_index").isNotNull(), F.concat(F.lit(", joins branch "), F.col("joins_branch_index").cast("string"))).otherwise("")
+    crossing = F.concat(F.when(F.col("crosses_floodplain"), " [crosses floodplain]").otherwise(""), F.when(F.col("crosses_production_zone"), " [crosses production zone]").otherwise(""))
+    line = F.concat(
+        F.lit("  - Branch "), F.col("branch_index").cast("string"), F.lit(" ("), "branch_role", joins,
+        F.format_string("): %.0fm, %.1f%% avg grade, %.2f new acres served", "length_meters", "avg_grade_pct", "newly_served_acres"), crossing)
+    totals = networks.select(key, "total_length_meters", "total_served_acres", "unserved_acres", "stop_reason")
+    got = _lined(totals, branches.select(key, F.col("branch_index").alias("_at"), line.alias("_line")), key)
+    first = F.format_string("Road network: %d branch(es), %.0fm total length, %.2f acres served, %.2f acres unserved (stop_reason=%s).", F.size("_lines"), "total_length_meters", "total_served_acres", "unserved_acres", "stop_reason")
+    none = F.concat(F.lit("No road network generated (stop_reason="), "stop_reason", F.lit(")."))
+    return got.select(key, F.when(F.col("_lines").isNull(), none).otherwise(F.array_join(F.concat(F.array(first), F.col("_lines")), "\n")).alias("summary"))
+
+
 def report(sections: dict[str, DataFrame], key: str = "parcel_id") -> DataFrame:
     """All sections of each parcel in the order given, with their headings; a
     parcel without a section is told so by that section's absence text."""

@@ -263,3 +263,29 @@ def corridor_layer(branches: DataFrame) -> DataFrame:
         constraints_satisfied=F.array(F.lit("outside_pond_zone"), F.lit("grade_within_max")),
     )
     return branches.select("parcel_id", feature.alias("feature"))
+
+
+PRODUCTION_NOTES = (
+    "This is a slope + hydric-soil + woody-vegetation + existing-road heuristic (contiguous ground at or below 20.0% grade, with hydric/wetland soil "
+    "excluded cell-by-cell before clustering -- see soil_data.hydric_disqualifying_mukeys() -- tree-root-zone cells excluded cell-by-cell via USGS "
+    "3DEP lidar height-above-ground, see canopy_height_data.py -- and existing mapped road right-of-way excluded cell-by-cell, see "
+    "farm_roads_data.get_road_exclusion_union_utm()), not a validated production-area determination. Cells within 3.0m of the real parcel boundary "
+    "are also excluded (a fixed inward setback, not derived from any of the above). Unlike the soil and road checks, the woody-vegetation check is "
+    "mandatory: identify_production_areas() refuses to return any candidate at all if USGS 3DEP lidar HAG coverage couldn't be fetched or was too "
+    "sparse to trust, rather than returning geometry that was never actually checked for tree cover -- see canopy_height_data.py. Road exclusion "
+    "degrades gracefully like the soil check: if USGS National Map road data couldn't be fetched, this candidate's geometry may still include ground "
+    "within existing road right-of-way that wasn't caught -- see farm_roads_data.py, which is itself a known-incomplete (public-ROW-only) signal even "
+    "when the fetch succeeds. It doesn't account for soil quality beyond the hard hydric exclusion, drainage, existing land use, or the property "
+    "owner's actual crop/grazing plans — see soil_data.py and the Land Shape section of the full Scale of Permanence report for those factors."
+)
+
+
+def production_layer(patches: DataFrame) -> DataFrame:
+    """Production patches (patch_id, acres, fill_acres, median_z, ``coordinates`` of
+    their ground in degrees) that have ground."""
+    number = F.col("patch_id").cast("string")
+    feature = features.make_feature(
+        F.concat(F.lit("production-area-"), number), "production_area_candidate", F.concat(F.lit("Production area candidate "), number), F.lit("low"), F.lit(PRODUCTION_NOTES), F.lit("MultiPolygon"), F.col("coordinates"),
+        area_acres=F.round("acres", 2), representative_elevation_m=F.round("median_z", 1), render_fill_area_acres=F.round(F.coalesce("fill_acres", F.lit(0.0)), 2),
+    )
+    return patches.where(F.size("coordinates") > 0).select("parcel_id", feature.alias("feature"))

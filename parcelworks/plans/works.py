@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import corridors, features, grid, kernels, lines, regions, sinks, waterzones
+from ..operators import corridors, features, grid, kernels, lines, regions, reports, sinks, waterzones
 from . import views as V
 from .catalog import PX, PY, _checkpoints, query, rounded, step1, trimmed, with_
 from .land import unit_rings
@@ -173,3 +173,39 @@ def water_zone_layers(spark, sf):
     drawn = regions.polygons_of(drawn, "fill").drop("fill").withColumnRenamed("coordinates", "fill")
     drawn = regions.polygons_of(drawn)
     return features.collection(sinks.water_zone_layer(drawn, waterzones.relationships(zones, fields)))
+
+
+def ring_patches(spark, sf):
+    """Rectangles as patches, what is drawn of them 5 m in from their edges."""
+    k, acres = F.col("zone_id"), grid.SQUARE_METERS_PER_ACRE
+    got = V.zone_rings(spark, sf).select("parcel_id", k.alias("patch_id"), regions.from_ring("ring_x", "ring_y").alias("rings"), (k % 40 + 0.3).alias("median_z"))
+    inner = regions.buffered(got.select("parcel_id", "patch_id", "rings"), -5.0).select("parcel_id", "patch_id", (regions.area("rings") / acres).alias("fill_acres"))
+    return got.withColumn("acres", regions.area("rings") / acres).join(inner, ["parcel_id", "patch_id"])
+
+
+_ACRES = f"round(w * h / {grid.SQUARE_METERS_PER_ACRE}, 2)"
+
+
+@query("production_layer", with_(V.RINGS) + f"""SELECT parcel_id, 'production-area-' || zone_id AS id, 'Production area candidate ' || zone_id AS label, 'low' AS confidence, {_ACRES} AS area_acres,
+  CAST(zone_id % 40 + 0.3 AS DOUBLE) AS representative_elevation_m, round((w - 10) * (h - 10) / {grid.SQUARE_METERS_PER_ACRE}, 2) AS render_fill_area_acres, 1 AS n_polygons FROM zone_rings""")
+def production_layer(spark, sf):
+    got = sinks.production_layer(regions.polygons_of(shapes_there(ring_patches(spark, sf), "rings")))
+    at = "feature.properties."
+    return got.select("parcel_id", "feature.id", *[at + n for n in ("label", "confidence", "area_acres", "representative_elevation_m", "render_fill_area_acres")], F.size("feature.geometry.coordinates").alias("n_polygons"))
+
+
+@query("production_summaries", with_(V.RINGS) + f"""SELECT n AS parcel_id, CASE WHEN count(zone_id) = 0 THEN 'No production-area candidates identified on this property.' ELSE 'Production-area candidates found: ' || count(zone_id) || chr(10)
+  || string_agg('  - Patch ' || zone_id || ': ' || {_ACRES} || ' acres, representative elevation ' || zone_id % 40 || '.3m', chr(10) ORDER BY {_ACRES} DESC, zone_id) END AS summary
+  FROM (SELECT DISTINCT CAST(c_custkey // 100 AS VARCHAR) AS n FROM customer) LEFT JOIN zone_rings ON parcel_id = n GROUP BY n""")
+def production_summaries(spark, sf):
+    """Parcels by hundreds of customers, so that some have no patch."""
+    homes = V.table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 100).cast("string").alias("parcel_id")).distinct()
+    return reports.production_summary(homes, ring_patches(spark, sf))
+
+
+@query("corridor_summaries")
+def corridor_summaries(spark, sf):
+    _checkpoints(spark)
+    found, wet = routed(spark, sf)
+    found = found.checkpoint()
+    return reports.corridor_summary(found, corridors.branches(found, wet))

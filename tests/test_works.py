@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelworks.operators import corridors, features, regions, sinks, waterzones
+from parcelworks.operators import corridors, features, regions, reports, sinks, waterzones
 from parcelworks.operators import polygons as P
 
 HOME = [np.array([(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (0.0, 100.0)])]
@@ -241,3 +241,20 @@ def test_layers(spark):
     assert [r["parcel_id"] for r in rows] == ["p"]
     p = rows[0]["feature"]["properties"]
     assert p["served_production_area_ids"] == [7, 9] and p["primary_production_area_relationship"]["production_area_id"] == 9 and p["contributing_area_cells"] == 12.35
+
+
+def test_summaries(spark):
+    _, found, floods = chain(spark)
+    every = corridors.branches(found, floods)
+    got = {r["parcel_id"]: r["summary"] for r in reports.corridor_summary(found, every).collect()}
+    rows, whole = every.orderBy("branch_index").collect(), found.where("parcel_id = 'all'").first()
+    want = [f"Road network: {len(rows)} branch(es), {whole['total_length_meters']:.0f}m total length, {whole['total_served_acres']:.2f} acres served, {whole['unserved_acres']:.2f} acres unserved (stop_reason=all_demand_served)."]
+    for b in rows:
+        joins = "" if b["joins_branch_index"] is None else f", joins branch {b['joins_branch_index']}"
+        cross = " [crosses floodplain]" * b["crosses_floodplain"] + " [crosses production zone]" * b["crosses_production_zone"]
+        want.append(f"  - Branch {b['branch_index']} ({b['branch_role']}{joins}): {b['length_meters']:.0f}m, {b['avg_grade_pct']:.1f}% avg grade, {b['newly_served_acres']:.2f} new acres served{cross}")
+    assert got["all"] == "\n".join(want) and got["shut"] == "No road network generated (stop_reason=no_eligible_anchor)."
+    counts = spark.createDataFrame([("p", 1, 2, 3), ("q", 0, 4, 0)], "parcel_id string, n_zones long, n_valleys long, n_patches long")
+    got = {r["parcel_id"]: r["summary"] for r in reports.water_zone_summary(counts).collect()}
+    assert got["p"] == "Water system candidate zones: 1 (from 2 primary valley(s) and 3 production-area candidate(s))"
+    assert got["q"].startswith("4 primary valley(s) and 0 production-area candidate(s) found, but no drainage cell")
