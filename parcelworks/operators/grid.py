@@ -20,6 +20,13 @@ FOUR = ((-1, 0), (0, -1), (0, 1), (1, 0))
 KEY = ["parcel_id", "r", "c"]
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """By key over all shuffle partitions. Work on cells and corners is many times what
+    their bytes say: a table of one small file is one task, and partitions of few bytes
+    are merged, unless they are dealt by number."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cell_area_acres(px: float, py: float) -> float:
     return px * py / SQUARE_METERS_PER_ACRE
 
@@ -46,9 +53,11 @@ def square(radius: int, centre: bool = True) -> list[tuple[int, int]]:
 
 def looked_at(cells: DataFrame, offsets: list[tuple[int, int]], value: str = "z") -> DataFrame:
     """(parcel_id, r, c, dr, dc, value) of each neighbour (r+dr, c+dc) of a target
-    (r, c); targets outside the grid appear too and go with a join to cells."""
+    (r, c); targets outside the grid appear too and go with a join to cells. Cells are
+    dealt by parcel before they multiply, so sums by target need no other shuffle."""
     steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in offsets])
-    sent = cells.where(F.col(value).isNotNull()).select("parcel_id", "r", "c", F.col(value).alias("_v"), F.explode(steps).alias("_o"))
+    held = dealt(cells.where(F.col(value).isNotNull()).select(*KEY, F.col(value).alias("_v")), ["parcel_id"])
+    sent = held.select(*KEY, "_v", F.explode(steps).alias("_o"))
     return sent.select(
         "parcel_id", (F.col("r") - F.col("_o.dr")).alias("r"), (F.col("c") - F.col("_o.dc")).alias("c"),
         F.col("_o.dr").alias("dr"), F.col("_o.dc").alias("dc"), F.col("_v").alias(value),
@@ -58,7 +67,7 @@ def looked_at(cells: DataFrame, offsets: list[tuple[int, int]], value: str = "z"
 def gather(cells: DataFrame, offsets: list[tuple[int, int]], aggregates: list[Column], value: str = "z") -> DataFrame:
     """``cells`` with aggregates over their neighbours (null where none)."""
     got = looked_at(cells, offsets, value).groupBy(*KEY).agg(*aggregates)
-    return cells.join(got, KEY, "left")
+    return cells.hint("merge").join(got, KEY, "left")
 
 
 # --- terrain ------------------------------------------------------------------
@@ -66,10 +75,10 @@ def gather(cells: DataFrame, offsets: list[tuple[int, int]], aggregates: list[Co
 def neighbour_slope(cells: DataFrame, px: float, py: float) -> DataFrame:
     """slope_pct: the steepest of the slopes to the up to 8 neighbours."""
     around = looked_at(cells, list(EIGHT)).withColumnRenamed("z", "_z")
-    joined = around.join(cells.where("z IS NOT NULL").select(*KEY, "z"), KEY)
+    joined = around.hint("merge").join(cells.where("z IS NOT NULL").select(*KEY, "z"), KEY)
     run = F.sqrt(F.pow(F.col("dc") * px, 2) + F.pow(F.col("dr") * py, 2))
     steepest = joined.groupBy(*KEY).agg(F.max(F.abs(F.col("_z") - F.col("z")) / run * 100.0).alias("_s"))
-    out = cells.join(steepest, KEY, "left")
+    out = cells.hint("merge").join(steepest, KEY, "left")
     return out.withColumn("slope_pct", F.when(F.col("z").isNotNull(), F.coalesce("_s", F.lit(0.0)))).drop("_s")
 
 
@@ -103,10 +112,10 @@ def shading_offsets(radius: int = 10, azimuth: tuple[float, float] = (100.0, 260
 def shading(cells: DataFrame, px: float, py: float, radius: int = 10, worst: float = 20.0, azimuth: tuple[float, float] = (100.0, 260.0)) -> DataFrame:
     """shading_score: 1 under an open southern horizon, 0 at ``worst`` degrees."""
     around = looked_at(cells, shading_offsets(radius, azimuth)).withColumnRenamed("z", "_z")
-    joined = around.join(cells.where("z IS NOT NULL").select(*KEY, "z"), KEY).where(F.col("_z") > F.col("z"))
+    joined = around.hint("merge").join(cells.where("z IS NOT NULL").select(*KEY, "z"), KEY).where(F.col("_z") > F.col("z"))
     run = F.sqrt(F.pow(F.col("dc") * px, 2) + F.pow(F.col("dr") * py, 2))
     angle = joined.groupBy(*KEY).agg(F.max(F.degrees(F.atan2(F.col("_z") - F.col("z"), run))).alias("_a"))
-    out = cells.join(angle, KEY, "left")
+    out = cells.hint("merge").join(angle, KEY, "left")
     score = 1.0 - F.least(F.coalesce("_a", F.lit(0.0)) / worst, F.lit(1.0))
     return out.withColumn("shading_score", F.when(F.col("z").isNotNull(), score)).drop("_a")
 
@@ -114,14 +123,14 @@ def shading(cells: DataFrame, px: float, py: float, radius: int = 10, worst: flo
 def flow_direction(cells: DataFrame, px: float, py: float) -> DataFrame:
     """to_r, to_c: the steepest way down (the first of equal ones), else null."""
     around = looked_at(cells, list(EIGHT)).withColumnRenamed("z", "_z")
-    joined = around.join(cells.where("z IS NOT NULL").select(*KEY, "z"), KEY)
+    joined = around.hint("merge").join(cells.where("z IS NOT NULL").select(*KEY, "z"), KEY)
     run = F.sqrt(F.pow(F.col("dc") * px, 2) + F.pow(F.col("dr") * py, 2))
     slope = ((F.col("z") - F.col("_z")) / run).alias("s")
     index = ((F.col("dr") + 1) * 3 + F.col("dc") + 1).alias("i")
     down = joined.where(F.col("_z") < F.col("z")).groupBy(*KEY).agg(
         F.max(F.struct(slope, (-index).alias("i"), "dr", "dc")).alias("m")
     )
-    out = cells.join(down, KEY, "left")
+    out = cells.hint("merge").join(down, KEY, "left")
     return out.withColumn("to_r", F.col("r") + F.col("m.dr")).withColumn("to_c", F.col("c") + F.col("m.dc")).drop("m")
 
 
@@ -131,14 +140,14 @@ def erode(cells: DataFrame, offsets: list[tuple[int, int]], mask: str = "hit") -
     """eroded: all of the element's cells are hits; outside counts as none."""
     hits = cells.where(F.col(mask)).withColumn("_one", F.lit(1))
     got = looked_at(hits, offsets, "_one").groupBy(*KEY).agg(F.count("_one").alias("_n"))
-    return cells.join(got, KEY, "left").withColumn("eroded", F.coalesce(F.col("_n") == len(offsets), F.lit(False))).drop("_n")
+    return cells.hint("merge").join(got, KEY, "left").withColumn("eroded", F.coalesce(F.col("_n") == len(offsets), F.lit(False))).drop("_n")
 
 
 def dilate(cells: DataFrame, offsets: list[tuple[int, int]], mask: str = "hit") -> DataFrame:
     """dilated: any of the element's cells is a hit."""
     hits = cells.where(F.col(mask)).withColumn("_one", F.lit(1))
     got = looked_at(hits, offsets, "_one").groupBy(*KEY).agg(F.lit(True).alias("_any"))
-    return cells.join(got, KEY, "left").withColumn("dilated", F.coalesce("_any", F.lit(False))).drop("_any")
+    return cells.hint("merge").join(got, KEY, "left").withColumn("dilated", F.coalesce("_any", F.lit(False))).drop("_any")
 
 
 def waist_radius(px: float, py: float, waist: float = 24.0) -> int:
@@ -164,22 +173,22 @@ def components(cells: DataFrame, connectivity: int = 8, mask: str = "hit", most:
     hits = cells.where(F.col(mask)).withColumn("id", F.col("r") * width + F.col("c")).select(*KEY, "id")
     hits = hits.checkpoint()
     near = looked_at(hits, list(FOUR if connectivity == 4 else EIGHT), "id").withColumnRenamed("id", "other")
-    edges = near.join(hits, KEY).select("parcel_id", "id", "other").checkpoint()
+    edges = near.hint("merge").join(hits, KEY).select("parcel_id", "id", "other").checkpoint()
     labels = hits.select("parcel_id", "id", F.col("id").alias("label"))
     for _ in range(most):
-        spread = edges.join(labels.select("parcel_id", F.col("id").alias("other"), F.col("label").alias("l")), ["parcel_id", "other"])
+        spread = edges.hint("merge").join(labels.select("parcel_id", F.col("id").alias("other"), F.col("label").alias("l")), ["parcel_id", "other"])
         low = spread.groupBy("parcel_id", "id").agg(F.min("l").alias("l"))
-        new = labels.join(low, ["parcel_id", "id"], "left").select("parcel_id", "id", "label", F.least("label", "l").alias("m"))
+        new = labels.hint("merge").join(low, ["parcel_id", "id"], "left").select("parcel_id", "id", "label", F.least("label", "l").alias("m"))
         jump = new.select("parcel_id", F.col("id").alias("m"), F.col("m").alias("j"))
-        new = new.join(jump, ["parcel_id", "m"]).select("parcel_id", "id", F.col("label").alias("old"), F.col("j").alias("label")).checkpoint()
+        new = new.hint("merge").join(jump, ["parcel_id", "m"]).select("parcel_id", "id", F.col("label").alias("old"), F.col("j").alias("label")).checkpoint()
         labels = new.drop("old")
         if new.where("old <> label").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {most} turns")
     ranked = labels.withColumn("component", F.dense_rank().over(_parcel().orderBy("label")) - 1)
-    named = hits.join(ranked.select("parcel_id", "id", "component"), ["parcel_id", "id"]).select(*KEY, "component")
-    return cells.join(named, KEY, "left")
+    named = hits.hint("merge").join(ranked.select("parcel_id", "id", "component"), ["parcel_id", "id"]).select(*KEY, "component")
+    return cells.hint("merge").join(named, KEY, "left")
 
 
 def _parcel():

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from . import polygons as P
+from .grid import dealt
 from .kernels import lonlat
 
 RINGS = "array<array<array<double>>>"
@@ -61,13 +62,24 @@ def encoded(values: list[P.Region]) -> pa.Array:
 
 def with_region(df: DataFrame, name: str, fn: Callable[..., P.Region], *columns: str) -> DataFrame:
     """``fn`` of the regions in ``columns``, a row at a time."""
+    return with_regions(df, name, lambda *values: [fn(*row) for row in zip(*values, strict=True)], *columns)
+
+
+def with_regions(df: DataFrame, name: str, fn: Callable[..., list[P.Region]], *columns: str) -> DataFrame:
+    """``fn`` of lists of the regions in ``columns``, some rows at a time."""
 
     def apply(*values: pa.Array) -> pa.Array:
-        return encoded([fn(*row) for row in zip(*map(decoded, values), strict=True)])
+        return encoded(fn(*map(decoded, values)))
 
     return df.withColumn(name, _once(apply, RINGS)(*columns))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all shuffle partitions, as they come, before work on each: a small file
+    is one task however many corners its rows stand for."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _once(fn: Callable, kind: str):
     """As an Arrow UDF that a filter above doesn't make run again."""
     return F.arrow_udf(fn, kind, F.ArrowUDFType.SCALAR).asNondeterministic()
@@ -129,10 +141,12 @@ def _fold(df: DataFrame, keys: list[str], clean: bool) -> DataFrame:
             for key, shape in shapes(b):
                 met.setdefault(key, []).append(shape)
             if met:
-                yield out([(k, P.union(v) if len(v) > 1 else v[0]) for k, v in met.items()], b)
+                yield out(list(zip(met, united(list(met.values()), True), strict=True)), b)
 
-    def whole(held: list) -> P.Region:
-        return held[0] if clean and len(held) == 1 else P.union(held)
+    def united(groups: list[list[P.Region]], clean: bool) -> list[P.Region]:
+        more = [k for k, v in enumerate(groups) if len(v) > 1 or not clean]
+        found = dict(zip(more, P.unions([groups[k] for k in more]), strict=True))
+        return [found[k] if k in found else v[0] for k, v in enumerate(groups)]
 
     def late(batches):
         now, held, b = None, [], None
@@ -140,25 +154,19 @@ def _fold(df: DataFrame, keys: list[str], clean: bool) -> DataFrame:
             done = []
             for key, shape in shapes(b):
                 if held and key != now:
-                    done.append((now, whole(held)))
+                    done.append((now, held))
                     held = []
                 now = key
                 held.append(shape)
                 if len(held) >= HELD:
                     held = [P.union(held)]
             if done:
-                yield out(done, b)
+                yield out(list(zip((k for k, _ in done), united([v for _, v in done], clean), strict=True)), b)
         if held:
-            yield out([(now, whole(held))], b)
+            yield out([(now, united([held], clean)[0])], b)
 
     few = df.select(*keys, "rings").mapInArrow(early, schema)
-    return _dealt(few, keys).sortWithinPartitions(*keys).mapInArrow(late, schema)
-
-
-def _dealt(df: DataFrame, keys: list[str]) -> DataFrame:
-    """By key over all shuffle partitions: work here is per corner, so partitions aren't
-    to be merged because their bytes are few."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return dealt(few, keys).sortWithinPartitions(*keys).mapInArrow(late, schema)
 
 
 def union_by(shapes: DataFrame, keys: list[str], bin_meters: float = 400.0, clean: bool = False) -> DataFrame:
@@ -172,15 +180,15 @@ def union_by(shapes: DataFrame, keys: list[str], bin_meters: float = 400.0, clea
 def buffered(df: DataFrame, meters: float | Column, column: str = "rings") -> DataFrame:
     """Each row's region grown by ``meters``, one number or one a row."""
     def grown(values: pa.Array, wide: pa.Array) -> pa.Array:
-        return encoded([P.buffer(v, m) for v, m in zip(decoded(values), wide.to_pylist(), strict=True)])
+        return encoded(P.buffers(decoded(values), wide.to_numpy()))
 
     wide = F.lit(meters).cast("double") if isinstance(meters, (int, float)) else meters
-    return df.withColumn(column, _once(grown, RINGS)(F.col(column), wide))
+    return spread(df).withColumn(column, _once(grown, RINGS)(F.col(column), wide))
 
 
 def line_buffers(df: DataFrame, meters: float, column: str = "lines") -> DataFrame:
     """``rings``: the ground within ``meters`` of a row's lines (no ground for 0)."""
-    return with_region(df, "rings", lambda x: P.buffer_lines(x, meters) if meters > 0 else [], column)
+    return with_regions(spread(df), "rings", lambda x: P.buffers_lines(x, meters) if meters > 0 else [[] for _ in x], column)
 
 
 def road_exclusion(roads: DataFrame, meters: float = 0.0, key: str = "parcel_id") -> DataFrame:
@@ -200,20 +208,18 @@ def floodplain(parcels: DataFrame, lines: DataFrame, bodies: DataFrame, hydric:
     about its valleys' lines instead, which may be none."""
     about = parcels.select(key, F.col("rings").alias("_home"))
 
-    def grown(shape: P.Region, home: P.Region, of_lines: bool) -> P.Region:
-        near = P.buffer(home, CONTEXT)
-        cut = P.clip_lines(shape, near) if of_lines else P.intersection(shape, near)
-        if not cut:
-            return []
-        wide = P.buffer_lines(cut, FLOODPLAIN) if of_lines else P.buffer(cut, FLOODPLAIN)
-        return P.intersection(wide, P.buffer(home, RELEVANCE))
+    def grown(shapes: list[P.Region], home: list[P.Region], of_lines: bool) -> list[P.Region]:
+        near = P.buffers(home, CONTEXT)
+        cut = [P.clip_lines(*x) for x in zip(shapes, near, strict=True)] if of_lines else P.intersections(shapes, near)
+        wide = P.buffers_lines(cut, FLOODPLAIN) if of_lines else P.buffers(cut, FLOODPLAIN)
+        return P.intersections(wide, P.buffers(home, RELEVANCE))
 
-    streams = with_region(lines.join(about, key), "rings", lambda x, home: grown(x, home, True), "lines", "_home").select(key, "rings")
-    water = with_region(bodies.join(about, key), "rings", lambda x, home: grown(x, home, False), "rings", "_home").select(key, "rings")
+    streams = with_regions(spread(lines.hint("merge").join(about, key)), "rings", lambda x, home: grown(x, home, True), "lines", "_home").select(key, "rings")
+    water = with_regions(spread(bodies.hint("merge").join(about, key)), "rings", lambda x, home: grown(x, home, False), "rings", "_home").select(key, "rings")
     real = union_by(streams.unionByName(water).unionByName(hydric.select(key, "rings")), [key]).withColumn("is_fallback", F.lit(False))
-    rest = parcels.select(key).join(real, key, "left_anti")
-    proxy = union_by(line_buffers(valleys.join(rest, key, "left_semi"), FLOODPLAIN).select(key, "rings"), [key], clean=True)
-    return real.unionByName(rest.join(proxy, key, "left").withColumn("is_fallback", F.lit(True)))
+    rest = parcels.select(key).hint("merge").join(real, key, "left_anti")
+    proxy = union_by(line_buffers(valleys.hint("merge").join(rest, key, "left_semi"), FLOODPLAIN).select(key, "rings"), [key], clean=True)
+    return real.unionByName(rest.hint("merge").join(proxy, key, "left").withColumn("is_fallback", F.lit(True)))
 
 
 def tree_search_space(
@@ -227,8 +233,8 @@ def tree_search_space(
     wide = F.when(F.col("kind") == "production", production).when(F.col("kind") == "water", water).otherwise(0.0).cast("double")
     sized = buffered(each, wide)
     claimed = union_by(sized.select(key, "rings"), [key], clean=True).withColumnRenamed("rings", "claimed")
-    got = parcels.select(key, "rings").join(claimed, key, "left")
-    got = with_region(got, "rings", lambda home, taken: P.difference(P.buffer(home, -setback), taken), "rings", "claimed")
+    got = parcels.select(key, "rings").hint("merge").join(claimed, key, "left")
+    got = with_regions(spread(got), "rings", lambda home, taken: P.differences(P.buffers(home, -setback), taken), "rings", "claimed")
     status = F.when(F.col("rings").isNull(), "nothing_left").when(F.col("claimed").isNull(), "nothing_claimed").otherwise("searchable")
     return got.withColumn("status", status)
 
@@ -237,14 +243,14 @@ def zone_fences(zones: DataFrame, meters: float = ZONE_FENCE) -> DataFrame:
     """``zones`` (with ``rings``: a zone's fill) with ``fence``: the outer rings of the
     grown fill, one a piece. Zones without a fill have no fence and no row."""
     some = zones.where(F.size("rings") > 0)
-    return with_region(some, "fence", lambda r: [x for x in P.buffer(r, meters) if P.ring_area(x) > 0], "rings")
+    return with_regions(spread(some), "fence", lambda r: [[x for x in grown if P.ring_area(x) > 0] for grown in P.buffers(r, meters)], "rings")
 
 
 def stream_fences(streams: DataFrame, meters: float = STREAM_FENCE) -> DataFrame:
     """``streams`` (with ``lines``) with ``fence``: all of the edge of the ground within
     ``meters``, inner rings too. Streams without a line have no row."""
     some = streams.where(F.size("lines") > 0)
-    return with_region(some, "fence", lambda x: P.buffer_lines(x, meters), "lines").where("fence IS NOT NULL")
+    return with_regions(spread(some), "fence", lambda x: P.buffers_lines(x, meters), "lines").where("fence IS NOT NULL")
 
 
 def boundary_fences(parcels: DataFrame, developed: DataFrame, zones: DataFrame, margin: float = FENCE_MARGIN, zone: float = ZONE_FENCE, key: str = "parcel_id") -> DataFrame:
@@ -252,8 +258,8 @@ def boundary_fences(parcels: DataFrame, developed: DataFrame, zones: DataFrame,
     zones, structure site and road footprint; ``zones``: water and tree zones."""
     built = union_by(developed.select(key, "rings"), [key]).withColumnRenamed("rings", "_built")
     held = union_by(buffered(zones.select(key, "rings"), zone), [key], clean=True).withColumnRenamed("rings", "_held")
-    both = parcels.select(key, "rings").join(built, key, "left").join(held, key, "left")
-    got = with_region(both, "_fence", lambda home, a, b: P.boundary_fence(home, a, b, margin, LEAST_FENCE_ACRES * 4046.8564224), "rings", "_built", "_held")
+    both = parcels.select(key, "rings").hint("merge").join(built, key, "left").hint("merge").join(held, key, "left")
+    got = with_region(spread(both), "_fence", lambda home, a, b: P.boundary_fence(home, a, b, margin, LEAST_FENCE_ACRES * 4046.8564224), "rings", "_built", "_held")
     return got.where("_fence IS NOT NULL").select(key, F.posexplode("_fence").alias("n", "ring")).select(key, (F.col("n") + 1).alias("fence_number"), "ring")
 
 
@@ -278,7 +284,7 @@ def polygons_of(df: DataFrame, column: str = "rings") -> DataFrame:
         at = np.cumsum([0, *map(len, found)]).astype(np.int32)
         return pa.ListArray.from_arrays(at, pa.concat_arrays(flat) if flat else encoded([]))
 
-    parts = df.withColumn("coordinates", _once(split, f"array<{RINGS}>")(column))
+    parts = spread(df).withColumn("coordinates", _once(split, f"array<{RINGS}>")(column))
     return parts.withColumn("coordinates", F.transform("coordinates", closed))
 
 
@@ -297,7 +303,7 @@ def footprints(cells: DataFrame, keys: list[str], px: float, py: float, origin_x
         moved = [np.stack([origin_x + (x[:, 0] + c.min()) * px, origin_y + (x[:, 1] - r.min()) * py], axis=1) for x in lines]
         return pa.table({**{k: table.column(k)[:1] for k in keys}, "rings": encoded([moved])})
 
-    return _dealt(cells.select(*keys, "r", "c"), keys).groupBy(*keys).applyInArrow(run, f"{kinds}, rings {RINGS}")
+    return dealt(cells.select(*keys, "r", "c"), keys).groupBy(*keys).applyInArrow(run, f"{kinds}, rings {RINGS}")
 
 
 def road_footprints(cells: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0, grow: int = TREE_ROAD_CELLS, key: str = "parcel_id") -> DataFrame:
@@ -327,7 +333,7 @@ def exclusion_cells(cells: DataFrame, shapes: DataFrame, parcels: DataFrame, px:
     at = ["parcel_id", "r", "c"]
     held = covered_cells(parcels, px, py, origin_x, origin_y).withColumn("_in", F.lit(True))
     hit = covered_cells(shapes, px, py, origin_x, origin_y).withColumn("_hit", F.lit(True))
-    got = cells.join(held, at, "left").join(hit, at, "left")
+    got = cells.hint("merge").join(held, at, "left").hint("merge").join(hit, at, "left")
     out = F.col("z").isNotNull() & (F.col("_in").isNull() | F.col("_hit").isNotNull())
     return got.withColumn("excluded", out).drop("_in", "_hit")
 
@@ -336,5 +342,5 @@ def production_cells(cells: DataFrame, shapes: DataFrame, parcels: DataFrame, px
     """``cells`` (with z) with ``name``: in the parcel and in a shape."""
     at = ["parcel_id", "r", "c"]
     held = covered_cells(parcels, px, py, origin_x, origin_y)
-    hit = covered_cells(shapes, px, py, origin_x, origin_y).join(held, at).withColumn(name, F.lit(True))
-    return cells.drop(name).join(hit, at, "left").withColumn(name, F.col("z").isNotNull() & F.coalesce(name, F.lit(False)))
+    hit = covered_cells(shapes, px, py, origin_x, origin_y).hint("merge").join(held, at).withColumn(name, F.lit(True))
+    return cells.drop(name).hint("merge").join(hit, at, "left").withColumn(name, F.col("z").isNotNull() & F.coalesce(name, F.lit(False)))
