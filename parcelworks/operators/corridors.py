@@ -120,12 +120,12 @@ def branches(found: DataFrame, floods: DataFrame) -> DataFrame:
     """A row a branch of ``networks``, with the network's totals, whether its line meets
     the parcel's wet ground (``floods``: one region a parcel) and production."""
     def meets(lines: pa.Array, grounds: pa.Array) -> pa.Array:
-        return pa.array([P.distance(x, g, "line", "area") == 0 for x, g in zip(decoded(lines), decoded(grounds), strict=True)], pa.bool_())
+        return pa.array(P.distances(decoded(lines), decoded(grounds), "line", "area") == 0)
 
     each = found.select("parcel_id", "total_length_meters", "total_served_acres", "unserved_acres", "stop_reason", F.inline("branches"))
     flat = F.array(F.transform("line", lambda p: F.slice(p, 1, 2)))
     wet = floods.select("parcel_id", F.col("rings").alias("_wet"))
-    got = each.join(wet, "parcel_id", "left").withColumn("crosses_floodplain", _once(meets, "boolean")(flat, F.col("_wet")))
+    got = each.hint("merge").join(wet, "parcel_id", "left").withColumn("crosses_floodplain", _once(meets, "boolean")(flat, F.col("_wet")))
     return got.drop("_wet").withColumn("crosses_production_zone", F.col("production_cells_crossed") > 0)
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import kernels, scoring
 from . import polygons as P
-from .grid import KEY, cell_area_acres, disc, neighbour_slope, waist_radius
-from .regions import RINGS, _once, area, buffered, covered_cells, decoded, encoded, footprints, union_by, with_region
+from .grid import KEY, cell_area_acres, dealt, disc, neighbour_slope, waist_radius
+from .regions import RINGS, _once, area, buffered, covered_cells, decoded, encoded, footprints, union_by, with_regions
 
 # Fixed values of the reference's zones: acres, metres.
 DRAINS, SERVICE, LEAST_ACRES, TARGET_ACRES, OPENING, SETBACK, ROAD, CANOPY = 20.0, 800.0, 0.1, 0.5, 5.0, 5.0, 3.048, 3.048
@@ -35,7 +35,7 @@ def drainage(cells: DataFrame, px: float, py: float) -> DataFrame:
         return got[~np.isnan(z).ravel()].astype({"accumulation": "int64"})
 
     sloped = neighbour_slope(cells.select(*KEY, "z"), px, py).select(*KEY, "slope_pct")
-    return kernels.per_parcel(cells.select(*KEY, "z"), run, "r int, c int, z double, accumulation long").join(sloped, KEY, "left")
+    return kernels.per_parcel(cells.select(*KEY, "z"), run, "r int, c int, z double, accumulation long").hint("merge").join(sloped, KEY, "left")
 
 
 def _in_reach(home: P.Region, ground: P.Region, meters: float, px: float, py: float, origin_x: float, origin_y: float) -> np.ndarray:
@@ -66,7 +66,7 @@ def cells_in_reach(shapes: DataFrame, parcels: DataFrame, meters: float, px: flo
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), each)
 
     whole = union_by(shapes.select(key, "rings"), [key]).withColumnRenamed("rings", "_ground")
-    both = parcels.select(key, "rings").join(whole, key)
+    both = parcels.select(key, "rings").hint("merge").join(whole, key)
     each = both.select(key, F.inline(_once(spans, "array<struct<r:int,first:int,last:int>>")("rings", "_ground")))
     return each.select(key, "r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
 
@@ -87,7 +87,7 @@ def gated(
     }
     got = cells.drop(*marks)
     for name, where in marks.items():
-        got = got.join(where.withColumn(name, F.lit(True)), KEY, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        got = got.hint("merge").join(where.withColumn(name, F.lit(True)), KEY, "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return scoring.water_eligible(got.where("z IS NOT NULL"), px, py, drains)
 
 
@@ -146,7 +146,7 @@ def selected_zones(cells: DataFrame, patches: DataFrame, parcels: DataFrame, px:
 
     A parcel is a group: its grid has at most 90,000 cells and its shapes are united."""
     ground = union_by(patches.select("parcel_id", "rings"), ["parcel_id"]).withColumnRenamed("rings", "ground")
-    homes = parcels.select("parcel_id", "rings").join(ground, "parcel_id")
+    homes = parcels.select("parcel_id", "rings").hint("merge").join(ground, "parcel_id")
     kind = pa.struct([("r", pa.int32()), ("c", pa.int32())])
 
     def run(here: pa.Table, home: pa.Table) -> pa.Table:
@@ -174,10 +174,11 @@ def relationships(zones: DataFrame, patches: DataFrame, service: float = SERVICE
     favourable to gravity) for the patches within ``service`` of a zone's middle."""
     def apart(x: pa.Array, y: pa.Array, rings: pa.Array) -> pa.Array:
         points = np.stack([x.to_numpy(), y.to_numpy()], axis=1)
-        return pa.array([P.distance([p[None]], r, "line", "area") for p, r in zip(points, decoded(rings), strict=True)], pa.float64())
+        return pa.array(P.distances([[p[None]] for p in points], decoded(rings), "line", "area"))
 
     served = patches.select("parcel_id", F.col("patch_id").alias("production_area_id"), F.col("rings").alias("_ground"), F.col("median_z").alias("_z"))
-    pairs = zones.select("parcel_id", "zone_id", "x", "y", "representative_elevation_m").join(served, "parcel_id").withColumn("_d", _once(apart, "double")("x", "y", "_ground")).where(F.col("_d") <= service)
+    near = dealt(zones.select("parcel_id", "zone_id", "x", "y", "representative_elevation_m"), ["parcel_id"]).hint("merge").join(dealt(served, ["parcel_id"]), "parcel_id")
+    pairs = near.withColumn("_d", _once(apart, "double")("x", "y", "_ground")).where(F.col("_d") <= service)
     rise = F.col("representative_elevation_m") - F.col("_z")
     got = pairs.select(
         "parcel_id", "zone_id", "production_area_id", F.round(rise, 2).alias("elevation_differential_m"), F.round("_d", 1).alias("distance_m"),
@@ -195,10 +196,11 @@ def soil_under(zones: DataFrame, units: DataFrame, ksat: DataFrame) -> DataFrame
     from ..functions import factors as X
 
     known = ksat.select("mukey", X.number(F.col("ksat_r")).alias("_k")).where("_k IS NOT NULL")
-    held = units.select("parcel_id", "mukey", F.col("rings").alias("_unit")).join(known, "mukey")
-    met = with_region(zones.select("parcel_id", "zone_id", "rings").join(held, "parcel_id"), "_both", P.intersection, "rings", "_unit").withColumn("_a", area("_both")).where("_a > 0")
+    held = units.select("parcel_id", "mukey", F.col("rings").alias("_unit")).hint("merge").join(known, "mukey")
+    pairs = dealt(zones.select("parcel_id", "zone_id", "rings"), ["parcel_id"]).hint("merge").join(dealt(held, ["parcel_id"]), "parcel_id")
+    met = with_regions(pairs, "_both", P.intersections, "rings", "_unit").withColumn("_a", area("_both")).where("_a > 0")
     sums = met.groupBy("parcel_id", "zone_id").agg(F.sum(F.col("_k") * F.col("_a")).alias("_ka"), F.sum("_a").alias("_a"))
-    got = zones.select("parcel_id", "zone_id", "rings").join(sums, ["parcel_id", "zone_id"], "left")
+    got = zones.select("parcel_id", "zone_id", "rings").hint("merge").join(sums, ["parcel_id", "zone_id"], "left")
     share = F.when(F.col("_a").isNotNull(), F.least(F.lit(1.0), F.try_divide(F.col("_a"), area("rings"))))
     return got.select("parcel_id", "zone_id", F.try_divide("_ka", "_a").alias("ksat"), share.alias("coverage"))
 
@@ -210,9 +212,9 @@ def suitability(zones: DataFrame, served: DataFrame, soil: DataFrame, streams: D
     at = ["parcel_id", "zone_id"]
     first = served.where("place = 1").select(*at, F.col("elevation_differential_m").alias("differential"), F.col("distance_m").alias("distance"), "gradient_pct")
     ground = valleys.select(*at, "terrain_gradient", F.col("contributing_acres").alias("acres"))
-    got = zones.select(*at, "rings", "fill", "representative_elevation_m").join(first, at, "left")
+    got = zones.select(*at, "rings", "fill", "representative_elevation_m").hint("merge").join(first, at, "left")
     for part in (soil, streams.select(*at, "fcode", "stream_distance"), ground):
-        got = got.join(part, at, "left")
+        got = got.hint("merge").join(part, at, "left")
     return scoring.score_water_zones(got)
 
 
@@ -225,7 +227,7 @@ def patch_ground(cells: DataFrame, parcels: DataFrame, px: float, py: float, ori
     whole = footprints(cells, at, px, py, origin_x, origin_y)
     drawn = footprints(cells.where("in_fill"), at, px, py, origin_x, origin_y).withColumnRenamed("rings", "fill")
     height = cells.groupBy(*at).agg(F.first("median_z").alias("median_z"))
-    got = whole.join(drawn, at, "left").join(height, at).join(parcels.select("parcel_id", F.col("rings").alias("_home")), "parcel_id")
+    got = whole.hint("merge").join(drawn, at, "left").hint("merge").join(height, at).hint("merge").join(parcels.select("parcel_id", F.col("rings").alias("_home")), "parcel_id")
     for name in ("rings", "fill"):
-        got = with_region(got, name, P.intersection, name, "_home")
+        got = with_regions(got, name, P.intersections, name, "_home")
     return got.drop("_home").where("rings IS NOT NULL")

@@ -217,7 +217,7 @@ def shapes(spark, sf):
     k = F.col("s_suppkey")
     x, top = k * 13 % 60 + 0.3, -(k * 29 % 55) - 0.3
     return table(spark, sf, "supplier").select(
-        F.floor(k / 20).cast("string").alias("parcel_id"), k.alias("zone_id"), F.when(k % 3 == 0, "excluded").otherwise("production").alias("kind"), box(x, top - (9 + k % 20), x + 12 + k % 25, top).alias("rings"))
+        F.floor(k / 20).cast("string").alias("parcel_id"), k.alias("zone_id"), F.when(k % 3 == 0, "excluded").otherwise("production").alias("kind"), box(x, top - (9 + k % 20), x + (12 + k % 25), top).alias("rings"))
 
 
 def grid_parcels(spark, sf):
