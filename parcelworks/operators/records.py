@@ -106,7 +106,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, key: str = "parcel_
     lx = lx.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step))
     lx = lx.withColumn("_bx", F.floor(F.col("l_x") / radius) + F.col("_dx")).withColumn("_by", F.floor(F.col("l_y") / radius) + F.col("_dy")).drop("_dx", "_dy")
     rx = rx.withColumn("_bx", F.floor(F.col("r_x") / radius)).withColumn("_by", F.floor(F.col("r_y") / radius))
-    joined = lx.join(rx.withColumnRenamed(f"r_{key}", f"l_{key}"), [f"l_{key}", "_bx", "_by"])
+    joined = lx.hint("merge").join(rx.withColumnRenamed(f"r_{key}", f"l_{key}"), [f"l_{key}", "_bx", "_by"])
     distance = F.sqrt(F.pow(F.col("l_x") - F.col("r_x"), 2) + F.pow(F.col("l_y") - F.col("r_y"), 2))
     return joined.withColumn("distance", distance).where(F.col("distance") <= radius).drop("_bx", "_by").withColumnRenamed(f"l_{key}", key)
 
@@ -168,7 +168,7 @@ def edge_distance(points: DataFrame, rings: DataFrame, key: str = "parcel_id") -
         t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(along, F.lit(0.0))))
         return F.sqrt(F.pow(F.col("x") - x0 - t * dx, 2) + F.pow(F.col("y") - y0 - t * dy, 2))
 
-    joined = points.join(rings.select(key, "ring_x", "ring_y"), key, "left")
+    joined = points.hint("merge").join(rings.select(key, "ring_x", "ring_y"), key, "left")
     nearest_edge = F.when(n > 0, F.array_min(F.transform(F.sequence(F.lit(0), n - 1), to_edge)))
     return joined.withColumn("edge_distance", nearest_edge).drop("ring_x", "ring_y")
 
@@ -189,4 +189,4 @@ def snap_to_cells(points: DataFrame, cells: DataFrame, id_: str, px: float, py:
     row, col = (F.lit(origin_y) - F.col("y")) / py - 0.5, (F.col("x") - origin_x) / px - 0.5
     apart = (F.col("r") - row) * (F.col("r") - row) + (F.col("c") - col) * (F.col("c") - col)
     best = F.min(F.when(F.col("r").isNotNull(), F.struct(apart.alias("d"), "r", "c"))).alias("m")
-    return points.join(open_cells, key, "left").groupBy(key, id_).agg(best).select(key, id_, F.col("m.r").alias("r"), F.col("m.c").alias("c"))
+    return points.hint("merge").join(open_cells, key, "left").groupBy(key, id_).agg(best).select(key, id_, F.col("m.r").alias("r"), F.col("m.c").alias("c"))

@@ -73,7 +73,7 @@ def production_narrative(patches: DataFrame, parcel_acres: DataFrame, key: str =
     each = F.struct("rank", "patch_id", F.round("acres", 2).alias("acres"), F.round("score", 1).alias("score"), F.round("avg_slope_pct", 1).alias("avg_slope_pct"), X.compass_word(F.col("aspect_deg")).alias("faces"))
     got = patches.groupBy(key).agg(F.sum("acres").alias("_acres"), F.sort_array(F.collect_list(each)).alias("patches"))
     share = F.try_divide(F.col("_acres"), F.col("acres")) * 100
-    return got.join(parcel_acres, key).select(key, F.struct(F.round("_acres", 2).alias("total_acres"), F.round(share, 1).alias("pct_of_parcel"), F.size("patches").alias("n_patches"), "patches").alias("narrative"))
+    return got.hint("merge").join(parcel_acres, key).select(key, F.struct(F.round("_acres", 2).alias("total_acres"), F.round(share, 1).alias("pct_of_parcel"), F.size("patches").alias("n_patches"), "patches").alias("narrative"))
 
 
 def production_section(narratives: DataFrame, key: str = "parcel_id") -> DataFrame:
@@ -102,7 +102,7 @@ def _lined(parcels: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     a parcel has no more rows than its grid has patches or branches."""
     held = F.sort_array(F.collect_list(F.struct("_at", "_line")))
     got = rows.groupBy(key).agg(F.transform(held, lambda x: x["_line"]).alias("_lines"))
-    return parcels.join(got, key, "left")
+    return parcels.hint("merge").join(got, key, "left")
 
 
 def production_summary(parcels: DataFrame, patches: DataFrame, key: str = "parcel_id") -> DataFrame:

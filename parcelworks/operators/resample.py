@@ -22,7 +22,7 @@ MOST_NODATA = 10.0
 def best_tiles(tiles: DataFrame, parcels: DataFrame, key: str = "parcel_id") -> DataFrame:
     """Of each parcel (``rings``) the tile that covers most of it, the smaller id on
     ties; tiles that don't meet it are none of its own."""
-    both = tiles.join(parcels.select(key, F.col("rings").alias("_home")), key)
+    both = tiles.hint("merge").join(parcels.select(key, F.col("rings").alias("_home")), key)
     shared = regions.with_region(both, "_shared", P.intersection, "rings", "_home").where("_shared IS NOT NULL").withColumn("overlap", regions.area("_shared"))
     first = Window.partitionBy(key).orderBy(F.desc("overlap"), "tile_id")
     return shared.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_home", "_shared")
@@ -33,7 +33,7 @@ def resampled(cells: DataFrame, tiles: DataFrame, pixels: DataFrame, bilinear: b
     four pixels about a centre, those without data left out and the rest made whole;
     else the pixel that holds it. No pixel with data, no value."""
     at = [key, "r", "c"]
-    held = cells.join(tiles.select(key, "tile_id", "origin_x", "origin_y", "px", "py"), key)
+    held = cells.hint("merge").join(tiles.select(key, "tile_id", "origin_x", "origin_y", "px", "py"), key)
     u, v = (F.col("x") - F.col("origin_x")) / F.col("px"), (F.col("origin_y") - F.col("y")) / F.col("py")
     if bilinear:
         u, v = u - 0.5, v - 0.5
@@ -41,9 +41,9 @@ def resampled(cells: DataFrame, tiles: DataFrame, pixels: DataFrame, bilinear: b
     a, b = (u - col, v - row) if bilinear else (F.lit(0.0), F.lit(0.0))
     near = [F.struct((row + i).alias("row"), (col + j).alias("col"), ((b if i else 1 - b) * (a if j else 1 - a)).alias("weight")) for i in (0, 1) for j in (0, 1)]
     asked = held.select(*at, "tile_id", F.inline(F.array(*near[: 4 if bilinear else 1]))).where("weight > 0")
-    found = asked.join(pixels.where("value IS NOT NULL AND NOT isnan(value)"), ["tile_id", "row", "col"])
+    found = asked.hint("merge").join(pixels.where("value IS NOT NULL AND NOT isnan(value)"), ["tile_id", "row", "col"])
     value = found.groupBy(*at).agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
-    return cells.join(value, at, "left")
+    return cells.hint("merge").join(value, at, "left")
 
 
 def coverage(cells: DataFrame, most: float = MOST_NODATA, key: str = "parcel_id") -> DataFrame:
@@ -61,4 +61,4 @@ def required(cells: DataFrame, most: float = MOST_NODATA, key: str = "parcel_id"
     state = coverage(cells, most, key)
     said = F.format_string("coverage of parcel %s is incomplete: %.1f %% without data", F.col(key).cast("string"), F.col("nodata_pct"))
     checked = state.where("status <> 'none'").select(key, F.when(F.col("status") == "incomplete", F.raise_error(said).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
-    return cells.join(checked, key).where("_ok").drop("_ok")
+    return cells.hint("merge").join(checked, key).where("_ok").drop("_ok")

@@ -61,7 +61,7 @@ def compactness(cells: DataFrame, px: float, py: float, keys: list[str]) -> Data
     steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in FOUR])
     sides = patch.select(*keys, "r", "c", F.explode(steps).alias("s"))
     other = patch.select(*keys, F.col("r").alias("nr"), F.col("c").alias("nc"), F.lit(1).alias("_there"))
-    sides = sides.withColumn("nr", F.col("r") + F.col("s.dr")).withColumn("nc", F.col("c") + F.col("s.dc")).join(other, [*keys, "nr", "nc"], "left")
+    sides = sides.withColumn("nr", F.col("r") + F.col("s.dr")).withColumn("nc", F.col("c") + F.col("s.dc")).hint("merge").join(other, [*keys, "nr", "nc"], "left")
     length = F.sum(F.when(F.col("_there").isNull(), F.when(F.col("s.dr") != 0, px).otherwise(py)).otherwise(0.0))
     got = sides.groupBy(*keys).agg((F.count(F.lit(1)) / 4 * px * py).alias("area"), length.alias("perimeter"))
     return got.withColumn("compactness", X.clamp(16.0 * F.col("area") / (F.col("perimeter") * F.col("perimeter"))))
@@ -73,7 +73,7 @@ def score_patches(cells: DataFrame, px: float, py: float, reference: float = 10.
     got = cells.groupBy(*keys).agg(
         F.avg("slope_factor").alias("slope_factor"), F.avg("aspect_factor").alias("aspect_factor"), F.avg("slope_pct").alias("avg_slope_pct"),
         X.circular_mean(F.col("aspect_deg")).alias("aspect_deg"), (F.count(F.lit(1)) * cell_area_acres(px, py)).alias("acres"), F.median("z").alias("median_z"),
-    ).join(compactness(cells, px, py, keys).select(*keys, "compactness"), keys)
+    ).hint("merge").join(compactness(cells, px, py, keys).select(*keys, "compactness"), keys)
     size = 0.5 * X.clamp(F.col("acres") / reference) + 0.5 * F.col("compactness")
     got = got.withColumn("size_factor", size)
     got = got.withColumn("score", 100.0 * (0.55 * F.col("slope_factor") + 0.30 * F.col("size_factor") + 0.15 * F.col("aspect_factor")))
@@ -97,9 +97,9 @@ def selected(rows: DataFrame, tie: str, key: str = "parcel_id", score: str = "sc
 def waist_split_flags(cells: DataFrame) -> DataFrame:
     """Patches with a cell beside a cell of another patch."""
     near = looked_at(cells, list(FOUR), "patch_id").withColumnRenamed("patch_id", "_other")
-    touch = near.join(cells.select(*KEY, "patch_id"), KEY).where("_other <> patch_id").select("parcel_id", "patch_id").distinct()
+    touch = near.hint("merge").join(cells.select(*KEY, "patch_id"), KEY).where("_other <> patch_id").select("parcel_id", "patch_id").distinct()
     every = cells.select("parcel_id", "patch_id").distinct()
-    return every.join(touch.withColumn("from_waist_split", F.lit(True)), ["parcel_id", "patch_id"], "left").na.fill(False, ["from_waist_split"])
+    return every.hint("merge").join(touch.withColumn("from_waist_split", F.lit(True)), ["parcel_id", "patch_id"], "left").na.fill(False, ["from_waist_split"])
 
 
 # --- water -----------------------------------------------------------------------------

@@ -152,7 +152,7 @@ def road_layer(raw: DataFrame) -> DataFrame:
     """Roads, each geometry once, numbered from 0 in order of geometry in a parcel."""
     place = F.row_number().over(Window.partitionBy("parcel_id").orderBy("layer", "geometry")) - 1
     rows = raw.select("parcel_id", "geometry", "coordinates").where("geometry IS NOT NULL").groupBy("parcel_id", "geometry").agg(F.any_value("coordinates").alias("coordinates"))
-    named = farm_roads(raw).join(rows, ["parcel_id", "geometry"]).withColumn("_n", place)
+    named = farm_roads(raw).hint("merge").join(rows, ["parcel_id", "geometry"]).withColumn("_n", place)
     feature = features.make_feature(F.concat(F.lit("farm-road-"), F.col("_n").cast("string")), "farm_road", F.col("name"), F.lit("medium"), F.lit(ROAD_NOTES), F.lit("LineString"), F.col("coordinates"))
     return named.select("parcel_id", feature.alias("feature"))
 
@@ -182,7 +182,7 @@ def prime_farmland_flags(candidates: DataFrame, units: DataFrame, prime, key: st
     """Candidates with ``prime_farmland_conflict`` and a note: whether any map unit of
     the parcel is prime. None is dropped; no unit at all is no conflict."""
     known = units.groupBy(F.col(key).alias("_k")).agg(F.max(F.coalesce(prime, F.lit(False))).alias("_prime"))
-    got = candidates.join(known, F.col(key) == F.col("_k"), "left").withColumn("prime_farmland_conflict", F.coalesce("_prime", F.lit(False)))
+    got = candidates.hint("merge").join(known, F.col(key) == F.col("_k"), "left").withColumn("prime_farmland_conflict", F.coalesce("_prime", F.lit(False)))
     note = F.when(F.col("prime_farmland_conflict"), PRIME_FOUND).otherwise(PRIME_NONE)
     return got.withColumn("prime_farmland_note", note).drop("_k", "_prime")
 
@@ -243,7 +243,7 @@ def water_zone_layer(zones: DataFrame, served: DataFrame) -> DataFrame:
         primary_production_area_relationship=F.col("_all")[0], contributing_area_cells=F.round("contributing_area_cells", 2), slope_pct=F.round("slope_pct", 2),
         render_fill_geometry_wgs84=F.struct(F.lit("MultiPolygon").alias("type"), F.col("fill").alias("coordinates")),
     )
-    return zones.join(every, ["parcel_id", "zone_id"]).select("parcel_id", feature.alias("feature"))
+    return zones.hint("merge").join(every, ["parcel_id", "zone_id"]).select("parcel_id", feature.alias("feature"))
 
 
 def corridor_layer(branches: DataFrame) -> DataFrame:

@@ -77,11 +77,11 @@ def candidates(parcels: DataFrame, cells: DataFrame, px: float, py: float, origi
 
     where = parcels.select(key, F.inline(_once(sites, _DDL)("rings", "production", "water", "trees", "roads"))).checkpoint()
     ids = [key, "point_id"]
-    under = covered_cells(where, px, py, origin_x, origin_y, tuple(ids)).join(cells, [key, "r", "c"])
+    under = covered_cells(where, px, py, origin_x, origin_y, tuple(ids)).hint("merge").join(cells, [key, "r", "c"])
     seen = under.groupBy(*ids).agg(
         F.avg("slope_pct").alias("slope_pct"), X.circular_mean(F.col("aspect_deg")).alias("aspect_deg"), F.coalesce(F.avg("shading_score"), F.lit(0.5)).alias("shading_factor"),
         F.max(F.coalesce("canopy", F.lit(False))).alias("canopy")).where("NOT canopy").drop("canopy")
-    got = where.drop("rings").join(seen, ids).where(F.col("slope_pct") <= SLOPE)
+    got = where.drop("rings").hint("merge").join(seen, ids).where(F.col("slope_pct") <= SLOPE)
     got = got.withColumns({"slope_factor": X.solar_slope_score(F.col("slope_pct"), SLOPE), "aspect_factor": X.aspect_score(F.col("aspect_deg")), "production_factor": X.production_proximity(F.col("production"), PRODUCTION_REACH)})
     whole = 0.25 * (F.col("slope_factor") + F.col("aspect_factor") + F.col("shading_factor") + F.col("production_factor"))
     got = got.withColumn("whole", whole).where(F.col("whole") >= LEAST_SCORE).withColumn("score", F.round(F.col("whole") * 100, 1)).drop("whole")
@@ -99,10 +99,10 @@ def solar_sites(parcels: DataFrame, cells: DataFrame, corridors: DataFrame, road
         got = candidates(left, cells, px, py, origin_x, origin_y, kind, reach, key=key, **more)
         return got.withColumn("road_proximity_source", F.lit(source)).checkpoint()
 
-    near = tier(parcels.join(corridors.where("rings IS NOT NULL").select(key, F.col("rings").alias("roads")), key), "area", CORRIDOR_REACH, "selected_road_corridor")
-    left = parcels.join(near, key, "left_anti").checkpoint()
-    mapped = tier(left.join(roads.select(key, F.col("rings").alias("roads")), key), "line", ROAD_REACH, "real_mapped_road")
-    unknown = left.join(roads, key, "left_anti").withColumn("roads", F.lit(None).cast(RINGS))
+    near = tier(parcels.hint("merge").join(corridors.where("rings IS NOT NULL").select(key, F.col("rings").alias("roads")), key), "area", CORRIDOR_REACH, "selected_road_corridor")
+    left = parcels.hint("merge").join(near, key, "left_anti").checkpoint()
+    mapped = tier(left.hint("merge").join(roads.select(key, F.col("rings").alias("roads")), key), "line", ROAD_REACH, "real_mapped_road")
+    unknown = left.hint("merge").join(roads, key, "left_anti").withColumn("roads", F.lit(None).cast(RINGS))
     return near.unionByName(mapped).unionByName(tier(unknown, None, 0.0, "unavailable"))
 
 

@@ -31,7 +31,7 @@ def shallowest_mineral(components: DataFrame, horizons: DataFrame, value: str) -
     first = F.min(F.when(~F.col("hzname").like("O%"), F.col("hzdept_r"))).over(Window.partitionBy("cokey"))
     at = horizons.withColumn("_first", first).where("hzdept_r = _first").groupBy("cokey").agg(F.max(value).alias(value))
     w = Window.partitionBy("mukey").orderBy(X.number(F.col("comppct_r")).desc_nulls_last(), "compname", "cokey")
-    joined = components.join(at, "cokey")
+    joined = components.hint("merge").join(at, "cokey")
     return joined.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("mukey", "compname", "comppct_r", value)
 
 
@@ -47,13 +47,13 @@ def conductivity(components: DataFrame, horizons: DataFrame) -> DataFrame:
 
 def farmland(mapunits: DataFrame, hits: DataFrame) -> DataFrame:
     """Classes of the map units that a parcel meets (a semi-join)."""
-    found = mapunits.join(hits.select("mukey"), "mukey", "left_semi")
+    found = mapunits.hint("merge").join(hits.select("mukey"), "mukey", "left_semi")
     return found.select("mukey", F.col("farmlndcl").alias("farmland_classification"), X.is_prime_farmland(F.col("farmlndcl")).alias("is_prime"))
 
 
 def at_place(components: DataFrame, hits: DataFrame) -> DataFrame:
     """Components of the map units that a point or polygon meets."""
-    return components.join(hits.select("mukey"), "mukey", "left_semi")
+    return components.hint("merge").join(hits.select("mukey"), "mukey", "left_semi")
 
 
 def as_features(components: DataFrame, geometries: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def as_features(components: DataFrame, geometries: DataFrame) -> DataFrame:
     each = F.struct((-X.number(F.col("comppct_r"))).alias("o"), "compname", "comppct_r", "hydricrating")
     listed = components.groupBy("mukey").agg(F.array_sort(F.collect_list(each)).alias("components"))
     top = F.element_at("components", 1)
-    return listed.join(geometries, "mukey").select(
+    return listed.hint("merge").join(geometries, "mukey").select(
         "mukey", "geometry", top["compname"].alias("dominant"), X.component_confidence(top["comppct_r"]).alias("confidence"),
         F.size("components").alias("n_components"),
         F.transform("components", lambda c: F.struct(c["compname"].alias("compname"), c["comppct_r"].alias("comppct_r"))).alias("components"),
@@ -108,13 +108,13 @@ def area_weighted_ksat(zones: DataFrame, mapunits: DataFrame, ksat: DataFrame, b
     ``bin_m`` metres; the bin of the lower left corner of both boxes' common part keeps
     the pair, so no pair comes twice."""
     known = ksat.select("mukey", X.number(F.col("ksat_r")).alias("_k")).where("_k IS NOT NULL")
-    units = _binned(mapunits.select(key, "mukey", "ring_x", "ring_y").join(known, "mukey"), bin_m, "u")
-    pairs = _binned(zones.select(key, "zone_id", "ring_x", "ring_y"), bin_m, "z").join(units, [key, "_bx", "_by"])
+    units = _binned(mapunits.select(key, "mukey", "ring_x", "ring_y").hint("merge").join(known, "mukey"), bin_m, "u")
+    pairs = _binned(zones.select(key, "zone_id", "ring_x", "ring_y"), bin_m, "z").hint("merge").join(units, [key, "_bx", "_by"])
     for axis in "xy":
         pairs = pairs.where(F.floor(F.greatest(f"z_{axis}", f"u_{axis}") / bin_m) == F.col(f"_b{axis}"))
     met = pairs.withColumn("_a", overlap_area("z_ring_x", "z_ring_y", "u_ring_x", "u_ring_y")).where("_a > 0")
     sums = met.groupBy(key, "zone_id").agg(F.sum(F.col("_k") * F.col("_a")).alias("_ka"), F.sum("_a").alias("_a"))
     area = ring_area("ring_x", "ring_y")
-    return zones.join(sums, [key, "zone_id"], "left").select(
+    return zones.hint("merge").join(sums, [key, "zone_id"], "left").select(
         key, "zone_id", F.try_divide("_ka", "_a").alias("ksat_r"), F.when(F.col("_a").isNotNull(), F.least(F.lit(1.0), F.try_divide(F.col("_a"), area))).alias("coverage"),
     )

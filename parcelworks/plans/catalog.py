@@ -379,7 +379,7 @@ def step1(spark, sf):
     sloped = grid.neighbour_slope(cells, PX, PY)
     aspect = grid.horn(cells, PX, PY).select(*grid.KEY, "aspect_deg")
     trees = grid.tree_root_zone(cells, PX, PY).select(*grid.KEY, "tree_root")
-    return scoring.eligible_cells(sloped.join(aspect, grid.KEY).join(trees, grid.KEY), PX, PY)
+    return scoring.eligible_cells(sloped.hint("merge").join(aspect, grid.KEY).hint("merge").join(trees, grid.KEY), PX, PY)
 
 
 @query("step1_eligible", with_(*_BASE) + "SELECT parcel_id, r, c, round(cell_score, 8) AS cell_score, eligible FROM step1")
@@ -502,13 +502,13 @@ def _tree_labels(pdf: pd.DataFrame) -> pd.DataFrame:
 def tree_patches(spark, sf):
     cells = tree_cells(spark, sf)
     labels = kernels.per_parcel(cells.select(*grid.KEY, "tree_eligible"), _tree_labels, "r int, c int, component int")
-    return scoring.tree_patches(cells.join(labels, grid.KEY), PX, PY, 0.01)
+    return scoring.tree_patches(cells.hint("merge").join(labels, grid.KEY), PX, PY, 0.01)
 
 
 @query("solar_candidates")
 def solar_candidates(spark, sf):
     cells = V.cells(spark, sf)
-    terrain = grid.horn(cells, PX, PY).select(*grid.KEY, "slope_pct", "aspect_deg").join(grid.shading(cells, PX, PY).select(*grid.KEY, "shading_score"), grid.KEY)
+    terrain = grid.horn(cells, PX, PY).select(*grid.KEY, "slope_pct", "aspect_deg").hint("merge").join(grid.shading(cells, PX, PY).select(*grid.KEY, "shading_score"), grid.KEY)
     placed = terrain.where("slope_pct IS NOT NULL").select("parcel_id", ((F.col("c") + 0.5) * PX).alias("x"), (-(F.col("r") + 0.5) * PY).alias("y"), "slope_pct", "aspect_deg", "shading_score")
     lattice = cells.where("r % 5 = 2 AND c % 5 = 2").select("parcel_id", (F.col("r") * 20 + F.col("c")).alias("point_id"), ((F.col("c") + 0.5) * PX).alias("x"), (-(F.col("r") + 0.5) * PY).alias("y"), (F.abs(F.col("c") - 10) * PX).alias("production_distance"))
     return scoring.solar_candidates(lattice, placed)
@@ -530,7 +530,7 @@ _LEAN = """lean AS (SELECT a.parcel_id, a.r, a.c, coalesce(CASE WHEN count(*) >=
 def cost_cells(spark, sf):
     """Costs from what stands about a cell, and from the polygons it lies in."""
     lean = grid.tpi(V.cells(spark, sf), PX, PY, 25.0).select(*grid.KEY, "tpi")
-    cells = masked_cells(spark, sf, step1(spark, sf)).join(lean, grid.KEY)
+    cells = masked_cells(spark, sf, step1(spark, sf)).hint("merge").join(lean, grid.KEY)
     return scoring.cost_raster(cells.withColumns({"excluded": F.col("excluded") | F.col("road"), "flood": F.col("hydric"), "canopy": F.col("tree_root")}))
 
 
@@ -709,7 +709,7 @@ def zone_relationships(spark, sf):
     every = V.points(spark, sf)
     mine = every.where("kind = 0")
     near = records.within(mine, every.where("kind = 2"), 107.0).groupBy(F.col("l_point_id").alias("_p")).agg(F.min("distance").alias("d"))
-    got = mine.join(near, F.col("point_id") == F.col("_p"), "left")
+    got = mine.hint("merge").join(near, F.col("point_id") == F.col("_p"), "left")
     return got.select("point_id", sinks.zone_relationship(F.col("d") <= 40, F.col("d"), 80.0).alias("relationship"))
 
 
@@ -735,7 +735,7 @@ def site_plan(spark, sf):
         return pd.DataFrame(rows, columns=["r", "c", "patch_id"])
 
     named = kernels.per_parcel(kept.select(*grid.KEY, "z"), cluster, "r int, c int, patch_id int")
-    return scoring.score_patches(kept.join(named, grid.KEY), PX, PY)
+    return scoring.score_patches(kept.hint("merge").join(named, grid.KEY), PX, PY)
 
 
 # --- report sections -------------------------------------------------------------------------

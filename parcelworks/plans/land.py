@@ -27,7 +27,7 @@ def unit_rings(spark, sf):
     u, v, w, h = (x.cast("double") for x in (k * 37 % 300, k * 91 % 240, 20 + k % 30, 16 + k % 24))
     corners = F.array(*[F.array((a + b) / 2, (b - a) / 2) for a, b in ((u, v), (u + w, v), (u + w, v + h), (u, v + h))])
     ring = V.table(spark, sf, "orders").select(k.cast("string").alias("mukey"), F.col("o_custkey").cast("string").alias("parcel_id"), F.array(corners).alias("rings"))
-    return ring.join(V.mapunits(spark, sf).select("mukey", "farmlndcl"), "mukey")
+    return ring.hint("merge").join(V.mapunits(spark, sf).select("mukey", "farmlndcl"), "mukey")
 
 
 def _united(which: str) -> str:
@@ -47,7 +47,7 @@ def prime_farmland_union(spark, sf):
 @query("hydric_union", with_(V.COMPONENTS) + ", " + _united(f"CAST(o_orderkey AS VARCHAR) IN (SELECT mukey FROM components WHERE {_HYDRIC} GROUP BY mukey HAVING sum({_PCT}) >= 50)"))
 def hydric_union(spark, sf):
     hydric = soil.hydric_mukeys(V.components(spark, sf)).select("mukey")
-    got = regions.unit_union(unit_rings(spark, sf).join(hydric, "mukey", "left_semi"), F.lit(True))
+    got = regions.unit_union(unit_rings(spark, sf).hint("merge").join(hydric, "mukey", "left_semi"), F.lit(True))
     return got.select("parcel_id", *rounded_area())
 
 
@@ -217,10 +217,10 @@ def solar_sites(spark, sf):
     _checkpoints(spark)
     cells, number = V.cells(spark, sf), F.col("parcel_id").cast("int")
     trees = cells.select(*grid.KEY, F.coalesce(F.col("hag") >= 4.5, F.lit(False)).alias("canopy"))
-    terrain = grid.horn(cells, PX, PY).select(*grid.KEY, "slope_pct", "aspect_deg").join(grid.shading(cells, PX, PY).select(*grid.KEY, "shading_score"), grid.KEY).join(trees, grid.KEY)
+    terrain = grid.horn(cells, PX, PY).select(*grid.KEY, "slope_pct", "aspect_deg").hint("merge").join(grid.shading(cells, PX, PY).select(*grid.KEY, "shading_score"), grid.KEY).hint("merge").join(trees, grid.KEY)
     shapes = regions.union_by(V.shapes(spark, sf).where("kind = 'production'").select("parcel_id", "rings"), ["parcel_id"]).withColumnRenamed("rings", "production")
     nothing = F.lit(None).cast(regions.RINGS)
-    home = V.grid_parcels(spark, sf).join(shapes, "parcel_id", "left").withColumns({"water": V.box(60, -40, 70, -30), "trees": nothing})
+    home = V.grid_parcels(spark, sf).hint("merge").join(shapes, "parcel_id", "left").withColumns({"water": V.box(60, -40, 70, -30), "trees": nothing})
     corridors = regions.road_footprints(cells.where("road").where(number % 2 == 0), PX, PY, grow=0)
     roads = V.grid_parcels(spark, sf).where(number % 7 != 0).select("parcel_id", F.when(number % 5 != 0, F.array(F.array(F.array(F.lit(17.5), F.lit(-100.0)), F.array(F.lit(17.5), F.lit(0.0))))).alias("rings"))
     return sites.solar_sites(home, terrain, corridors, roads, PX, PY, spacing=5.0).drop("area")
@@ -271,8 +271,8 @@ def fence_layers(spark, sf):
     """Fences of streams, of ponds and of two tree zones a parcel, in degrees."""
     k = F.col("c_custkey")
     named = V.table(spark, sf, "customer").select(k.cast("string").alias("parcel_id"), k.alias("source_id"), F.col("c_name").alias("label"))
-    streams = regions.stream_fences(bent_lines(spark, sf)).join(named, "parcel_id")
-    ponds = regions.zone_fences(claims(spark, sf).where("kind = 'water'").join(homes(spark, sf).where("k % 10 > 1").select("parcel_id"), "parcel_id"))
+    streams = regions.stream_fences(bent_lines(spark, sf)).hint("merge").join(named, "parcel_id")
+    ponds = regions.zone_fences(claims(spark, sf).where("kind = 'water'").hint("merge").join(homes(spark, sf).where("k % 10 > 1").select("parcel_id"), "parcel_id"))
     trees = homes(spark, sf).where("k % 10 = 2").select("parcel_id", F.inline(F.array(
         F.struct(F.lit(1).alias("rank"), V.box(20, 20, 60, 50).alias("rings")), F.struct(F.lit(2).alias("rank"), V.box(40, 30, 80, 60).alias("rings")))))
 

@@ -85,7 +85,7 @@ def patches(spark, sf):
 def wet_cells(spark, sf, fields):
     roads = regions.footprints(V.cells(spark, sf).where("road"), ["parcel_id"], PX, PY)
     trees = grid.tree_root_zone(V.cells(spark, sf), PX, PY, buffer_meters=waterzones.CANOPY).select(*grid.KEY, F.col("tree_root").alias("canopy"))
-    cells = waterzones.drainage(V.cells(spark, sf), PX, PY).join(trees, grid.KEY)
+    cells = waterzones.drainage(V.cells(spark, sf), PX, PY).hint("merge").join(trees, grid.KEY)
     return waterzones.gated(cells, fields, V.grid_parcels(spark, sf), regions.buffered(roads, waterzones.ROAD), PX, PY)
 
 
@@ -108,7 +108,7 @@ def water_zones(spark, sf):
     x = (k * 13 % 95).cast("double")
     streams = V.table(spark, sf, "supplier").select(
         F.floor(k / 20).cast("string").alias("parcel_id"), k.alias("stream_id"), F.array(F.array(F.array(x, F.lit(-100.0)), F.array(x, F.lit(-60.0)))).alias("rings"), F.when(k % 3 == 0, "46006").otherwise("46003").alias("fcode"))
-    near = lines.nearest_shape(zones, streams, "zone_id", "stream_id", "area", "line").join(streams.select("parcel_id", "stream_id", "fcode"), ["parcel_id", "stream_id"])
+    near = lines.nearest_shape(zones, streams, "zone_id", "stream_id", "area", "line").hint("merge").join(streams.select("parcel_id", "stream_id", "fcode"), ["parcel_id", "stream_id"])
     down = kernels.per_parcel(V.cells(spark, sf).select(*grid.KEY, "z"), _branches, "valley_id int, max_acres double, branch_id int, seq int, r int, c int, x double, y double, z double")
     inside = lines.valley_inputs(zones, down, PX, PY)
     scored = waterzones.suitability(zones, served, soil, near.withColumnRenamed("distance", "stream_distance"), inside)
@@ -129,8 +129,8 @@ def routed(spark, sf):
     ponds = zones_of(spark, sf, fields).select("parcel_id", F.col("fill").alias("rings"))
     wet = regions.footprints(V.cells(spark, sf).where("hydric"), ["parcel_id"], PX, PY)
     lean = grid.tpi(V.cells(spark, sf), PX, PY).select(*grid.KEY, "tpi")
-    sloped = grid.horn(V.cells(spark, sf), PX, PY).select(*grid.KEY, "z", "slope_pct").join(lean, grid.KEY)
-    cells = sloped.join(step1(spark, sf).select(*grid.KEY, F.col("tree_root").alias("canopy")), grid.KEY)
+    sloped = grid.horn(V.cells(spark, sf), PX, PY).select(*grid.KEY, "z", "slope_pct").hint("merge").join(lean, grid.KEY)
+    cells = sloped.hint("merge").join(step1(spark, sf).select(*grid.KEY, F.col("tree_root").alias("canopy")), grid.KEY)
     priced = corridors.priced(cells, V.grid_parcels(spark, sf), fields.select("parcel_id", F.col("fill").alias("rings")), ponds, wet, PX, PY)
     start = V.grid_parcels(spark, sf).select("parcel_id", F.lit(5.0).alias("x"), F.lit(-95.0).alias("y"))
     return corridors.networks(priced, start, PX, PY, least=20.0, radius=15.0, per_acre=5000.0), wet
@@ -180,7 +180,7 @@ def ring_patches(spark, sf):
     k, acres = F.col("zone_id"), grid.SQUARE_METERS_PER_ACRE
     got = V.zone_rings(spark, sf).select("parcel_id", k.alias("patch_id"), regions.from_ring("ring_x", "ring_y").alias("rings"), (k % 40 + 0.3).alias("median_z"))
     inner = regions.buffered(got.select("parcel_id", "patch_id", "rings"), -5.0).select("parcel_id", "patch_id", (regions.area("rings") / acres).alias("fill_acres"))
-    return got.withColumn("acres", regions.area("rings") / acres).join(inner, ["parcel_id", "patch_id"])
+    return got.withColumn("acres", regions.area("rings") / acres).hint("merge").join(inner, ["parcel_id", "patch_id"])
 
 
 _ACRES = f"round(w * h / {grid.SQUARE_METERS_PER_ACRE}, 2)"
