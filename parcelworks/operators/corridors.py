@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import kernels, scoring
 from . import polygons as P
-from .grid import KEY, cell_area_acres, square
+from .grid import KEY, cell_area_acres, dealt, square
 from .regions import _once, buffered, decoded, exclusion_cells, production_cells, road_footprints
 
 # Fixed values of the reference's corridors: metres, percent.
@@ -113,7 +113,8 @@ def networks(cells: DataFrame, anchors: DataFrame, px: float, py: float, origin_
         return pa.Table.from_pylist([got | {"parcel_id": here.column("parcel_id")[0].as_py()}], schema=_NETWORK)
 
     wanted = cells.select(*KEY, "cost", "z", "slope_pct", "on_production", "near_pond")
-    return wanted.groupBy("parcel_id").cogroup(anchors.select("parcel_id", "x", "y").groupBy("parcel_id")).applyInArrow(run, _DDL)
+    places = dealt(anchors.select("parcel_id", "x", "y"), ["parcel_id"])
+    return dealt(wanted, ["parcel_id"]).groupBy("parcel_id").cogroup(places.groupBy("parcel_id")).applyInArrow(run, _DDL)
 
 
 def branches(found: DataFrame, floods: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import factors as X
+from .grid import dealt
 
 
 def climate_summary(daily: DataFrame, key: str = "parcel_id", span: int | None = None) -> DataFrame:
@@ -189,4 +190,5 @@ def snap_to_cells(points: DataFrame, cells: DataFrame, id_: str, px: float, py:
     row, col = (F.lit(origin_y) - F.col("y")) / py - 0.5, (F.col("x") - origin_x) / px - 0.5
     apart = (F.col("r") - row) * (F.col("r") - row) + (F.col("c") - col) * (F.col("c") - col)
     best = F.min(F.when(F.col("r").isNotNull(), F.struct(apart.alias("d"), "r", "c"))).alias("m")
-    return points.hint("merge").join(open_cells, key, "left").groupBy(key, id_).agg(best).select(key, id_, F.col("m.r").alias("r"), F.col("m.c").alias("c"))
+    near = dealt(points, [key]).hint("merge").join(dealt(open_cells, [key]), key, "left")
+    return near.groupBy(key, id_).agg(best).select(key, id_, F.col("m.r").alias("r"), F.col("m.c").alias("c"))

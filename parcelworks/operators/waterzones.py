@@ -165,7 +165,7 @@ def selected_zones(cells: DataFrame, patches: DataFrame, parcels: DataFrame, px:
         })
 
     wanted = cells.select(*KEY, "water_eligible", "z", "accumulation", "slope_pct")
-    return wanted.groupBy("parcel_id").cogroup(homes.groupBy("parcel_id")).applyInArrow(run, _ZONE)
+    return dealt(wanted, ["parcel_id"]).groupBy("parcel_id").cogroup(dealt(homes, ["parcel_id"]).groupBy("parcel_id")).applyInArrow(run, _ZONE)
 
 
 def relationships(zones: DataFrame, patches: DataFrame, service: float = SERVICE) -> DataFrame:

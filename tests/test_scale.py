@@ -83,3 +83,12 @@ def test_rows_of_a_small_file_are_spread(spark):
         assert used == n > 1
     cells = spark.range(400, numPartitions=1).select((F.col("id") % 40).cast("string").alias("parcel_id"), F.floor(F.col("id") / 40).cast("int").alias("r"), F.lit(0).alias("c"), F.lit(1.0).alias("z"))
     assert grid.looked_at(cells, list(grid.EIGHT)).select(F.spark_partition_id()).distinct().count() == n
+
+
+def test_kernels_of_parcels_are_spread(spark):
+    from parcelworks.operators import kernels
+
+    cells = spark.range(400, numPartitions=1).select((F.col("id") % 40).cast("string").alias("parcel_id"), F.floor(F.col("id") / 40).cast("int").alias("r"), F.lit(0).alias("c"), F.lit(1.0).alias("z"))
+    got = kernels.per_parcel(cells, lambda pdf: pdf[["r", "c"]].copy(), "r int, c int")
+    assert got.count() == 400
+    assert got.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
