@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import kernels, scoring
 from . import polygons as P
 from .grid import KEY, cell_area_acres, dealt, disc, neighbour_slope, waist_radius
-from .regions import RINGS, _once, area, buffered, covered_cells, decoded, encoded, footprints, union_by, with_regions
+from .regions import RINGS, _once, area, buffered, covered_cells, decoded, encoded, footprints, spread, union_by, with_regions
 
 # Fixed values of the reference's zones: acres, metres.
 DRAINS, SERVICE, LEAST_ACRES, TARGET_ACRES, OPENING, SETBACK, ROAD, CANOPY = 20.0, 800.0, 0.1, 0.5, 5.0, 5.0, 3.048, 3.048
@@ -66,7 +66,7 @@ def cells_in_reach(shapes: DataFrame, parcels: DataFrame, meters: float, px: flo
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), each)
 
     whole = union_by(shapes.select(key, "rings"), [key]).withColumnRenamed("rings", "_ground")
-    both = parcels.select(key, "rings").hint("merge").join(whole, key)
+    both = spread(parcels.select(key, "rings").hint("merge").join(whole, key))
     each = both.select(key, F.inline(_once(spans, "array<struct<r:int,first:int,last:int>>")("rings", "_ground")))
     return each.select(key, "r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
 
