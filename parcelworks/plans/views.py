@@ -24,7 +24,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     return table(spark, sf_dir, "part").select(
         F.floor(k / 400).cast("string").alias("parcel_id"), r.alias("r"), c.alias("c"),
-        (0.41 * r + 0.307 * F.abs(c - 10) + 0.0213 * size).alias("z"),
+        ((4100 * r + 3070 * F.abs(c - 10) + 213 * size) / 10_000).alias("z"),  # as SQL's decimals: rounded once
         F.when(size % 17 == 0, F.lit(None).cast("double")).otherwise((size * 7 % 13) * 0.4).alias("hag"),
         (size % 11 == 0).alias("hydric"), (c == 3).alias("road"), ((r > 0) & (r < 19) & (c > 0) & (c < 19)).alias("in_parcel"),
     )
