@@ -622,3 +622,55 @@ def ring_overlap(ax, ay, bx, by) -> float:
         both = (np.cumsum(is_a) % 2 == 1) & (np.cumsum(~is_a) % 2 == 1)
         total += float((np.diff(x[order]) * both[:-1]).sum()) * (y1 - y0)
     return total
+
+
+#: Numbers of a batch of overlaps that are held at once.
+_HELD = 2_000_000
+
+
+def ring_overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """``ring_overlap`` of pairs of rings (arrays of corners): those with as many corners
+    are worked out side by side, level by level."""
+    out = np.zeros(len(a))
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for k, (p, q) in enumerate(zip(a, b, strict=True)):
+        kinds.setdefault((len(p), len(q)), []).append(k)
+    for (n, m), mine in kinds.items():
+        each = (n + m + n * m) * (n + m)
+        if n < 3 or m < 3:
+            continue
+        if each > _HELD // 8:  # no use side by side
+            for k in mine:
+                out[k] = ring_overlap(a[k][:, 0], a[k][:, 1], b[k][:, 0], b[k][:, 1])
+            continue
+        for at in range(0, len(mine), many := _HELD // each):
+            some = mine[at : at + many]
+            out[some] = _overlaps(np.stack([a[k] for k in some]).astype(float), np.stack([b[k] for k in some]).astype(float))
+    return out
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    da, db = np.roll(a, -1, 1) - a, np.roll(b, -1, 1) - b
+    gap, d, e = b[:, None] - a[:, :, None], da[:, :, None], db[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = (gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / (d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0])
+    inside = np.isfinite(t) & (t >= 0) & (t <= 1)
+    crossings = np.where(inside, a[:, :, None, 1] + np.where(inside, t, 0) * d[..., 1], a[:, :1, None, 1]).reshape(len(a), -1)
+    low, high = np.maximum(a[..., 1].min(1), b[..., 1].min(1)), np.minimum(a[..., 1].max(1), b[..., 1].max(1))
+    levels = np.sort(np.concatenate([a[..., 1], b[..., 1], crossings], axis=1), axis=1)
+    levels = np.clip(levels, low[:, None], np.maximum(low, high)[:, None])  # none is left between these: no height
+    y = ((levels[:, :-1] + levels[:, 1:]) / 2)[..., None]
+
+    def widths(ring: np.ndarray, step: np.ndarray) -> np.ndarray:
+        x0, y0, dx, dy = (v[:, None] for v in (ring[..., 0], ring[..., 1], step[..., 0], step[..., 1]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where((y0 <= y) != (y0 + dy <= y), x0 + (y - y0) / dy * dx, np.inf)
+
+    x = np.concatenate([widths(a, da), widths(b, db)], axis=2)
+    order = np.argsort(x, axis=2, kind="stable")
+    x, of_a = np.take_along_axis(x, order, 2), order < a.shape[1]
+    both = (np.cumsum(of_a, 2) % 2 == 1) & (np.cumsum(~of_a, 2) % 2 == 1)
+    both[..., :-1] &= np.isfinite(x[..., 1:])
+    with np.errstate(invalid="ignore"):
+        wide = np.where(both[..., :-1], np.diff(x, axis=2), 0.0).sum(2)
+    return (wide * np.diff(levels, axis=1)).sum(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import factors as X
 from . import kernels
+from .grid import dealt
 
 
 def hydric_mukeys(components: DataFrame, threshold: float = 50.0) -> DataFrame:
@@ -71,8 +73,13 @@ def as_features(components: DataFrame, geometries: DataFrame) -> DataFrame:
 # --- map units under a zone --------------------------------------------------------
 
 @F.pandas_udf(DoubleType())
-def overlap_area(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-    return pd.Series([kernels.ring_overlap(*rings) for rings in zip(ax, ay, bx, by, strict=True)], dtype=float)
+def _overlap_area(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    rings = ([np.column_stack(r) for r in zip(*xy, strict=True)] for xy in ((ax, ay), (bx, by)))
+    return pd.Series(kernels.ring_overlaps(*rings), dtype=float)
+
+
+#: A filter above must not make it run a second time, before pairs are dealt.
+overlap_area = _overlap_area.asNondeterministic()
 
 
 def ring_area(xs: str, ys: str) -> F.Column:
@@ -112,7 +119,8 @@ def area_weighted_ksat(zones: DataFrame, mapunits: DataFrame, ksat: DataFrame, b
     pairs = _binned(zones.select(key, "zone_id", "ring_x", "ring_y"), bin_m, "z").hint("merge").join(units, [key, "_bx", "_by"])
     for axis in "xy":
         pairs = pairs.where(F.floor(F.greatest(f"z_{axis}", f"u_{axis}") / bin_m) == F.col(f"_b{axis}"))
-    met = pairs.withColumn("_a", overlap_area("z_ring_x", "z_ring_y", "u_ring_x", "u_ring_y")).where("_a > 0")
+    spread = dealt(pairs, [key, "zone_id"])  # pairs of few bytes would be few tasks, and their rings are the work
+    met = spread.withColumn("_a", overlap_area("z_ring_x", "z_ring_y", "u_ring_x", "u_ring_y")).where("_a > 0")
     sums = met.groupBy(key, "zone_id").agg(F.sum(F.col("_k") * F.col("_a")).alias("_ka"), F.sum("_a").alias("_a"))
     area = ring_area("ring_x", "ring_y")
     return zones.hint("merge").join(sums, [key, "zone_id"], "left").select(

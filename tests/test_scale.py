@@ -107,3 +107,39 @@ def test_aspects_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     want = {x[:3]: x[3:] for x in con.execute(catalog.ORACLE["horn_slope_aspect"]).fetchall()}
     got = {tuple(x)[:3]: tuple(x)[3:] for x in catalog.QUERIES["horn_slope_aspect"](spark, str(tmp_path)).collect()}
     assert len(got) == 80_000 and got == want
+
+
+def test_buffers_of_convex_shapes_need_no_arrangement(monkeypatch):
+    """Boxes, single segments and points have their curve for an outline; it is the arrangement's."""
+    boxes = [[np.array([(0, 0), (30 + k, 0), (30 + k, 20), (0, 20)], float)] for k in range(5)]
+    roads = [[np.array([(0, 0), (40 + k, 7)], float)] for k in range(5)] + [[np.array([(3.0, 4.0)])]]
+    twice = lambda groups: [[*g, *g] for g in groups]  # noqa: E731 - two paths go through the arrangement
+    want = P.buffers(twice(boxes), 3.0), P.buffers_lines(twice(roads), 8.0)
+    monkeypatch.setattr(P, "_arranged", None)
+    for got, other in zip((P.buffers(boxes, 3.0), P.buffers_lines(roads, 8.0)), want, strict=True):
+        for a, b in zip(got, other, strict=True):
+            assert len(a) == len(b) == 1 and np.allclose(a[0], b[0], atol=1e-4)
+
+
+def test_shapes_apart_stay_as_they_are(monkeypatch):
+    """Two boxes that meet and one far off: only the two are united."""
+    a, b, c = ([np.array([(x, 0), (x + 10, 0), (x + 10, 10), (x, 10)], float)] for x in (0, 5, 100))
+    alone, met = P.apart([a, c, b, []])
+    assert alone == [c] and met == [a, b]
+    assert P.apart([a, [], c]) == ([a, c], []) and P.apart([[]]) == ([], [])
+
+
+def test_overlaps_side_by_side_are_those_of_each_pair():
+    from parcelworks.operators import kernels
+
+    a, b = ([r[0] for r in shapes(200, seed) if r][:120] for seed in (8, 9))
+    b[0], a[1] = np.zeros((2, 2)), a[1] + 1000
+    got = kernels.ring_overlaps(a, b)
+    assert got[:2].tolist() == [0, 0] and (got > 0).sum() > 50
+    assert np.allclose(got, [kernels.ring_overlap(*p.T, *q.T) for p, q in zip(a, b, strict=True)], atol=1e-9)
+
+
+def test_overlaps_of_zones_are_spread(spark):
+    assert catalog.QUERIES["zone_conductivity"](spark, "/root/testdata/sf0.001").count() > 0
+    text = plan_of(catalog.QUERIES["zone_conductivity"](spark, "/root/testdata/sf0.001"))
+    assert "REPARTITION_BY_NUM" in text
