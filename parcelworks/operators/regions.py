@@ -144,9 +144,10 @@ def _fold(df: DataFrame, keys: list[str], clean: bool) -> DataFrame:
                 yield out(list(zip(met, united(list(met.values()), True), strict=True)), b)
 
     def united(groups: list[list[P.Region]], clean: bool) -> list[P.Region]:
-        more = [k for k, v in enumerate(groups) if len(v) > 1 or not clean]
-        found = dict(zip(more, P.unions([groups[k] for k in more]), strict=True))
-        return [found[k] if k in found else v[0] for k, v in enumerate(groups)]
+        apart, met = zip(*map(P.apart, groups), strict=True) if clean else ([[] for _ in groups], groups)
+        more = [k for k, v in enumerate(met) if v]
+        found = dict(zip(more, P.unions([met[k] for k in more]), strict=True))
+        return [[*found.get(k, []), *(r for shape in v for r in shape)] for k, v in enumerate(apart)]
 
     def late(batches):
         now, held, b = None, [], None
@@ -279,10 +280,9 @@ def in_degrees(df: DataFrame, zone: int, south: bool = False, column: str = "rin
 def polygons_of(df: DataFrame, column: str = "rings") -> DataFrame:
     """``coordinates`` of a MultiPolygon: each shell with its holes, all closed."""
     def split(values: pa.Array) -> pa.Array:
-        found = [[encoded([part]) for part in P.parts(v)] for v in decoded(values)]
-        flat = [x for f in found for x in f]
+        found = [P.parts(v) for v in decoded(values)]
         at = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(at, pa.concat_arrays(flat) if flat else encoded([]))
+        return pa.ListArray.from_arrays(at, encoded([part for f in found for part in f]))
 
     parts = spread(df).withColumn("coordinates", _once(split, f"array<{RINGS}>")(column))
     return parts.withColumn("coordinates", F.transform("coordinates", closed))
