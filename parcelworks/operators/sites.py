@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import factors as X
 from . import polygons as P
 from .kernels import distance_to_ring
-from .regions import RINGS, _once, covered_cells, decoded, encoded
+from .regions import RINGS, covered_cells, decoded, encoded, spread
 from .scoring import ranked
 from .sinks import zone_relationship
 
@@ -22,7 +24,9 @@ WATER_CLEARANCE, ADJACENT, PRODUCTION_REACH = 25.0, 15.0, 100.0
 CORRIDOR_REACH, ROAD_REACH, TREE_CLEARANCE = 15.0, 150.0, 3.048
 
 _SITE = pa.struct([("point_id", pa.int32()), ("x", pa.float64()), ("y", pa.float64()), ("area", pa.float64()), ("road", pa.float64()), ("production", pa.float64()), ("water", pa.float64()), ("touches", pa.bool_())])
-_DDL = f"array<struct<point_id:int,x:double,y:double,area:double,road:double,production:double,water:double,touches:boolean,rings:{RINGS}>>"
+_DDL = f"point_id int, x double, y double, area double, road double, production double, water double, touches boolean, rings {RINGS}"
+#: Squares, and parcels, that are worked at once.
+TOGETHER, PARCELS = 2048, 32
 
 
 def lattice(region: P.Region, spacing: float) -> np.ndarray:
@@ -40,42 +44,89 @@ def lattice(region: P.Region, spacing: float) -> np.ndarray:
 def squares(home: P.Region, production: P.Region, water: P.Region, trees: P.Region, roads: P.Region | None, road_kind: str, reach: float, acres: float, spacing: float) -> list[tuple]:
     """Squares of ``acres`` on a lattice, cut to the parcel, clear of water and trees
     and within ``reach`` of a road; no roads means none, None that nothing is asked."""
-    if not home or roads is not None and not roads:
-        return []
-    side, search = math.sqrt(acres * X.SQUARE_METERS_PER_ACRE), home
+    return [s for _, s in squares_of([home], [production], [water], [trees], None if roads is None else [roads], road_kind, reach, acres, spacing)]
+
+
+def squares_of(homes: list[P.Region], production: list[P.Region], water: list[P.Region], trees: list[P.Region], roads: list[P.Region] | None, road_kind: str, reach: float, acres: float, spacing: float) -> Iterator[tuple[int, tuple]]:
+    """``squares`` of many parcels, with a parcel's number: ``TOGETHER`` squares at a time."""
+    side, search = math.sqrt(acres * X.SQUARE_METERS_PER_ACRE), homes
     if roads is not None:
         wide = reach + side
-        search = P.intersection(home, P.buffer_lines(roads, wide) if road_kind == "line" else P.buffer(roads, wide)) or home
-    banned = P.union([P.buffer(water, WATER_CLEARANCE) if water else [], trees])
-    half, out = side / 2, []
-    for k, (x, y) in enumerate(lattice(search, spacing)):
-        square = [np.array([(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half)])]
-        cut = P.intersection(square, home)
-        size = P.area(cut)
-        if not cut or size < LEAST_SHARE * side * side or P.distance(cut, banned) == 0:
-            continue
-        road = P.distance(cut, roads, "area", road_kind) if roads is not None else None
-        if road is not None and road > reach:
-            continue
-        edge = P.distance(cut, production, "area", "ring") if production else None
-        out.append((k, x, y, size, road, edge, P.distance(cut, water) if water else None, bool(production) and P.distance(cut, production) == 0, cut))
+        near = P.intersections(homes, P.buffers_lines(roads, wide) if road_kind == "line" else P.buffers(roads, wide))
+        search = [(n or home) if road else [] for n, home, road in zip(near, homes, roads, strict=True)]
+    banned = P.unions([list(x) for x in zip(P.buffers(water, WATER_CLEARANCE), trees, strict=True)])
+    points = [lattice(region, spacing) if home and region else np.zeros((0, 2)) for home, region in zip(homes, search, strict=True)]
+    row = np.repeat(np.arange(len(homes)), [len(p) for p in points])
+    number = np.concatenate([np.arange(len(p)) for p in points]) if points else row
+    points = np.concatenate([np.zeros((0, 2)), *points])
+    for at in range(0, len(row), TOGETHER):
+        mine = slice(at, at + TOGETHER)
+        k, n, xy = row[mine], number[mine], points[mine]
+        cut = _cut(xy, side / 2, k, homes)
+        size = np.array([P.area(c) for c in cut])
+
+        def kept(good):
+            return k[good], n[good], xy[good], size[good], [c for c, ok in zip(cut, good.tolist(), strict=True) if ok]
+
+        def off(shapes, kind="area"):
+            return P.distances(cut, [shapes[i] for i in k.tolist()], "area", kind)
+
+        k, n, xy, size, cut = kept((size > 0) & (size >= LEAST_SHARE * side * side))
+        k, n, xy, size, cut = kept(off(banned) != 0)
+        road = None
+        if roads is not None:
+            road = off(roads, road_kind)
+            near = road <= reach
+            k, n, xy, size, cut = kept(near)
+            road = road[near].tolist()
+        edge, inside, shore = off(production, "ring"), off(production) == 0, off(water)
+        for i, parcel in enumerate(k.tolist()):
+            yield parcel, (
+                int(n[i]), float(xy[i, 0]), float(xy[i, 1]), float(size[i]), road[i] if road is not None else None, float(edge[i]) if production[parcel] else None,
+                float(shore[i]) if water[parcel] else None, bool(inside[i]), cut[i])
+
+
+def _cut(points: np.ndarray, half: float, parcel: np.ndarray, homes: list[P.Region]) -> list[P.Region]:
+    """The squares about the points, cut to the parcels. One that no edge comes near is
+    whole or nothing."""
+    corners = points[:, None] + half * np.array([(-1, -1), (1, -1), (1, 1), (-1, 1)])
+    clear, held = np.zeros(len(points), bool), np.zeros(len(points), bool)
+    for k in np.unique(parcel).tolist():
+        mine = np.flatnonzero(parcel == k)
+        p, q = (np.concatenate(x) for x in (homes[k], [np.roll(r, -1, axis=0) for r in homes[k]]))
+        low, high = np.minimum(p, q) - half - 1e-3, np.maximum(p, q) + half + 1e-3
+        for some in np.array_split(mine, max(1, len(mine) * len(p) // 1_000_000)):
+            clear[some] = ~((points[some, None] >= low) & (points[some, None] <= high)).all(2).any(1)
+        held[mine] = P.contains(homes[k], *points[mine].T)
+    out = [[square] if ok else [] for square, ok in zip(corners, (clear & held).tolist(), strict=True)]
+    rest = np.flatnonzero(~clear).tolist()
+    for k, got in zip(rest, P.intersections([[corners[k]] for k in rest], [homes[parcel[k]] for k in rest]), strict=True):
+        out[k] = got
     return out
 
 
+def placed(parcels: DataFrame, road_kind: str | None, reach: float, acres: float, spacing: float, key: str = "parcel_id") -> DataFrame:
+    """``squares`` as rows, parcels dealt over all tasks."""
+    def sites(batches):
+        for b in batches:
+            values = [decoded(b.column(i)) for i in range(1, 6)]
+            for at in range(0, b.num_rows, PARCELS):
+                *shapes, roads = (v[at : at + PARCELS] for v in values)
+                found = list(squares_of(*shapes, roads if road_kind else None, road_kind or "", reach, acres, spacing))
+                one = pa.array([dict(zip(_SITE.names, s[:-1], strict=True)) for _, s in found], _SITE)
+                rows = b.column(0).take(pa.array([at + k for k, _ in found], pa.int32()))
+                yield pa.RecordBatch.from_arrays([rows, *one.flatten(), encoded([s[-1] for _, s in found])], names=[key, *_SITE.names, "rings"])
+
+    # A parcel is few bytes and much work: without being dealt all of them are one task.
+    asked = spread(parcels.select(key, "rings", "production", "water", "trees", "roads"))
+    return asked.mapInArrow(sites, StructType([asked.schema[key], *StructType.fromDDL(_DDL)]))
+
+
 def candidates(parcels: DataFrame, cells: DataFrame, px: float, py: float, origin_x: float, origin_y: float, road_kind: str | None, reach: float = 0.0, acres: float = ACRES, spacing: float = SPACING, top: int = TOP, key: str = "parcel_id") -> DataFrame:
     """The ``top`` sites a parcel. ``parcels``: rings, production, water, trees (grown
     already) and roads, of ``road_kind``, or none of them asked for with None. ``cells``:
     r, c, slope_pct, aspect_deg, shading_score, canopy."""
-    def sites(*values: pa.Array) -> pa.Array:
-        found = []
-        for home, production, water, trees, roads in zip(*map(decoded, values), strict=True):
-            found.append(squares(home, production, water, trees, roads if road_kind else None, road_kind or "", reach, acres, spacing))
-        flat = [s for f in found for s in f]
-        one = pa.array([dict(zip(_SITE.names, s[:-1], strict=True)) for s in flat], _SITE)
-        whole = pa.StructArray.from_arrays([*one.flatten(), encoded([s[-1] for s in flat])], names=[*_SITE.names, "rings"])
-        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), whole)
-
-    where = parcels.select(key, F.inline(_once(sites, _DDL)("rings", "production", "water", "trees", "roads"))).checkpoint()
+    where = placed(parcels, road_kind, reach, acres, spacing, key).checkpoint()
     ids = [key, "point_id"]
     under = covered_cells(where, px, py, origin_x, origin_y, tuple(ids)).hint("merge").join(cells, [key, "r", "c"])
     seen = under.groupBy(*ids).agg(
@@ -99,6 +150,7 @@ def solar_sites(parcels: DataFrame, cells: DataFrame, corridors: DataFrame, road
         got = candidates(left, cells, px, py, origin_x, origin_y, kind, reach, key=key, **more)
         return got.withColumn("road_proximity_source", F.lit(source)).checkpoint()
 
+    cells = cells.checkpoint()  # each tier reads them
     near = tier(parcels.hint("merge").join(corridors.where("rings IS NOT NULL").select(key, F.col("rings").alias("roads")), key), "area", CORRIDOR_REACH, "selected_road_corridor")
     left = parcels.hint("merge").join(near, key, "left_anti").checkpoint()
     mapped = tier(left.hint("merge").join(roads.select(key, F.col("rings").alias("roads")), key), "line", ROAD_REACH, "real_mapped_road")

@@ -63,3 +63,31 @@ def test_tiers(spark):
     best = sites.selected_site(got).select("parcel_id", "score").collect()
     assert {r["parcel_id"]: r["score"] for r in best} == {k: max(r["score"] for r in v) for k, v in by.items()}
     assert sites.solar_sites(parcels.where(F.lit(False)), cells, corridors, roads, 5.0, 5.0).count() == 0
+
+
+def test_squares_of_many_parcels_are_each_as_alone(monkeypatch):
+    """Some cut by an edge, some in a hole, some beside water; a parcel without ground, one without roads."""
+    homes = [region(HOME), P.difference(region(HOME), region(box(60.0, 60.0, 90.0, 90.0))), [], region([[[0.0, 0.0], [150.0, 30.0], [60.0, 160.0]]]), region(HOME)]
+    rest = [region(box(50.0, 50.0, 90.0, 90.0)), [], [], region(box(0.0, 0.0, 40.0, 40.0)), []], [[], region(box(120.0, 20.0, 180.0, 80.0)), [], [], []], [region(box(10.0, 10.0, 30.0, 60.0)), [], [], [], []]
+    roads = [region([[[0.0, 0.0], [200.0, 0.0]]])] * 4 + [[]]
+    for way in (("line", 30.0), (None, 0.0)):
+        asked = roads if way[0] else None
+        alone = [sites.squares(*x, asked and asked[k], *way, 0.1, 10.0) for k, x in enumerate(zip(homes, *rest, strict=True))]
+        monkeypatch.setattr(P, "distance", None)  # distances are worked out side by side
+        monkeypatch.setattr(sites, "TOGETHER", 37)
+        got = [[] for _ in homes]
+        for k, s in sites.squares_of(homes, *rest, asked, *way, 0.1, 10.0):
+            got[k].append(s)
+        monkeypatch.undo()
+        assert [len(x) > 0 for x in got] == [True, True, False, True, way[0] is None]
+        for a, b in zip(alone, got, strict=True):
+            assert [s[:-1] for s in a] == [s[:-1] for s in b] and all(np.array_equal(np.concatenate(s[-1]), np.concatenate(t[-1])) for s, t in zip(a, b, strict=True))
+        for home, cut in ((home, s[-1]) for home, found in zip(homes, got, strict=True) for s in found):
+            assert P.area(P.difference(cut, home)) == pytest.approx(0, abs=1e-2)
+
+
+def test_parcels_are_spread_before_their_squares(spark):
+    parcels = table(spark, [(str(k), HOME, None, None, None, None) for k in range(40)], "rings", "production", "water", "trees", "roads").coalesce(1)
+    got = sites.placed(parcels, None, 0.0, 0.1, 25.0)
+    assert got.count() == 40 * 49
+    assert got.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
