@@ -25,10 +25,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, read, text_bytes, window_hashes, word_names
+from .common import _COEF, mix64, read, text_bytes, window_hashes
 from .fragments import DEALT, deal, fragment_count, names_of, repeated
 
 WINDOW, ROUNDS = 13, 2
@@ -47,20 +48,27 @@ def _right(names: np.ndarray, level: int) -> np.ndarray:
     return (mix64(names + _times(level, _RUN)) >> _BITS).astype(bool)
 
 
-def _widest(names, width, lo, hi, chosen, out) -> None:
-    """Into ``out`` at ``chosen``: the widest symbol of names[lo:hi], by hash on
-    ties."""
-    lo, hi = lo[chosen], hi[chosen]
-    key = (np.minimum(width, 0xFFFF).astype(np.uint64) << np.uint64(48)) | (names >> np.uint64(16))
-    best, at = key[lo], lo.copy()
-    for step in range(1, int((hi - lo).max(initial=1))):
-        i = lo + step
-        ok = i < hi
-        k = key[np.where(ok, i, lo)]
-        better = ok & (k > best)
-        best = np.where(better, k, best)
-        at = np.where(better, i, at)
-    out[chosen] = names[at]
+def _widest(names: np.ndarray, width: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The widest symbol of each names[lo:hi], by hash on ties: its width with 48 bits of
+    its name. A span is covered by two of the largest power of two that fits."""
+    best = [(np.minimum(width, 0xFFFF).astype(np.uint64) << np.uint64(48)) | (names >> np.uint64(16))]
+    size = hi - lo
+    for step in 1 << np.arange(int(size.max(initial=1)).bit_length() - 1):
+        wide = best[-1].copy()
+        np.maximum(wide[:-step], wide[step:], out=wide[:-step])
+        best.append(wide)
+    power = np.frexp(size.astype(np.float32))[1] - 1
+    row = power * np.int64(len(names))
+    best = np.concatenate(best)
+    return np.maximum(best[row + lo], best[row + hi - (1 << power.astype(np.int64))])
+
+
+def _hashes_at(names: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """``window_hashes`` of the windows at some places."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(window):
+        out += names[at + j] * _COEF[j]
+    return mix64(out)
 
 
 def anchors(names: np.ndarray, width: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
@@ -68,49 +76,55 @@ def anchors(names: np.ndarray, width: np.ndarray, window: int = WINDOW, rounds:
     n = len(names) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    lo, hi = np.arange(n), np.arange(n) + window
-    out = window_hashes(names, window)
-    live = np.arange(n)
+    words, out = names, np.zeros(n, np.uint64)
+    live, lo, hi = np.arange(n), np.arange(n), np.arange(window, n + window)
     for level in range(rounds):
         # runs
         begin = np.concatenate([[True], names[1:] != names[:-1]])
-        run = np.cumsum(begin) - 1
         starts = np.flatnonzero(begin)
         size = np.diff(np.append(starts, len(names)))
-        one = names[starts]
-        joined = np.where(size > 1, mix64(one * _A + size.astype(np.uint64) * _RUN), one)
-        total = np.concatenate([[0], np.cumsum(width)])
-        wide = total[np.append(starts[1:], len(names))] - total[starts]
-        lo, hi = run[lo] + 1, run[hi - 1]  # without the first and the last run
+        joined = names[starts]
+        more = np.flatnonzero(size > 1)
+        joined[more] = mix64(joined[more] * _A + size[more].astype(np.uint64) * _RUN)
+        wide = np.add.reduceat(width, starts)
         # pairs
         right = _right(joined, level)
-        head = np.zeros(len(joined), bool)
-        head[:-1] = ~right[:-1] & right[1:]
-        tail = np.concatenate([[False], head[:-1]])
-        ok = hi > lo
-        lo, hi, live = lo[ok], hi[ok], live[ok]
-        lo = lo + right[lo]
-        ok = hi > lo
-        lo, hi, live = lo[ok], hi[ok], live[ok]
-        hi = hi - ~right[hi - 1]
-        ok = hi > lo
-        lo, hi, live = lo[ok], hi[ok], live[ok]
-        keep = ~tail
+        head = np.flatnonzero(~right[:-1] & right[1:])
+        keep = np.ones(len(joined), bool)
+        keep[head + 1] = False
         place = np.cumsum(keep) - 1
-        at = np.flatnonzero(keep)
-        pair = head[at]
-        names = joined[at]
-        second = joined[np.minimum(at + 1, len(joined) - 1)]
-        names = np.where(pair, mix64(names * _A + second * _B + np.uint64(level + 1)), names)
-        width = np.where(pair, wide[at] + wide[np.minimum(at + 1, len(joined) - 1)], wide[at])
-        lo, hi = place[lo], place[hi - 1] + 1
+        pairs = joined.copy()
+        pairs[head] = mix64(joined[head] * _A + joined[head + 1] * _B + np.uint64(level + 1))
+        wide[head] += wide[head + 1]
+        # What remains of a window by its first and its last run: without these, and without
+        # a right symbol that is first or a left one that is last then.
+        place = np.append(place, place[-1] + 1)
+        right = np.append(right, False).astype(np.int64)
+        k = np.arange(len(joined))
+        first = place[np.minimum(k + 1 + right[1:], len(joined))]
+        last = place[np.maximum(k - 2 + right[k - 1], 0)] + 1
+        last[:2] = [0, right[0]][: len(last)]
+        run = np.cumsum(begin) - 1
+        to_lo, to_hi = first[run][lo], last[run][hi - 1]
+        ok = to_hi > to_lo
+        gone = ~ok
+        if level:
+            out[live[gone]] = mix64(_widest(names, width, lo[gone], hi[gone]) + _times(level, _B))
+        else:
+            out[gone] = _hashes_at(words, np.flatnonzero(gone), window)
+        live, lo, hi = live[ok], to_lo[ok], to_hi[ok]
+        names, width = pairs[keep], wide[keep]
         if not len(live):
-            break
-        _widest(names, width, lo, hi, np.arange(len(live)), chosen := np.zeros(len(live), np.uint64))
-        out[live] = mix64(chosen + _times(level + 1, _B))
+            return out
+    out[live] = mix64(_widest(names, width, lo, hi) + _times(rounds, _B))
     return out
 
 
+def word_names(words: list[bytes]) -> np.ndarray:
+    """As ``common.word_names``: to name a word again is faster than to look it up."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
     """Names and widths of all texts' words with a separator of its own after each
     text, the text of each, and the words."""
@@ -165,14 +179,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def second(batches):
         for part in slices(batches):
             names, width, owner, _ = joined(part.column(1).to_pylist())
-            found, hashes = anchors(names, width, window), window_hashes(names, window)
-            ok = _inside(owner, window)
-            at = np.flatnonzero(ok)
-            wanted = [np.concatenate([names_of(x) for x in v]) for v in part.column(2).to_pylist()]
-            mine = np.concatenate([mix64(w ^ mix64(np.array([i + 1], np.uint64))) for i, w in enumerate(wanted)]) if wanted else np.zeros(0, np.uint64)
+            found = anchors(names, width, window)
+            at = np.flatnonzero(_inside(owner, window))
+            wanted = [b"".join(v) for v in part.column(2).to_pylist()]
+            number = np.repeat(np.arange(1, len(wanted) + 1, dtype=np.uint64), [len(w) // 8 for w in wanted])
+            mine = mix64(names_of(b"".join(wanted)) ^ mix64(number))
             ask = mix64(found[at] ^ mix64((owner[at] + 1).astype(np.uint64)))
-            at = at[np.isin(ask, mine)]
-            yield deal(part.column(0).to_numpy(), owner[at], hashes[at], fragments)
+            # Windows side by side often have one anchor: it is sought once.
+            new = np.concatenate([[True], ask[1:] != ask[:-1]])[: len(ask)]
+            at = at[np.isin(ask[new], mine)[np.cumsum(new) - 1]]
+            yield deal(part.column(0).to_numpy(), owner[at], _hashes_at(names, at, window), fragments)
 
     candidates = known.join(shared, "doc_id").select("doc_id", "text", "names")
     again = repeated(candidates.mapInArrow(second, DEALT), fragments, tell_first=False)

@@ -664,6 +664,23 @@ def test_equal_windows_have_equal_anchors():
             assert seen.setdefault(text[i : i + 13].tobytes(), got[i]) == got[i]
 
 
+def test_anchors_do_little_more_than_they_need(monkeypatch):
+    """Spans' widest symbols from two looks each; no hash of a window that has an anchor."""
+    rng = np.random.default_rng(6)
+    names, width = rng.integers(0, 1 << 63, 500, np.uint64), rng.integers(1, 9, 500)
+    lo = rng.integers(0, 480, 300)
+    hi = lo + rng.integers(1, 20, 300)
+    key = [(min(w, 65535) << 48) + (n >> 16) for n, w in zip(names.tolist(), width.tolist(), strict=True)]
+    assert substrings._widest(names, width, lo, hi).tolist() == [max(key[a:b]) for a, b in zip(lo, hi, strict=True)]
+    monkeypatch.setattr(substrings, "window_hashes", None)
+    asked = []
+    monkeypatch.setattr(substrings, "_hashes_at", lambda names, at, window: asked.append(len(at)) or substrings.mix64(names[at]))
+    assert len(set(substrings.anchors(names, width).tolist())) > 50 and sum(asked) < 50
+    # A text of one word has no runs left: its windows are their own.
+    substrings.anchors(np.zeros(40, np.uint64), np.ones(40, np.int64))
+    assert asked[-1] == 28
+
+
 # --- pipeline -------------------------------------------------------------------------------
 
 def test_pipeline(spark, docs, tmp_path):
