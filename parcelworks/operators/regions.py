@@ -21,6 +21,7 @@ from .grid import dealt
 from .kernels import lonlat
 
 RINGS = "array<array<array<double>>>"
+ARROW_RINGS = pa.list_(pa.list_(pa.list_(pa.float64())))
 #: Shapes of one key that are held before they are united.
 HELD = 64
 
@@ -121,6 +122,45 @@ def perimeter(rings) -> Column:
     return _over_rings(rings, lambda p, q, o: F.sqrt(F.pow(q[0] - p[0], 2) + F.pow(q[1] - p[1], 2)))
 
 
+def _keyed(batch: pa.RecordBatch, keys: list[str]):
+    return zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+
+
+def _rows(found: list, keys: list[str], like: pa.RecordBatch) -> pa.RecordBatch:
+    names = [pa.array([k[i] for k, _ in found], like.schema.field(n).type) for i, n in enumerate(keys)]
+    return pa.RecordBatch.from_arrays([*names, encoded([v for _, v in found])], names=[*keys, "rings"])
+
+
+def _united(groups: list[list[P.Region]], clean: bool) -> list[P.Region]:
+    apart, met = zip(*P.aparts(groups), strict=True) if clean else ([[] for _ in groups], groups)
+    more = [k for k, v in enumerate(met) if v]
+    found = dict(zip(more, P.unions([met[k] for k in more]), strict=True))
+    return [[*found.get(k, []), *(r for shape in v for r in shape)] for k, v in enumerate(apart)]
+
+
+def _early(batches, keys: list[str]):
+    """Batches with each key once: a row alone stays as it is, others are united."""
+    for b in batches:
+        met: dict = {}
+        for row, key in enumerate(_keyed(b, keys)):
+            met.setdefault(key, []).append(row)
+        alone = [rows[0] for rows in met.values() if len(rows) == 1]
+        if alone:
+            rest = b.take(pa.array(alone, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*map(rest.column, keys), rest.column("rings").cast(ARROW_RINGS)], names=[*keys, "rings"])
+        hot = {key: rows for key, rows in met.items() if len(rows) > 1}
+        if not hot:
+            continue
+        shapes = decoded(b.column("rings"))
+        groups = [[shapes[k] for k in rows] for rows in hot.values()]
+        while max(map(len, groups)) > HELD:
+            pieces = [(k, g[at : at + HELD]) for k, g in enumerate(groups) for at in range(0, len(g), HELD)]
+            groups = [[] for _ in groups]
+            for (k, _), shape in zip(pieces, _united([piece for _, piece in pieces], True), strict=True):
+                groups[k].append(shape)
+        yield _rows(list(zip(hot, _united(groups, True), strict=True)), keys, b)
+
+
 def _fold(df: DataFrame, keys: list[str], clean: bool) -> DataFrame:
     """Shapes of equal keys united: within batches before they are dealt by key, so
     that a hot key sends outlines, and then key after key down sorted partitions,
@@ -128,32 +168,11 @@ def _fold(df: DataFrame, keys: list[str], clean: bool) -> DataFrame:
     ``clean`` (no ring crosses) stay as they are where they are alone."""
     schema = StructType([*(df.schema[k] for k in keys), StructField("rings", df.schema["rings"].dataType)])
 
-    def out(found: list, like: pa.RecordBatch) -> pa.RecordBatch:
-        names = [pa.array([k[i] for k, _ in found], like.schema.field(n).type) for i, n in enumerate(keys)]
-        return pa.RecordBatch.from_arrays([*names, encoded([v for _, v in found])], names=[*keys, "rings"])
-
-    def shapes(batch: pa.RecordBatch):
-        return zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), decoded(batch.column("rings")), strict=True)
-
-    def early(batches):
-        for b in batches:
-            met: dict = {}
-            for key, shape in shapes(b):
-                met.setdefault(key, []).append(shape)
-            if met:
-                yield out(list(zip(met, united(list(met.values()), True), strict=True)), b)
-
-    def united(groups: list[list[P.Region]], clean: bool) -> list[P.Region]:
-        apart, met = zip(*map(P.apart, groups), strict=True) if clean else ([[] for _ in groups], groups)
-        more = [k for k, v in enumerate(met) if v]
-        found = dict(zip(more, P.unions([met[k] for k in more]), strict=True))
-        return [[*found.get(k, []), *(r for shape in v for r in shape)] for k, v in enumerate(apart)]
-
     def late(batches):
         now, held, b = None, [], None
         for b in batches:
             done = []
-            for key, shape in shapes(b):
+            for key, shape in zip(_keyed(b, keys), decoded(b.column("rings")), strict=True):
                 if held and key != now:
                     done.append((now, held))
                     held = []
@@ -162,11 +181,11 @@ def _fold(df: DataFrame, keys: list[str], clean: bool) -> DataFrame:
                 if len(held) >= HELD:
                     held = [P.union(held)]
             if done:
-                yield out(list(zip((k for k, _ in done), united([v for _, v in done], clean), strict=True)), b)
+                yield _rows(list(zip((k for k, _ in done), _united([v for _, v in done], clean), strict=True)), keys, b)
         if held:
-            yield out([(now, united([held], clean)[0])], b)
+            yield _rows([(now, _united([held], clean)[0])], keys, b)
 
-    few = df.select(*keys, "rings").mapInArrow(early, schema)
+    few = df.select(*keys, "rings").mapInArrow(lambda batches: _early(batches, keys), schema)
     return dealt(few, keys).sortWithinPartitions(*keys).mapInArrow(late, schema)
 
 

@@ -143,3 +143,36 @@ def test_overlaps_of_zones_are_spread(spark):
     assert catalog.QUERIES["zone_conductivity"](spark, "/root/testdata/sf0.001").count() > 0
     text = plan_of(catalog.QUERIES["zone_conductivity"](spark, "/root/testdata/sf0.001"))
     assert "REPARTITION_BY_NUM" in text
+
+
+def test_groups_are_parted_side_by_side(monkeypatch):
+    some = shapes(300, 11)
+    groups = [some[at : at + k % 6] for k, at in enumerate(range(0, 290, 3))] + [[], [[]], [some[0], [], some[1]]]
+    want = [P.apart(g) for g in groups]
+    monkeypatch.setattr(P, "apart", None)
+    for (a, b), (c, d) in zip(P.aparts(groups), want, strict=True):
+        assert len(a) == len(c) and len(b) == len(d) and all(x is y for x, y in zip([*a, *b], [*c, *d], strict=True))
+
+
+def test_rows_alone_in_their_batch_are_not_worked_on(monkeypatch):
+    """Keys once in a batch go on as they are; many shapes of one key are united a few at a time."""
+    import pyarrow as pa
+
+    box = lambda x, y: [np.array([(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)], float)]
+    regions_ = [box(k % 40, k // 40) for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k if k < 500 else -1 for k in range(2000)]), regions.encoded(regions_)], names=["k", "rings"])
+    real, most = P.overlays, []
+    monkeypatch.setattr(P, "overlays", lambda jobs, keep: most.extend(len(x[0]) for x in jobs) or real(jobs, keep))
+    got = {k: r for b in regions._early([batch], ["k"]) for k, r in zip(b.column(0).to_pylist(), regions.decoded(b.column(1)), strict=True)}
+    assert len(got) == 501 and P.area(got[-1]) == pytest.approx(1500)
+    assert all(np.array_equal(got[k][0], regions_[k][0]) for k in range(500))
+    assert 0 < len(most) < 40 and max(most) <= regions.HELD
+    monkeypatch.setattr(regions, "decoded", None)
+    assert sum(b.num_rows for b in regions._early([batch.slice(0, 500)], ["k"])) == 500
+
+
+def test_rows_alone_and_others_of_one_batch(spark):
+    k = F.col("id")
+    rows = spark.range(2000, numPartitions=1).select(F.when(k < 500, k).otherwise(-1).cast("string").alias("parcel_id"), V.box(k % 40, F.floor(k / 40), k % 40 + 1, F.floor(k / 40) + 1).alias("rings"))
+    got = {r["parcel_id"]: r["area"] for r in regions.union_by(rows, ["parcel_id"]).select("parcel_id", regions.area("rings").alias("area")).collect()}
+    assert len(got) == 501 and got["-1"] == pytest.approx(1500) and all(v == pytest.approx(1) for p, v in got.items() if p != "-1")
