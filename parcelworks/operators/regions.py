@@ -335,6 +335,11 @@ def road_footprints(cells: DataFrame, px: float, py: float, origin_x: float = 0.
 def covered_cells(shapes: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0, keys: tuple[str, ...] = ("parcel_id",)) -> DataFrame:
     """keys, r, c: the cells whose centres lie in a shape of the keys, each once. A
     shape becomes spans of rows, a span its cells: no point meets a polygon."""
+    return _covered(shapes, px, py, origin_x, origin_y, keys).distinct()
+
+
+def _covered(shapes: DataFrame, px: float, py: float, origin_x: float, origin_y: float, keys: tuple[str, ...] = ("parcel_id",)) -> DataFrame:
+    """``covered_cells`` as often as shapes cover them."""
 
     def spans(values: pa.Array) -> pa.Array:
         found = [P.row_spans(v, px, py, origin_x, origin_y).astype(np.int32) for v in decoded(values)]
@@ -343,23 +348,28 @@ def covered_cells(shapes: DataFrame, px: float, py: float, origin_x: float = 0.0
         return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), each)
 
     each = shapes.select(*keys, F.inline(_once(spans, "array<struct<r:int,first:int,last:int>>")("rings")))
-    return each.select(*keys, "r", F.explode(F.sequence("first", "last")).alias("c")).distinct()
+    return each.select(*keys, "r", F.explode(F.sequence("first", "last")).alias("c"))
+
+
+def _marked(cells: DataFrame, shapes: DataFrame, parcels: DataFrame, *at: float) -> DataFrame:
+    """``cells`` with _in, true in the parcel, and _hit, true in a shape; else null. Both
+    come by one sum and one join: a task sorts cells twice, not once a layer."""
+    yes, no = F.lit(True), F.lit(None).cast("boolean")
+    held = _covered(parcels, *at).select("*", yes.alias("_in"), no.alias("_hit"))
+    hit = _covered(shapes, *at).select("*", no.alias("_in"), yes.alias("_hit"))
+    marks = held.unionByName(hit).groupBy("parcel_id", "r", "c").agg(F.max("_in").alias("_in"), F.max("_hit").alias("_hit"))
+    return cells.hint("merge").join(marks, ["parcel_id", "r", "c"], "left")
 
 
 def exclusion_cells(cells: DataFrame, shapes: DataFrame, parcels: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0) -> DataFrame:
     """``cells`` (with z) with ``excluded``: outside the parcel, or in a shape. Cells
     without a height are never excluded."""
-    at = ["parcel_id", "r", "c"]
-    held = covered_cells(parcels, px, py, origin_x, origin_y).withColumn("_in", F.lit(True))
-    hit = covered_cells(shapes, px, py, origin_x, origin_y).withColumn("_hit", F.lit(True))
-    got = cells.hint("merge").join(held, at, "left").hint("merge").join(hit, at, "left")
+    got = _marked(cells, shapes, parcels, px, py, origin_x, origin_y)
     out = F.col("z").isNotNull() & (F.col("_in").isNull() | F.col("_hit").isNotNull())
     return got.withColumn("excluded", out).drop("_in", "_hit")
 
 
 def production_cells(cells: DataFrame, shapes: DataFrame, parcels: DataFrame, px: float, py: float, origin_x: float = 0.0, origin_y: float = 0.0, name: str = "on_production") -> DataFrame:
     """``cells`` (with z) with ``name``: in the parcel and in a shape."""
-    at = ["parcel_id", "r", "c"]
-    held = covered_cells(parcels, px, py, origin_x, origin_y)
-    hit = covered_cells(shapes, px, py, origin_x, origin_y).hint("merge").join(held, at).withColumn(name, F.lit(True))
-    return cells.drop(name).hint("merge").join(hit, at, "left").withColumn(name, F.col("z").isNotNull() & F.coalesce(name, F.lit(False)))
+    got = _marked(cells.drop(name), shapes, parcels, px, py, origin_x, origin_y)
+    return got.withColumn(name, F.col("z").isNotNull() & F.col("_in").isNotNull() & F.col("_hit").isNotNull()).drop("_in", "_hit")

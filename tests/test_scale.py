@@ -176,3 +176,20 @@ def test_rows_alone_and_others_of_one_batch(spark):
     rows = spark.range(2000, numPartitions=1).select(F.when(k < 500, k).otherwise(-1).cast("string").alias("parcel_id"), V.box(k % 40, F.floor(k / 40), k % 40 + 1, F.floor(k / 40) + 1).alias("rings"))
     got = {r["parcel_id"]: r["area"] for r in regions.union_by(rows, ["parcel_id"]).select("parcel_id", regions.area("rings").alias("area")).collect()}
     assert len(got) == 501 and got["-1"] == pytest.approx(1500) and all(v == pytest.approx(1) for p, v in got.items() if p != "-1")
+
+
+def test_masks_of_cells_come_by_one_join_each(spark):
+    """A task that sorts every layer beside the cells holds them all at once."""
+    cells = spark.range(400, numPartitions=1).select(F.lit("p").alias("parcel_id"), F.floor(F.col("id") / 20).cast("int").alias("r"), (F.col("id") % 20).cast("int").alias("c"), F.when(F.col("id") != 45, 1.0).alias("z"))
+    one = spark.range(1).select(F.lit("p").alias("parcel_id"), V.box(5, -95, 95, -5).alias("rings"))
+    twice = one.select("parcel_id", V.box(0, -30, 30, -10).alias("rings")).unionByName(one.select("parcel_id", V.box(20, -30, 50, -10).alias("rings")))
+    for got, name, want in (
+        (regions.exclusion_cells(cells, twice, one, 5.0, 5.0), "excluded", lambda r, c, inside, hit: not inside or hit),
+        (regions.production_cells(cells, twice, one, 5.0, 5.0), "on_production", lambda r, c, inside, hit: inside and hit),
+    ):
+        assert plan_of(got).count("SortMergeJoin") == 1
+        rows = got.collect()
+        assert len(rows) == 400 and set(got.columns) == {*cells.columns, name}
+        for r in rows:
+            inside, hit = 1 <= r["r"] <= 18 and 1 <= r["c"] <= 18, 2 <= r["r"] <= 5 and r["c"] <= 9
+            assert r[name] == (r["z"] is not None and want(r["r"], r["c"], inside, hit))
